@@ -68,6 +68,13 @@ def cosine(a, b) -> Column:
     return _same_len(a, b, val)
 
 
+def cosine_from_parts(dotp, na, nb) -> Column:
+    """V3 from a dot product and two precomputed squared norms (lets a join
+    compute each norm once per row instead of once per pair)."""
+    return (F.when((na == 0) | (nb == 0), F.lit(1.0))
+            .otherwise(F.lit(1.0) - dotp / (F.sqrt(na) * F.sqrt(nb))))
+
+
 _BUILDERS = {"l2": l2, "ip": neg_ip, "cosine": cosine}
 
 

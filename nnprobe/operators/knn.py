@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nnprobe.functions.distance import check_metric, distance
+from nnprobe.functions.distance import check_metric, cosine_from_parts, distance, dot, sq_norm
 from nnprobe.operators.kernel import TOPK_SCHEMA, topk_per_partition
 
 # Fixed limits.
@@ -88,12 +88,19 @@ def exact_knn(base: DataFrame, queries: DataFrame, k: int = 10, metric: str = "c
         raise ValueError("k must be in 1..1000")
     b = _base(base, id_col, vec_col)
     if strategy == "expr":
-        q = F.broadcast(queries.select("qid", "qv"))   # bounded by the sample size
-        pairs = b.crossJoin(q)
+        q = queries.select("qid", "qv")
+        if metric == "cosine":
+            # norms once per row on each side, only the dot product per pair
+            b = b.withColumn("nv", sq_norm("v"))
+            q = q.withColumn("nq", sq_norm("qv"))
+        pairs = b.crossJoin(F.broadcast(q))   # query side bounded by the sample size
         if exclude_self:
             pairs = pairs.where(F.col("id") != F.col("qid"))
-        cand = (pairs.select("qid", "id", distance(metric, "qv", "v").alias("distance"))
-                .where(F.col("distance").isNotNull()))
+        if metric == "cosine":
+            d = F.when(F.size("v") == F.size("qv"), cosine_from_parts(dot("qv", "v"), F.col("nq"), F.col("nv")))
+        else:
+            d = distance(metric, "qv", "v")
+        cand = pairs.select("qid", "id", d.alias("distance")).where(F.col("distance").isNotNull())
         return rank_topk(cand, k)
     if strategy != "block":
         raise ValueError(f"unknown strategy {strategy!r}")
