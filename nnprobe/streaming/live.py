@@ -8,7 +8,9 @@ aggregations whose final state equals the batch statistics of §2.7:
   number of distinct quantised durations.
 * T2 live QPS       - completions per level and tumbling window, event-time
   watermark, ``append`` mode: only windows the watermark has closed are
-  emitted; rows arriving behind the watermark are dropped (T5).
+  emitted; rows behind the watermark are dropped (T5).  Spark filters late
+  rows against the previous micro-batch's watermark, so a row is dropped
+  once a whole batch has passed since the watermark overtook it.
 * T3 phase status   - first/last time, rows, latest row's values per phase.
 * T4 running peak   - per micro-batch merge of level totals into a state
   table in the shared folder, and the leading level so far.
