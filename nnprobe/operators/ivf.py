@@ -24,8 +24,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nnprobe.functions.distance import check_metric, l2, normalize
+from nnprobe.functions.distance import check_metric, normalize
 from nnprobe.operators.kernel import ASSIGN_SCHEMA, TOPK_SCHEMA, nearest_centroid, topk_per_partition
+from nnprobe.operators import knn
 from nnprobe.operators.knn import MAX_QUERY_BYTES, _base, query_matrix, rank_topk
 from nnprobe.operators.sampling import DEFAULT_SEED, sample_key
 from nnprobe.session import scratch_path
@@ -50,7 +51,8 @@ def train_sample(base: DataFrame, lists: int, metric: str = "cosine", seed: int
     b = _base(base, id_col, vec_col)
     top = (b.select("id", _prepared(F.col("v"), metric).alias("c"), sample_key("id", seed).alias("_k"))
            .orderBy("_k", "id").limit(lists))
-    return top.select((F.row_number().over(Window.orderBy("_k", "id")) - 1).cast("int").alias("list_id"), "c")
+    cents = top.select((F.row_number().over(Window.orderBy("_k", "id")) - 1).cast("int").alias("list_id"), "c")
+    return cents.checkpoint(eager=True)      # `lists` rows: later uses never rescan the table
 
 
 def train_kmeans(base: DataFrame, lists: int, metric: str = "cosine", seed: int = DEFAULT_SEED,
@@ -70,7 +72,7 @@ def train_kmeans(base: DataFrame, lists: int, metric: str = "cosine", seed: int
     centers = np.array(model.clusterCenters(), dtype=np.float64)
     spark = base.sparkSession
     pdf_rows = [(i, [float(x) for x in c.astype(np.float32)]) for i, c in enumerate(centers)]
-    return spark.createDataFrame(pdf_rows, "list_id int, c array<float>")
+    return spark.createDataFrame(pdf_rows, "list_id int, c array<float>").checkpoint(eager=True)
 
 
 def centroid_matrix(centroids: DataFrame):
@@ -128,27 +130,32 @@ def _save(df: DataFrame, path: str) -> str:
     return path
 
 
-def probe_ranks(queries: DataFrame, centroids: DataFrame, metric: str = "cosine") -> DataFrame:
-    """(qid, list_id, probe_rank): centroids ordered per query by (l2 on
-    prepared vectors, list_id).  Both sides are bounded (sample size, lists)."""
-    q = queries.select("qid", _prepared(F.col("qv"), metric).alias("qp"))
-    pairs = q.crossJoin(F.broadcast(centroids.select("list_id", "c")))
-    d = pairs.select("qid", "list_id", l2("qp", "c").alias("cd"))
-    w = Window.partitionBy("qid").orderBy("cd", "list_id")
-    return d.select("qid", "list_id", F.row_number().over(w).cast("int").alias("probe_rank"))
+def probe_ranks(queries: DataFrame, centroids: DataFrame, metric: str = "cosine",
+                depth: int | None = None) -> DataFrame:
+    """(qid, list_id, probe_rank): the ``depth`` nearest centroids of every
+    query by (l2 on prepared vectors, list_id); all lists when depth is None.
+
+    Runs the block kernel with the centroids as the scanned side and the
+    prepared queries broadcast, so it scales with lists x queries."""
+    q = queries.select("pos", "qid", _prepared(F.col("qv"), metric).alias("qv"))
+    c = centroids.select(F.col("list_id").cast("long").alias("id"), F.col("c").alias("embedding"))
+    k = depth if depth is not None else centroids.count()
+    r = knn.exact_knn(c, q, max(1, int(k)), "l2", exclude_self=False, strategy="block")
+    return r.select("qid", F.col("id").cast("int").alias("list_id"), F.col("rank").alias("probe_rank"))
 
 
 def search(spark, index: IvfIndex, queries: DataFrame, k: int, nprobe: int,
            exclude_self: bool = True) -> DataFrame:
     """K7: approximate top-k at effort nprobe; may return fewer than k rows."""
     metric = index.metric
-    probes = probe_ranks(queries, index.centroids, metric).where(F.col("probe_rank") <= nprobe)
+    probes = probe_ranks(queries, index.centroids, metric, depth=nprobe)
     pt = probes.select("qid", "list_id").toArrow()         # bounded: queries x nprobe
     qid, mat, dim = query_matrix(queries)
-    pos = {int(x): i for i, x in enumerate(qid)}
+    order = np.argsort(qid)
+    pq = pt.column("qid").to_numpy()
+    rows_ = order[np.searchsorted(qid[order], pq)]
     allowed = np.zeros((len(qid), max(index.lists, 1)), bool)
-    for a, l in zip(pt.column("qid").to_numpy(), pt.column("list_id").to_numpy()):
-        allowed[pos[int(a)], int(l)] = True
+    allowed[rows_, pt.column("list_id").to_numpy().astype(np.int64)] = True
     probed = probes.select("list_id").distinct()
     tbl = index.table(spark).join(F.broadcast(probed), "list_id", "left_semi")
     sc = spark.sparkContext
@@ -165,6 +172,17 @@ def search(spark, index: IvfIndex, queries: DataFrame, k: int, nprobe: int,
     return rank_topk(cand, k)
 
 
+def assignment_table(base: DataFrame, centroids: DataFrame, metric: str = "cosine",
+                     id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
+    """The assignment written once to the shared folder and read back: one
+    kernel pass over the table serves every later use, and the written
+    table cuts the lineage."""
+    spark = base.sparkSession
+    path = scratch_path(spark, "assign")
+    assign(base, centroids, metric, id_col, vec_col).select("id", "list_id").write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def list_sizes(assignment: DataFrame) -> DataFrame:
     return assignment.groupBy("list_id").agg(F.count("*").alias("list_size"))
 

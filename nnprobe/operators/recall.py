@@ -44,17 +44,26 @@ def mean_recall(per: DataFrame) -> DataFrame:
     return per.agg(F.avg("recall").alias("recall"), F.count("*").alias("queries"))
 
 
+MAX_BROADCAST_TRUTH = 5_000_000
+
+
 def sweep(truth: DataFrame, assignment: DataFrame, probes: DataFrame,
-          queries: DataFrame, efforts: DataFrame) -> DataFrame:
+          queries: DataFrame, efforts: DataFrame, truth_rows: int | None = None) -> DataFrame:
     """(qid, sweep_idx, effort, hits, truth_len, recall) for every
     query and effort, from the shortcut."""
-    ranked = (truth.select("qid", "id")
-              .join(assignment.select("id", "list_id"), "id", "left")
-              .join(probes.select("qid", "list_id", "probe_rank"), ["qid", "list_id"], "left"))
-    per = (ranked.crossJoin(F.broadcast(efforts))
-           .groupBy("qid", "sweep_idx", "effort")
-           .agg(F.count_if(F.col("probe_rank") <= F.col("effort")).alias("hits"),
-                F.count("*").alias("truth_len")))
+    # truth holds queries x k rows (bounded) and is the broadcast side; the
+    # table-sized assignment is streamed past it and never shuffled.  Truth
+    # rows without a list (none in practice) still count in truth_len.
+    t = truth.select("qid", "id")
+    tb = F.broadcast(t) if truth_rows is None or truth_rows <= MAX_BROADCAST_TRUTH else t
+    located = assignment.select("id", "list_id").join(tb, "id")
+    ranked = located.join(probes.select("qid", "list_id", "probe_rank"), ["qid", "list_id"], "left")
+    hits = (ranked.crossJoin(F.broadcast(efforts))
+            .groupBy("qid", "sweep_idx", "effort")
+            .agg(F.count_if(F.col("probe_rank") <= F.col("effort")).alias("hits")))
+    tl = t.groupBy("qid").agg(F.count("*").alias("truth_len"))
+    per = (tl.crossJoin(F.broadcast(efforts))
+           .join(hits, ["qid", "sweep_idx", "effort"], "left"))
     grid = queries.select("qid").crossJoin(F.broadcast(efforts))
     return (grid.join(per, ["qid", "sweep_idx", "effort"], "left")
             .select("qid", "sweep_idx", "effort",

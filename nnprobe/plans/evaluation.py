@@ -56,10 +56,11 @@ def evaluate(base: DataFrame, cfg: EvalConfig = EvalConfig(), id_col: str = "id"
         cents = ivf.train_kmeans(base, cfg.lists, cfg.metric, cfg.seed, id_col, vec_col)
     else:
         raise ValueError(f"unknown trainer {cfg.trainer!r}")
-    asg = ivf.assign(base, cents, cfg.metric, id_col, vec_col)
-    probes = ivf.probe_ranks(q, cents, cfg.metric)
+    asg = ivf.assignment_table(base, cents, cfg.metric, id_col, vec_col)
+    # queries x max(effort) rows, bounded: written once, read by sweep and cost
+    probes = ivf.probe_ranks(q, cents, cfg.metric, depth=max(cfg.efforts)).checkpoint(eager=True)
     eff = recall.efforts_frame(spark, cfg.efforts)
-    per = recall.sweep(truth, asg, probes, q, eff)
+    per = recall.sweep(truth, asg, probes, q, eff, truth_rows=cfg.queries * cfg.k)
     cost = ivf.scan_cost(probes, ivf.list_sizes(asg), eff)
     pts = recall.sweep_points(per, cost)
     return EvalParts(q, truth, cents, asg, probes, eff, per, cost, pts)
