@@ -102,6 +102,20 @@ class IvfIndex:
     lists: int
     centroids: DataFrame
 
+    def manifest(self, spark, table: str, column: str, name: str | None = None) -> DataFrame:
+        """P5 manifest row: (index_name, kind, table, columns, metric, lists,
+        size_bytes, created_at, definition)."""
+        from nnprobe.operators.profile import stored_size
+        size = stored_size(self.table(spark)).select("table_size_bytes")
+        opclass = {"cosine": "vector_cosine_ops", "l2": "vector_l2_ops", "ip": "vector_ip_ops"}[self.metric]
+        name = name or f"{table}_{column}_ivf"
+        return size.select(
+            F.lit(name).alias("index_name"), F.lit("ivfflat").alias("kind"), F.lit(table).alias("table"),
+            F.array(F.lit(column)).alias("columns"), F.lit(self.metric).alias("metric"),
+            F.lit(self.lists).cast("int").alias("lists"), F.col("table_size_bytes").alias("size_bytes"),
+            F.current_timestamp().alias("created_at"),
+            F.lit(f"USING ivfflat ({column} {opclass}) WITH (lists='{self.lists}')").alias("definition"))
+
     def table(self, spark) -> DataFrame:
         return spark.read.parquet(self.path)
 

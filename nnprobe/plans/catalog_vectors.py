@@ -329,6 +329,25 @@ SQL_SYNTHETIC_PROFILE = """SELECT count(*) AS rows, max(len(embedding))::INTEGER
        1.0::DOUBLE AS min_norm, 1.0::DOUBLE AS max_norm FROM embeddings"""
 
 
+# --- P4, S7 (rows-only: file sizes and nested documents have no SQL twin) ------
+
+def q_stored_size(spark, sf):
+    return profile.stored_size(table(spark, sf, "embeddings"))
+
+
+def q_result_document(spark, sf):
+    from nnprobe.operators import measure as M
+    from nnprobe.sources.sinks import result_document
+
+    env = profile.profile(base(spark, sf), "id", "embedding")
+    m = M.from_events(table(spark, sf, "events"))
+    lat = M.latency_summary(M.with_warmup(m, "phase").where(~F.col("warmup")), group=()).drop("run_id")
+    lv = M.levels(m)
+    pts = evaluate(base(spark, sf), _cfg()).points
+    cfg = {"metric": "cosine", "k": K, "queries": N_QUERIES, "lists": LISTS, "efforts": list(EFFORTS)}
+    return result_document(env, cfg, lat, lv, pts, recall.default_point(pts, DEFAULT_EFFORT))
+
+
 def entries():
     out = {}
     for name, metric in (("vec_l2", "l2"), ("vec_neg_ip", "ip"), ("vec_cosine", "cosine")):
@@ -354,4 +373,6 @@ def entries():
     out["default_point"] = (q_default_point, SQL_DEFAULT_POINT)
     out["ivf_kmeans_sweep"] = (q_ivf_kmeans_sweep, None)
     out["synthetic_profile"] = (q_synthetic_profile, SQL_SYNTHETIC_PROFILE)
+    out["stored_size"] = (q_stored_size, None)
+    out["result_document"] = (q_result_document, None)
     return out
