@@ -89,12 +89,18 @@ def distance(metric: str, a, b) -> Column:
     return _BUILDERS[check_metric(metric)](a, b)
 
 
+def divide_by(v: Column, n: Column) -> Column:
+    """v / n element-wise in double, stored as FLOAT.  The divisor is
+    evaluated once per row (repeated into an array), not once per element
+    as a reference inside a transform lambda would be."""
+    return F.zip_with(v, F.array_repeat(n, F.size(v)), lambda x, d: (_d(x) / d).cast("float"))
+
+
 def normalize(v, tiny: float = 1e-12) -> Column:
     """V5: v / ||v|| in double, stored back as FLOAT; tiny norms left alone."""
     v = _col(v)
     n = norm(v)
-    return F.when(n < F.lit(tiny), v).otherwise(
-        F.transform(v, lambda x: (_d(x) / n).cast("float")))
+    return F.when(n < F.lit(tiny), v).otherwise(divide_by(v, n))
 
 
 # --- numpy twins (same fold order as the expressions above) -----------------

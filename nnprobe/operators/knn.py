@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from nnprobe.functions.distance import check_metric, cosine_from_parts, distance, dot, sq_norm
 from nnprobe.operators.kernel import TOPK_SCHEMA, topk_per_partition
+from nnprobe.session import spread
 
 # Fixed limits.
 MAX_QUERY_BYTES = 256 * 1024 * 1024   # query matrix per broadcast pass
@@ -93,7 +94,8 @@ def exact_knn(base: DataFrame, queries: DataFrame, k: int = 10, metric: str = "c
             # norms once per row on each side, only the dot product per pair
             b = b.withColumn("nv", sq_norm("v"))
             q = q.withColumn("nq", sq_norm("qv"))
-        pairs = b.crossJoin(F.broadcast(q))   # query side bounded by the sample size
+        # per-pair work is a JVM fold: use every core even on a one-file table
+        pairs = spread(b).crossJoin(F.broadcast(q))   # query side bounded by the sample size
         if exclude_self:
             pairs = pairs.where(F.col("id") != F.col("qid"))
         if metric == "cosine":

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from nnprobe.functions import privacy
 from nnprobe.functions.text import format_bytes, format_int, parse_index_def, rows_bucket
 from nnprobe.operators import nearest
-from nnprobe.session import table
+from nnprobe.session import spread, table
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -115,7 +115,7 @@ def _sql_scrub(col: str) -> str:
 
 
 def q_scrub_documents(spark, sf):
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return d.select("doc_id", privacy.scrub("text").alias("text"))
 
 
@@ -123,7 +123,7 @@ SQL_SCRUB_DOCUMENTS = f"SELECT doc_id, {_sql_scrub('text')} AS text FROM documen
 
 
 def q_scrub_conversations(spark, sf):
-    c = table(spark, sf, "conversations")
+    c = spread(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"))
     return c.select("conv_id", "turn", "role", privacy.scrub("text").alias("text"))
 
 
@@ -131,7 +131,7 @@ SQL_SCRUB_CONVERSATIONS = f"SELECT conv_id, turn, role, {_sql_scrub('text')} AS
 
 
 def q_scrub_counts(spark, sf):
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
     st = privacy.scrub_stages("text")
     return d.select("doc_id", *[cnt.cast("int").alias(f"{name}_hits") for name, cnt, _ in st])
 

@@ -63,3 +63,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df):
+    """Round-robin over the cluster's cores when the input has fewer
+    partitions than cores (small tables stored as one row group).  At scale
+    the input already has many partitions and this is a no-op, so the table
+    is never shuffled just to be split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df

@@ -14,6 +14,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nnprobe.functions.distance import divide_by
+from nnprobe.session import spread
+
 TWO_53 = 2 ** 53
 
 
@@ -30,19 +33,34 @@ def unit_vector(id_col: Column, dim: int, seed: int) -> Column:
         * F.cos(F.lit(2 * math.pi) * _uniform(seed, id_col, i, 2)))
     n = F.sqrt(F.aggregate(z, F.lit(0.0), lambda acc, x: acc + x * x))
     return (F.when(n < F.lit(1e-12), F.transform(z, lambda x: x.cast("float")))
-            .otherwise(F.transform(z, lambda x: (x / n).cast("float"))))
+            .otherwise(divide_by(z, n)))
+
+
+def _two_step(ids: DataFrame, id_col: str, dim: int, seed: int) -> DataFrame:
+    """Coordinates first (one column), then the division: the normals are
+    generated once per element and the norm once per row."""
+    i = F.col(id_col)
+    z = F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)),
+        lambda j: F.sqrt(F.lit(-2.0) * F.log(_uniform(seed, i, j, 1) + F.lit(1e-12)))
+        * F.cos(F.lit(2 * math.pi) * _uniform(seed, i, j, 2)))
+    g = spread(ids.select(i.alias("id"))).select("id", z.alias("_z"))
+    n = F.sqrt(F.aggregate("_z", F.lit(0.0), lambda acc, x: acc + x * x))
+    g = g.select("id", "_z", n.alias("_n"))
+    return g.select("id", F.when(F.col("_n") < F.lit(1e-12), F.transform("_z", lambda x: x.cast("float")))
+                    .otherwise(divide_by(F.col("_z"), F.col("_n"))).alias("embedding"))
 
 
 def unit_vectors(spark, rows: int, dim: int, seed: int = 42) -> DataFrame:
     """Ids 1..rows with random unit vectors (the synthetic dataset)."""
     if not (1 <= rows and 1 <= dim):
         raise ValueError("rows and dim must be positive")
-    return spark.range(1, rows + 1).select(F.col("id"), unit_vector(F.col("id"), dim, seed).alias("embedding"))
+    return _two_step(spark.range(1, rows + 1), "id", dim, seed)
 
 
 def vectors_for_ids(ids: DataFrame, dim: int, seed: int = 42, id_col: str = "id") -> DataFrame:
     """S4 over an existing id column (e.g. a table's keys)."""
-    return ids.select(F.col(id_col).alias("id"), unit_vector(F.col(id_col), dim, seed).alias("embedding"))
+    return _two_step(ids, id_col, dim, seed)
 
 
 def write_dataset(df: DataFrame, path: str, partitions: int | None = None) -> str:
