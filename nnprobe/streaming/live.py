@@ -104,34 +104,59 @@ def read_result(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def running_peak(spark: SparkSession, source: DataFrame, name: str = "peak") -> DataFrame:
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """Epoch ids of the committed state versions under ``root`` (any
+    Hadoop-compatible file system, so the shared folder may be remote)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    out = []
+    for st in fs.listStatus(path):
+        n = st.getPath().getName()
+        if n.startswith("v") and n[1:].isdigit() and fs.exists(
+                jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            out.append(int(n[1:]))
+    return sorted(out)
+
+
+def running_peak(spark: SparkSession, source: DataFrame, name: str = "peak",
+                 state_root: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """T4: after every micro-batch the level totals are merged into a state
-    table (versioned parquet in the shared folder) and the leading level is
-    recomputed; returns the final levels with a ``leading`` flag."""
-    state_root = scratch_path(spark, f"stream-{name}-state")
-    latest = {"path": None}
+    table (one parquet version per epoch in the shared folder) and the
+    leading level is recomputed; returns the final levels with a ``leading``
+    flag.
+
+    Epoch e merges its batch into the newest version below e and writes
+    version e, so a replayed epoch (after a failure) rewrites the same
+    version, and a restarted query finds its state on storage rather than in
+    driver memory.  The state holds one row per level."""
+    state_root = state_root or scratch_path(spark, f"stream-{name}-state")
 
     def merge(batch: DataFrame, epoch_id: int):
         part = batch.groupBy("run_id", "level").agg(
             F.min("seq").alias("first_seq"), F.count("*").alias("total_queries"),
             F.min("started_us").alias("start_us"), F.max("ended_us").alias("end_us"))
-        if latest["path"] is not None:
-            part = part.unionByName(batch.sparkSession.read.parquet(latest["path"]))
+        prior = [v for v in _versions(batch.sparkSession, state_root) if v < epoch_id]
+        if prior:
+            part = part.unionByName(batch.sparkSession.read.parquet(f"{state_root}/v{prior[-1]}"))
         merged = part.groupBy("run_id", "level").agg(
             F.min("first_seq").alias("first_seq"), F.sum("total_queries").alias("total_queries"),
             F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"))
-        path = f"{state_root}/v{epoch_id}"
-        merged.write.mode("overwrite").parquet(path)
-        latest["path"] = path
+        merged.write.mode("overwrite").parquet(f"{state_root}/v{epoch_id}")
 
-    ckpt = scratch_path(spark, f"stream-{name}-ckpt")
+    ckpt = checkpoint or scratch_path(spark, f"stream-{name}-ckpt")
     q = (source.writeStream.foreachBatch(merge).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    if latest["path"] is None:
+    if q.exception() is not None:
+        raise q.exception()
+    versions = _versions(spark, state_root)
+    if not versions:
         return spark.createDataFrame([], "run_id string, level string, total_queries long, "
                                          "duration_ns long, qps double, leading boolean")
-    st = spark.read.parquet(latest["path"])
+    st = spark.read.parquet(f"{state_root}/v{versions[-1]}")
     lv = (st.withColumn("duration_ns", (F.col("end_us") - F.col("start_us")) * 1000)
           .withColumn("qps", F.when(F.col("duration_ns") > 0,
                                     F.col("total_queries") / (F.col("duration_ns") / 1e9)).otherwise(F.lit(0.0))))

@@ -38,3 +38,22 @@ def test_late_rows_dropped(spark):
     starts = [r.window_start_us for r in got.collect()]
     assert starts and min(starts) >= cut - 86_400_000_000
     assert (got.agg(F.sum("completed")).first()[0] or 0) <= late.count() + 5
+
+
+def test_running_peak_survives_restart(spark):
+    d = scratch_path(spark, "peak-src")
+    ev = table(spark, SF001, "events")
+    ev.where("event_id < 400").write.parquet(f"{d}/a")
+    state, ckpt = scratch_path(spark, "peak-state"), scratch_path(spark, "peak-ckpt")
+
+    def run():
+        src = spark.readStream.schema(live.EVENTS_SCHEMA).option("recursiveFileLookup", "true").parquet(d)
+        return live.running_peak(spark, live.measurement_stream(src), state_root=state, checkpoint=ckpt)
+
+    first = {r.level: r.total_queries for r in run().collect()}
+    assert sum(first.values()) == 400
+    ev.where("event_id >= 400").write.parquet(f"{d}/b")
+    second = run().collect()             # a new query object: state comes from storage
+    want = {r.event_type: r["count"] for r in ev.groupBy("event_type").count().collect()}
+    assert {r.level: r.total_queries for r in second} == want
+    assert sum(r.leading for r in second) == 1

@@ -87,3 +87,16 @@ def test_comparison_rows(spark):
     m = spark.createDataFrame([(1.0, 2.0, 30.0, 0.9, 0)], "p50_ms double, p95_ms double, peak_qps double, recall double, effort int")
     r = {x.metric: (x.measured, x.projected) for x in nearest.comparison_rows(m).collect()}
     assert r == {"p50_ms": (1.0, None), "p95_ms": (2.0, None), "peak_qps": (30.0, None), "recall": (None, None)}
+
+
+def test_effort_fallback(spark):
+    df = spark.createDataFrame([(100, 40), (0, 40), (0, 0), (None, 7)], "d int, idx int")
+    got = [r[0] for r in df.select(nearest.effort_for_projection(F.col("d"), F.col("idx"))).collect()]
+    assert got == [100, 40, 0, 7]
+
+
+def test_shape_row(spark):
+    df = spark.createDataFrame([(1536, 1_234_567, 40.84, 68.6, 0.99951)], "dim int, rows long, p95 double, qps double, r double")
+    r = df.select(*nearest.shape_row("dim", "rows", "cosine", F.col("p95"), F.col("qps"), F.col("r"), "hnsw")).first()
+    assert tuple(r) == (1536, "1M", "cosine", "40.8", "69", "1.000", "hnsw")
+    assert set(r.asDict()) == {"dims", "rows_bucket", "metric", "p95", "qps", "recall", "index"}
