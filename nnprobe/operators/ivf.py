@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from nnprobe.functions.distance import check_metric, normalize
 from nnprobe.operators.kernel import ASSIGN_SCHEMA, TOPK_SCHEMA, nearest_centroid, topk_per_partition
 from nnprobe.operators import knn
-from nnprobe.operators.knn import MAX_QUERY_BYTES, _base, query_matrix, rank_topk
+from nnprobe.operators.knn import _base, query_matrix, rank_topk
 from nnprobe.operators.sampling import DEFAULT_SEED, sample_key
 from nnprobe.session import scratch_path
 
@@ -133,7 +133,10 @@ def build_index(base: DataFrame, centroids: DataFrame, metric: str = "cosine",
     a = assign(base, centroids, metric, id_col, vec_col)
     rows = _base(base, id_col, vec_col).join(a.select("id", "list_id"), "id")
     path = path or scratch_path(spark, "ivf")
-    rows.repartition("list_id").write.mode("overwrite").partitionBy("list_id").parquet(path)
+    # REBALANCE on list_id: few files per list, and AQE splits a list that
+    # holds a large share of the rows over several writer tasks (no sampling
+    # pass, unlike range partitioning, which would rerun the kernel)
+    rows.hint("rebalance", "list_id").write.mode("overwrite").partitionBy("list_id").parquet(path)
     n = centroids.count()
     cents = spark.read.parquet(_save(centroids, scratch_path(spark, "centroids")))
     return IvfIndex(path=path, metric=metric, lists=n, centroids=cents)
@@ -162,22 +165,21 @@ def search(spark, index: IvfIndex, queries: DataFrame, k: int, nprobe: int,
            exclude_self: bool = True) -> DataFrame:
     """K7: approximate top-k at effort nprobe; may return fewer than k rows."""
     metric = index.metric
-    probes = probe_ranks(queries, index.centroids, metric, depth=nprobe)
-    pt = probes.select("qid", "list_id").toArrow()         # bounded: queries x nprobe
-    qid, mat, dim = query_matrix(queries)
-    order = np.argsort(qid)
-    pq = pt.column("qid").to_numpy()
-    rows_ = order[np.searchsorted(qid[order], pq)]
-    allowed = np.zeros((len(qid), max(index.lists, 1)), bool)
-    allowed[rows_, pt.column("list_id").to_numpy().astype(np.int64)] = True
+    # queries x nprobe rows (bounded), read once per slice and for pruning
+    probes = probe_ranks(queries, index.centroids, metric, depth=nprobe).checkpoint(eager=True)
     probed = probes.select("list_id").distinct()
     tbl = index.table(spark).join(F.broadcast(probed), "list_id", "left_semi")
     sc = spark.sparkContext
-    per_pass = max(1, MAX_QUERY_BYTES // max(dim * 8, 1))
     parts = []
-    for s in range(0, max(len(qid), 1), per_pass):
-        bc = sc.broadcast({"qid": qid[s:s + per_pass], "mat": mat[s:s + per_pass],
-                           "allowed": allowed[s:s + per_pass]})
+    for chunk in knn.query_chunks(queries):
+        qid, mat, dim = query_matrix(chunk)
+        # the probe mask of this slice only: bounded by slice x nprobe
+        pt = probes.join(F.broadcast(chunk.select("qid")), "qid").select("qid", "list_id").toArrow()
+        order = np.argsort(qid)
+        rows_ = order[np.searchsorted(qid[order], pt.column("qid").to_numpy())]
+        allowed = np.zeros((len(qid), max(index.lists, 1)), bool)
+        allowed[rows_, pt.column("list_id").to_numpy().astype(np.int64)] = True
+        bc = sc.broadcast({"qid": qid, "mat": mat, "allowed": allowed})
         fn = topk_per_partition(bc, metric, k, exclude_self, dim, "id", "v", list_col="list_id")
         parts.append(tbl.select("id", "v", "list_id").mapInArrow(fn, TOPK_SCHEMA))
     cand = parts[0]

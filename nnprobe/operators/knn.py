@@ -55,6 +55,25 @@ def query_matrix(queries: DataFrame, max_rows: int = MAX_QUERIES):
     return qid.astype(np.int64), mat, dim
 
 
+def query_chunks(queries: DataFrame, max_bytes: int | None = None) -> list[DataFrame]:
+    """Split a (pos, qid, qv) query set into slices of at most ``max_bytes``
+    of float64 matrix, by ranges of ``pos``; each slice is brought to the
+    driver only when its own pass is planned, so the driver never holds
+    more than one slice."""
+    max_bytes = max_bytes or MAX_QUERY_BYTES
+    if "pos" not in queries.columns:
+        return [queries]
+    stats = queries.agg(F.count("*").alias("n"), F.max(F.size("qv")).alias("dim"),
+                        F.min("pos").alias("lo"), F.max("pos").alias("hi")).first()
+    if not stats["n"]:
+        return [queries]
+    per_pass = max(1, max_bytes // max(int(stats["dim"] or 0) * 8, 1))
+    if stats["n"] <= per_pass:
+        return [queries]
+    return [queries.where((F.col("pos") >= s) & (F.col("pos") < s + per_pass))
+            for s in range(int(stats["lo"]), int(stats["hi"]) + 1, per_pass)]
+
+
 def rank_topk(cand: DataFrame, k: int, fanin: int = RANK_FANIN) -> DataFrame:
     """Top-k per qid under (distance, id).
 
@@ -106,12 +125,11 @@ def exact_knn(base: DataFrame, queries: DataFrame, k: int = 10, metric: str = "c
         return rank_topk(cand, k)
     if strategy != "block":
         raise ValueError(f"unknown strategy {strategy!r}")
-    qid, mat, dim = query_matrix(queries)
     sc = base.sparkSession.sparkContext
-    per_pass = max(1, MAX_QUERY_BYTES // max(dim * 8, 1))
     parts = []
-    for s in range(0, max(len(qid), 1), per_pass):
-        bc = sc.broadcast({"qid": qid[s:s + per_pass], "mat": mat[s:s + per_pass]})
+    for chunk in query_chunks(queries):
+        qid, mat, dim = query_matrix(chunk)
+        bc = sc.broadcast({"qid": qid, "mat": mat})
         fn = topk_per_partition(bc, metric, k, exclude_self, dim, "id", "v")
         parts.append(b.mapInArrow(fn, TOPK_SCHEMA))
     cand = parts[0]

@@ -64,3 +64,14 @@ def test_default_point(spark):
     assert pick([40, 100, 200], 64) == 0
     assert pick([40, 100, 200], 0) == 0
     assert pick([40, 100, 100], 100) == 2
+
+
+def test_search_in_query_slices(spark, monkeypatch):
+    b = base(spark, SF001)
+    q = sampling.sample_queries(b, 20)
+    c = ivf.train_sample(b, 8, "cosine")
+    idx = ivf.build_index(b, c, "cosine")
+    want = rows(ivf.search(spark, idx, q, 10, 3), "qid", "rank")
+    monkeypatch.setattr(knn, "MAX_QUERY_BYTES", 64 * 8 * 6)     # 6 queries per slice
+    assert len(knn.query_chunks(q)) == 4
+    assert rows(ivf.search(spark, idx, q, 10, 3), "qid", "rank") == want
