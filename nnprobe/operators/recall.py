@@ -93,3 +93,28 @@ def default_point(points: DataFrame, default_effort: int | None) -> DataFrame:
     cols = [c for c in points.columns]
     best = points.agg(F.max_by(F.struct(*cols), key).alias("p"))
     return best.select("p.*")
+
+
+# Index kinds recall is measured for (fixed).
+ANN_KINDS = ("hnsw", "ivfflat")
+GATE_WARNING = "no ANN index - skipping recall (sequential scan recall is trivially 1.0)"
+
+
+def gate(lookup: DataFrame, queries: DataFrame) -> DataFrame:
+    """One row per looked-up index: ``run`` (recall is measured) and a
+    warning when the kind is not an ANN index or the query set is empty."""
+    n = queries.agg(F.count("*").alias("n_queries"))
+    ok_kind = F.col("kind").isin(*ANN_KINDS)
+    return (lookup.select("kind").crossJoin(n)      # one row each
+            .select("kind", "n_queries",
+                    (ok_kind & (F.col("n_queries") > 0)).alias("run"),
+                    F.when(~ok_kind, F.lit(GATE_WARNING)).alias("warning")))
+
+
+def sweep_timings(m: DataFrame) -> DataFrame:
+    """Per effort, p95 of the per-query durations and queries / wall
+    time, from measurement rows labelled ``sweep_idx`` and ``effort``."""
+    return (m.groupBy("sweep_idx", "effort")
+            .agg(F.percentile("dur_ms", F.lit(0.95)).alias("p95_ms"), F.count("*").alias("queries"),
+                 ((F.max("ended_us") - F.min("started_us")) / 1e6).alias("wall_s"))
+            .withColumn("qps", F.when(F.col("wall_s") > 0, F.col("queries") / F.col("wall_s")).otherwise(F.lit(0.0))))

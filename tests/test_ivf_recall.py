@@ -75,3 +75,24 @@ def test_search_in_query_slices(spark, monkeypatch):
     monkeypatch.setattr(knn, "MAX_QUERY_BYTES", 64 * 8 * 6)     # 6 queries per slice
     assert len(knn.query_chunks(q)) == 4
     assert rows(ivf.search(spark, idx, q, 10, 3), "qid", "rank") == want
+
+
+def test_gate(spark):
+    q = spark.createDataFrame([(0, 1, [1.0])], "pos int, qid long, qv array<float>")
+    lk = spark.createDataFrame([("ivfflat",), ("none",)], "kind string")
+    got = {r.kind: (r.run, r.warning) for r in recall.gate(lk, q).collect()}
+    assert got["ivfflat"] == (True, None) and got["none"][0] is False and "skipping recall" in got["none"][1]
+    assert recall.gate(lk.where("kind = 'ivfflat'"), q.where("false")).first().run is False
+
+
+def test_sweep_timings(spark):
+    m = spark.createDataFrame([(0, 40, 0, 1_000_000, 1.0), (0, 40, 0, 2_000_000, 2.0), (1, 100, 0, 1_000_000, 5.0)],
+                              "sweep_idx int, effort int, started_us long, ended_us long, dur_ms double")
+    got = {r.effort: (round(r.p95_ms, 6), r.queries, r.qps) for r in recall.sweep_timings(m).collect()}
+    assert got == {40: (1.95, 2, 1.0), 100: (5.0, 1, 1.0)}
+
+
+def test_read_vectors(spark):
+    from nnprobe.sources.vectors import read_vectors
+    df = read_vectors(spark, f"{SF001}/embeddings.parquet", "vec_id", "embedding")
+    assert df.columns == ["id", "embedding"] and df.count() == 500
