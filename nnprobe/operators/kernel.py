@@ -37,11 +37,15 @@ def vectors_from_arrow(arr, dim: int):
     if arr.null_count:
         valid &= arr.is_valid().to_numpy(zero_copy_only=False)
     rows = np.nonzero(valid)[0]
-    vals = arr.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    vals = arr.values.to_numpy(zero_copy_only=False)
     if dim == 0:
         return rows, np.zeros((len(rows), 0))
-    idx = offs[:-1][rows][:, None] + np.arange(dim)[None, :]
-    x = vals[idx]
+    if len(rows) == n and offs[-1] - offs[0] == n * dim:
+        # every row valid and packed back to back: a reshape, no gather
+        x = vals[offs[0]:offs[-1]].astype(np.float64).reshape(n, dim)
+    else:
+        idx = offs[:-1][rows][:, None] + np.arange(dim)[None, :]
+        x = vals[idx].astype(np.float64)
     finite = np.isfinite(x).all(axis=1)
     return rows[finite], x[finite]
 
