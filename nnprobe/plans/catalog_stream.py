@@ -25,7 +25,8 @@ def _r6(c):
 
 def q_live_latency(spark, sf):
     out, _ = live.run_to_table(live.live_latency(_stream(spark, sf)), "complete", "live-latency")
-    r = live.read_result(spark, out, "run_id string, phase string, count long, p50_ms double, p95_ms double")
+    r = live.read_result(spark, out, "run_id string, phase string, count long, p50_ms double, p95_ms double",
+                         "complete")
     return r.select("run_id", "phase", "count", _r6("p50_ms").alias("p50_ms"), _r6("p95_ms").alias("p95_ms"))
 
 
@@ -49,7 +50,8 @@ FROM w, mx WHERE ws + {DAY_US} <= (mx.mx // 1000) * 1000 - {WATERMARK_US}"""
 def q_phase_status(spark, sf):
     out, _ = live.run_to_table(live.phase_status(_stream(spark, sf)), "complete", "phase-status")
     return live.read_result(spark, out, "run_id string, phase string, first_start_us long, last_end_us long, "
-                                        "rows long, last_seq long, last_worker long, last_dur_ms double")
+                                        "rows long, last_seq long, last_worker long, last_dur_ms double",
+                            "complete")
 
 
 SQL_PHASE_STATUS = f"""WITH {S.measurements_cte()}

@@ -77,16 +77,17 @@ def phase_status(m: DataFrame) -> DataFrame:
 
 
 def run_to_table(sdf: DataFrame, mode: str, name: str) -> tuple[str, str]:
-    """Run a streaming query over everything available, writing each
-    micro-batch to parquet (``complete``: replace; ``append``: add).
-    Returns (output path, checkpoint path)."""
+    """Run a streaming query over everything available.  Every micro-batch
+    is written to its own folder ``v<epoch>`` (overwrite), so a batch that
+    is replayed after a failure rewrites the same folder instead of adding
+    duplicates.  Read it back with ``read_result``.
+    Returns (output folder, checkpoint folder)."""
     spark = sdf.sparkSession
     out = scratch_path(spark, f"stream-{name}")
     ckpt = scratch_path(spark, f"stream-{name}-ckpt")
 
     def sink(batch: DataFrame, epoch_id: int):
-        w = batch.write.mode("overwrite" if mode == "complete" else "append")
-        w.parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/v{epoch_id}")
 
     q = (sdf.writeStream.outputMode(mode).foreachBatch(sink)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
@@ -96,12 +97,14 @@ def run_to_table(sdf: DataFrame, mode: str, name: str) -> tuple[str, str]:
     return out, ckpt
 
 
-def read_result(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The sink's table, or an empty frame when no batch produced rows."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001 - no batch wrote anything yet
+def read_result(spark: SparkSession, path: str, schema: str, mode: str = "append") -> DataFrame:
+    """The sink's table: all batch folders (``append``) or the newest one
+    (``complete``, each batch holds the whole result); empty if none."""
+    versions = _versions(spark, path)
+    if not versions:
         return spark.createDataFrame([], schema)
+    pick = versions[-1:] if mode == "complete" else versions
+    return spark.read.schema(schema).parquet(*[f"{path}/v{v}" for v in pick])
 
 
 def _versions(spark: SparkSession, root: str) -> list[int]:

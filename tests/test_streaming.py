@@ -11,7 +11,9 @@ from nnprobe.streaming import live
 def test_live_latency_equals_batch(spark):
     s = live.measurement_stream(live.event_stream(spark, SF001, "events.parquet"))
     out, _ = live.run_to_table(live.live_latency(s), "complete", "t-lat")
-    got = {r.phase: (r["count"], round(r.p50_ms, 9), round(r.p95_ms, 9)) for r in spark.read.parquet(out).collect()}
+    res = live.read_result(spark, out, "run_id string, phase string, count long, p50_ms double, p95_ms double",
+                           "complete")
+    got = {r.phase: (r["count"], round(r.p50_ms, 9), round(r.p95_ms, 9)) for r in res.collect()}
     b = M.latency_summary(M.from_events(table(spark, SF001, "events")))
     want = {r.phase: (r["count"], round(r.p50_ms, 9), round(r.p95_ms, 9)) for r in b.collect()}
     assert got == want
