@@ -28,11 +28,20 @@ def quantize_ms(dur_ns):
     return F.floor(c / 1000).cast("long") / 1000.0
 
 
+def epoch_us(df: DataFrame, col: str):
+    """Microseconds since the epoch, independent of the session time zone:
+    a TIMESTAMP_NTZ wall clock is read as UTC, a TIMESTAMP is an instant."""
+    from pyspark.sql.types import TimestampNTZType
+    if isinstance(df.schema[col].dataType, TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{col}`)")
+    return F.unix_micros(F.col(col))
+
+
 def from_events(ev: DataFrame, run_id: str = "events") -> DataFrame:
     """Read the driver's ``events`` table as measurement rows: level and
     phase = event_type, worker = user_id, seq = event_id, end = ts,
     duration = value ms (start = end - duration)."""
-    ended = F.unix_micros(F.col("ts").cast("timestamp"))
+    ended = epoch_us(ev, "ts")
     dur_us = F.round(F.col("value") * 1000).cast("long")
     return ev.select(F.lit(run_id).alias("run_id"), F.col("event_type").alias("phase"),
                      F.col("event_type").alias("level"), F.col("user_id").alias("worker"),

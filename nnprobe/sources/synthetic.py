@@ -64,7 +64,20 @@ def vectors_for_ids(ids: DataFrame, dim: int, seed: int = 42, id_col: str = "id"
 
 
 def write_dataset(df: DataFrame, path: str, partitions: int | None = None) -> str:
-    """Replace-write a vector table; Spark's partitioning is the batching."""
+    """Replace-write a vector table at a path; Spark's partitioning is
+    the batching."""
     out = df.repartition(partitions) if partitions else df
     out.write.mode("overwrite").parquet(path)
     return path
+
+
+def write_table(df: DataFrame, name: str) -> str:
+    """S5 for catalog tables: drop if it exists, then create it."""
+    drop_table(df.sparkSession, name)
+    df.write.saveAsTable(name)
+    return name
+
+
+def drop_table(spark, name: str) -> None:
+    """Remove the synthetic table after the run."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -76,3 +76,17 @@ def test_warmup_first_50(spark):
     m = M.with_warmup(M.from_events(table(spark, SF001, "events")), "phase")
     per = m.groupBy("phase").agg(F.count_if("warmup").alias("w")).collect()
     assert all(r.w == 50 for r in per)
+
+
+def test_epoch_us_ignores_session_zone(spark):
+    ev = table(spark, SF001, "events").select("event_id", "ts")
+    utc = {r.event_id: r.u for r in ev.select("event_id", M.epoch_us(ev, "ts").alias("u")).collect()}
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        ny = {r.event_id: r.u for r in ev.select("event_id", M.epoch_us(ev, "ts").alias("u")).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert utc == ny
+    first = min(utc)
+    assert utc[first] // 1_000_000 >= 1704067200          # 2024-01-01T00:00:00Z
