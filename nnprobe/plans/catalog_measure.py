@@ -124,7 +124,7 @@ c AS (SELECT level, tick, completed,
              sum(completed) OVER (PARTITION BY level ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_completed
       FROM t)
 SELECT level, tick, completed, cum_completed::BIGINT AS cum_completed,
-       round(tick * {QPS_TICK_MS / 1000.0}, 6) AS elapsed_s,
+       round((tick * {QPS_TICK_MS / 1000.0})::DOUBLE, 6) AS elapsed_s,
        round(cum_completed / (tick * {QPS_TICK_MS / 1000.0}), 6) AS qps FROM c"""
 
 

@@ -60,7 +60,7 @@ def _sql_format_bytes(n):
     return " ".join(parts)
 
 
-SQL_FORMAT_SIZES = f"""WITH g AS (SELECT source, count(*) AS docs, sum(n_chars) AS chars FROM documents GROUP BY source)
+SQL_FORMAT_SIZES = f"""WITH g AS (SELECT source, count(*) AS docs, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source)
 SELECT source, docs, chars,
        CASE WHEN docs < 1000 THEN docs::VARCHAR ELSE format('{{:,}}', docs) END AS docs_text,
        {_sql_format_bytes('chars')} AS chars_text FROM g"""
