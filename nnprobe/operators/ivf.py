@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nnprobe.functions.distance import check_metric, normalize
-from nnprobe.operators.kernel import ASSIGN_SCHEMA, TOPK_SCHEMA, nearest_centroid, topk_per_partition
+from nnprobe.operators.kernel import (ASSIGN_CARRY_SCHEMA, ASSIGN_SCHEMA, TOPK_SCHEMA, nearest_centroid,
+                                      topk_per_partition)
 from nnprobe.operators import knn
 from nnprobe.operators.knn import _base, query_matrix, rank_topk
 from nnprobe.operators.sampling import DEFAULT_SEED, sample_key
@@ -87,12 +88,17 @@ def centroid_matrix(centroids: DataFrame):
 
 
 def assign(base: DataFrame, centroids: DataFrame, metric: str = "cosine",
-           id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
-    """Every row's nearest centroid: (id, list_id, list_distance)."""
+           id_col: str = "id", vec_col: str = "embedding", carry: bool = False) -> DataFrame:
+    """Every row's nearest centroid: (id, list_id, list_distance), plus the
+    stored vector ``v`` when ``carry`` (for writing the index in one pass)."""
     lid, mat, dim = centroid_matrix(centroids)
     bc = base.sparkSession.sparkContext.broadcast({"list_id": lid, "mat": mat})
-    b = _base(base, id_col, vec_col).select("id", _prepared(F.col("v"), metric).alias("v"))
-    return b.mapInArrow(nearest_centroid(bc, "l2", dim, "id", "v"), ASSIGN_SCHEMA)
+    b = _base(base, id_col, vec_col)
+    if carry:
+        b = b.select("id", _prepared(F.col("v"), metric).alias("p"), "v")
+        return b.mapInArrow(nearest_centroid(bc, "l2", dim, "id", "p", carry_col="v"), ASSIGN_CARRY_SCHEMA)
+    b = b.select("id", _prepared(F.col("v"), metric).alias("p"))
+    return b.mapInArrow(nearest_centroid(bc, "l2", dim, "id", "p"), ASSIGN_SCHEMA)
 
 
 @dataclass
@@ -130,8 +136,8 @@ def build_index(base: DataFrame, centroids: DataFrame, metric: str = "cosine",
     The written table is also the lineage cut: later stages read it back.
     """
     spark = base.sparkSession
-    a = assign(base, centroids, metric, id_col, vec_col)
-    rows = _base(base, id_col, vec_col).join(a.select("id", "list_id"), "id")
+    # one kernel pass assigns and carries the stored vector: no join back
+    rows = assign(base, centroids, metric, id_col, vec_col, carry=True).select("id", "v", "list_id")
     path = path or scratch_path(spark, "ivf")
     # REBALANCE on list_id: few files per list, and AQE splits a list that
     # holds a large share of the rows over several writer tasks (no sampling

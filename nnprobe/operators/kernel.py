@@ -21,6 +21,7 @@ BLOCK_CELLS = 4_000_000
 
 TOPK_SCHEMA = "qid long, id long, distance double"
 ASSIGN_SCHEMA = "id long, list_id int, list_distance double"
+ASSIGN_CARRY_SCHEMA = "id long, list_id int, list_distance double, v array<float>"
 
 
 def vectors_from_arrow(arr, dim: int):
@@ -118,9 +119,11 @@ def topk_per_partition(bc, metric: str, k: int, exclude_self: bool, dim: int,
     return run
 
 
-def nearest_centroid(bc, metric: str, dim: int, id_col: str, vec_col: str):
+def nearest_centroid(bc, metric: str, dim: int, id_col: str, vec_col: str, carry_col: str | None = None):
     """mapInArrow function: every row's closest centroid, ties to the
-    smaller list id.  ``bc.value`` holds ``list_id`` (L,) and ``mat`` (L, dim)."""
+    smaller list id.  ``bc.value`` holds ``list_id`` (L,) and ``mat`` (L, dim).
+    ``carry_col`` is passed through unchanged as ``v`` (the stored vector when
+    the assignment runs on a prepared copy), so no join back is needed."""
 
     def run(batches):
         payload = bc.value
@@ -144,10 +147,14 @@ def nearest_centroid(bc, metric: str, dim: int, id_col: str, vec_col: str):
                 bi, li, exact = bi[order], li[order], exact[order]
                 first = np.r_[True, bi[1:] != bi[:-1]]
                 bi, li, exact = bi[first], li[first], exact[first]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids_all[r][bi].astype(np.int64), pa.int64()),
-                     pa.array(lid[li].astype(np.int32), pa.int32()),
-                     pa.array(exact, pa.float64())],
-                    names=["id", "list_id", "list_distance"])
+                cols = [pa.array(ids_all[r][bi].astype(np.int64), pa.int64()),
+                        pa.array(lid[li].astype(np.int32), pa.int32()),
+                        pa.array(exact, pa.float64())]
+                names = ["id", "list_id", "list_distance"]
+                if carry_col is not None:
+                    carried = batch.column(carry_col).take(pa.array(r[bi]))
+                    cols.append(carried.cast(pa.list_(pa.float32())))
+                    names.append("v")
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run

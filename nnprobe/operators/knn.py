@@ -156,9 +156,12 @@ def scan_audit(base: DataFrame, queries: DataFrame, truth: DataFrame, k: int,
     b = _base(base, id_col, vec_col)
     searchable = b.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
     sizes = searchable.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"))
+    qids = F.broadcast(queries.select(F.col("qid").alias("id")))        # bounded query set
+    own = (searchable.join(qids, "id", "left_semi")                       # table streamed, never shuffled
+           .select(F.col("id").alias("qid"), F.lit(1).alias("self")).dropDuplicates(["qid"]))
     q = (queries.select("qid", dim.alias("dim"))
          .join(sizes, "dim", "left")
-         .join(searchable.select(F.col("id").alias("qid"), F.lit(1).alias("self")), "qid", "left"))
+         .join(own, "qid", "left"))
     got = truth.groupBy("qid").agg(F.count("*").alias("truth_rows"))
     scanned = F.coalesce(F.col("n"), F.lit(0)) - F.coalesce(F.col("self"), F.lit(0))
     return (q.join(got, "qid", "left")
