@@ -47,10 +47,12 @@ def _prepared(v, metric: str):
 
 def train_sample(base: DataFrame, lists: int, metric: str = "cosine", seed: int = DEFAULT_SEED,
                  id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
-    """Centroids = the first ``lists`` vectors in md5(seed:id) order."""
+    """Centroids = the first ``lists`` vectors in md5(seed:train:id) order.
+    The salt keeps them independent of the query sample (md5(seed:id)), so
+    no query coincides with a centroid by construction."""
     check_metric(metric)
     b = _base(base, id_col, vec_col)
-    top = (b.select("id", _prepared(F.col("v"), metric).alias("c"), sample_key("id", seed).alias("_k"))
+    top = (b.select("id", _prepared(F.col("v"), metric).alias("c"), sample_key("id", seed, "train").alias("_k"))
            .orderBy("_k", "id").limit(lists))
     cents = top.select((F.row_number().over(Window.orderBy("_k", "id")) - 1).cast("int").alias("list_id"), "c")
     return cents.checkpoint(eager=True)      # `lists` rows: later uses never rescan the table

@@ -71,7 +71,7 @@ def ivf_ctes(metric: str, lists: int, src: str = "src", q: str = "q") -> str:
     """cent(list_id, c), asg(id, list_id, list_distance), pr(qid, list_id, probe_rank)."""
     return f"""cent AS (
   SELECT (row_number() OVER (ORDER BY k, id) - 1)::INTEGER AS list_id, c
-  FROM (SELECT id, {prepared(metric, 'v')} AS c, {md5_key('id')} AS k
+  FROM (SELECT id, {prepared(metric, 'v')} AS c, {md5_key('id', 'train')} AS k
         FROM {src} WHERE v IS NOT NULL ORDER BY k, id LIMIT {lists}) s),
 asg AS (
   SELECT id, list_id, list_distance FROM (
