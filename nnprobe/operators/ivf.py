@@ -29,7 +29,7 @@ from nnprobe.operators.kernel import (ASSIGN_CARRY_SCHEMA, ASSIGN_SCHEMA, TOPK_S
                                       topk_per_partition)
 from nnprobe.operators import knn
 from nnprobe.operators.knn import _base, query_matrix, rank_topk
-from nnprobe.operators.sampling import DEFAULT_SEED, sample_key
+from nnprobe.operators.sampling import DEFAULT_SEED, sample_key, smallest_by_key
 from nnprobe.session import scratch_path
 
 # Fixed limits.
@@ -52,8 +52,8 @@ def train_sample(base: DataFrame, lists: int, metric: str = "cosine", seed: int
     no query coincides with a centroid by construction."""
     check_metric(metric)
     b = _base(base, id_col, vec_col)
-    top = (b.select("id", _prepared(F.col("v"), metric).alias("c"), sample_key("id", seed, "train").alias("_k"))
-           .orderBy("_k", "id").limit(lists))
+    keyed = b.select("id", _prepared(F.col("v"), metric).alias("c"), sample_key("id", seed, "train").alias("_k"))
+    top = smallest_by_key(keyed, "_k", lists, "id", base.count())
     cents = top.select((F.row_number().over(Window.orderBy("_k", "id")) - 1).cast("int").alias("list_id"), "c")
     return cents.checkpoint(eager=True)      # `lists` rows: later uses never rescan the table
 

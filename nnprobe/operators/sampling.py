@@ -23,6 +23,36 @@ def sample_key(id_col, seed: int = DEFAULT_SEED, salt: str | None = None):
     return F.md5(F.concat_ws(":", *parts))
 
 
+# Fixed oversampling of the key cut in smallest_by_key.
+CUT_OVERSAMPLE = 8
+HEX8 = 16 ** 8
+
+
+def key_prefix(key):
+    """First 32 bits of an md5 hex key as a number (order-preserving)."""
+    return F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint")
+
+
+def smallest_by_key(df: DataFrame, key: str, n: int, tiebreak: str, rows: int) -> DataFrame:
+    """The n rows of smallest (key, tiebreak), exactly, for a uniform hex key.
+
+    A plain ORDER BY ... LIMIT n merges partitions x n rows in one task.  Here
+    rows whose key prefix is below a cut sized for about 8n rows are kept
+    first; they are an exact prefix of the total order, so the n smallest are
+    among them whenever at least n pass (otherwise the cut is widened and the
+    step repeated).  Only ~8n rows reach the final sort.
+    """
+    frac = CUT_OVERSAMPLE * n / max(rows, 1)
+    while True:
+        if frac >= 1.0:
+            return df.orderBy(key, tiebreak).limit(n)
+        cut = df.where(key_prefix(F.col(key)) < F.lit(int(frac * HEX8)))
+        top = cut.orderBy(key, tiebreak).limit(n).checkpoint(eager=True)
+        if top.count() >= n:
+            return top
+        frac *= CUT_OVERSAMPLE
+
+
 def sample_percent(rows: int, n: int) -> float:
     """W3 percentage: 4n/rows*100 clamped to [0.1, 100], 4 decimals."""
     pct = OVERSAMPLE * n / rows * 100 if rows > 0 else MAX_PCT
@@ -51,19 +81,20 @@ def sample_queries(df: DataFrame, n: int, id_col: str = "id", vec_col: str = "em
     if n <= 0:
         raise ValueError("n must be positive")
     base = df.where(F.col(vec_col).isNotNull())
+    shared_dir(df.sparkSession)
+    total = rows if rows is not None else df.count()       # row count from file metadata
     if rows is not None and rows > threshold:
         pct = sample_percent(rows, n)
-        cut = F.conv(F.substring(sample_key(id_col, seed, "block"), 1, 8), 16, 10).cast("bigint")
-        base = base.where(cut < F.lit(int(pct / 100 * 16 ** 8)))
+        base = base.where(key_prefix(sample_key(id_col, seed, "block")) < F.lit(int(pct / 100 * HEX8)))
+        total = max(1, int(total * pct / 100))
     key = sample_key(id_col, seed)
-    picked = (base.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("qv"), key.alias("_k"))
-              .orderBy("_k", "qid").limit(n))
+    keyed = base.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("qv"), key.alias("_k"))
+    picked = smallest_by_key(keyed, "_k", n, "qid", total)
     # n rows at most: the window below runs on one small partition by design.
     out = picked.select(
         (F.row_number().over(Window.orderBy("_k", "qid")) - 1).cast("int").alias("pos"),
         "qid", "qv")
     if checkpoint:
-        shared_dir(df.sparkSession)
         out = out.checkpoint(eager=True)
     return out
 
