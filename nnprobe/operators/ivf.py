@@ -53,7 +53,7 @@ def train_sample(base: DataFrame, lists: int, metric: str = "cosine", seed: int
     check_metric(metric)
     b = _base(base, id_col, vec_col)
     keyed = b.select("id", _prepared(F.col("v"), metric).alias("c"), sample_key("id", seed, "train").alias("_k"))
-    top = smallest_by_key(keyed, "_k", lists, "id", base.count())
+    top = smallest_by_key(keyed, "_k", lists, "id", base.count)
     cents = top.select((F.row_number().over(Window.orderBy("_k", "id")) - 1).cast("int").alias("list_id"), "c")
     return cents.checkpoint(eager=True)      # `lists` rows: later uses never rescan the table
 

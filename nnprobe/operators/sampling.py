@@ -33,24 +33,34 @@ def key_prefix(key):
     return F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint")
 
 
-def smallest_by_key(df: DataFrame, key: str, n: int, tiebreak: str, rows: int) -> DataFrame:
+# Above this many rows (partitions x n) the single-task merge of a plain
+# ORDER BY ... LIMIT n is avoided (fixed).
+SINGLE_MERGE_ROWS = 1_000_000
+
+
+def smallest_by_key(df: DataFrame, key: str, n: int, tiebreak: str, rows=None) -> DataFrame:
     """The n rows of smallest (key, tiebreak), exactly, for a uniform hex key.
 
-    A plain ORDER BY ... LIMIT n merges partitions x n rows in one task.  Here
-    rows whose key prefix is below a cut sized for about 8n rows are kept
-    first; they are an exact prefix of the total order, so the n smallest are
-    among them whenever at least n pass (otherwise the cut is widened and the
-    step repeated).  Only ~8n rows reach the final sort.
+    A plain ORDER BY ... LIMIT n merges partitions x n rows in one task; that
+    is kept while it is small.  Otherwise rows whose key prefix is below a
+    cut sized for about 8n rows are kept first; they are an exact prefix of
+    the total order, so the n smallest are among them whenever at least n
+    pass (otherwise the cut is widened and the step repeated).  Only ~8n rows
+    reach the final sort.  ``rows``: the row count, or a zero-argument
+    callable giving it (called only when the cut is used).
     """
-    frac = CUT_OVERSAMPLE * n / max(rows, 1)
-    while True:
-        if frac >= 1.0:
-            return df.orderBy(key, tiebreak).limit(n)
+    plain = df.orderBy(key, tiebreak).limit(n)
+    if df.rdd.getNumPartitions() * n <= SINGLE_MERGE_ROWS:
+        return plain
+    total = rows() if callable(rows) else (rows if rows is not None else df.count())
+    frac = CUT_OVERSAMPLE * n / max(total, 1)
+    while frac < 1.0:
         cut = df.where(key_prefix(F.col(key)) < F.lit(int(frac * HEX8)))
         top = cut.orderBy(key, tiebreak).limit(n).checkpoint(eager=True)
         if top.count() >= n:
             return top
         frac *= CUT_OVERSAMPLE
+    return plain
 
 
 def sample_percent(rows: int, n: int) -> float:
@@ -82,14 +92,15 @@ def sample_queries(df: DataFrame, n: int, id_col: str = "id", vec_col: str = "em
         raise ValueError("n must be positive")
     base = df.where(F.col(vec_col).isNotNull())
     shared_dir(df.sparkSession)
-    total = rows if rows is not None else df.count()       # row count from file metadata
+    scale = 1.0
     if rows is not None and rows > threshold:
         pct = sample_percent(rows, n)
         base = base.where(key_prefix(sample_key(id_col, seed, "block")) < F.lit(int(pct / 100 * HEX8)))
-        total = max(1, int(total * pct / 100))
+        scale = pct / 100
     key = sample_key(id_col, seed)
     keyed = base.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("qv"), key.alias("_k"))
-    picked = smallest_by_key(keyed, "_k", n, "qid", total)
+    # the row count comes from file metadata (count(*) reads no column)
+    picked = smallest_by_key(keyed, "_k", n, "qid", lambda: max(1, int((rows or df.count()) * scale)))
     # n rows at most: the window below runs on one small partition by design.
     out = picked.select(
         (F.row_number().over(Window.orderBy("_k", "qid")) - 1).cast("int").alias("pos"),
