@@ -175,8 +175,10 @@ def search(spark, index: IvfIndex, queries: DataFrame, k: int, nprobe: int,
     metric = index.metric
     # queries x nprobe rows (bounded), read once per slice and for pruning
     probes = probe_ranks(queries, index.centroids, metric, depth=nprobe).checkpoint(eager=True)
-    probed = probes.select("list_id").distinct()
-    tbl = index.table(spark).join(F.broadcast(probed), "list_id", "left_semi")
+    # the probed lists (at most `lists` ids) become a static partition
+    # filter: only their folders of the index are listed and read
+    probed = sorted(r.list_id for r in probes.select("list_id").distinct().collect())
+    tbl = index.table(spark).where(F.col("list_id").isin(probed))
     sc = spark.sparkContext
     parts = []
     for chunk in knn.query_chunks(queries):

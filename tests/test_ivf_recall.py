@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from conftest import SF001, rows
@@ -96,3 +98,15 @@ def test_read_vectors(spark):
     from nnprobe.sources.vectors import read_vectors
     df = read_vectors(spark, f"{SF001}/embeddings.parquet", "vec_id", "embedding")
     assert df.columns == ["id", "embedding"] and df.count() == 500
+
+
+def test_search_reads_only_probed_lists(spark):
+    b = base(spark, SF001)
+    q = sampling.sample_queries(b, 1)
+    c = ivf.train_sample(b, 8, "l2")
+    idx = ivf.build_index(b, c, "l2")
+    res = ivf.search(spark, idx, q, 5, 1)
+    plan = spark._jvm.PythonSQLUtils.explainString(res._jdf.queryExecution(), "simple")
+    pf = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan)
+    assert len(pf) == 1 and re.search(r"\(list_id#\d+ = \d+\)", pf[0]) and "INSET" not in pf[0]
+    assert 1 <= res.count() <= 5
