@@ -167,11 +167,13 @@ def progress_steps(p: DataFrame, phase: str = "phase", steps: int = PROGRESS_STE
     phase), never by scanning a phase in one task."""
     x = (p.where(F.col("total") > 0)
          .withColumn("step", F.floor(F.col("done") * steps / F.col("total")).cast("long")))
-    first = x.groupBy(phase, "step").agg(F.min("seq").alias("_s"))
+    # per (phase, step) the earliest row, whole (struct order = seq first):
+    # at most steps+1 rows per phase, and the rows table is read once
+    first = x.groupBy(phase, "step").agg(F.min(F.struct("seq", "done", "total", "step")).alias("_r"))
     w = Window.partitionBy(phase).orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    kept = (first.withColumn("_first", F.min("_s").over(w)).where(F.col("step") >= 1)
-            .select(phase, F.col("_first").alias("seq")).distinct())
-    return x.join(kept, [phase, "seq"]).select(phase, "seq", "done", "total", "step")
+    kept = (first.withColumn("_first", F.min("_r").over(w)).where(F.col("step") >= 1)
+            .select(phase, "_first").distinct())
+    return kept.select(phase, "_first.seq", "_first.done", "_first.total", "_first.step")
 
 
 def stage_durations(m: DataFrame, group=("run_id", "phase")) -> DataFrame:
