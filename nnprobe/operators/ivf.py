@@ -83,24 +83,57 @@ def centroid_matrix(centroids: DataFrame):
     lid = tbl.column("list_id").to_numpy().astype(np.int64)
     arr = tbl.column("c").combine_chunks()
     dim = int(arr.value_lengths().to_numpy()[0]) if len(lid) else 0
-    if len(lid) * dim * 8 > MAX_CENTROID_BYTES:
-        raise ValueError("centroid set above the broadcast bound; use fewer lists")
     mat = arr.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lid), dim)
     return lid, mat, dim
 
 
+def centroid_slices(centroids: DataFrame, max_bytes: int | None = None) -> list[DataFrame]:
+    """Slices of the centroid set, each at most ``max_bytes`` as a float64
+    matrix, by ranges of list_id (one slice when the whole set fits)."""
+    max_bytes = max_bytes or MAX_CENTROID_BYTES
+    st = centroids.agg(F.count("*").alias("n"), F.max(F.size("c")).alias("dim"),
+                       F.min("list_id").alias("lo"), F.max("list_id").alias("hi")).first()
+    per = max(1, max_bytes // max(int(st["dim"] or 0) * 8, 1))
+    if not st["n"] or st["n"] <= per:
+        return [centroids]
+    return [centroids.where((F.col("list_id") >= a) & (F.col("list_id") < a + per))
+            for a in range(int(st["lo"]), int(st["hi"]) + 1, per)]
+
+
 def assign(base: DataFrame, centroids: DataFrame, metric: str = "cosine",
            id_col: str = "id", vec_col: str = "embedding", carry: bool = False) -> DataFrame:
     """Every row's nearest centroid: (id, list_id, list_distance), plus the
-    stored vector ``v`` when ``carry`` (for writing the index in one pass)."""
-    lid, mat, dim = centroid_matrix(centroids)
-    bc = base.sparkSession.sparkContext.broadcast({"list_id": lid, "mat": mat})
+    stored vector ``v`` when ``carry`` (for writing the index in one pass).
+
+    The centroid matrix is broadcast when it fits MAX_CENTROID_BYTES.  Beyond
+    that it is split into slices: one kernel pass per slice gives each row's
+    best centroid within the slice, and a min over (distance, list_id) per
+    row picks the overall one (a shuffle of rows x slices small records)."""
+    spark = base.sparkSession
     b = _base(base, id_col, vec_col)
+    slices = centroid_slices(centroids)
+    if len(slices) == 1:
+        lid, mat, dim = centroid_matrix(centroids)
+        bc = spark.sparkContext.broadcast({"list_id": lid, "mat": mat})
+        if carry:
+            b = b.select("id", _prepared(F.col("v"), metric).alias("p"), "v")
+            return b.mapInArrow(nearest_centroid(bc, "l2", dim, "id", "p", carry_col="v"), ASSIGN_CARRY_SCHEMA)
+        b = b.select("id", _prepared(F.col("v"), metric).alias("p"))
+        return b.mapInArrow(nearest_centroid(bc, "l2", dim, "id", "p"), ASSIGN_SCHEMA)
+    p = b.select("id", _prepared(F.col("v"), metric).alias("p"))
+    parts = []
+    for sl in slices:
+        lid, mat, dim = centroid_matrix(sl)
+        bc = spark.sparkContext.broadcast({"list_id": lid, "mat": mat})
+        parts.append(p.mapInArrow(nearest_centroid(bc, "l2", dim, "id", "p"), ASSIGN_SCHEMA))
+    allp = parts[0]
+    for x in parts[1:]:
+        allp = allp.unionByName(x)
+    best = (allp.groupBy("id").agg(F.min(F.struct("list_distance", "list_id")).alias("_b"))
+            .select("id", F.col("_b.list_id").alias("list_id"), F.col("_b.list_distance").alias("list_distance")))
     if carry:
-        b = b.select("id", _prepared(F.col("v"), metric).alias("p"), "v")
-        return b.mapInArrow(nearest_centroid(bc, "l2", dim, "id", "p", carry_col="v"), ASSIGN_CARRY_SCHEMA)
-    b = b.select("id", _prepared(F.col("v"), metric).alias("p"))
-    return b.mapInArrow(nearest_centroid(bc, "l2", dim, "id", "p"), ASSIGN_SCHEMA)
+        best = best.join(b.select("id", "v"), "id")
+    return best
 
 
 @dataclass

@@ -110,3 +110,15 @@ def test_search_reads_only_probed_lists(spark):
     pf = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan)
     assert len(pf) == 1 and re.search(r"\(list_id#\d+ = \d+\)", pf[0]) and "INSET" not in pf[0]
     assert 1 <= res.count() <= 5
+
+
+def test_assign_beyond_broadcast_bound(spark, monkeypatch):
+    b = base(spark, SF001)
+    c = ivf.train_sample(b, 10, "cosine")
+    want = rows(ivf.assign(b, c, "cosine"), "id")
+    monkeypatch.setattr(ivf, "MAX_CENTROID_BYTES", 64 * 8 * 3)     # 3 centroids per slice
+    assert len(ivf.centroid_slices(c)) == 4
+    got = rows(ivf.assign(b, c, "cosine"), "id")
+    assert got == want
+    carried = ivf.assign(b, c, "cosine", carry=True).select("id", "list_id", "v")
+    assert carried.count() == 500
