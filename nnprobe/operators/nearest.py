@@ -8,7 +8,7 @@ tolerance the workload keeps its row with ``found = false``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nnprobe.functions.text import rows_bucket
@@ -44,14 +44,18 @@ def nearest_reference(workloads: DataFrame, buckets: DataFrame, max_norm: float
     if n_buckets <= MAX_BROADCAST_BUCKETS:
         b = F.broadcast(b)
     w = workloads
-    kind_ok = (F.coalesce(F.col("index"), F.lit("")) == "") | (F.col("b_index") == F.col("index"))
-    cand = (w.join(b, kind_ok, "inner")
-            .withColumn("d", shape_distance(F.col("dim"), F.col("rows"), F.col("ef_search"),
-                                            F.col("b_dim"), F.col("b_rows"), F.col("b_ef_search"))))
-    win = Window.partitionBy("workload_id").orderBy("d", "b_bucket_pos")
-    best = (cand.withColumn("_r", F.row_number().over(win)).where(F.col("_r") == 1)
-            .where(F.col("d") <= max_norm)
-            .select("workload_id", F.col("b_bucket_pos").alias("bucket_pos"), F.col("d").alias("distance_norm")))
+    # a workload with an index kind meets only buckets of that kind (equi
+    # join); one without a kind meets every bucket (the bounded set)
+    any_kind = F.coalesce(F.col("index"), F.lit("")) == ""
+    pairs = (w.where(~any_kind).join(b, F.col("b_index") == F.col("index"), "inner")
+             .unionByName(w.where(any_kind).crossJoin(b)))
+    cand = pairs.withColumn("d", shape_distance(F.col("dim"), F.col("rows"), F.col("ef_search"),
+                                                F.col("b_dim"), F.col("b_rows"), F.col("b_ef_search")))
+    # least distance, first bucket on ties: a min over (d, bucket_pos) with
+    # map-side partial aggregation, no sort of all candidate pairs
+    best = (cand.groupBy("workload_id").agg(F.min(F.struct("d", "b_bucket_pos")).alias("_b"))
+            .where(F.col("_b.d") <= max_norm)
+            .select("workload_id", F.col("_b.b_bucket_pos").alias("bucket_pos"), F.col("_b.d").alias("distance_norm")))
     return (w.select("workload_id").join(best, "workload_id", "left")
             .select("workload_id", F.col("bucket_pos").isNotNull().alias("found"), "bucket_pos", "distance_norm"))
 
