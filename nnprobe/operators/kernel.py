@@ -18,6 +18,9 @@ from nnprobe.functions.distance import np_approx, np_exact
 
 # Rows x queries per sub-block; bounds the float64 scratch to ~32 MB.
 BLOCK_CELLS = 4_000_000
+# Candidate pairs x dimensions re-scored at once (ties can make the candidate
+# set large; re-scoring in chunks keeps memory bounded).
+PAIR_CELLS = 4_000_000
 
 TOPK_SCHEMA = "qid long, id long, distance double"
 ASSIGN_SCHEMA = "id long, list_id int, list_distance double"
@@ -104,13 +107,14 @@ def topk_per_partition(bc, metric: str, k: int, exclude_self: bool, dim: int,
                 thr = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
                 mask = np.isfinite(approx) & (approx <= (thr + eps)[:, None])
                 qi, bi = np.nonzero(mask)
-                if len(qi) == 0:
-                    continue
-                exact = np_exact(metric, qm[qi], x[bi])
-                bq = np.concatenate([bq, qi.astype(np.int64)])
-                bid = np.concatenate([bid, ids[bi]])
-                bd = np.concatenate([bd, exact])
-                bq, bid, bd = _keep_best(bq, bid, bd, k)
+                step = max(1, PAIR_CELLS // max(dim, 1))
+                for c0 in range(0, len(qi), step):
+                    qs, bs = qi[c0:c0 + step], bi[c0:c0 + step]
+                    exact = np_exact(metric, qm[qs], x[bs])
+                    bq = np.concatenate([bq, qs.astype(np.int64)])
+                    bid = np.concatenate([bid, ids[bs]])
+                    bd = np.concatenate([bd, exact])
+                    bq, bid, bd = _keep_best(bq, bid, bd, k)
         if len(bq):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(qid[bq], pa.int64()), pa.array(bid, pa.int64()),
@@ -141,12 +145,21 @@ def nearest_centroid(bc, metric: str, dim: int, id_col: str, vec_col: str, carry
                     continue
                 approx, eps = np_approx(metric, x, cm)      # (B, L)
                 best = approx.min(axis=1)
-                bi, li = np.nonzero(approx <= (best + eps)[:, None])
-                exact = np_exact(metric, x[bi], cm[li])
-                order = np.lexsort((lid[li], exact, bi))
-                bi, li, exact = bi[order], li[order], exact[order]
-                first = np.r_[True, bi[1:] != bi[:-1]]
-                bi, li, exact = bi[first], li[first], exact[first]
+                bi_all, li_all = np.nonzero(approx <= (best + eps)[:, None])
+                step = max(1, PAIR_CELLS // max(dim, 1))
+                kb = np.zeros(0, np.int64)
+                kl = np.zeros(0, np.int64)
+                kd = np.zeros(0)
+                for c0 in range(0, len(bi_all), step):      # tied centroids: chunked
+                    bs, ls = bi_all[c0:c0 + step], li_all[c0:c0 + step]
+                    kb = np.concatenate([kb, bs])
+                    kl = np.concatenate([kl, ls])
+                    kd = np.concatenate([kd, np_exact(metric, x[bs], cm[ls])])
+                    order = np.lexsort((lid[kl], kd, kb))
+                    kb, kl, kd = kb[order], kl[order], kd[order]
+                    first = np.r_[True, kb[1:] != kb[:-1]]
+                    kb, kl, kd = kb[first], kl[first], kd[first]
+                bi, li, exact = kb, kl, kd
                 cols = [pa.array(ids_all[r][bi].astype(np.int64), pa.int64()),
                         pa.array(lid[li].astype(np.int32), pa.int32()),
                         pa.array(exact, pa.float64())]

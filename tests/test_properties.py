@@ -63,3 +63,18 @@ def test_block_equals_expr_under_heavy_ties(spark, metric):
     a = rows(knn.exact_knn(df.repartition(4), q, 7, metric, strategy="block"), "qid", "rank")
     e = rows(knn.exact_knn(df, q, 7, metric, strategy="expr"), "qid", "rank")
     assert a == e and len(a) == 25 * 7
+
+
+def test_chunked_rescoring_under_ties(spark, monkeypatch):
+    from nnprobe.operators import ivf, kernel
+    rng = np.random.default_rng(5)
+    pool = rng.integers(-2, 3, size=(6, 8)).astype(np.float32)
+    vecs = pool[rng.integers(0, 6, size=200)]                 # a third of the rows share a vector
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id long, embedding array<float>")
+    q = sampling.sample_queries(df, 10)
+    want = rows(knn.exact_knn(df, q, 5, "l2", strategy="expr"), "qid", "rank")
+    c = ivf.train_sample(df, 4, "l2")
+    asg_want = rows(ivf.assign(df, c, "l2"), "id")
+    monkeypatch.setattr(kernel, "PAIR_CELLS", 8 * 3)          # 3 candidate pairs per chunk
+    assert rows(knn.exact_knn(df, q, 5, "l2"), "qid", "rank") == want
+    assert rows(ivf.assign(df, c, "l2"), "id") == asg_want
