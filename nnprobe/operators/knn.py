@@ -29,6 +29,7 @@ from nnprobe.session import spread
 MAX_QUERY_BYTES = 256 * 1024 * 1024   # query matrix per broadcast pass
 MAX_QUERIES = 1_000_000               # accepted range of the workload size
 RANK_FANIN = 2048                     # partitions merged per first-level group
+EXPR_MAX_PAIRS = 50_000_000           # the expr form materialises queries x rows pairs
 
 
 def _base(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -106,7 +107,14 @@ def exact_knn(base: DataFrame, queries: DataFrame, k: int = 10, metric: str = "c
     check_metric(metric)
     if not 1 <= k <= 1000:
         raise ValueError("k must be in 1..1000")
+    if strategy not in ("block", "expr", "auto"):
+        raise ValueError(f"unknown strategy {strategy!r}")
     b = _base(base, id_col, vec_col)
+    if strategy in ("expr", "auto"):
+        # the pair form is kept for small queries x rows only; beyond the
+        # bound the block kernel gives the same rows without emitting pairs
+        pairs_n = queries.count() * base.count()        # row counts: file metadata
+        strategy = "expr" if pairs_n <= EXPR_MAX_PAIRS else "block"
     if strategy == "expr":
         q = queries.select("qid", "qv")
         if metric == "cosine":
@@ -123,8 +131,6 @@ def exact_knn(base: DataFrame, queries: DataFrame, k: int = 10, metric: str = "c
             d = distance(metric, "qv", "v")
         cand = pairs.select("qid", "id", d.alias("distance")).where(F.col("distance").isNotNull())
         return rank_topk(cand, k)
-    if strategy != "block":
-        raise ValueError(f"unknown strategy {strategy!r}")
     sc = base.sparkSession.sparkContext
     parts = []
     for chunk in query_chunks(queries):

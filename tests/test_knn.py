@@ -70,3 +70,13 @@ def test_scan_audit_valid(spark):
     a = knn.scan_audit(b, q, t, 10).collect()
     assert len(a) == 30 and all(r.valid for r in a)
     assert {r.scanned for r in a} == {499}
+
+
+def test_expr_beyond_bound_uses_block(spark, monkeypatch):
+    b, q = _bq(spark, n=10)
+    want = rows(knn.exact_knn(b, q, 5, "cosine", strategy="block"), "qid", "rank")
+    monkeypatch.setattr(knn, "EXPR_MAX_PAIRS", 10)
+    got = knn.exact_knn(b, q, 5, "cosine", strategy="expr")
+    assert "MapInArrow" in spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
+    assert rows(got, "qid", "rank") == want
+    assert rows(knn.exact_knn(b, q, 5, "cosine", strategy="auto"), "qid", "rank") == want
