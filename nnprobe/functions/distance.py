@@ -111,6 +111,8 @@ def np_exact(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     Loops over dimensions and vectorises over rows, which reproduces the
     left fold of ``aggregate`` bit for bit.
     """
+    a = np.asarray(a, np.float64)
+    b = np.asarray(b, np.float64)
     n, dim = a.shape
     if metric == "l2":
         acc = np.zeros(n)
@@ -135,23 +137,36 @@ def np_exact(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def np_approx(metric: str, q: np.ndarray, x: np.ndarray):
-    """Fast (Q x B) distance matrix by one matrix product, plus a per-query
-    error allowance.  Used only to pick candidates; they are re-scored with
-    ``np_exact`` before anything is ranked.  For l2 the returned matrix is the
-    squared distance (same order, cheaper)."""
-    g = q @ x.T
+    """Fast (Q x B) distance matrix in float32 by one matrix product, plus a
+    per-query error allowance (float64).  Used only to pick candidates; they
+    are re-scored with ``np_exact`` before anything is ranked.  For l2 the
+    returned matrix is the squared distance (same order, cheaper).
+
+    The inputs are float32 data, so the product's error is at most
+    dim * 2^-24 * |q| |x| for any summation order, and forming the distance
+    in float32 adds a few units in the last place of its terms; the
+    allowance is twice those worst cases, times a safety factor of 2.
+    """
+    dim = q.shape[1]
+    q32 = q.astype(np.float32, copy=False)
+    x32 = x.astype(np.float32, copy=False)
+    g = q32 @ x32.T
+    u = 2.0 ** -24
+    unit = 4.0 * dim * u
+    qn2 = np.einsum("ij,ij->i", q32, q32, dtype=np.float64)
+    xn2 = np.einsum("ij,ij->i", x32, x32, dtype=np.float64)
+    qn = np.sqrt(qn2)
+    xmax2 = xn2.max(initial=0.0)
+    xmax = np.sqrt(xmax2)
     if metric == "ip":
-        scale = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1)).max(initial=0.0)
-        return -g, 1e-9 * (scale[:, 0] + 1e-300)
-    qn2 = (q * q).sum(1)
-    xn2 = (x * x).sum(1)
+        return -g, unit * qn * xmax + 1e-300
     if metric == "l2":
-        sq = qn2[:, None] + xn2[None, :] - 2.0 * g
+        sq = qn2.astype(np.float32)[:, None] + xn2.astype(np.float32)[None, :] - 2.0 * g
         np.maximum(sq, 0.0, out=sq)
-        return sq, 1e-9 * (qn2 + xn2.max(initial=0.0) + 1e-300)
-    qn = np.sqrt(qn2)[:, None]
-    xn = np.sqrt(xn2)[None, :]
+        return sq, 2.0 * unit * qn * xmax + 16.0 * u * (qn2 + xmax2) + 1e-300
+    xn = np.sqrt(xn2).astype(np.float32)[None, :]
+    qf = qn.astype(np.float32)[:, None]
     with np.errstate(divide="ignore", invalid="ignore"):
-        cosd = 1.0 - g / (qn * xn)
-    cosd = np.where((qn == 0) | (xn == 0), 1.0, cosd)
-    return cosd, np.full(q.shape[0], 1e-9)
+        cosd = np.float32(1.0) - g / (qf * xn)
+    cosd = np.where((qf == 0) | (xn == 0), np.float32(1.0), cosd)
+    return cosd, np.full(q.shape[0], unit + 16.0 * u)

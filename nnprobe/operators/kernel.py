@@ -28,8 +28,9 @@ ASSIGN_CARRY_SCHEMA = "id long, list_id int, list_distance double, v array<float
 
 
 def vectors_from_arrow(arr, dim: int):
-    """(row_index, float64 matrix) for rows whose vector is non-NULL, of
-    length ``dim`` and free of NULL/NaN elements; other rows are skipped."""
+    """(row_index, float32 matrix) for rows whose vector is non-NULL, of
+    length ``dim`` and free of NULL/NaN elements; other rows are skipped.
+    (The data are FLOAT; the exact re-score widens to double.)"""
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
     n = len(arr)
@@ -43,13 +44,13 @@ def vectors_from_arrow(arr, dim: int):
     rows = np.nonzero(valid)[0]
     vals = arr.values.to_numpy(zero_copy_only=False)
     if dim == 0:
-        return rows, np.zeros((len(rows), 0))
+        return rows, np.zeros((len(rows), 0), np.float32)
     if len(rows) == n and offs[-1] - offs[0] == n * dim:
         # every row valid and packed back to back: a reshape, no gather
-        x = vals[offs[0]:offs[-1]].astype(np.float64).reshape(n, dim)
+        x = vals[offs[0]:offs[-1]].astype(np.float32, copy=False).reshape(n, dim)
     else:
         idx = offs[:-1][rows][:, None] + np.arange(dim)[None, :]
-        x = vals[idx].astype(np.float64)
+        x = vals[idx].astype(np.float32, copy=False)
     finite = np.isfinite(x).all(axis=1)
     return rows[finite], x[finite]
 
