@@ -52,8 +52,10 @@ def train_sample(base: DataFrame, lists: int, metric: str = "cosine", seed: int
     no query coincides with a centroid by construction."""
     check_metric(metric)
     b = _base(base, id_col, vec_col)
-    keyed = b.select("id", _prepared(F.col("v"), metric).alias("c"), sample_key("id", seed, "train").alias("_k"))
-    top = smallest_by_key(keyed, "_k", lists, "id", base.count)
+    keyed = b.select("id", "v", sample_key("id", seed, "train").alias("_k"))
+    # pick the rows first, then prepare only those `lists` vectors
+    top = smallest_by_key(keyed, "_k", lists, "id", base.count).select(
+        "id", _prepared(F.col("v"), metric).alias("c"), "_k")
     cents = top.select((F.row_number().over(Window.orderBy("_k", "id")) - 1).cast("int").alias("list_id"), "c")
     return cents.checkpoint(eager=True)      # `lists` rows: later uses never rescan the table
 
@@ -111,21 +113,22 @@ def assign(base: DataFrame, centroids: DataFrame, metric: str = "cosine",
     row picks the overall one (a shuffle of rows x slices small records)."""
     spark = base.sparkSession
     b = _base(base, id_col, vec_col)
+    norm_rows = metric in ("cosine", "ip")           # V5 applied inside the kernel
     slices = centroid_slices(centroids)
     if len(slices) == 1:
         lid, mat, dim = centroid_matrix(centroids)
         bc = spark.sparkContext.broadcast({"list_id": lid, "mat": mat})
         if carry:
-            b = b.select("id", _prepared(F.col("v"), metric).alias("p"), "v")
-            return b.mapInArrow(nearest_centroid(bc, "l2", dim, "id", "p", carry_col="v"), ASSIGN_CARRY_SCHEMA)
-        b = b.select("id", _prepared(F.col("v"), metric).alias("p"))
-        return b.mapInArrow(nearest_centroid(bc, "l2", dim, "id", "p"), ASSIGN_SCHEMA)
-    p = b.select("id", _prepared(F.col("v"), metric).alias("p"))
+            fn = nearest_centroid(bc, "l2", dim, "id", "v", carry_col="v", normalize_rows=norm_rows)
+            return b.select("id", "v").mapInArrow(fn, ASSIGN_CARRY_SCHEMA)
+        fn = nearest_centroid(bc, "l2", dim, "id", "v", normalize_rows=norm_rows)
+        return b.select("id", "v").mapInArrow(fn, ASSIGN_SCHEMA)
     parts = []
     for sl in slices:
         lid, mat, dim = centroid_matrix(sl)
         bc = spark.sparkContext.broadcast({"list_id": lid, "mat": mat})
-        parts.append(p.mapInArrow(nearest_centroid(bc, "l2", dim, "id", "p"), ASSIGN_SCHEMA))
+        fn = nearest_centroid(bc, "l2", dim, "id", "v", normalize_rows=norm_rows)
+        parts.append(b.select("id", "v").mapInArrow(fn, ASSIGN_SCHEMA))
     allp = parts[0]
     for x in parts[1:]:
         allp = allp.unionByName(x)

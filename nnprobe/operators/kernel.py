@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from nnprobe.functions.distance import np_approx, np_exact
+from nnprobe.functions.distance import np_approx, np_exact, np_normalize
 
 # Rows x queries per sub-block; bounds the float64 scratch to ~32 MB.
 BLOCK_CELLS = 4_000_000
@@ -124,11 +124,13 @@ def topk_per_partition(bc, metric: str, k: int, exclude_self: bool, dim: int,
     return run
 
 
-def nearest_centroid(bc, metric: str, dim: int, id_col: str, vec_col: str, carry_col: str | None = None):
+def nearest_centroid(bc, metric: str, dim: int, id_col: str, vec_col: str, carry_col: str | None = None,
+                     normalize_rows: bool = False):
     """mapInArrow function: every row's closest centroid, ties to the
     smaller list id.  ``bc.value`` holds ``list_id`` (L,) and ``mat`` (L, dim).
-    ``carry_col`` is passed through unchanged as ``v`` (the stored vector when
-    the assignment runs on a prepared copy), so no join back is needed."""
+    ``carry_col`` is passed through unchanged as ``v`` (the stored vector), so
+    no join back is needed.  ``normalize_rows`` applies V5 to the rows here
+    (numpy, bit-equal to the Spark expression) instead of in the plan."""
 
     def run(batches):
         payload = bc.value
@@ -139,6 +141,8 @@ def nearest_centroid(bc, metric: str, dim: int, id_col: str, vec_col: str, carry
         for batch in batches:
             ids_all = batch.column(id_col).to_numpy(zero_copy_only=False)
             rows, x_all = vectors_from_arrow(batch.column(vec_col), dim)
+            if normalize_rows and len(rows):
+                x_all = np_normalize(x_all)
             for s in range(0, len(rows), sub):
                 r = rows[s:s + sub]
                 x = x_all[s:s + sub]

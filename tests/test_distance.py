@@ -50,3 +50,12 @@ def test_normalize(spark):
     r = df.select(D.normalize("v").alias("n")).collect()
     assert r[0].n == pytest.approx([0.6, 0.8])
     assert r[1].n == [0.0, 0.0]
+
+
+def test_numpy_normalize_bit_equal(spark):
+    rng = np.random.default_rng(9)
+    a = (rng.normal(size=(40, 17)) * rng.uniform(0.01, 100, size=(40, 1))).astype(np.float32)
+    a[5] = 0.0
+    df = spark.createDataFrame([(i, a[i].tolist()) for i in range(40)], "i int, v array<float>")
+    got = np.array([r[0] for r in df.orderBy("i").select(D.normalize("v")).collect()], dtype=np.float32)
+    assert np.array_equal(got, D.np_normalize(a))
