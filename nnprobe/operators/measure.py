@@ -53,7 +53,16 @@ def with_warmup(m: DataFrame, group: str = "level", warmup: int = WARMUP) -> Dat
     """M9: flag the first min(warmup, n) rows of each group by seq.
 
     Top-``warmup`` per group is a bounded window limit (partial limit before
-    the shuffle), then its largest seq is the cut."""
+    the shuffle), then its largest seq is the cut.  When that limit would
+    merge more than SINGLE_MERGE_ROWS rows (partitions x warmup) in one task
+    per group, distributed positions are used instead."""
+    from nnprobe.operators.sampling import SINGLE_MERGE_ROWS
+    if m.rdd.getNumPartitions() * warmup > SINGLE_MERGE_ROWS:
+        p = positions(m.select(group, "seq"), group, "seq", "_pos")
+        cut = p.where(F.col("_pos") <= warmup).groupBy(group).agg(F.max("seq").alias("_cut"))
+        return (m.join(cut, group, "left")
+                .withColumn("warmup", F.coalesce(F.col("seq") <= F.col("_cut"), F.lit(False)))
+                .drop("_cut"))
     w = Window.partitionBy(group).orderBy("seq")
     first = m.select(group, "seq").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= warmup)
     cut = first.groupBy(group).agg(F.max("seq").alias("_cut"))

@@ -90,3 +90,12 @@ def test_epoch_us_ignores_session_zone(spark):
     assert utc == ny
     first = min(utc)
     assert utc[first] // 1_000_000 >= 1704067200          # 2024-01-01T00:00:00Z
+
+
+def test_warmup_distributed_path(spark, monkeypatch):
+    from nnprobe.operators import sampling
+    m = M.from_events(table(spark, SF001, "events"))
+    want = {r.seq for r in M.with_warmup(m, "phase").where("warmup").collect()}
+    monkeypatch.setattr(sampling, "SINGLE_MERGE_ROWS", 0)
+    got = {r.seq for r in M.with_warmup(m, "phase").where("warmup").collect()}
+    assert got == want and len(got) == 250
