@@ -9,10 +9,10 @@ coordinates meet in buckets.
 Copies with the same set are one class before banding.  Inside a bucket
 nothing is paired with everything: each round compares the bucket's members
 with one pivot, drops the pivot and the buckets whose members already lie in
-one component.  When the pairs left between different components are few
-(linear in the members), they are all compared.  A pair is linked only after
-its full sets were intersected; a sketch of one byte per coordinate only
-discards pairs estimated far below the threshold (over five deviations).
+one component.  The links still missing between components are found by an
+exact prefix filter over the members left.  A pair is linked only after its
+full sets were intersected; a sketch of one byte per coordinate only discards
+pairs estimated far below the threshold (four deviations).
 
 Edge cases: null and word-free texts have an empty set and link with nothing;
 1-4 words form one shingle; repeated rows and rows sharing a doc_id are
@@ -34,8 +34,8 @@ from nnprobe.llm.wordhash import mix, word_hashes
 WORDS = 5
 THRESHOLD_PCT = 85
 BANDS, ROWS = 24, 7        # misses a pair at Jaccard 0.85 with probability 1e-4
-SKETCH_LEAST = 0.70        # estimate below which a pair can't reach the threshold
-MAX_ROUNDS = 10
+SKETCH_LEAST = 0.74        # estimate below which a pair can't reach the threshold
+PIVOT_ROUNDS = 2
 _BLOCK = 1 << 16           # shingles per numpy block
 _C1, _C2 = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)      # public murmur3 constants
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xAEF17502108EF2D9,
@@ -200,6 +200,47 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return got
 
 
+def _open_buckets(act: DataFrame, turn: int) -> DataFrame:
+    """Buckets with members in different components, each with a pivot."""
+    pick = F.min(F.struct(F.xxhash64(F.col("rep"), F.lit(turn)).alias("h"), "rep", "label"))
+    return store(act.groupBy("bucket").agg(pick.alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+                 .where(F.col("lo") < F.col("hi"))
+                 .select("bucket", F.col("p.rep").alias("pivot"), F.col("p.label").alias("pivot_label")), "op2-open")
+
+
+def _prefix_pairs(act: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """All pairs of open members in different components that can reach the
+    threshold, by an exact prefix filter.
+
+    Shingles are ordered rarest first among the open members.  Sets of sizes
+    n and m need t = threshold / (100 + threshold) * (n + m) common shingles,
+    so their first common one, at places i and j of that order, leaves
+    n - i >= t and m - j >= t.  Under one shingle only members outside its
+    largest component are paired, never that component with itself."""
+    member = act.select("rep", "label").distinct()
+    flat = sets.join(member, "rep").select("rep", "label", "n", F.explode("shingles").alias("s"))
+    freq = flat.groupBy("s").agg(F.count("*").alias("f")).where(F.col("f") > 1)
+    # a shingle of one member's own cannot be common: it only moves the places
+    ranked = (flat.join(freq, "s").groupBy("rep", "label", "n")
+              .agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("order"))      # one set
+              .withColumn("own", F.col("n") - F.size("order")))
+    room = F.floor(F.col("n") * (100 - threshold) / 100) + 1 - F.col("own")
+    prefix = store(ranked.where(room > 0).select(
+        "rep", "label", "n", "own", F.posexplode(F.slice("order", F.lit(1), room.cast("int"))).alias("at", "e"))
+        .select("rep", "label", "n", (F.col("own") + F.col("at")).alias("at"), F.col("e.s").alias("s")), "op2-prefix")
+    top = (prefix.groupBy("s", "label").agg(F.count("*").alias("m")).groupBy("s")
+           .agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("c")).where(F.col("c") > 1)
+           .select("s", F.col("top.label").alias("top")))
+    x = prefix.join(top, "s").alias("x")
+    y = prefix.join(top, "s").where(F.col("label") != F.col("top")).alias("y")
+    need = threshold * (F.col("x.n") + F.col("y.n"))
+    return (y.join(x, (F.col("x.s") == F.col("y.s")) & (F.col("x.label") != F.col("y.label"))
+                   & ((F.col("x.label") == F.col("x.top")) | (F.col("x.rep") < F.col("y.rep")))
+                   & ((100 + threshold) * (F.col("x.n") - F.col("x.at")) >= need)
+                   & ((100 + threshold) * (F.col("y.n") - F.col("y.at")) >= need))
+            .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     threshold_pct: int = THRESHOLD_PCT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``."""
@@ -213,41 +254,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = (buckets.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
               .where(F.col("lo") < F.col("hi")).select("bucket"))
     act = store(buckets.join(shared, "bucket").withColumn("label", F.col("rep")), "op2-members")
-    budget = 4 * act.count()
     cand = reps.join(act.select("rep").distinct(), "rep", "left_semi").select("rep", "sk")
     sets = store(base.join(cand, F.col("doc_id") == F.col("rep")).select("rep", "sk", "text")
                  .mapInArrow(_set_batches, SET_SCHEMA), "op2-sets")
     labels = None
-    for turn in range(MAX_ROUNDS + 1):
-        # pairs still open: members of one bucket in different components
-        per = act.groupBy("bucket", "label").agg(F.count("*").alias("m"))
-        left = (per.groupBy("bucket").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("open"))
-                .agg(F.sum(F.col("open") / 2).alias("open")).first()["open"] or 0)
-        if not left:
+    for turn in range(PIVOT_ROUNDS + 1):
+        heads = _open_buckets(act, turn)
+        if heads.isEmpty():
             break
-        last = left <= budget or turn == MAX_ROUNDS
-        if last:
-            x, y = act.alias("x"), act.alias("y")
-            pairs = (x.join(y, F.col("x.bucket") == F.col("y.bucket"))
-                     .where((F.col("x.label") != F.col("y.label")) & (F.col("x.rep") < F.col("y.rep")))
-                     .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
+        open_ = act.join(heads, "bucket")
+        if turn == PIVOT_ROUNDS:
+            pairs = _prefix_pairs(open_, sets, threshold_pct)
         else:
-            pivot = (act.groupBy("bucket")
-                     .agg(F.min(F.struct(F.xxhash64(F.col("rep"), F.lit(turn)).alias("h"), "rep", "label")).alias("p"),
-                          F.min("label").alias("lo"), F.max("label").alias("hi"))
-                     .where(F.col("lo") < F.col("hi"))
-                     .select("bucket", F.col("p.rep").alias("pivot"), F.col("p.label").alias("pivot_label")))
-            open_ = act.join(pivot, "bucket")
             pairs = (open_.where(F.col("label") != F.col("pivot_label"))
                      .select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct())
         links = _verify(pairs, sets, threshold_pct)
         known = links if labels is None else links.unionAll(labels.select(F.col("v").alias("a"), F.col("label").alias("b")))
         labels = components(known, "op2-edges")
-        if last:
-            break
-        act = store(open_.where(F.col("rep") != F.col("pivot")).select("bucket", "rep")
-                    .join(labels.withColumnRenamed("v", "rep"), "rep", "left")
-                    .select("bucket", "rep", F.coalesce("label", "rep").alias("label")), "op2-members")
+        if turn < PIVOT_ROUNDS:
+            act = store(open_.where(F.col("rep") != F.col("pivot")).select("bucket", "rep")
+                        .join(labels.withColumnRenamed("v", "rep"), "rep", "left")
+                        .select("bucket", "rep", F.coalesce("label", "rep").alias("label")), "op2-members")
     drop_stored(sets)
     member = reps.select("n", "f1", "f2", "rep")
     if labels is not None:
