@@ -3,17 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from nnprobe.llm import oracle
 from nnprobe.llm.circulant_minhash import near_duplicates
 from nnprobe.llm.common import table
+from nnprobe.llm.line_first import clean_lines
+from nnprobe.llm.positional_index import contamination
 
 
 def op2_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_line_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", F.col("_lf_n").alias("n_words"), F.col("_lf_chars").alias("word_chars"),
+                      F.col("_lf_symbols").alias("n_symbols"), F.col("_lf_dups").alias("n_dup_lines"),
+                      F.col("_lf_repeat").alias("n_repeat_words"), F.col("_lf_base_failed").alias("base_failed"),
+                      F.col("_lf_kept").alias("kept"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_circulant_minhash,
+    op2_circulant_minhash, op9_positional_index, op10_line_first,
 )}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_circulant_minhash": oracle.OP2,
+    "op9_positional_index": oracle.OP9,
+    "op10_line_first": oracle.OP10,
+}
