@@ -183,26 +183,30 @@ def _exact_pairs(threshold: int):
     return run
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Of (a, b), the pairs whose full sets reach the threshold, stored."""
-    def side(x: str, *cols: str) -> DataFrame:
-        return sets.select(F.col("rep").alias(x), *[F.col(c).alias(f"{n}_{x}") for c, n in zip(cols, cols, strict=True)])
+def _side(sets: DataFrame, x: str, *cols: str) -> DataFrame:
+    return sets.select(F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
+
 
-    near = (pairs.join(side("a", "n", "sk"), "a").join(side("b", "n", "sk"), "b")
+def _near_pairs(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Of (a, b), the pairs whose sizes and sketches allow the threshold, stored."""
+    near = (pairs.join(_side(sets, "a", "n", "sk"), "a").join(_side(sets, "b", "n", "sk"), "b")
             .where((100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")))
             .select("a", "b", "sk_a", "sk_b").mapInArrow(_near_sketches, "a long, b long"))
-    near = store(near.distinct(), "op2-near")
-    full = (near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
+    return store(near.distinct(), "op2-near")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Of (a, b), the pairs whose full sets reach the threshold, stored."""
+    full = (pairs.join(_side(sets, "a", "shingles"), "a").join(_side(sets, "b", "shingles"), "b")
             .select("a", "b", F.col("shingles_a").alias("set_a"), F.col("shingles_b").alias("set_b"))
             .mapInArrow(_exact_pairs(threshold), "a long, b long"))
-    got = store(full, "op2-links")
-    drop_stored(near)
-    return got
+    return store(full, "op2-links")
 
 
 def _open_buckets(act: DataFrame, turn: int) -> DataFrame:
-    """Buckets with members in different components, each with a pivot."""
-    pick = F.min(F.struct(F.xxhash64(F.col("rep"), F.lit(turn)).alias("h"), "rep", "label"))
+    """Buckets with members in different components, each with a pivot: the
+    member with the most links so far, which stands nearest to the others."""
+    pick = F.min(F.struct((-F.col("degree")).alias("d"), F.xxhash64(F.col("rep"), F.lit(turn)).alias("h"), "rep", "label"))
     return store(act.groupBy("bucket").agg(pick.alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"))
                  .where(F.col("lo") < F.col("hi"))
                  .select("bucket", F.col("p.rep").alias("pivot"), F.col("p.label").alias("pivot_label")), "op2-open")
@@ -227,18 +231,25 @@ def _prefix_pairs(act: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     room = F.floor(F.col("n") * (100 - threshold) / 100) + 1 - F.col("own")
     prefix = store(ranked.where(room > 0).select(
         "rep", "label", "n", "own", F.posexplode(F.slice("order", F.lit(1), room.cast("int"))).alias("at", "e"))
-        .select("rep", "label", "n", (F.col("own") + F.col("at")).alias("at"), F.col("e.s").alias("s")), "op2-prefix")
+        .select("rep", "label", "n", "own", (F.col("own") + F.col("at")).alias("at"), F.col("e.s").alias("s")), "op2-prefix")
     top = (prefix.groupBy("s", "label").agg(F.count("*").alias("m")).groupBy("s")
            .agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("c")).where(F.col("c") > 1)
            .select("s", F.col("top.label").alias("top")))
     x = prefix.join(top, "s").alias("x")
     y = prefix.join(top, "s").where(F.col("label") != F.col("top")).alias("y")
     need = threshold * (F.col("x.n") + F.col("y.n"))
-    return (y.join(x, (F.col("x.s") == F.col("y.s")) & (F.col("x.label") != F.col("y.label"))
-                   & ((F.col("x.label") == F.col("x.top")) | (F.col("x.rep") < F.col("y.rep")))
-                   & ((100 + threshold) * (F.col("x.n") - F.col("x.at")) >= need)
-                   & ((100 + threshold) * (F.col("y.n") - F.col("y.at")) >= need))
-            .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct())
+    met = (y.join(x, (F.col("x.s") == F.col("y.s")) & (F.col("x.label") != F.col("y.label"))
+                  & ((F.col("x.label") == F.col("x.top")) | (F.col("x.rep") < F.col("y.rep")))
+                  & ((100 + threshold) * (F.col("x.n") - F.col("x.at")) >= need)
+                  & ((100 + threshold) * (F.col("y.n") - F.col("y.at")) >= need))
+           .select(F.col("x.rep").alias("p"), F.col("y.rep").alias("q"), F.col("x.n").alias("n"), F.col("y.n").alias("m"),
+                   F.col("x.at").alias("i"), F.col("y.at").alias("j")))
+    # up to the last common place i of one and j of the other all but c shingles are on one side only
+    seen = met.groupBy("p", "q", "n", "m").agg(F.count("*").alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
+    only_p, only_q = F.col("i") + 1 - F.col("c"), F.col("j") + 1 - F.col("c")
+    both = F.least(F.col("n") - only_p, F.col("m") - only_q)
+    return (seen.where(100 * both >= threshold * (both + only_p + only_q))
+            .select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -253,7 +264,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = reps.select("rep", F.explode("bands").alias("bucket"))
     shared = (buckets.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
               .where(F.col("lo") < F.col("hi")).select("bucket"))
-    act = store(buckets.join(shared, "bucket").withColumn("label", F.col("rep")), "op2-members")
+    act = store(buckets.join(shared, "bucket").withColumns({"label": F.col("rep"), "degree": F.lit(0).cast("long")}),
+                "op2-members")
     cand = reps.join(act.select("rep").distinct(), "rep", "left_semi").select("rep", "sk")
     sets = store(base.join(cand, F.col("doc_id") == F.col("rep")).select("rep", "sk", "text")
                  .mapInArrow(_set_batches, SET_SCHEMA), "op2-sets")
@@ -266,15 +278,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if turn == PIVOT_ROUNDS:
             pairs = _prefix_pairs(open_, sets, threshold_pct)
         else:
-            pairs = (open_.where(F.col("label") != F.col("pivot_label"))
-                     .select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct())
-        links = _verify(pairs, sets, threshold_pct)
+            pairs = _near_pairs(open_.where(F.col("label") != F.col("pivot_label"))
+                                .select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(),
+                                sets, threshold_pct)
+        links = _links(pairs, sets, threshold_pct)
         known = links if labels is None else links.unionAll(labels.select(F.col("v").alias("a"), F.col("label").alias("b")))
         labels = components(known, "op2-edges")
         if turn < PIVOT_ROUNDS:
-            act = store(open_.where(F.col("rep") != F.col("pivot")).select("bucket", "rep")
-                        .join(labels.withColumnRenamed("v", "rep"), "rep", "left")
-                        .select("bucket", "rep", F.coalesce("label", "rep").alias("label")), "op2-members")
+            ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("more"))
+            place = labels.withColumnRenamed("v", "rep").join(ends, "rep", "left")
+            act = store(open_.where(F.col("rep") != F.col("pivot")).select("bucket", "rep", "degree")
+                        .join(place, "rep", "left")
+                        .select("bucket", "rep", F.coalesce("label", "rep").alias("label"),
+                                (F.col("degree") + F.coalesce("more", F.lit(0))).alias("degree")), "op2-members")
     drop_stored(sets)
     member = reps.select("n", "f1", "f2", "rep")
     if labels is not None:
