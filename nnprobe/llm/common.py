@@ -59,6 +59,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def once(df: DataFrame, **cols) -> DataFrame:
+    """``df`` with columns that are evaluated once per row: a one-row
+    generator, into which neither projections nor filters are merged (an
+    array that a lambda reads would else be built again for each element)."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
 def running_totals(df: DataFrame, keys: list, sums: dict[str, str], name: str) -> DataFrame:
     """Global order by ``keys`` with totals of all earlier rows.
 

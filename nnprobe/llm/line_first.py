@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nnprobe.llm.common import SPACE
+from nnprobe.llm.common import SPACE, once
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -60,38 +60,32 @@ def line_fails(line: Column) -> Column:
     return line.rlike(f"[^{SPACE}]") & bad
 
 
-def _fixed(df: DataFrame, **cols: Column) -> DataFrame:
-    """``df`` with columns that are evaluated once per row: a one-row
-    generator, into which neither projections nor filters are merged."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
-
-
 def base_metrics(df: DataFrame, text_col: str) -> DataFrame:
     """Adds _lf_n, _lf_chars, _lf_symbols, _lf_dups, _lf_repeat."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    a = _fixed(df, _lf_words=_words(text),
+    a = once(df, _lf_words=_words(text),
                _lf_real=F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]")))
-    a = _fixed(a, _lf_n=F.size("_lf_words").cast("long"),
+    a = once(a, _lf_n=F.size("_lf_words").cast("long"),
                _lf_chars=F.length(F.concat_ws("", "_lf_words")).cast("long"),
                _lf_symbols=_symbols(text).cast("long"),
                _lf_dups=(F.size("_lf_real") - F.size(F.array_distinct("_lf_real"))).cast("long"),
                _lf_wh=F.transform("_lf_words", lambda w: F.xxhash64(w))).drop("_lf_words", "_lf_real")
     k = WINDOW
-    a = _fixed(a, _lf_win=F.when(F.size("_lf_wh") >= k, F.transform(
+    a = once(a, _lf_win=F.when(F.size("_lf_wh") >= k, F.transform(
         F.sequence(F.lit(1), F.greatest(F.size("_lf_wh") - (k - 1), F.lit(1))),
         lambda i: F.xxhash64(F.slice("_lf_wh", i, k)))).otherwise(F.array().cast("array<bigint>"))).drop("_lf_wh")
     twice = F.size(F.array_distinct("_lf_win")) < F.size("_lf_win")
     none = F.array().cast("array<struct<h:bigint,i:int>>")
-    a = _fixed(a, _lf_sorted=F.when(twice, F.sort_array(F.transform(
+    a = once(a, _lf_sorted=F.when(twice, F.sort_array(F.transform(
         "_lf_win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(none)).drop("_lf_win")
     s, m = F.col("_lf_sorted"), F.size("_lf_sorted")
     marked = F.transform(s, lambda x, i: F.struct(
         x["i"].alias("i"),
         ((i > 0) & (F.get(s, i - 1)["h"] == x["h"]) | (i < m - 1) & (F.get(s, i + 1)["h"] == x["h"])).alias("r")))
-    a = _fixed(a, _lf_at=F.sort_array(F.transform(F.filter(marked, lambda x: x["r"]), lambda x: x["i"]))).drop("_lf_sorted")
+    a = once(a, _lf_at=F.sort_array(F.transform(F.filter(marked, lambda x: x["r"]), lambda x: x["i"]))).drop("_lf_sorted")
     p, q = F.col("_lf_at"), F.size("_lf_at")
     cover = F.transform(p, lambda x, i: F.when(i == q - 1, F.lit(k)).otherwise(F.least(F.lit(k), F.get(p, i + 1) - x)))
-    return _fixed(a, _lf_repeat=F.aggregate(cover, F.lit(0), lambda t, x: t + x).cast("long")).drop("_lf_at")
+    return once(a, _lf_repeat=F.aggregate(cover, F.lit(0), lambda t, x: t + x).cast("long")).drop("_lf_at")
 
 
 def clean_lines(docs: DataFrame, text_col: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
@@ -99,7 +93,7 @@ def clean_lines(docs: DataFrame, text_col: str = "text", max_lost: float = MAX_L
     ``_lf_lost`` (share of word characters lost) and ``_lf_kept``."""
     a = base_metrics(docs, text_col)
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    a = _fixed(a, _lf_text=F.array_join(F.filter(lines, lambda x: ~line_fails(x)), "\n"))
+    a = once(a, _lf_text=F.array_join(F.filter(lines, lambda x: ~line_fails(x)), "\n"))
     left = F.length(F.regexp_replace("_lf_text", f"[{SPACE}]+", ""))
     a = a.withColumn("_lf_lost", F.when(F.col("_lf_chars") > 0, 1 - left / F.col("_lf_chars")).otherwise(F.lit(0.0)))
     failed = (F.col("_lf_n") < MIN_WORDS) | (100 * F.col("_lf_repeat") > MAX_REPEAT_PCT * F.col("_lf_n"))

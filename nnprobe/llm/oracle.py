@@ -70,3 +70,53 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND lost <= 0.5 AS kept
 FROM m
 """
+
+_NORM = "lower(trim(regexp_replace({}, '[\\x20\\x09-\\x0D]+', ' ', 'g')))"
+
+OP5 = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls, text IS NULL AS nil FROM documents),
+l AS (SELECT doc_id, source, t, unnest(ls) AS ln, unnest(range(len(ls))) AS ord FROM d WHERE NOT nil),
+k AS (SELECT *, {_NORM.format('ln')} AS u FROM l),
+j AS (SELECT *, u <> '' AND length(u) - length(replace(u, ' ', '')) >= 4 AS long_enough FROM k),
+b AS (SELECT u, min(struct_pack(doc_id := doc_id, ord := ord)) AS f FROM j WHERE long_enough
+      GROUP BY u HAVING count(DISTINCT coalesce('s' || source, 'n')) >= 5),
+g AS (SELECT j.*, b.u IS NOT NULL AND NOT (b.f.doc_id = j.doc_id AND b.f.ord = j.ord) AS gone
+      FROM j LEFT JOIN b ON b.u = j.u AND j.long_enough),
+r AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+        coalesce(string_agg(ln, chr(10) ORDER BY ord) FILTER (WHERE NOT gone), '') AS left_text FROM g GROUP BY doc_id)
+SELECT d.doc_id, coalesce(r.n_lines, 0) AS n_lines, coalesce(r.n_removed, 0) AS n_removed,
+       length(coalesce(r.left_text, '')) AS n_chars_left, sha256(coalesce(r.left_text, '')) AS text_sha256
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+"""
+
+OP1 = f"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations),
+l AS (SELECT conv_id, turn, role, i, ls[i] AS ln,
+        length(regexp_replace(regexp_extract(ls[i], '^(?:[ \\t]*>)+[ \\t]?'), '[^>]', '', 'g')) AS level,
+        regexp_replace(ls[i], '^(?:[ \\t]*>)+[ \\t]?', '') AS body
+      FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM m)),
+x AS (SELECT *, lead(level, 1, 0) OVER w AS below, lag(level) OVER w AS above FROM l WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)),
+y AS (SELECT *, sum(CASE WHEN above IS NULL OR above <> level THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY i) AS run FROM x),
+o AS (SELECT conv_id, turn, role, coalesce(regexp_replace(string_agg(body, chr(10) ORDER BY i) FILTER (WHERE level = 0 AND NOT (
+          below > 0 AND regexp_matches(body, {_q('(?i)(wrote|writes|said|schrieb|schreibt|a écrit|écrit|escribió)[ \\t]*:[ \\t\\r]*$')}))),
+          '^[\\x20\\x09-\\x0D]*\\n|[\\x20\\x09-\\x0D]+$', '', 'g'), '') AS own,
+        count(DISTINCT run) FILTER (WHERE level > 0) AS n_quotes, max(level) AS max_level
+      FROM y GROUP BY conv_id, turn, role),
+said AS (SELECT conv_id, u, min(turn) AS origin FROM (
+           SELECT conv_id, turn, {_NORM.format('unnest(string_split(own, chr(10)))')} AS u FROM o
+           UNION ALL SELECT conv_id, turn, {_NORM.format("replace(own, chr(10), ' ')")} FROM o) WHERE u <> '' GROUP BY 1, 2),
+quoted AS (SELECT DISTINCT conv_id, turn, level, u FROM (
+           SELECT conv_id, turn, level, {_NORM.format('body')} AS u FROM y WHERE level > 0
+           UNION ALL SELECT conv_id, turn, any_value(level), {_NORM.format("string_agg(body, ' ' ORDER BY i)")} FROM y WHERE level > 0 GROUP BY conv_id, turn, run)
+           WHERE u <> ''),
+votes AS (SELECT q.conv_id, q.turn, q.level, s.origin, sum(length(u)) AS chars, count(*) AS n
+          FROM quoted q JOIN said s USING (conv_id, u) WHERE s.origin < q.turn GROUP BY 1, 2, 3, 4),
+links AS (SELECT conv_id, turn, arg_min(origin, (level, -chars, -origin)) AS parent, sum(n) AS n_linked FROM votes GROUP BY 1, 2),
+up AS (SELECT conv_id, turn, parent AS root, 1 AS depth FROM links
+       UNION ALL SELECT up.conv_id, up.turn, k.parent, up.depth + 1 FROM up JOIN links k ON k.conv_id = up.conv_id AND k.turn = up.root),
+roots AS (SELECT conv_id, turn, arg_max(root, depth) AS root, max(depth) AS depth FROM up GROUP BY 1, 2)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(root, turn), turn) - 1 AS position, turn, role,
+       parent AS parent_turn, coalesce(root, turn) AS root_turn, CAST(coalesce(depth, 0) AS BIGINT) AS depth, n_quotes,
+       CAST(max_level AS BIGINT) AS max_level, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, own AS text
+FROM o LEFT JOIN links USING (conv_id, turn) LEFT JOIN roots USING (conv_id, turn)
+"""
