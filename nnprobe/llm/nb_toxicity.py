@@ -1,7 +1,7 @@
 """Toxicity by a character n-gram linear classifier with naive Bayes scaled
 features (operator 8).
 
-A document's features are the distinct character n-grams (3 to 5 code points,
+A document's features are the distinct character n-grams (4 to 8 code points,
 lower case, runs of white space as one blank) hashed to 2**20 places.  Over
 all labelled training rows Spark counts in how many documents of each class a
 place occurs; the log-count ratio of the smoothed class shares scales the
@@ -31,9 +31,9 @@ from pyspark.sql import types as T
 
 from nnprobe.llm.common import store
 
-SIZES = (3, 4, 5)
+SIZES = (4, 5, 6, 7, 8)
 BITS = 20
-FEATURES = 2048
+FEATURES = 4096
 SAMPLE_ROWS = 20_000
 LABEL_BROADCAST_ROWS = 2_000_000      # 16 bytes each; more labels are joined by shuffle
 MIN_DOCS = 3
@@ -129,20 +129,32 @@ def _present(text: str | None, table: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(hits)) - 1
 
 
-def _fit(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression by accelerated gradient descent (mean log loss +
-    l2 / (2 rows) * |w|^2), from zero: the same data give the same model."""
-    rows = len(y)
-    v = np.ones(x.shape[1], np.float32)
+def _fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, l2: float = 1.0,
+         steps: int = 300) -> tuple[np.ndarray, float]:
+    """Logistic regression on the scaled features by accelerated gradient
+    descent (mean log loss + l2 / (2 rows) * |w|^2), from zero: the same rows
+    in the same order give the same model.  ``rows`` holds each row's places
+    in the feature list."""
+    n, width = len(rows), len(ratio)
+    at = np.concatenate(rows).astype(np.int64) if n else np.zeros(0, np.int64)
+    sizes = np.array([len(r) for r in rows], np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+
+    def forward(v):
+        return np.diff(np.concatenate([[0.0], np.cumsum((v * ratio)[at])])[ends])
+
+    def backward(g):
+        return np.bincount(at, weights=np.repeat(g, sizes), minlength=width) * ratio
+
+    v = np.ones(width)
     for _ in range(20):                                     # largest curvature by power iteration
-        v = x.T @ (x @ v)
+        v = backward(forward(v))
         v /= max(float(np.linalg.norm(v)), 1e-12)
-    rate = 1.0 / (0.25 * (float(np.linalg.norm(x @ v)) ** 2 / rows + 1) + l2 / rows)
-    w, look, bias, bias_look = (np.zeros(x.shape[1], np.float32),) * 2 + (0.0, 0.0)
+    rate = 1.0 / (0.25 * (float(np.linalg.norm(forward(v))) ** 2 / n + 1) + l2 / n)
+    w, look, bias, bias_look = np.zeros(width), np.zeros(width), 0.0, 0.0
     for k in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ look + bias_look, -30, 30)))
-        g = p - y
-        w2 = look - rate * (x.T @ g.astype(np.float32) / rows + l2 / rows * look)
+        g = 1 / (1 + np.exp(-np.clip(forward(look) + bias_look, -30, 30))) - y
+        w2 = look - rate * (backward(g) / n + l2 / n * look)
         b2 = bias_look - rate * float(g.mean())
         m = k / (k + 3)
         look, bias_look = w2 + m * (w2 - w), b2 + m * (b2 - bias)
@@ -168,28 +180,20 @@ def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES, sample_r
     ratio = best["r"].to_numpy()
     table = ToxicModel(best["place"].to_numpy(), ratio, 0.0).table()
     bc = docs.sparkSession.sparkContext.broadcast(table)
-    width = len(best)
 
-    def bits(batches):
+    def present(batches):
         for batch in batches:
-            out = []
-            for text in batch.column("text").to_pylist():
-                row = np.zeros(width, np.uint8)
-                row[_present(text, bc.value)] = 1
-                out.append(np.packbits(row).tobytes())
+            out = [_present(text, bc.value).tobytes() for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column("toxic")], names=["x", "toxic"])
 
     share = min(1.0, sample_rows / (n0 + n1))
     sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    got = sample.select("doc_id", "text", "toxic").mapInArrow(bits, "x binary, toxic int").toArrow()
-    y = got.column("toxic").to_numpy().astype(np.float32)
-    if len(set(y.tolist())) < 2:
+    got = sample.select("doc_id", "text", "toxic").mapInArrow(present, "x binary, toxic int").toArrow()
+    pairs = sorted(zip(got.column("toxic").to_pylist(), got.column("x").to_pylist(), strict=True))   # one order, one model
+    if len({y for y, _ in pairs}) < 2:
         return none
-    raw = np.frombuffer(b"".join(got.column("x").to_pylist()), np.uint8).reshape(len(y), -1)
-    order = np.lexsort((y, *raw.T[:8]))                     # the sum order, and so the model, is the same each time
-    x = np.unpackbits(raw[order], axis=1, count=width).astype(np.float32) * ratio.astype(np.float32)
-    w, bias = _fit(x, y[order])
-    return ToxicModel(best["place"].to_numpy(), w.astype(np.float64) * ratio, bias)
+    w, bias = _fit([np.frombuffer(x, np.int16) for _, x in pairs], np.array([float(y) for y, _ in pairs]), ratio)
+    return ToxicModel(best["place"].to_numpy(), w * ratio, bias)
 
 
 def score(docs: DataFrame, model: ToxicModel, text_col: str = "text", out_col: str = "score") -> DataFrame:
