@@ -3,11 +3,12 @@
 A page is parsed into a DOM; menus, headers, footers, side bars, notices,
 adverts, forms, scripts, styles, reader comments and hidden parts are cut by
 element, role and class words.  Every node left gets its link-adjusted
-characters per tag; the sum over a node's children is its density sum.  The
-node with the largest sum (the first of equals) is the main subtree, and the
-least density on its path to the body is the threshold: a subtree beside the
-path that reaches it belongs to the text too.  Nothing inside a chosen
-subtree is dropped.
+characters per tag; the sum over a node's block children is its density sum.
+The node with the largest sum (the first of equals) is the main subtree,
+widened to the article or main element around it.  The least density on its
+path to the body is the threshold: a subtree beside the path that reaches it
+belongs to the text too, and so does a paragraph, heading, list or table there
+with few links.  Nothing inside a chosen subtree is dropped.
 
 Text: character references are decoded, white space inside a block becomes
 one space, blocks are trimmed and joined by one newline in page order.
@@ -36,12 +37,17 @@ DROP = frozenset("head script style noscript template nav header footer aside fo
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span "
                    "strike strong sub sup time tt u var wbr img ruby rt rp".split())
 IN_HEAD = frozenset("title meta link base script style noscript template".split())
-KEEP = frozenset("html body main article".split())
+KEEP = frozenset("html body main".split())
 WORDS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense banner sponsor sponsored "
                   "promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager sidebar "
                   "sidebars aside footer header masthead topbar toolbar cookie cookies consent gdpr notice notices alert "
                   "popup modal overlay newsletter subscribe subscription signup login share sharing social comment "
                   "comments disqus respond related recommended recommendations widget widgets skip search".split())
+ARTICLE_WORDS = frozenset("comment comments ad ads advert advertisement sponsored promo related recommended".split())
+HAS = frozenset("has with no without".split())          # "has-sidebar" is no side bar
+TITLES = frozenset("article post entry content section".split())    # "post-header" holds a title
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
+MAX_LINKED = 1 / 3
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar "
                   "toolbar".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -63,8 +69,17 @@ def _is_boilerplate(tag: str, attrs: list) -> bool:
             return True
         if name == "role" and value.strip() in ROLES:
             return True
-        if name in ("class", "id") and not WORDS.isdisjoint(_WORD.split(value)):
-            return True
+        if name in ("class", "id"):
+            for one in value.split():
+                words = set(_WORD.split(one))
+                if tag == "article":
+                    hit = words & ARTICLE_WORDS
+                else:
+                    hit = words & WORDS
+                    if "header" in hit and words & TITLES:
+                        hit -= {"header"}
+                if hit and not words & HAS:
+                    return True
     return False
 
 
@@ -177,28 +192,39 @@ def main_text(html: str | None) -> str:
     body = next((i for i in range(n) if page.tag[i] == "body"), 0)
     share = linked[body] / max(chars[body], 1)
     density = [_density(chars[i], tags[i], linked[i], links[i], share) for i in range(n)]
+    holder = list(range(n))          # nearest node that is no inline element
+    for i in range(1, n):
+        if page.tag[i] in INLINE or page.tag[i] in VOID:
+            holder[i] = holder[page.parent[i]]
     total = [0.0] * n
     for i in range(1, n):
-        total[page.parent[i]] += density[i]
+        if holder[i] == i:
+            total[holder[page.parent[i]]] += density[i]
     under = [False] * n
     under[body] = True
     for i in range(body + 1, n):
         under[i] = under[page.parent[i]]
-    best = max((i for i in range(n) if under[i]), key=lambda i: (total[i], -i))
+    best = max((i for i in range(n) if under[i] and holder[i] == i), key=lambda i: (total[i], -i), default=body)
     if total[best] <= 0:
         best = body
-    path, i = {best}, best
+    path, top, i = {best}, best, best
     while i != body:
         i = page.parent[i]
         path.add(i)
+        if page.tag[i] in ("article", "main"):
+            top = i                   # the author's own bounds of the text
     least = min(density[i] for i in path)
+    while best != top:
+        path.discard(best)
+        best = page.parent[best]
     chosen = [False] * n
     chosen[best] = True
     for i in range(body, n):
         if not under[i] or i in path:
             continue
         p = page.parent[i]
-        chosen[i] = chosen[p] or (p in path and density[i] >= least > 0)
+        chosen[i] = chosen[p] or (p in path and (density[i] >= least > 0 or page.tag[i] in TEXT_BLOCKS
+                                                 and linked[i] <= MAX_LINKED * chars[i]))
     blocks: list[tuple[int, list]] = []
     for node, block, data in page.pieces:
         if chosen[node] or node in path and node != body:
