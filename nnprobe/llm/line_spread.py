@@ -4,8 +4,9 @@ Lines are compared after trimming, joining white space and lower-casing.  A
 line that stands on ``min_sites`` distinct sites or more is cross-site
 boilerplate: its first occurrence (least doc_id, then line number) stays, all
 others are removed.  HyperLogLog sketches of the sites, one per line hash,
-merge map-side and across tasks; lines whose estimate lies within four
-standard errors of the threshold get an exact distinct count instead.
+merge map-side and across tasks (fixed registers in the hash aggregate, which
+spills); lines whose estimate lies within four standard errors and two sites of
+the threshold get an exact distinct count instead.
 
 A line is known by a 64-bit hash.  Lines of fewer than ``min_words`` words
 are left alone.  Lines that all come from one site skip the sketch.
@@ -19,16 +20,14 @@ start with ``_ls_``).  Kept lines keep their exact text.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nnprobe.llm.common import SPACE, once, store
 
 MIN_SITES = 5
 MIN_WORDS = 5
-LG_K = 12              # sketch size 2**LG_K; standard error 1.04 / sqrt(2**LG_K)
+ERROR = 0.05           # standard error of a sketch (512 registers)
 
 
 def normalised(line: Column) -> Column:
@@ -45,22 +44,19 @@ def hashed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         "doc_id", "site", "at", F.xxhash64("line").alias("h"))
 
 
-def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
+def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, error: float = ERROR) -> DataFrame:
     """Hashes of the lines on at least ``min_sites`` distinct sites, stored:
-    (h, doc0, at0) with the place of the first occurrence."""
-    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "at")))
+    (h, doc0) with the least doc_id they stand in."""
     several = (lines.groupBy("h").agg(F.min("site").alias("a"), F.max("site").alias("b"))
                .where((F.col("a") < F.col("b")) if min_sites > 1 else F.lit(True)).select("h"))
-    shared = store(lines.join(several, "h"), "op5-shared")
-    sketch = shared.groupBy("h").agg(F.hll_sketch_agg("site", lg_k).alias("sk"), first.alias("f"))
-    found = store(sketch.select("h", F.col("f.doc_id").alias("doc0"), F.col("f.at").alias("at0"),
-                                F.hll_sketch_estimate("sk").alias("est")), "op5-estimates")
-    error = max(1.0, 4 * 1.04 / math.sqrt(1 << lg_k) * min_sites)
-    near = F.abs(F.col("est") - min_sites) <= error
+    shared = store(lines.select("h", "site", "doc_id").join(several, "h"), "op5-shared")
+    found = store(shared.groupBy("h").agg(F.approx_count_distinct("site", error).alias("est"),
+                                          F.min("doc_id").alias("doc0")), "op5-estimates")
+    near = F.abs(F.col("est") - min_sites) <= max(2.0, 4 * error * min_sites)
     exact = (shared.join(found.where(near).select("h"), "h").select("h", "site").distinct()
-             .groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites))
-    sure = found.where(~near & (F.col("est") >= min_sites)).select("h", "doc0", "at0")
-    return store(sure.unionAll(found.join(exact, "h").select("h", "doc0", "at0")), "op5-spread")
+             .groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("h"))
+    sure = found.where(~near & (F.col("est") >= min_sites)).select("h", "doc0")
+    return store(sure.unionAll(found.join(exact, "h").select("h", "doc0")), "op5-spread")
 
 
 def drop_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -68,9 +64,11 @@ def drop_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: in
     ``_ls_lines`` and ``_ls_removed``."""
     lines = store(hashed_lines(docs.select("doc_id", "source", "text"), min_words), "op5-lines")
     wide = spread_lines(lines, min_sites)
-    gone = (lines.where(F.col("doc_id").isNotNull()).join(wide, "h")
-            .where(~(F.col("doc_id").eqNullSafe(F.col("doc0")) & F.col("at").eqNullSafe(F.col("at0"))))
-            .groupBy("doc_id").agg(F.collect_set("at").alias("_ls_gone"))      # at most the document's lines
+    hit = lines.where(F.col("doc_id").isNotNull()).join(wide, "h").select("doc_id", "doc0", "h", "at")
+    here = F.min("at").over(Window.partitionBy("doc_id", "h"))        # one line within one document
+    again = hit.where(F.col("doc_id") == F.col("doc0")).withColumn("at0", here).where(F.col("at") > F.col("at0"))
+    gone = (hit.where(F.col("doc_id") != F.col("doc0")).select("doc_id", "at").unionAll(again.select("doc_id", "at"))
+            .distinct().groupBy("doc_id").agg(F.collect_list("at").alias("_ls_gone"))      # at most the document's lines
             .withColumnRenamed("doc_id", "_ls_doc"))
     out = docs.join(gone, F.col("doc_id") == F.col("_ls_doc"), "left").drop("_ls_doc")
     out = once(out, _ls_all=F.split("text", "\n"))
