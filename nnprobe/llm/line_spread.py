@@ -36,9 +36,9 @@ def normalised(line: Column) -> Column:
 
 def hashed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, site, at, h) of the lines long enough to judge."""
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))).alias("site"),
-                       F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    rows = rows.withColumn("line", normalised(F.col("line")))
+    site = F.xxhash64(F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")))
+    # normalised inside the array, so that each line is worked on once
+    rows = docs.select("doc_id", site.alias("site"), F.posexplode(F.transform(F.split("text", "\n"), normalised)).alias("at", "line"))
     blanks = F.length("line") - F.length(F.replace("line", F.lit(" ")))
     return rows.where((F.length("line") > 0) & (blanks >= min_words - 1)).select(
         "doc_id", "site", "at", F.xxhash64("line").alias("h"))
