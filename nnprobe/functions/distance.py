@@ -153,37 +153,54 @@ def np_normalize(x: np.ndarray, tiny: float = 1e-12) -> np.ndarray:
     return out
 
 
-def np_approx(metric: str, q: np.ndarray, x: np.ndarray):
-    """Fast (Q x B) distance matrix in float32 by one matrix product, plus a
-    per-query error allowance (float64).  Used only to pick candidates; they
-    are re-scored with ``np_exact`` before anything is ranked.  For l2 the
-    returned matrix is the squared distance (same order, cheaper).
-
-    The inputs are float32 data, so the product's error is at most
-    dim * 2^-24 * |q| |x| for any summation order, and forming the distance
-    in float32 adds a few units in the last place of its terms; the
-    allowance is twice those worst cases, times a safety factor of 2.
+def _scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(float32 rows divided by a power of two so that the largest element is
+    in [0.5, 1), that power as float64).  The product of two such rows can
+    neither overflow nor lose more than rounding."""
+    top = np.abs(x).max(axis=1, initial=0.0).astype(np.float64)
+    power = np.ldexp(1.0, np.frexp(top)[1])
+    return (x / power[:, None]).astype(np.float32), power
+
+
+def np_bounds(metric: str, q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(Q x B) matrices that enclose the distances of finite rows: a fast
+    float32 product of scaled rows, less and plus its worst error.  For l2
+    they enclose the squared distance (same order, cheaper).
+
+    The rows are float32 data, so the product of scaled rows is off by at
+    most dim * 2^-24 * |q| |x| for any summation order; the norms are float64.
+    The allowance is four times that.  Everything else is float64, which
+    neither overflows nor vanishes for float32 data.
     """
     dim = q.shape[1]
-    q32 = q.astype(np.float32, copy=False)
-    x32 = x.astype(np.float32, copy=False)
-    g = q32 @ x32.T
-    u = 2.0 ** -24
-    unit = 4.0 * dim * u
-    qn2 = np.einsum("ij,ij->i", q32, q32, dtype=np.float64)
-    xn2 = np.einsum("ij,ij->i", x32, x32, dtype=np.float64)
-    qn = np.sqrt(qn2)
-    xmax2 = xn2.max(initial=0.0)
-    xmax = np.sqrt(xmax2)
+    qs, qp = _scaled(np.asarray(q, np.float64))
+    xs, xp = _scaled(np.asarray(x, np.float64))
+    qn = np.sqrt(np.einsum("ij,ij->i", qs, qs, dtype=np.float64))
+    xn = np.sqrt(np.einsum("ij,ij->i", xs, xs, dtype=np.float64))
+    g = (qs @ xs.T).astype(np.float64)
+    unit = 4.0 * max(dim, 1) * 2.0 ** -24
+    if metric == "cosine":
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d = 1.0 - g / (qn[:, None] * xn[None, :])
+        zero = (qn == 0)[:, None] | (xn == 0)[None, :]
+        d = np.where(zero, 1.0, d)
+        eps = np.where(zero, 0.0, 2.0 * unit)
+        return d - eps, d + eps
+    size = (qn * qp)[:, None] * (xn * xp)[None, :]
+    g *= qp[:, None]
+    g *= xp[None, :]
     if metric == "ip":
-        return -g, unit * qn * xmax + 1e-300
-    if metric == "l2":
-        sq = qn2.astype(np.float32)[:, None] + xn2.astype(np.float32)[None, :] - 2.0 * g
-        np.maximum(sq, 0.0, out=sq)
-        return sq, 2.0 * unit * qn * xmax + 16.0 * u * (qn2 + xmax2) + 1e-300
-    xn = np.sqrt(xn2).astype(np.float32)[None, :]
-    qf = qn.astype(np.float32)[:, None]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        cosd = np.float32(1.0) - g / (qf * xn)
-    cosd = np.where((qf == 0) | (xn == 0), np.float32(1.0), cosd)
-    return cosd, np.full(q.shape[0], unit + 16.0 * u)
+        eps = unit * size + 1e-300
+        return -g - eps, eps - g
+    both = ((qn * qp) ** 2)[:, None] + ((xn * xp) ** 2)[None, :]
+    d = both - 2.0 * g
+    eps = 2.0 * unit * size + 1e-13 * both + 1e-300
+    return d - eps, d + eps
+
+
+def searchable(v) -> Column:
+    """True for vectors that take part in a search: not NULL, and every
+    element a finite number (NULL, NaN and infinite elements have no place
+    in a stored vector).  The same rule holds in every form of search."""
+    v = _col(v)
+    return v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))

@@ -21,16 +21,16 @@ SCRUB_RULES = [
     ("conn", "(?iu)`user=[^`]*`", "`<conn>`"),
 ]
 
-# The same rules in RE2 syntax (for SQL engines with RE2, e.g. the oracle).
-SCRUB_RULES_RE2 = [
-    ("url", "postgres(?:ql)?://[^\\s'\"]+", "postgres://<redacted>"),
-    ("ip", "\\b\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}(?::\\d+)?\\b", "<ip>"),
-    ("host", "[a-zA-Z0-9][a-zA-Z0-9._-]*\\.(?:[a-zA-Z]{2,}|[a-zA-Z]+\\.[a-zA-Z]{2,})(?::\\d+)?", "<host>"),
-    ("conn", "(?i)`user=[^`]*`", "`<conn>`"),
-]
-
-# Fixed URL-password rule: scheme://user:password@ -> scheme://user:***@
-URL_PASSWORD = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#:@]*):[^/?#@]*@"
+# Fixed URL rules: an optional scheme, then the authority up to '/', '?' or
+# '#'; user information ends at the last '@' of it, the user at the first ':'.
+URL_AUTHORITY = r"^((?:[A-Za-z][A-Za-z0-9+.-]*:)?//)"
+URL_PASSWORD = URL_AUTHORITY + r"([^/?#:]*):[^/?#]*@"
+URL_USER = URL_AUTHORITY + r"([^/?#]*)@"
+URL_HOST = URL_AUTHORITY + r"(?:[^/?#]*@)?([^/?#]*)"
+BAD_USER = r"[^A-Za-z0-9._:~!$&'()*+,;=%@-]"
+BAD_PORT = r"^[^\[].*:[^:]*[^0-9:][^:]*$|^:[^:]*[^0-9:][^:]*$"
+BAD_BRACKET = r"^\[([^\]]*$|.*\][^\]]*[^0-9:\]][^\]]*$|.*\][0-9])"
+BAD_HOST = r"[ \\^`{|}]"
 URL_BAD = r"[\x00-\x1f\x7f]|%(?![0-9A-Fa-f]{2})"
 URL_NO_SCHEME = r"^[^/?#]*:"
 URL_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
@@ -58,9 +58,15 @@ def scrub_stages(text) -> list[tuple[str, Column, Column]]:
 
 
 def redact_url(url) -> Column:
-    """Keep the user, replace a password by ***; text that is not a
-    URL (control characters, broken % escapes, a colon before any '/', '?'
-    or '#' without a valid scheme) -> '<redacted>'; no password -> unchanged."""
+    """The password becomes ***, the user stays (an '@' in it escaped).
+    Text that is no URL -> '<redacted>': control characters, broken % escapes,
+    a colon before any '/', '?' or '#' without a valid scheme, user information
+    or a host with characters that cannot stand there, a port that is no
+    number.  Without a password the text is unchanged."""
     u = _c(url)
-    bad = u.rlike(URL_BAD) | (u.rlike(URL_NO_SCHEME) & ~u.rlike(URL_SCHEME))
-    return F.when(bad, F.lit("<redacted>")).otherwise(F.regexp_replace(u, URL_PASSWORD, "$1:***@"))
+    user, host = F.regexp_extract(u, URL_USER, 2), F.regexp_extract(u, URL_HOST, 2)
+    bad = (u.rlike(URL_BAD) | (u.rlike(URL_NO_SCHEME) & ~u.rlike(URL_SCHEME)) | user.rlike(BAD_USER)
+           | host.rlike(BAD_PORT) | host.rlike(BAD_BRACKET) | host.rlike(BAD_HOST))
+    hidden = F.concat(F.regexp_extract(u, URL_PASSWORD, 1), F.replace(F.regexp_extract(u, URL_PASSWORD, 2), F.lit("@"), F.lit("%40")),
+                      F.lit(":***@"), F.regexp_replace(u, URL_PASSWORD, ""))
+    return F.when(bad, F.lit("<redacted>")).when(u.rlike(URL_PASSWORD), hidden).otherwise(u)

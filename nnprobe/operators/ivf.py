@@ -1,15 +1,15 @@
 """Inverted-file index (K6-K8).
 
 Build: centroids (``sample``: the first ``lists`` vectors in md5 order,
-reproducible in SQL; ``kmeans``: MLlib k-means on a bounded hash sample),
+reproducible in SQL; ``kmeans``: MLlib k-means over all rows),
 every row assigned to its nearest centroid by the block kernel, and the
 table written partitioned by ``list_id`` into the shared folder.
 
-Search at effort ``nprobe``: centroids ranked per query, the probed lists
-become a boolean (query x list) mask inside the same block kernel used for
-exact search, and the scan of the index table is pruned to lists that any
-query probes (dynamic partition pruning through a semi join).  With
-``nprobe = lists`` the result equals exact search.
+Search at effort ``nprobe``: centroids ranked per query; the kernel of exact
+search multiplies the rows of a list with only the queries that probe it, so
+the work falls with the effort; the scan of the index table is pruned to the
+lists that any query probes.  With ``nprobe = lists`` the result equals exact
+search.
 
 For cosine and ip, training, assignment and probing use V5-normalised
 vectors under l2; candidates are always re-ranked with the true metric.
@@ -21,20 +21,20 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nnprobe.functions.distance import check_metric, normalize
+from nnprobe.functions.distance import check_metric, normalize, searchable
 from nnprobe.operators.kernel import (ASSIGN_CARRY_SCHEMA, ASSIGN_SCHEMA, TOPK_SCHEMA, nearest_centroid,
                                       topk_per_partition)
 from nnprobe.operators import knn
 from nnprobe.operators.knn import _base, query_matrix, rank_topk
 from nnprobe.operators.sampling import DEFAULT_SEED, sample_key, smallest_by_key
-from nnprobe.session import scratch_path
+from nnprobe.session import scratch_path, stored
 
 # Fixed limits.
 MAX_CENTROID_BYTES = 256 * 1024 * 1024
-TRAIN_ROWS_PER_LIST = 256
 
 
 def default_lists(rows: int) -> int:
@@ -62,22 +62,19 @@ def train_sample(base: DataFrame, lists: int, metric: str = "cosine", seed: int
 
 def train_kmeans(base: DataFrame, lists: int, metric: str = "cosine", seed: int = DEFAULT_SEED,
                  id_col: str = "id", vec_col: str = "embedding", max_iter: int = 20) -> DataFrame:
-    """MLlib k-means on at most TRAIN_ROWS_PER_LIST * lists hash-sampled rows."""
+    """MLlib k-means over all searchable rows; only the centroids leave the executors."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     check_metric(metric)
-    b = _base(base, id_col, vec_col)
-    rows = b.count()
-    frac = min(1.0, TRAIN_ROWS_PER_LIST * lists / max(rows, 1))
-    cut = F.conv(F.substring(sample_key("id", seed, "train"), 1, 8), 16, 10).cast("bigint")
-    train = b.where(cut < F.lit(int(frac * 16 ** 8) + 1)) if frac < 1.0 else b
-    feats = train.select(array_to_vector(_prepared(F.col("v"), metric)).alias("features"))
+    b = _base(base, id_col, vec_col).where(searchable("v"))
+    feats = b.select(array_to_vector(_prepared(F.col("v"), metric)).alias("features"))
     model = KMeans(k=lists, seed=seed, maxIter=max_iter, initMode="k-means||").fit(feats)
-    centers = np.array(model.clusterCenters(), dtype=np.float64)
-    spark = base.sparkSession
-    pdf_rows = [(i, [float(x) for x in c.astype(np.float32)]) for i, c in enumerate(centers)]
-    return spark.createDataFrame(pdf_rows, "list_id int, c array<float>").checkpoint(eager=True)
+    centers = np.array(model.clusterCenters(), dtype=np.float32)
+    flat = pa.array(centers.reshape(-1), pa.float32())
+    offsets = pa.array(np.arange(len(centers) + 1, dtype=np.int32) * (centers.shape[1] if len(centers) else 0))
+    table = pa.table({"list_id": pa.array(range(len(centers)), pa.int32()), "c": pa.ListArray.from_arrays(offsets, flat)})
+    return base.sparkSession.createDataFrame(table).checkpoint(eager=True)
 
 
 def centroid_matrix(centroids: DataFrame):
@@ -85,7 +82,7 @@ def centroid_matrix(centroids: DataFrame):
     lid = tbl.column("list_id").to_numpy().astype(np.int64)
     arr = tbl.column("c").combine_chunks()
     dim = int(arr.value_lengths().to_numpy()[0]) if len(lid) else 0
-    mat = arr.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lid), dim)
+    mat = arr.values.to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(lid), dim)
     return lid, mat, dim
 
 
@@ -95,7 +92,7 @@ def centroid_slices(centroids: DataFrame, max_bytes: int | None = None) -> list[
     max_bytes = max_bytes or MAX_CENTROID_BYTES
     st = centroids.agg(F.count("*").alias("n"), F.max(F.size("c")).alias("dim"),
                        F.min("list_id").alias("lo"), F.max("list_id").alias("hi")).first()
-    per = max(1, max_bytes // max(int(st["dim"] or 0) * 8, 1))
+    per = max(1, max_bytes // max(int(st["dim"] or 0) * 4, 1))
     if not st["n"] or st["n"] <= per:
         return [centroids]
     return [centroids.where((F.col("list_id") >= a) & (F.col("list_id") < a + per))
@@ -107,48 +104,33 @@ def assign(base: DataFrame, centroids: DataFrame, metric: str = "cosine",
     """Every row's nearest centroid: (id, list_id, list_distance), plus the
     stored vector ``v`` when ``carry`` (for writing the index in one pass).
 
-    The centroid matrix is broadcast when it fits MAX_CENTROID_BYTES.  Beyond
-    that it is split into slices: one kernel pass per slice gives each row's
-    best centroid within the slice, and a min over (distance, list_id) per
-    row picks the overall one (a shuffle of rows x slices small records)."""
-    spark = base.sparkSession
-    b = _base(base, id_col, vec_col)
+    Slices of the centroid matrix of at most MAX_CENTROID_BYTES are broadcast
+    one after another; the rows pass through one kernel per slice within the
+    same task and carry their best list so far, so nothing is shuffled and
+    rows that share an id stay apart."""
+    sc = base.sparkSession.sparkContext
+    rows = _base(base, id_col, vec_col).select("id", "v")
     norm_rows = metric in ("cosine", "ip")           # V5 applied inside the kernel
     slices = centroid_slices(centroids)
-    if len(slices) == 1:
-        lid, mat, dim = centroid_matrix(centroids)
-        bc = spark.sparkContext.broadcast({"list_id": lid, "mat": mat})
-        if carry:
-            fn = nearest_centroid(bc, "l2", dim, "id", "v", carry_col="v", normalize_rows=norm_rows)
-            return b.select("id", "v").mapInArrow(fn, ASSIGN_CARRY_SCHEMA)
-        fn = nearest_centroid(bc, "l2", dim, "id", "v", normalize_rows=norm_rows)
-        return b.select("id", "v").mapInArrow(fn, ASSIGN_SCHEMA)
-    parts = []
-    for sl in slices:
-        lid, mat, dim = centroid_matrix(sl)
-        bc = spark.sparkContext.broadcast({"list_id": lid, "mat": mat})
-        fn = nearest_centroid(bc, "l2", dim, "id", "v", normalize_rows=norm_rows)
-        parts.append(b.select("id", "v").mapInArrow(fn, ASSIGN_SCHEMA))
-    allp = parts[0]
-    for x in parts[1:]:
-        allp = allp.unionByName(x)
-    best = (allp.groupBy("id").agg(F.min(F.struct("list_distance", "list_id")).alias("_b"))
-            .select("id", F.col("_b.list_id").alias("list_id"), F.col("_b.list_distance").alias("list_distance")))
-    if carry:
-        best = best.join(b.select("id", "v"), "id")
-    return best
+    for at, part in enumerate(slices):
+        lid, mat, dim = centroid_matrix(part)
+        bc = sc.broadcast({"list_id": lid, "mat": mat})
+        keep = carry or at < len(slices) - 1
+        fn = nearest_centroid(bc, dim, "id", "v", carry_col="v" if keep else None, normalize_rows=norm_rows, so_far=at > 0)
+        rows = rows.mapInArrow(fn, ASSIGN_CARRY_SCHEMA if keep else ASSIGN_SCHEMA)
+    return rows
 
 
 @dataclass
 class IvfIndex:
     path: str
+    centroids_path: str
     metric: str
     lists: int
     centroids: DataFrame
 
     def manifest(self, spark, table: str, column: str, name: str | None = None) -> DataFrame:
-        """P5 manifest row: (index_name, kind, table, columns, metric, lists,
-        size_bytes, created_at, definition)."""
+        """P5 manifest row: what ``index_lookup`` finds and ``open_index`` opens."""
         from nnprobe.operators.profile import stored_size
         size = stored_size(self.table(spark)).select("table_size_bytes")
         opclass = {"cosine": "vector_cosine_ops", "l2": "vector_l2_ops", "ip": "vector_ip_ops"}[self.metric]
@@ -158,13 +140,19 @@ class IvfIndex:
             F.array(F.lit(column)).alias("columns"), F.lit(self.metric).alias("metric"),
             F.lit(self.lists).cast("int").alias("lists"), F.col("table_size_bytes").alias("size_bytes"),
             F.current_timestamp().alias("created_at"),
-            F.lit(f"USING ivfflat ({column} {opclass}) WITH (lists='{self.lists}')").alias("definition"))
+            F.lit(f"USING ivfflat ({column} {opclass}) WITH (lists='{self.lists}')").alias("definition"),
+            F.lit(self.path).alias("path"), F.lit(self.centroids_path).alias("centroids_path"))
 
     def table(self, spark) -> DataFrame:
         return spark.read.parquet(self.path)
 
-    def assignment(self, spark) -> DataFrame:
-        return self.table(spark).select("id", "list_id")
+
+def open_index(spark, found) -> IvfIndex:
+    """The index a manifest row (of any session) points to."""
+    if not found["path"]:
+        raise ValueError("no stored index was found")
+    return IvfIndex(path=found["path"], centroids_path=found["centroids_path"], metric=found["metric"],
+                    lists=int(found["lists"]), centroids=spark.read.parquet(found["centroids_path"]))
 
 
 def build_index(base: DataFrame, centroids: DataFrame, metric: str = "cosine",
@@ -181,14 +169,8 @@ def build_index(base: DataFrame, centroids: DataFrame, metric: str = "cosine",
     # holds a large share of the rows over several writer tasks (no sampling
     # pass, unlike range partitioning, which would rerun the kernel)
     rows.hint("rebalance", "list_id").write.mode("overwrite").partitionBy("list_id").parquet(path)
-    n = centroids.count()
-    cents = spark.read.parquet(_save(centroids, scratch_path(spark, "centroids")))
-    return IvfIndex(path=path, metric=metric, lists=n, centroids=cents)
-
-
-def _save(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").parquet(path)
-    return path
+    kept, cents = stored(centroids, "centroids")
+    return IvfIndex(path=path, centroids_path=cents, metric=metric, lists=kept.count(), centroids=kept)
 
 
 def probe_ranks(queries: DataFrame, centroids: DataFrame, metric: str = "cosine",
@@ -205,33 +187,37 @@ def probe_ranks(queries: DataFrame, centroids: DataFrame, metric: str = "cosine"
     return r.select("qid", F.col("id").cast("int").alias("list_id"), F.col("rank").alias("probe_rank"))
 
 
-def search(spark, index: IvfIndex, queries: DataFrame, k: int, nprobe: int,
-           exclude_self: bool = True) -> DataFrame:
-    """K7: approximate top-k at effort nprobe; may return fewer than k rows."""
-    metric = index.metric
-    # queries x nprobe rows (bounded), read once per slice and for pruning
-    probes = probe_ranks(queries, index.centroids, metric, depth=nprobe).checkpoint(eager=True)
-    # the probed lists (at most `lists` ids) become a static partition
-    # filter: only their folders of the index are listed and read
-    probed = sorted(r.list_id for r in probes.select("list_id").distinct().collect())
-    tbl = index.table(spark).where(F.col("list_id").isin(probed))
+def probe_scan(spark, index: IvfIndex, queries: DataFrame, k: int, nprobe: int,
+               exclude_self: bool = True) -> DataFrame:
+    """The kernel's rows: candidates, and per task and query the rows compared."""
+    # queries x nprobe rows, read once per slice and for pruning
+    probes = probe_ranks(queries, index.centroids, index.metric, depth=nprobe).checkpoint(eager=True)
+    # only the folders of probed lists are read: the distinct lists prune the
+    # scan's partitions at run time (Spark plans that for a filtered side only)
+    probed = F.broadcast(probes.where(F.col("list_id") >= 0).select("list_id").distinct())       # at most one row per list
+    tbl = index.table(spark).join(probed, "list_id", "left_semi").select("id", "v", "list_id")
     sc = spark.sparkContext
-    parts = []
-    for chunk in knn.query_chunks(queries):
+    cand = None
+    for chunk in knn.query_chunks(queries, extra=8 * nprobe):
         qid, mat, dim = query_matrix(chunk)
-        # the probe mask of this slice only: bounded by slice x nprobe
-        pt = probes.join(F.broadcast(chunk.select("qid")), "qid").select("qid", "list_id").toArrow()
+        # the probes of this slice: at most slice x nprobe rows, bounded like the slice
+        pt = probes.join(F.broadcast(chunk.select("qid")), "qid", "left_semi").select("qid", "list_id").toArrow()
+        lists = pt.column("list_id").to_numpy().astype(np.int64)
         order = np.argsort(qid)
-        rows_ = order[np.searchsorted(qid[order], pt.column("qid").to_numpy())]
-        allowed = np.zeros((len(qid), max(index.lists, 1)), bool)
-        allowed[rows_, pt.column("list_id").to_numpy().astype(np.int64)] = True
-        bc = sc.broadcast({"qid": qid, "mat": mat, "allowed": allowed})
-        fn = topk_per_partition(bc, metric, k, exclude_self, dim, "id", "v", list_col="list_id")
-        parts.append(tbl.select("id", "v", "list_id").mapInArrow(fn, TOPK_SCHEMA))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    return rank_topk(cand, k)
+        at = order[np.searchsorted(qid[order], pt.column("qid").to_numpy())]
+        by = np.argsort(lists, kind="stable")
+        offsets = np.searchsorted(lists[by], np.arange(index.lists + 1))
+        bc = sc.broadcast({"qid": qid, "mat": mat, "members": at[by].astype(np.int32), "offsets": offsets})
+        fn = topk_per_partition(bc, index.metric, k, exclude_self, dim, "id", "v", list_col="list_id")
+        part = tbl.mapInArrow(fn, TOPK_SCHEMA)
+        cand = part if cand is None else cand.unionByName(part)
+    return cand
+
+
+def search(spark, index: IvfIndex, queries: DataFrame, k: int, nprobe: int,
+           exclude_self: bool = True) -> DataFrame:
+    """K7: approximate top-k at effort nprobe; may return fewer than k rows."""
+    return rank_topk(probe_scan(spark, index, queries, k, nprobe, exclude_self).where(F.col("id").isNotNull()), k)
 
 
 def assignment_table(base: DataFrame, centroids: DataFrame, metric: str = "cosine",
@@ -239,10 +225,7 @@ def assignment_table(base: DataFrame, centroids: DataFrame, metric: str = "cosin
     """The assignment written once to the shared folder and read back: one
     kernel pass over the table serves every later use, and the written
     table cuts the lineage."""
-    spark = base.sparkSession
-    path = scratch_path(spark, "assign")
-    assign(base, centroids, metric, id_col, vec_col).select("id", "list_id").write.parquet(path)
-    return spark.read.parquet(path)
+    return stored(assign(base, centroids, metric, id_col, vec_col).select("id", "list_id"), "assign")[0]
 
 
 def list_sizes(assignment: DataFrame) -> DataFrame:

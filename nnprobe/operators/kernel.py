@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from nnprobe.functions.distance import np_approx, np_exact, np_normalize
+from nnprobe.functions.distance import np_bounds, np_exact, np_normalize
 
 # Rows x queries per sub-block; bounds the float64 scratch to ~32 MB.
 BLOCK_CELLS = 4_000_000
@@ -22,15 +22,19 @@ BLOCK_CELLS = 4_000_000
 # set large; re-scoring in chunks keeps memory bounded).
 PAIR_CELLS = 4_000_000
 
-TOPK_SCHEMA = "qid long, id long, distance double"
+# Candidates kept before they are cut back to the best k per query.
+MERGE_ROWS = 200_000
+
+# A row is a candidate, or (id NULL) the number of rows compared with a query.
+TOPK_SCHEMA = "qid long, id long, distance double, compared long"
 ASSIGN_SCHEMA = "id long, list_id int, list_distance double"
 ASSIGN_CARRY_SCHEMA = "id long, list_id int, list_distance double, v array<float>"
 
 
 def vectors_from_arrow(arr, dim: int):
     """(row_index, float32 matrix) for rows whose vector is non-NULL, of
-    length ``dim`` and free of NULL/NaN elements; other rows are skipped.
-    (The data are FLOAT; the exact re-score widens to double.)"""
+    length ``dim`` and of finite elements (``searchable``); other rows are
+    skipped.  (The data are FLOAT; the exact re-score widens to double.)"""
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
     n = len(arr)
@@ -67,111 +71,150 @@ def _keep_best(q, ids, d, k):
     return q[keep], ids[keep], d[keep]
 
 
+class _Best:
+    """The best k rows of every query so far, and how far the worst of them lies."""
+
+    def __init__(self, metric: str, nq: int, k: int):
+        self.metric, self.k = metric, k
+        self.q, self.id, self.d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.new: list[tuple] = []
+        self.held = 0
+        self.worst = np.full(nq, np.inf)          # in the kernel's terms: l2 squared
+
+    def add(self, q, ids, d):
+        self.new.append((q, ids, d))
+        self.held += len(q)
+        if self.held >= MERGE_ROWS:
+            self.merge()
+
+    def merge(self):
+        if not self.new:
+            return
+        parts = [(self.q, self.id, self.d), *self.new]
+        self.q, self.id, self.d = _keep_best(*(np.concatenate([p[i] for p in parts]) for i in range(3)), self.k)
+        self.new, self.held = [], 0
+        last = np.r_[self.q[1:] != self.q[:-1], True] if len(self.q) else np.zeros(0, bool)
+        ends = np.nonzero(last)[0]
+        full = np.diff(np.r_[-1, ends]) >= self.k
+        far = self.d[ends[full]]
+        self.worst[self.q[ends[full]]] = far * far * (1 + 1e-9) if self.metric == "l2" else far
+
+
 def topk_per_partition(bc, metric: str, k: int, exclude_self: bool, dim: int,
                        id_col: str, vec_col: str, list_col: str | None = None):
-    """mapInArrow function: per partition, the k nearest rows to every query.
+    """mapInArrow function: per partition, the k nearest rows to every query,
+    and the number of rows compared with it.
 
-    ``bc.value`` holds ``qid`` (Q,), ``mat`` (Q, dim) float64 and optionally
-    ``allowed`` (Q, lists) bool: a row of list l is a candidate for query q
-    only if allowed[q, l] (the inverted-file probe set).
+    ``bc.value`` holds ``qid`` (Q,) and ``mat`` (Q, dim).  For an inverted
+    file it also holds ``offsets`` and ``members``: the queries that probe
+    list l are members[offsets[l]:offsets[l + 1]], and the rows of a list
+    meet only those.
     """
 
     def run(batches):
         payload = bc.value
-        qid = payload["qid"]
-        qm = payload["mat"]
-        allowed = payload.get("allowed")
-        nq = len(qid)
-        sub = max(1, BLOCK_CELLS // max(nq, 1))
-        bq = np.zeros(0, np.int64)
-        bid = np.zeros(0, np.int64)
-        bd = np.zeros(0)
-        for batch in batches:
-            if batch.num_rows == 0 or nq == 0:
-                continue
-            ids_all = batch.column(id_col).to_numpy(zero_copy_only=False)
-            rows, x_all = vectors_from_arrow(batch.column(vec_col), dim)
-            if list_col is not None:
-                lists_all = batch.column(list_col).to_numpy(zero_copy_only=False)
-            for s in range(0, len(rows), sub):
-                r = rows[s:s + sub]
-                x = x_all[s:s + sub]
-                ids = ids_all[r].astype(np.int64)
-                approx, eps = np_approx(metric, qm, x)
-                blocked = np.zeros(approx.shape, bool)
+        qid, qm = payload["qid"], payload["mat"]
+        usable = np.isfinite(qm).all(axis=1)
+        best = _Best(metric, len(qid), k)
+        compared = np.zeros(len(qid), np.int64)
+
+        def meet(at, x, ids):
+            sub = max(1, BLOCK_CELLS // max(len(at), 1))
+            for s in range(0, len(x), sub):
+                xs, some = x[s:s + sub], ids[s:s + sub]
+                lo, hi = np_bounds(metric, qm[at], xs)
+                compared[at] += len(xs)
                 if exclude_self:
-                    blocked |= ids[None, :] == qid[:, None]
-                if allowed is not None:
-                    blocked |= ~allowed[:, lists_all[r].astype(np.int64)]
-                approx = np.where(blocked, np.inf, approx)
-                kk = min(k, approx.shape[1])
-                thr = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
-                mask = np.isfinite(approx) & (approx <= (thr + eps)[:, None])
-                qi, bi = np.nonzero(mask)
+                    own = some[None, :] == qid[at][:, None]
+                    compared[at] -= own.sum(axis=1)
+                    lo[own] = np.inf
+                    hi[own] = np.inf
+                kk = min(k, lo.shape[1])
+                limit = np.minimum(np.partition(hi, kk - 1, axis=1)[:, kk - 1], best.worst[at])
+                qi, bi = np.nonzero((lo <= limit[:, None]) & (lo < np.inf))
                 step = max(1, PAIR_CELLS // max(dim, 1))
                 for c0 in range(0, len(qi), step):
-                    qs, bs = qi[c0:c0 + step], bi[c0:c0 + step]
-                    exact = np_exact(metric, qm[qs], x[bs])
-                    bq = np.concatenate([bq, qs.astype(np.int64)])
-                    bid = np.concatenate([bid, ids[bs]])
-                    bd = np.concatenate([bd, exact])
-                    bq, bid, bd = _keep_best(bq, bid, bd, k)
-        if len(bq):
+                    qs, bs = at[qi[c0:c0 + step]], bi[c0:c0 + step]
+                    best.add(qs, some[bs], np_exact(metric, qm[qs], xs[bs]))
+
+        for batch in batches:
+            if batch.num_rows == 0 or not usable.any():
+                continue
+            rows, x = vectors_from_arrow(batch.column(vec_col), dim)
+            ids = batch.column(id_col).to_numpy(zero_copy_only=False)[rows].astype(np.int64)
+            if list_col is None:
+                meet(np.nonzero(usable)[0], x, ids)
+            else:
+                lists = batch.column(list_col).to_numpy(zero_copy_only=False)[rows].astype(np.int64)
+                order = np.argsort(lists, kind="stable")
+                cuts = np.nonzero(np.diff(lists[order]))[0] + 1
+                for part in np.split(order, cuts):
+                    if len(part):
+                        one = lists[part[0]]
+                        at = payload["members"][payload["offsets"][one]:payload["offsets"][one + 1]]
+                        at = at[usable[at]]
+                        if len(at):
+                            meet(at, x[part], ids[part])
+            best.merge()
+        n, m = len(best.q), len(qid)
+        if n or m:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(qid[bq], pa.int64()), pa.array(bid, pa.int64()),
-                 pa.array(bd, pa.float64())], names=["qid", "id", "distance"])
+                [pa.array(np.r_[qid[best.q], qid], pa.int64()),
+                 pa.array(np.r_[best.id, np.zeros(m, np.int64)], pa.int64(), mask=np.r_[np.zeros(n, bool), np.ones(m, bool)]),
+                 pa.array(np.r_[best.d, np.zeros(m)], pa.float64(), mask=np.r_[np.zeros(n, bool), np.ones(m, bool)]),
+                 pa.array(np.r_[np.zeros(n, np.int64), compared], pa.int64())],
+                names=["qid", "id", "distance", "compared"])
 
     return run
 
 
-def nearest_centroid(bc, metric: str, dim: int, id_col: str, vec_col: str, carry_col: str | None = None,
-                     normalize_rows: bool = False):
-    """mapInArrow function: every row's closest centroid, ties to the
+def nearest_centroid(bc, dim: int, id_col: str, vec_col: str, carry_col: str | None = None,
+                     normalize_rows: bool = False, so_far: bool = False):
+    """mapInArrow function: every row's closest centroid by l2, ties to the
     smaller list id.  ``bc.value`` holds ``list_id`` (L,) and ``mat`` (L, dim).
     ``carry_col`` is passed through unchanged as ``v`` (the stored vector), so
     no join back is needed.  ``normalize_rows`` applies V5 to the rows here
-    (numpy, bit-equal to the Spark expression) instead of in the plan."""
+    (numpy, bit-equal to the Spark expression) instead of in the plan.  With
+    ``so_far`` the input holds list_id and list_distance of an earlier slice
+    of the centroids, and the better of the two is kept."""
 
     def run(batches):
         payload = bc.value
-        lid = payload["list_id"]
-        cm = payload["mat"]
+        lid, cm = payload["list_id"], payload["mat"]
         nl = len(lid)
         sub = max(1, BLOCK_CELLS // max(nl, 1))
         for batch in batches:
-            ids_all = batch.column(id_col).to_numpy(zero_copy_only=False)
             rows, x_all = vectors_from_arrow(batch.column(vec_col), dim)
             if normalize_rows and len(rows):
                 x_all = np_normalize(x_all)
             for s in range(0, len(rows), sub):
-                r = rows[s:s + sub]
-                x = x_all[s:s + sub]
+                r, x = rows[s:s + sub], x_all[s:s + sub]
                 if len(r) == 0 or nl == 0:
                     continue
-                approx, eps = np_approx(metric, x, cm)      # (B, L)
-                best = approx.min(axis=1)
-                bi_all, li_all = np.nonzero(approx <= (best + eps)[:, None])
+                lo, hi = np_bounds("l2", x, cm)
+                bi_all, li_all = np.nonzero(lo <= hi.min(axis=1)[:, None])
                 step = max(1, PAIR_CELLS // max(dim, 1))
-                kb = np.zeros(0, np.int64)
-                kl = np.zeros(0, np.int64)
-                kd = np.zeros(0)
+                kb, kl, kd = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
                 for c0 in range(0, len(bi_all), step):      # tied centroids: chunked
                     bs, ls = bi_all[c0:c0 + step], li_all[c0:c0 + step]
                     kb = np.concatenate([kb, bs])
-                    kl = np.concatenate([kl, ls])
-                    kd = np.concatenate([kd, np_exact(metric, x[bs], cm[ls])])
-                    order = np.lexsort((lid[kl], kd, kb))
+                    kl = np.concatenate([kl, lid[ls]])
+                    kd = np.concatenate([kd, np_exact("l2", x[bs], cm[ls])])
+                    order = np.lexsort((kl, kd, kb))
                     kb, kl, kd = kb[order], kl[order], kd[order]
                     first = np.r_[True, kb[1:] != kb[:-1]]
                     kb, kl, kd = kb[first], kl[first], kd[first]
-                bi, li, exact = kb, kl, kd
-                cols = [pa.array(ids_all[r][bi].astype(np.int64), pa.int64()),
-                        pa.array(lid[li].astype(np.int32), pa.int32()),
-                        pa.array(exact, pa.float64())]
+                at = pa.array(r[kb])
+                if so_far:
+                    old_d = batch.column("list_distance").take(at).to_numpy(zero_copy_only=False)
+                    old_l = batch.column("list_id").take(at).to_numpy(zero_copy_only=False).astype(np.int64)
+                    keep = (old_d < kd) | ((old_d == kd) & (old_l < kl))
+                    kd, kl = np.where(keep, old_d, kd), np.where(keep, old_l, kl)
+                cols = [batch.column(id_col).take(at).cast(pa.int64()), pa.array(kl.astype(np.int32), pa.int32()),
+                        pa.array(kd, pa.float64())]
                 names = ["id", "list_id", "list_distance"]
                 if carry_col is not None:
-                    carried = batch.column(carry_col).take(pa.array(r[bi]))
-                    cols.append(carried.cast(pa.list_(pa.float32())))
+                    cols.append(batch.column(carry_col).take(at).cast(pa.list_(pa.float32())))
                     names.append("v")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 

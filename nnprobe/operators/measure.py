@@ -1,10 +1,10 @@
 """Measurement statistics (M1-M12) over tables of timed queries.
 
 Measurement rows: ``run_id, phase, level, worker, seq, started_us, ended_us,
-dur_ms`` (plus ``warmup``).  Exact percentiles use Spark's ``percentile``
-aggregate (linear interpolation at p*(n-1), as the reference), whose
-partial/final buffers are value->count maps: their size is bounded by the
-number of distinct quantised durations, not by the number of rows.
+dur_ms`` (plus ``warmup``).  Exact percentiles interpolate linearly at
+p * (n - 1), as the reference does; equal durations are counted first and
+ranked by ranges (``ranking.grouped_percentiles``), so neither a level nor a
+phase is ever one task.  NULL levels and phases are groups of their own.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nnprobe.operators.ranking import positions
+from nnprobe.operators.ranking import grouped_percentiles, join_keys, positions, running
+from nnprobe.session import stored
 
 # Fixed values of the reference's statistics.
 PERCENTILES = (0.5, 0.95, 0.99)
@@ -52,38 +53,21 @@ def from_events(ev: DataFrame, run_id: str = "events") -> DataFrame:
 def with_warmup(m: DataFrame, group: str = "level", warmup: int = WARMUP) -> DataFrame:
     """M9: flag the first min(warmup, n) rows of each group by seq.
 
-    Top-``warmup`` per group is a bounded window limit (partial limit before
-    the shuffle), then its largest seq is the cut.  When that limit would
-    merge more than SINGLE_MERGE_ROWS rows (partitions x warmup) in one task
-    per group, distributed positions are used instead."""
-    from nnprobe.operators.sampling import SINGLE_MERGE_ROWS
-    if m.rdd.getNumPartitions() * warmup > SINGLE_MERGE_ROWS:
-        p = positions(m.select(group, "seq"), group, "seq", "_pos")
-        cut = p.where(F.col("_pos") <= warmup).groupBy(group).agg(F.max("seq").alias("_cut"))
-        return (m.join(cut, group, "left")
-                .withColumn("warmup", F.coalesce(F.col("seq") <= F.col("_cut"), F.lit(False)))
-                .drop("_cut"))
+    Top-``warmup`` per group is a bounded window limit (every map task keeps
+    at most ``warmup`` rows of a group), then its largest seq is the cut."""
     w = Window.partitionBy(group).orderBy("seq")
     first = m.select(group, "seq").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= warmup)
     cut = first.groupBy(group).agg(F.max("seq").alias("_cut"))
-    return (m.join(cut, group, "left")
-            .withColumn("warmup", F.coalesce(F.col("seq") <= F.col("_cut"), F.lit(False)))
-            .drop("_cut"))
-
-
-def _pcts(col: str, ps=PERCENTILES, freq=None):
-    arr = F.array(*[F.lit(p) for p in ps])
-    return F.percentile(F.col(col), arr, freq) if freq is not None else F.percentile(F.col(col), arr)
+    return (join_keys(m, cut, [group], "left")
+            .withColumn("warmup", F.coalesce(F.col("seq") <= F.col("_cut"), F.lit(False))).drop("_cut"))
 
 
 def latency_summary(m: DataFrame, group=("run_id", "phase")) -> DataFrame:
     """M1-M2: count, mean, p50, p95, p99 per group (0 when empty)."""
-    g = m.groupBy(*group).agg(F.count("dur_ms").alias("count"), F.avg("dur_ms").alias("mean_ms"),
-                              _pcts("dur_ms").alias("_p"))
-    return g.select(*group, "count",
-                    F.coalesce("mean_ms", F.lit(0.0)).alias("mean_ms"),
-                    *[F.coalesce(F.col("_p")[i], F.lit(0.0)).alias(n)
-                      for i, n in enumerate(("p50_ms", "p95_ms", "p99_ms"))])
+    names, group = ("p50_ms", "p95_ms", "p99_ms"), list(group)
+    g = m.groupBy(*group).agg(F.count("dur_ms").alias("count"), F.avg("dur_ms").alias("mean_ms"))
+    g = join_keys(g, grouped_percentiles(m, group, "dur_ms", PERCENTILES, names), group, "left")
+    return g.select(*group, "count", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("mean_ms", *names)])
 
 
 def levels(m: DataFrame, run: str = "run_id") -> DataFrame:
@@ -93,8 +77,8 @@ def levels(m: DataFrame, run: str = "run_id") -> DataFrame:
     agg = m.groupBy(run, "level").agg(
         F.min("seq").alias("_first"), F.count_distinct("worker").cast("int").alias("concurrency"),
         F.count("*").alias("total_queries"),
-        ((F.max("ended_us") - F.min("started_us")) * 1000).alias("duration_ns"),
-        F.percentile("dur_ms", F.lit(0.95)).alias("p95_ms"))
+        ((F.max("ended_us") - F.min("started_us")) * 1000).alias("duration_ns"))
+    agg = join_keys(agg, grouped_percentiles(m, [run, "level"], "dur_ms", (0.95,), ("p95_ms",)), [run, "level"], "left")
     # one row per level from here on
     w = Window.partitionBy(run).orderBy("_first", "level")
     return (agg.withColumn("level_idx", (F.row_number().over(w) - 1).cast("int"))
@@ -129,41 +113,81 @@ def saturation(lv: DataFrame, run: str = "run_id") -> DataFrame:
                     F.coalesce("_sat", "peak_level").cast("int").alias("saturated_at")))
 
 
+BINS = 256             # slices of a group's sorted durations (running percentiles)
+MAX_BIN_ROWS = 200_000
+
+
 def running_percentiles(m: DataFrame, group: str = "level", ticks: int = TICKS) -> DataFrame:
     """M7: p50/p95 of all durations so far, every max(1, Q/ticks) queries and
     at the last one (``done`` = queries completed at the tick).
 
-    Rows are numbered per group (distributed), pre-aggregated to
-    (group, first tick, duration) -> count, and each pre-aggregate is counted
-    in every later tick; no group is sorted in one task.
+    Each row gets its tick (position by seq) and its bin (position by
+    duration).  Counts per (bin, tick) tell in which bin a tick's rank lies;
+    only that bin's rows are then ranked, so all ticks together look at about
+    as many rows as the table has.
     """
-    p = positions(m.select(group, "seq", "dur_ms"), group, "seq", "done")
-    tot = m.groupBy(group).agg(F.count("*").alias("q")) \
-        .withColumn("every", F.greatest(F.lit(1), F.floor(F.col("q") / ticks)).cast("long"))
-    # tick j sits at done = 1 + j*every; the last tick is at done = q
-    x = p.join(tot, group).withColumn(
-        "j0", F.ceil((F.col("done") - 1) / F.col("every")).cast("long"))
-    pre = x.groupBy(group, "q", "every", "j0", "dur_ms").agg(F.count("*").alias("cnt"))
-    jmax = F.floor((F.col("q") - 1) / F.col("every")).cast("long")
-    at = F.transform(F.sequence(F.col("j0"), F.greatest(F.col("j0"), jmax)),
-                     lambda j: F.least(F.lit(1) + j * F.col("every"), F.col("q")))
-    ticks_col = F.array_distinct(F.concat(at, F.array(F.col("q"))))
-    ex = pre.select(group, "dur_ms", "cnt", F.explode(ticks_col).alias("done"))
-    return (ex.groupBy(group, "done").agg(_pcts("dur_ms", (0.5, 0.95), F.col("cnt")).alias("_p"))
-            .select(group, "done", F.col("_p")[0].alias("p50_ms"), F.col("_p")[1].alias("p95_ms")))
+    p = positions(m.select(group, "seq", "dur_ms").where(F.col("dur_ms").isNotNull()), group, "seq", "done")
+    p = positions(p, group, ["dur_ms", "seq"], "by_value")
+    tot = (m.where(F.col("dur_ms").isNotNull()).groupBy(group).agg(F.count("*").alias("q"))
+           .withColumn("every", F.greatest(F.lit(1), F.floor(F.col("q") / ticks)).cast("long"))
+           .withColumn("width", F.least(F.ceil(F.col("q") / BINS), F.lit(MAX_BIN_ROWS))))
+    # tick j sits at done = 1 + j * every; the last tick is at done = q
+    x = join_keys(p, tot, [group]).select(
+        group, "dur_ms", "by_value", F.ceil((F.col("done") - 1) / F.col("every")).cast("long").alias("tick"),
+        F.floor((F.col("by_value") - 1) / F.col("width")).alias("bin"))
+    x, _ = stored(x, "ticks")
+    last = F.ceil((F.col("q") - 1) / F.col("every")).cast("long")
+    at = tot.select(group, "q", "every", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("tick"))
+    at = at.withColumn("done", F.least(1 + F.col("tick") * F.col("every"), F.col("q")))
+    # counts per (group, bin, tick), then of all rows up to each tick
+    cells = x.groupBy(group, "bin", F.col("tick").alias("first")).agg(F.count("*").alias("c"))
+    upto = (join_keys(at.select(group, "tick"), cells, [group]).where(F.col("first") <= F.col("tick"))
+            .groupBy(group, "tick", "bin").agg(F.sum("c").alias("c")))
+    w = Window.partitionBy(group, "tick").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    upto = upto.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
+    ranks = [F.struct(F.lit(n).alias("name"), f(F.lit(q) * (F.col("done") - 1)).cast("long").alias("rank"))
+             for q, names in ((0.5, ("f50", "g50")), (0.95, ("f95", "g95"))) for n, f in zip(names, (F.floor, F.ceil), strict=True)]
+    want = at.select(group, "tick", "done", F.explode(F.array(*ranks)).alias("r")).select(group, "tick", "done", "r.name", "r.rank")
+    found = (join_keys(want, upto, [group, "tick"])
+             .where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("c")))
+             .select(group, F.col("tick").alias("t"), "done", "name", "bin", (F.col("rank") - F.col("before") + 1).alias("nth")))
+    # the nth value of the bin among the rows up to the tick
+    rows = join_keys(found, x, [group, "bin"]).where(F.col("tick") <= F.col("t"))
+    nth = Window.partitionBy(group, "t", "name").orderBy("by_value")
+    value = (rows.withColumn("i", F.row_number().over(nth)).where(F.col("i") == F.col("nth"))
+             .groupBy(group, "done").agg(*[F.max(F.when(F.col("name") == n, F.col("dur_ms"))).alias(n)
+                                           for n in ("f50", "g50", "f95", "g95")]))
+
+    def between(q, f, g):
+        r = F.lit(q) * (F.col("done") - 1)
+        return F.col(f) * (1 - (r - F.floor(r))) + F.col(g) * (r - F.floor(r))
+
+    return value.select(group, "done", between(0.5, "f50", "g50").alias("p50_ms"), between(0.95, "f95", "g95").alias("p95_ms"))
 
 
 def running_qps(m: DataFrame, tick_ms: int = 200, group: str = "level") -> DataFrame:
-    """M8: completed so far / elapsed so far at each tick after the level
-    start (ticks without completions are not listed)."""
+    """M8: completed so far / elapsed so far at every tick from the level's
+    start to its last completion, ticks without completions included.
+
+    Totals at the ticks with completions come from range-wise sums; the ticks
+    up to the next of them repeat the total."""
     tick_us = int(tick_ms) * 1000
     start = m.groupBy(group).agg(F.min("started_us").alias("_s"))
-    t = (m.join(start, group)
+    t = (join_keys(m, start, [group])
          .withColumn("tick", F.greatest(F.lit(1), F.ceil((F.col("ended_us") - F.col("_s")) / tick_us)).cast("long"))
          .groupBy(group, "tick").agg(F.count("*").alias("completed")))
-    w = Window.partitionBy(group).orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
-    return (t.withColumn("cum_completed", F.sum("completed").over(w))
-            .withColumn("elapsed_s", F.col("tick") * (tick_ms / 1000.0))
+    t = running(t, [group], ["tick"], "completed", "before")
+    t = positions(t, group, "tick", "i")
+    nxt = t.select(group, (F.col("i") - 1).alias("i"), F.col("tick").alias("next"))
+    t = join_keys(t, nxt, [group, "i"], "left")
+    t = t.withColumn("at", F.explode(F.sequence(F.col("tick"), F.coalesce(F.col("next"), F.col("tick") + 1) - 1)))
+    first = F.col("at") == F.col("tick")
+    quiet = (start.join(t.groupBy(F.col(group).alias("_g")).agg(F.min("tick").alias("m")), F.col(group).eqNullSafe(F.col("_g")))
+             .where(F.col("m") > 1).select(group, F.explode(F.sequence(F.lit(1).cast("long"), F.col("m") - 1)).alias("tick"),
+                                           F.lit(0).cast("long").alias("completed"), F.lit(0).cast("long").alias("cum_completed")))
+    seen = t.select(group, F.col("at").alias("tick"), F.when(first, F.col("completed")).otherwise(F.lit(0)).alias("completed"),
+                    (F.col("before") + F.col("completed")).alias("cum_completed"))
+    return (seen.unionByName(quiet).withColumn("elapsed_s", F.col("tick") * (tick_ms / 1000.0))
             .withColumn("qps", F.col("cum_completed") / F.col("elapsed_s")))
 
 

@@ -89,6 +89,6 @@ def shape_row(dim, rows, metric, p95_ms, qps, recall, index_kind) -> list[Column
             rows_bucket(rows).alias("rows_bucket"),
             (F.lit(metric) if isinstance(metric, str) else metric).alias("metric"),
             F.format_string("%.1f", p95_ms).alias("p95"),
-            F.format_string("%.0f", qps).alias("qps"),
+            F.format_string("%.0f", F.bround(qps, 0)).alias("qps"),
             F.format_string("%.3f", recall).alias("recall"),
             (F.lit(index_kind) if isinstance(index_kind, str) else index_kind).alias("index")]

@@ -31,10 +31,6 @@ def profile(df: DataFrame, id_col: str = "id", vec_col: str = "embedding") -> Da
             .withColumn("dim_max", F.col("dim_max").cast("int")))
 
 
-def ragged_rows(df: DataFrame, vec_col: str, dim: int) -> DataFrame:
-    return df.where(F.col(vec_col).isNotNull() & (F.size(vec_col) != dim))
-
-
 def check_dimension(prof_row) -> int:
     """Raise when the table has more than one vector length."""
     if prof_row["dim_min"] != prof_row["dim_max"]:
@@ -63,7 +59,8 @@ def index_lookup(manifest: DataFrame, table: str, column: str) -> DataFrame:
     return (one.join(hit.drop("table"), F.lit(True), "left")
             .select("table", "column", "index_name",
                     F.coalesce("kind", F.lit("none")).alias("kind"),
-                    "metric", "lists", "size_bytes"))
+                    "metric", "lists", "size_bytes",
+                    *[F.col(c) if c in hit.columns else F.lit(None).cast("string").alias(c) for c in ("path", "centroids_path")]))
 
 
 def facts(prof: DataFrame, table: str, column: str, extra: dict | None = None) -> DataFrame:

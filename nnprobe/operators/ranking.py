@@ -1,63 +1,76 @@
-"""Positions within a key without sending a key's rows to one task.
+"""Positions and percentiles within a key, without sending a key to one task.
 
 ``row_number() OVER (PARTITION BY key ORDER BY seq)`` sorts every key inside
 a single task; with a handful of keys (levels, phases) one key can hold a
-third of the table.  Here the table is range-partitioned on (key, seq), each
-task numbers its own sorted slice, and a small table of per-(partition, key)
-counts gives each slice its offset.  Range bounds and slice contents depend
-only on the data, so a retried task numbers its rows the same way.
+third of the table.  Here the rows are range-partitioned on (key, order) and
+stored in the shared folder together with their partition number.  Windows
+then run per (partition, key), and a small table of per-partition counts
+gives each slice its offset.  Both read the stored split, so they agree
+whatever the planner reuses or retries; NULL keys are a key like any other.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def _local_positions(key: str):
-    def run(batches):
-        pid = TaskContext.get().partitionId()
-        last_key, carry = None, 0
-        for b in batches:
-            n = b.num_rows
-            if n == 0:
-                continue
-            k = b.column(key)
-            if n > 1:
-                same = pc.fill_null(pc.equal(k.slice(1), k.slice(0, n - 1)), False)
-                starts = np.r_[True, ~same.to_numpy(zero_copy_only=False)]
-            else:
-                starts = np.array([True])
-            run_id = np.cumsum(starts) - 1
-            first_idx = np.nonzero(starts)[0]
-            local = np.arange(n, dtype=np.int64) - first_idx[run_id]
-            if carry and k[0].as_py() == last_key:
-                local[run_id == 0] += carry
-            last_key = k[n - 1].as_py()
-            carry = int(local[-1]) + 1
-            yield b.append_column("_pid", pa.array(np.full(n, pid, np.int32))) \
-                   .append_column("_local", pa.array(local))
-    return run
-
-
-def positions(df: DataFrame, key: str, order: str, out: str = "position",
+
+from nnprobe.session import stored
+
+
+
+
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join that pairs NULL keys too; the keys of ``left`` stay."""
+    r = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & left[k].eqNullSafe(r[f"_r_{k}"])
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], weight: str | None = None, out: str = "before",
+            partitions: int | None = None) -> DataFrame:
+    """Adds ``out``: the rows (or the sum of ``weight``) of the key that come
+    before this row by ``order``, which must be unique within a key."""
+    p = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part, _ = stored(df.repartitionByRange(p, *keys, *order).withColumn("_pid", F.spark_partition_id()), "ranges")
+    w = F.col(weight) if weight else F.lit(1).cast("long")
+    zero = F.lit(0).cast("long")
+    by_part = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (part.groupBy("_pid", *keys).agg(F.sum(w).alias("_n"))
+               .select("_pid", *keys, F.coalesce(F.sum("_n").over(by_part), zero).alias("_off")))
+    here = Window.partitionBy("_pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = part.withColumn("_local", F.coalesce(F.sum(w).over(here), zero))
+    return (join_keys(local, offsets, ["_pid", *keys])
+            .withColumn(out, (F.col("_off") + F.col("_local")).cast("long")).drop("_pid", "_local", "_off"))
+
+
+def positions(df: DataFrame, key: str, order: str | list[str], out: str = "position",
               partitions: int | None = None) -> DataFrame:
     """Adds ``out`` = 1-based position of the row within ``key`` by ``order``
     (``order`` must be unique within a key)."""
-    spark = df.sparkSession
-    p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(p, key, order).sortWithinPartitions(key, order)
-    schema = T.StructType(list(df.schema.fields) + [
-        T.StructField("_pid", T.IntegerType(), False), T.StructField("_local", T.LongType(), False)])
-    numbered = r.mapInArrow(_local_positions(key), schema)
-    counts = numbered.groupBy("_pid", key).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", key, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return (numbered.join(offsets, ["_pid", key])
-            .withColumn(out, (F.col("_off") + F.col("_local") + 1).cast("long"))
-            .drop("_pid", "_local", "_off"))
+    order = [order] if isinstance(order, str) else order
+    return running(df, [key], order, out=out, partitions=partitions).withColumn(out, F.col(out) + 1)
+
+
+def grouped_percentiles(df: DataFrame, keys: list[str], col: str, ps, names) -> DataFrame:
+    """Exact percentiles (linear between ranks, p * (n - 1)) per key: one row
+    per key with the columns ``names``; NULL values do not count.  Equal
+    values are counted before the shuffle; each task ranks one range."""
+    c = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count("*").alias("_c"))
+    r = running(c, keys, [col], "_c", "_lo")
+    n = r.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    r = join_keys(r, n, keys)
+    picked = []
+    for i, p in enumerate(ps):
+        rank = F.lit(float(p)) * (F.col("_n") - 1)
+        for side, at in (("f", F.floor(rank)), ("g", F.ceil(rank))):
+            inside = (F.col("_lo") <= at) & (at < F.col("_lo") + F.col("_c"))
+            picked.append(F.max(F.when(inside, F.col(col))).alias(f"_{side}{i}"))
+    got = r.groupBy(*keys).agg(F.max("_n").alias("_n"), *picked)
+    out = []
+    for i, (p, name) in enumerate(zip(ps, names, strict=True)):
+        rank = F.lit(float(p)) * (F.col("_n") - 1)
+        part = rank - F.floor(rank)
+        out.append((F.col(f"_f{i}") * (1 - part) + F.col(f"_g{i}") * part).alias(name))
+    return got.select(*keys, *out)

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nnprobe.operators.ranking import grouped_percentiles, join_keys
+
 
 def efforts_frame(spark, efforts) -> DataFrame:
     """(sweep_idx, effort) in the given order; the list itself is a parameter."""
@@ -44,18 +46,18 @@ def mean_recall(per: DataFrame) -> DataFrame:
     return per.agg(F.avg("recall").alias("recall"), F.count("*").alias("queries"))
 
 
-MAX_BROADCAST_TRUTH = 5_000_000
+MAX_BROADCAST_TRUTH = 5_000_000      # rows of 16 bytes
 
 
 def sweep(truth: DataFrame, assignment: DataFrame, probes: DataFrame,
           queries: DataFrame, efforts: DataFrame, truth_rows: int | None = None) -> DataFrame:
     """(qid, sweep_idx, effort, hits, truth_len, recall) for every
     query and effort, from the shortcut."""
-    # truth holds queries x k rows (bounded) and is the broadcast side; the
-    # table-sized assignment is streamed past it and never shuffled.  Truth
-    # rows without a list (none in practice) still count in truth_len.
+    # with a known small size (queries x k rows) truth is the broadcast side and
+    # the table-sized assignment is streamed past it; otherwise Spark decides.
+    # Truth rows without a list (none in practice) still count in truth_len.
     t = truth.select("qid", "id")
-    tb = F.broadcast(t) if truth_rows is None or truth_rows <= MAX_BROADCAST_TRUTH else t
+    tb = F.broadcast(t) if truth_rows is not None and truth_rows <= MAX_BROADCAST_TRUTH else t
     located = assignment.select("id", "list_id").join(tb, "id")
     ranked = located.join(probes.select("qid", "list_id", "probe_rank"), ["qid", "list_id"], "left")
     hits = (ranked.crossJoin(F.broadcast(efforts))
@@ -97,7 +99,7 @@ def default_point(points: DataFrame, default_effort: int | None) -> DataFrame:
 
 # Index kinds recall is measured for (fixed).
 ANN_KINDS = ("hnsw", "ivfflat")
-GATE_WARNING = "no ANN index - skipping recall (sequential scan recall is trivially 1.0)"
+GATE_WARNING = "recall not measured: without an approximate index every search is exact"
 
 
 def gate(lookup: DataFrame, queries: DataFrame) -> DataFrame:
@@ -114,7 +116,14 @@ def gate(lookup: DataFrame, queries: DataFrame) -> DataFrame:
 def sweep_timings(m: DataFrame) -> DataFrame:
     """Per effort, p95 of the per-query durations and queries / wall
     time, from measurement rows labelled ``sweep_idx`` and ``effort``."""
-    return (m.groupBy("sweep_idx", "effort")
-            .agg(F.percentile("dur_ms", F.lit(0.95)).alias("p95_ms"), F.count("*").alias("queries"),
-                 ((F.max("ended_us") - F.min("started_us")) / 1e6).alias("wall_s"))
+    keys = ["sweep_idx", "effort"]
+    g = m.groupBy(*keys).agg(F.count("*").alias("queries"),
+                             ((F.max("ended_us") - F.min("started_us")) / 1e6).alias("wall_s"))
+    p = grouped_percentiles(m, keys, "dur_ms", (0.95,), ("p95_ms",))
+    return (join_keys(g, p, keys, "left").select(*keys, "p95_ms", "queries", "wall_s")
             .withColumn("qps", F.when(F.col("wall_s") > 0, F.col("queries") / F.col("wall_s")).otherwise(F.lit(0.0))))
+
+
+def timed_points(points: DataFrame, timings: DataFrame) -> DataFrame:
+    """R3 in full: recall points with p95 and queries per second of their effort."""
+    return points.join(timings.select("sweep_idx", "p95_ms", "qps"), "sweep_idx", "left")

@@ -33,25 +33,15 @@ def key_prefix(key):
     return F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint")
 
 
-# Above this many rows (partitions x n) the single-task merge of a plain
-# ORDER BY ... LIMIT n is avoided (fixed).
-SINGLE_MERGE_ROWS = 1_000_000
-
-
 def smallest_by_key(df: DataFrame, key: str, n: int, tiebreak: str, rows=None) -> DataFrame:
     """The n rows of smallest (key, tiebreak), exactly, for a uniform hex key.
 
-    A plain ORDER BY ... LIMIT n merges partitions x n rows in one task; that
-    is kept while it is small.  Otherwise rows whose key prefix is below a
-    cut sized for about 8n rows are kept first; they are an exact prefix of
-    the total order, so the n smallest are among them whenever at least n
-    pass (otherwise the cut is widened and the step repeated).  Only ~8n rows
-    reach the final sort.  ``rows``: the row count, or a zero-argument
-    callable giving it (called only when the cut is used).
+    Rows whose key prefix is below a cut sized for about 8n rows are kept
+    first; they are an exact prefix of the total order, so the n smallest are
+    among them whenever at least n pass (otherwise the cut is widened and the
+    step repeated).  Only ~8n rows reach the final sort, whatever the number
+    of partitions.  ``rows``: the row count, or a zero-argument callable.
     """
-    plain = df.orderBy(key, tiebreak).limit(n)
-    if df.rdd.getNumPartitions() * n <= SINGLE_MERGE_ROWS:
-        return plain
     total = rows() if callable(rows) else (rows if rows is not None else df.count())
     frac = CUT_OVERSAMPLE * n / max(total, 1)
     while frac < 1.0:
@@ -60,7 +50,7 @@ def smallest_by_key(df: DataFrame, key: str, n: int, tiebreak: str, rows=None) -
         if top.count() >= n:
             return top
         frac *= CUT_OVERSAMPLE
-    return plain
+    return df.orderBy(key, tiebreak).limit(n)
 
 
 def sample_percent(rows: int, n: int) -> float:
@@ -69,12 +59,6 @@ def sample_percent(rows: int, n: int) -> float:
     return round(min(max(pct, MIN_PCT), MAX_PCT), 4)
 
 
-def sample_percent_col(rows, n):
-    rows = F.col(rows) if isinstance(rows, str) else rows
-    pct = F.lit(OVERSAMPLE * n) / rows * 100
-    return F.round(F.least(F.greatest(pct, F.lit(MIN_PCT)), F.lit(MAX_PCT)), 4)
-
-
 def sample_queries(df: DataFrame, n: int, id_col: str = "id", vec_col: str = "embedding",
                    seed: int = DEFAULT_SEED, rows: int | None = None,
                    threshold: int = SMALL_TABLE_ROWS, checkpoint: bool = True) -> DataFrame:
@@ -110,6 +94,16 @@ def sample_queries(df: DataFrame, n: int, id_col: str = "id", vec_col: str = "em
     return out
 
 
+def draw_queries(df: DataFrame, queries: int, recall_sample: int, id_col: str = "id", vec_col: str = "embedding",
+                 seed: int = DEFAULT_SEED) -> tuple[DataFrame, DataFrame]:
+    """Draw max(queries, recall_sample) vectors once; the first
+    ``recall_sample`` of them measure recall.  No vector at all is an error."""
+    drawn = sample_queries(df, max(queries, recall_sample), id_col, vec_col, seed, rows=df.count())
+    if drawn.isEmpty():
+        raise ValueError(f"no vectors in {vec_col} to draw queries from")
+    return drawn, recall_subset(drawn, recall_sample)
+
+
 def recall_subset(queries: DataFrame, recall_sample: int) -> DataFrame:
     """Recall uses the first recall_sample of the drawn queries."""
     return queries.where(F.col("pos") < recall_sample)

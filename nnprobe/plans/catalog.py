@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from nnprobe.plans import catalog_measure, catalog_stream, catalog_text, catalog_vectors
+from nnprobe.plans import catalog_checks, catalog_measure, catalog_stream, catalog_text, catalog_vectors
 
-MODULES = [catalog_vectors, catalog_measure, catalog_text, catalog_stream]
+MODULES = [catalog_vectors, catalog_measure, catalog_text, catalog_stream, catalog_checks]
 
 
 def entries() -> dict:

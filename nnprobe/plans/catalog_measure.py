@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nnprobe.operators import measure as M
-from nnprobe.operators.ranking import positions
+from nnprobe.operators.ranking import join_keys, positions
 from nnprobe.plans import sqlparts as S
 from nnprobe.session import table
 
@@ -120,9 +120,10 @@ SQL_RUNNING_QPS = f"""WITH {S.measurements_cte()},
 s AS (SELECT level, min(started_us) AS s0 FROM m GROUP BY level),
 t AS (SELECT m.level, greatest(1, ceil((m.ended_us - s.s0) / {QPS_TICK_MS * 1000}))::BIGINT AS tick, count(*) AS completed
       FROM m JOIN s ON s.level = m.level GROUP BY 1, 2),
-c AS (SELECT level, tick, completed,
-             sum(completed) OVER (PARTITION BY level ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_completed
-      FROM t)
+g AS (SELECT level, unnest(range(1, max(tick) + 1)) AS tick FROM t GROUP BY level),
+c AS (SELECT g.level, g.tick, coalesce(t.completed, 0) AS completed,
+             sum(coalesce(t.completed, 0)) OVER (PARTITION BY g.level ORDER BY g.tick) AS cum_completed
+      FROM g LEFT JOIN t ON t.level = g.level AND t.tick = g.tick)
 SELECT level, tick, completed, cum_completed::BIGINT AS cum_completed,
        round((tick * {QPS_TICK_MS / 1000.0})::DOUBLE, 6) AS elapsed_s,
        round(cum_completed / (tick * {QPS_TICK_MS / 1000.0}), 6) AS qps FROM c"""
@@ -132,7 +133,7 @@ def q_progress_steps(spark, sf):
     ev = table(spark, sf, "events").select(F.col("event_type").alias("phase"), F.col("event_id").alias("seq"))
     p = positions(ev, "phase", "seq", "done")
     tot = ev.groupBy("phase").agg(F.count("*").alias("total"))
-    return M.progress_steps(p.join(tot, "phase"))
+    return M.progress_steps(join_keys(p, tot, ["phase"]))
 
 
 SQL_PROGRESS_STEPS = f"""WITH p AS (

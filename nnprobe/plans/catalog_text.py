@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from nnprobe.functions import privacy
 from nnprobe.functions.text import format_bytes, format_int, parse_index_def, rows_bucket
 from nnprobe.operators import nearest
-from nnprobe.session import spread, table
+from nnprobe.plans import sqlparts as S
+from nnprobe.session import table
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -109,13 +110,13 @@ def _sql_escape(s: str) -> str:
 
 def _sql_scrub(col: str) -> str:
     out = col
-    for _, pat, rep in privacy.SCRUB_RULES_RE2:
+    for _, pat, rep in S.SCRUB_RULES_RE2:
         out = f"regexp_replace({out}, '{_sql_escape(pat)}', '{_sql_escape(rep)}', 'g')"
     return out
 
 
 def q_scrub_documents(spark, sf):
-    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    d = table(spark, sf, "documents").select("doc_id", "text")
     return d.select("doc_id", privacy.scrub("text").alias("text"))
 
 
@@ -123,7 +124,7 @@ SQL_SCRUB_DOCUMENTS = f"SELECT doc_id, {_sql_scrub('text')} AS text FROM documen
 
 
 def q_scrub_conversations(spark, sf):
-    c = spread(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     return c.select("conv_id", "turn", "role", privacy.scrub("text").alias("text"))
 
 
@@ -131,14 +132,14 @@ SQL_SCRUB_CONVERSATIONS = f"SELECT conv_id, turn, role, {_sql_scrub('text')} AS
 
 
 def q_scrub_counts(spark, sf):
-    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    d = table(spark, sf, "documents").select("doc_id", "text")
     st = privacy.scrub_stages("text")
     return d.select("doc_id", *[cnt.cast("int").alias(f"{name}_hits") for name, cnt, _ in st])
 
 
 def _sql_scrub_counts():
     cols, cur = [], "text"
-    for name, pat, rep in privacy.SCRUB_RULES_RE2:
+    for name, pat, rep in S.SCRUB_RULES_RE2:
         p = _sql_escape(pat)
         cols.append(f"len(regexp_extract_all({cur}, '{p}'))::INTEGER AS {name}_hits")
         cur = f"regexp_replace({cur}, '{p}', '{_sql_escape(rep)}', 'g')"
@@ -148,29 +149,33 @@ def _sql_scrub_counts():
 SQL_SCRUB_COUNTS = _sql_scrub_counts()
 
 
-def _with_credentials(url):
-    """Adds user:password to https URLs and a bare user to http URLs with a query."""
-    return (F.when(url.startswith("https://"), F.concat(F.lit("https://admin:s3cret@"), F.substring(url, 9, 1 << 30)))
-            .when(url.startswith("http://") & url.contains("?"),
-                  F.concat(F.lit("http://reader@"), F.substring(url, 8, 1 << 30)))
-            .otherwise(url))
+# Forms of user information put before the host of page n, by n modulo 8.
+URL_FORMS = ("https://admin:s3cret@{}", "postgres://u:p@ss@{}", "postgres://a@b:pw@{}", "//u:pw@{}", "https://u:pw@h:80x/{}",
+             "https://u ser:pw@{}", "https://reader@{}", "{}")
 
 
 def q_redact_urls(spark, sf):
-    p = table(spark, sf, "pages").select("page_id", _with_credentials(F.col("url")).alias("url"))
+    rest = F.regexp_replace("url", "^https?://", "")
+    url = F.lit(None).cast("string")
+    for k, form in enumerate(URL_FORMS):
+        left, right = form.split("{}")
+        url = F.when(F.col("page_id") % 8 == k, F.concat(F.lit(left), rest if left else F.col("url"), F.lit(right))).otherwise(url)
+    p = table(spark, sf, "pages").select("page_id", url.alias("url"))
     return p.select("page_id", "url", privacy.redact_url("url").alias("redacted"))
 
 
-SQL_REDACT_URLS = r"""WITH p AS (SELECT page_id,
-  CASE WHEN starts_with(url, 'https://') THEN 'https://admin:s3cret@' || substr(url, 9)
-       WHEN starts_with(url, 'http://') AND contains(url, '?') THEN 'http://reader@' || substr(url, 8)
-       ELSE url END AS url FROM pages)
-SELECT page_id, url,
-  CASE WHEN regexp_matches(url, '[\x00-\x1f\x7f]') OR regexp_matches(url, '%([^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?$)')
-         OR (regexp_matches(url, '^[^/?#]*:') AND NOT regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:'))
-       THEN '<redacted>'
-       ELSE regexp_replace(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#:@]*):[^/?#@]*@', '\1:***@') END AS redacted
-FROM p"""
+def _sql_redact():
+    forms = " ".join(f"WHEN page_id % 8 = {k} THEN " + (f"'{f.split('{}')[0]}' || regexp_replace(url, '^https?://', '')" if f != "{}" else "url")
+                     for k, f in enumerate(URL_FORMS))
+    # what each form must become, told from the form itself
+    return f"""WITH p AS (SELECT page_id, CASE {forms} END AS url, regexp_replace(url, '^https?://', '') AS rest, url AS plain FROM pages)
+SELECT page_id, url, CASE WHEN regexp_matches(plain, '%([^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?$)') THEN '<redacted>'
+  ELSE CASE page_id % 8 WHEN 0 THEN 'https://admin:***@' || rest WHEN 1 THEN 'postgres://u:***@' || rest
+  WHEN 2 THEN 'postgres://a%40b:***@' || rest WHEN 3 THEN '//u:***@' || rest WHEN 4 THEN '<redacted>' WHEN 5 THEN '<redacted>'
+  ELSE url END END AS redacted FROM p"""
+
+
+SQL_REDACT_URLS = _sql_redact()
 
 
 # --- J1-J3 -----------------------------------------------------------------------

@@ -194,13 +194,13 @@ SELECT qid, rank, id, round(distance, 6) AS distance FROM knn"""
 def q_scan_audit(spark, sf):
     b = base(spark, sf)
     q = sampling.sample_queries(b, N_QUERIES, seed=SEED)
-    truth = knn.exact_knn(b, q, K, "cosine")
-    return knn.scan_audit(b, q, truth, K)
+    truth, compared = knn.audited_knn(b, q, K, "cosine")
+    return knn.scan_audit(b, q, truth, compared, K)
 
 
 SQL_SCAN_AUDIT = f"""WITH src AS ({S.src_embeddings()}), {S.queries_cte(N_QUERIES)},
 {S.knn_cte('truth', 'cosine', K)},
-ok AS (SELECT id, len(v) AS dim FROM src WHERE v IS NOT NULL AND NOT list_bool_or(list_transform(v, lambda x: x IS NULL OR isnan(x)))),
+ok AS (SELECT id, len(v) AS dim FROM src WHERE v IS NOT NULL AND NOT list_bool_or(list_transform(v, lambda x: x IS NULL OR isnan(x) OR isinf(x)))),
 sz AS (SELECT dim, count(*) AS n FROM ok GROUP BY dim),
 got AS (SELECT qid, count(*) AS truth_rows FROM truth GROUP BY qid),
 a AS (SELECT q.qid, coalesce(sz.n, 0) - (CASE WHEN ok.id IS NULL THEN 0 ELSE 1 END) AS scanned,

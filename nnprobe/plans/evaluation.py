@@ -24,7 +24,7 @@ class EvalConfig:
     metric: str = "cosine"
     k: int = 10
     queries: int = 50
-    lists: int = 16
+    lists: int | None = None       # None: the square root of the row count
     efforts: tuple = (1, 2, 4, 8, 16)
     trainer: str = "sample"
     seed: int = sampling.DEFAULT_SEED
@@ -48,12 +48,13 @@ def evaluate(base: DataFrame, cfg: EvalConfig = EvalConfig(), id_col: str = "id"
              vec_col: str = "embedding") -> EvalParts:
     spark = base.sparkSession
     q = sampling.sample_queries(base, cfg.queries, id_col=id_col, vec_col=vec_col, seed=cfg.seed)
+    lists = cfg.lists or ivf.default_lists(base.count())
     truth = knn.exact_knn(base, q, cfg.k, cfg.metric, exclude_self=True,
                           strategy=cfg.strategy, id_col=id_col, vec_col=vec_col)
     if cfg.trainer == "sample":
-        cents = ivf.train_sample(base, cfg.lists, cfg.metric, cfg.seed, id_col, vec_col)
+        cents = ivf.train_sample(base, lists, cfg.metric, cfg.seed, id_col, vec_col)
     elif cfg.trainer == "kmeans":
-        cents = ivf.train_kmeans(base, cfg.lists, cfg.metric, cfg.seed, id_col, vec_col)
+        cents = ivf.train_kmeans(base, lists, cfg.metric, cfg.seed, id_col, vec_col)
     else:
         raise ValueError(f"unknown trainer {cfg.trainer!r}")
     asg = ivf.assignment_table(base, cents, cfg.metric, id_col, vec_col)

@@ -7,7 +7,6 @@ Only when that setting is missing (local tests) do we create one.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -39,10 +38,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Return the cluster-shared checkpoint folder, creating one only if unset."""
+    """The folder that all executors share (``spark.checkpoint.dir``).  A
+    local session without the setting gets a temporary one; elsewhere a
+    machine-local folder would be unreadable for executors: an error."""
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="nnprobe-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not sc.getCheckpointDir():
@@ -51,26 +54,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder (never a machine-local temp dir)."""
-    base = shared_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    path = f"{base}/nnprobe/{name}-{uuid.uuid4().hex[:12]}"
-    if "://" not in path:
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-    return path
+    """A fresh path under the shared folder, with its scheme as given."""
+    return f"{shared_dir(spark)}/nnprobe/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str):
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system holds it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
 
+def stored(df, name: str):
+    """``df`` written to the shared folder and read back, with the path: cuts
+    the lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
-def spread(df):
-    """Round-robin over the cluster's cores when the input has fewer
-    partitions than cores (small tables stored as one row group).  At scale
-    the input already has many partitions and this is a no-op, so the table
-    is never shuffled just to be split."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+
+def table(spark: SparkSession, sf_dir: str, name: str):
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

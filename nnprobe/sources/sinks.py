@@ -5,22 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Fixed measurement-row schema.
-MEASUREMENT_SCHEMA = ("run_id string, phase string, level_idx int, concurrency int, effort int, worker int, "
-                      "seq long, warmup boolean, started_at timestamp, dur_ns long")
+# Fixed measurement-row schema: what ``from_events`` makes and M1-M12 read.
+MEASUREMENT_SCHEMA = ("phase string, level string, worker long, seq long, ended_us long, started_us long, "
+                      "dur_ms double, run_id string")
+
 
 # Fixed privacy note carried by every result document.
-PRIVACY_NOTE = ("Your vectors and connection details never leave your machine. "
-                "This report contains aggregate metrics only.")
+PRIVACY_NOTE = "Counts, timings and recall figures only: no vectors, names, hosts or credentials."
 
 
 def write_measurements(df: DataFrame, path: str) -> str:
     """Append measurement rows partitioned by run_id (one folder per run,
     so a rerun of one run never rewrites another)."""
-    df.write.mode("append").partitionBy("run_id").parquet(path)
+    names = [f.strip().split(" ")[0] for f in MEASUREMENT_SCHEMA.split(",")]
+    df.select(*names).write.mode("append").partitionBy("run_id").parquet(path)
     return path
 
 
+def read_measurements(spark, path: str) -> DataFrame:
+    """The rows written by ``write_measurements``, as the statistics read them."""
+    return spark.read.schema(MEASUREMENT_SCHEMA).parquet(path)
+
+
 def result_document(env: DataFrame, config: dict, latency: DataFrame, levels: DataFrame,
                     points: DataFrame, default_point: DataFrame) -> DataFrame:
     """One row of nested structs (env, config, latency, throughput,

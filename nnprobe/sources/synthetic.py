@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nnprobe.functions.distance import divide_by
-from nnprobe.session import spread
 
 TWO_53 = 2 ** 53
 
@@ -25,17 +24,6 @@ def _uniform(seed: int, id_col: Column, i: Column, stream: int) -> Column:
     return F.pmod(h, F.lit(TWO_53)).cast("double") / float(TWO_53)
 
 
-def unit_vector(id_col: Column, dim: int, seed: int) -> Column:
-    """ARRAY<FLOAT> of length dim, uniform on the unit sphere."""
-    z = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.sqrt(F.lit(-2.0) * F.log(_uniform(seed, id_col, i, 1) + F.lit(1e-12)))
-        * F.cos(F.lit(2 * math.pi) * _uniform(seed, id_col, i, 2)))
-    n = F.sqrt(F.aggregate(z, F.lit(0.0), lambda acc, x: acc + x * x))
-    return (F.when(n < F.lit(1e-12), F.transform(z, lambda x: x.cast("float")))
-            .otherwise(divide_by(z, n)))
-
-
 def _two_step(ids: DataFrame, id_col: str, dim: int, seed: int) -> DataFrame:
     """Coordinates first (one column), then the division: the normals are
     generated once per element and the norm once per row."""
@@ -44,7 +32,7 @@ def _two_step(ids: DataFrame, id_col: str, dim: int, seed: int) -> DataFrame:
         F.sequence(F.lit(0), F.lit(dim - 1)),
         lambda j: F.sqrt(F.lit(-2.0) * F.log(_uniform(seed, i, j, 1) + F.lit(1e-12)))
         * F.cos(F.lit(2 * math.pi) * _uniform(seed, i, j, 2)))
-    g = spread(ids.select(i.alias("id"))).select("id", z.alias("_z"))
+    g = ids.select(i.alias("id")).select("id", z.alias("_z"))
     n = F.sqrt(F.aggregate("_z", F.lit(0.0), lambda acc, x: acc + x * x))
     g = g.select("id", "_z", n.alias("_n"))
     return g.select("id", F.when(F.col("_n") < F.lit(1e-12), F.transform("_z", lambda x: x.cast("float")))

@@ -54,29 +54,50 @@ def test_null_and_ragged_rows_skipped(spark):
         assert got == [4]
 
 
-def test_query_chunks_and_salted_rank(spark, monkeypatch):
+def test_query_chunks(spark, monkeypatch):
     b, q = _bq(spark, n=40)
     want = rows(knn.exact_knn(b, q, 10, "l2"), "qid", "rank")
-    monkeypatch.setattr(knn, "MAX_QUERY_BYTES", 64 * 8 * 7)      # 7 queries per pass
-    monkeypatch.setattr(knn, "RANK_FANIN", 1)                    # force the salted first level
+    monkeypatch.setattr(knn, "MAX_QUERY_BYTES", 64 * 4 * 7)      # 7 queries per pass
     monkeypatch.setattr(kernel, "BLOCK_CELLS", 50)               # tiny sub-blocks
-    got = rows(knn.exact_knn(b.repartition(5), q, 10, "l2"), "qid", "rank")
-    assert got == want
+    monkeypatch.setattr(kernel, "MERGE_ROWS", 20)                # frequent cuts
+    for strategy in ("block", "expr"):
+        assert rows(knn.exact_knn(b.repartition(5), q, 10, "l2", strategy=strategy), "qid", "rank") == want
 
 
-def test_scan_audit_valid(spark):
+def test_scan_audit(spark):
     b, q = _bq(spark, scaled=False)
-    t = knn.exact_knn(b, q, 10, "cosine")
-    a = knn.scan_audit(b, q, t, 10).collect()
+    truth, compared = knn.audited_knn(b, q, 10, "cosine")
+    assert rows(truth, "qid", "rank") == rows(knn.exact_knn(b, q, 10, "cosine"), "qid", "rank")
+    a = knn.scan_audit(b, q, truth, compared, 10).collect()
     assert len(a) == 30 and all(r.valid for r in a)
     assert {r.scanned for r in a} == {499}
+    # truth from half of the table is found out, and so is a truth that lost rows
+    half, seen = knn.audited_knn(b.where("id % 2 = 0"), q, 10, "cosine")
+    assert not any(r.valid for r in knn.scan_audit(b, q, half, seen, 10).collect())
+    lost = knn.scan_audit(b, q, truth.where("rank < 10"), compared, 10).collect()
+    assert not any(r.valid for r in lost)
+
+
+def test_large_k(spark):
+    b, q = _bq(spark, n=2)
+    got = knn.exact_knn(b, q, 5000, "l2")
+    assert got.count() == 2 * 499
+    with pytest.raises(ValueError):
+        knn.exact_knn(b, q, 0, "l2")
 
 
-def test_expr_beyond_bound_uses_block(spark, monkeypatch):
-    b, q = _bq(spark, n=10)
-    want = rows(knn.exact_knn(b, q, 5, "cosine", strategy="block"), "qid", "rank")
-    monkeypatch.setattr(knn, "EXPR_MAX_PAIRS", 10)
-    got = knn.exact_knn(b, q, 5, "cosine", strategy="expr")
-    assert "MapInArrow" in spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
-    assert rows(got, "qid", "rank") == want
-    assert rows(knn.exact_knn(b, q, 5, "cosine", strategy="auto"), "qid", "rank") == want
+INF = float("inf")
+ODD = [[1e20, 1.0], [2e20, 0.0], [3e20, 0.0], [1e-25, 2e-25], [3e-25, 1e-25], [3.0, 0.0], [1e-45, 0.0], [0.0, 0.0], [3.4e38, 3.4e38],
+       [-3.4e38, 3.4e38], [INF, 0.0], [float("nan"), 1.0], [None, 1.0], [1.0, -INF], [1.0, 1.0], [2.0, 2.0]]
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip", "cosine"])
+@pytest.mark.parametrize("k", [1, 4, 50])
+def test_forms_agree_on_extreme_values(spark, metric, k):
+    df = spark.createDataFrame(list(enumerate(ODD)), "id long, embedding array<float>")
+    q = df.select(F.col("id").cast("int").alias("pos"), F.col("id").alias("qid"), F.col("embedding").alias("qv"))
+    block = rows(knn.exact_knn(df, q, k, metric), "qid", "rank")
+    expr = rows(knn.exact_knn(df, q, k, metric, strategy="expr"), "qid", "rank")
+    assert block == expr
+    # 12 vectors are searchable, as rows and as queries
+    assert len(block) == 12 * min(k, 11)

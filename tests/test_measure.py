@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF001
 from nnprobe.operators import measure as M
-from nnprobe.operators.ranking import positions
+from nnprobe.operators.ranking import grouped_percentiles, positions
 from nnprobe.session import table
 
 
@@ -62,14 +62,39 @@ def test_progress_fixture(spark):
     assert [(r.seq, r.step) for r in M.progress_steps(p).orderBy("seq").collect()] == [(0, 1), (2, 2), (4, 3)]
 
 
-def test_positions_match_row_number(spark):
-    ev = table(spark, SF001, "events").select("event_type", "event_id")
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_positions_match_row_number(spark, reuse):
+    ev = table(spark, SF001, "events").select(F.when(F.col("event_type") != "click", F.col("event_type")).alias("event_type"), "event_id")
     w = Window.partitionBy("event_type").orderBy("event_id")
     want = {(r.event_type, r.event_id): r.n for r in ev.withColumn("n", F.row_number().over(w)).collect()}
-    for parts in (1, 3, 16):
-        got = {(r.event_type, r.event_id): r.position for r in positions(ev, "event_type", "event_id",
-                                                                           partitions=parts).collect()}
-        assert got == want
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        for parts in (1, 3, 16):
+            got = {(r.event_type, r.event_id): r.position
+                   for r in positions(ev, "event_type", "event_id", partitions=parts).collect()}
+            assert got == want
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_grouped_percentiles(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    data = [(k, float(v)) for k, n in (("a", 1000), (None, 501), ("b", 1), ("c", 0)) for v in rng.integers(0, 50, n)]
+    data += [("a", None), ("d", None)]
+    df = spark.createDataFrame(data, "k string, v double")
+    got = {r.k: (r.x, r.y) for r in grouped_percentiles(df, ["k"], "v", (0.5, 0.95), ("x", "y")).collect()}
+    for k in ("a", None, "b"):
+        want = np.percentile([v for kk, v in data if kk == k and v is not None], [50, 95])
+        assert got[k] == pytest.approx(tuple(want))
+    assert set(got) == {"a", None, "b"}
+
+
+def test_running_qps_lists_every_tick(spark):
+    rows = [("r", "p", "L", 0, i, 0, e, 1.0) for i, e in enumerate([900_000, 950_000, 2_100_000])]
+    m = spark.createDataFrame(rows, "run_id string, phase string, level string, worker int, seq long, started_us long, ended_us long, dur_ms double")
+    got = [(r.tick, r.completed, r.cum_completed) for r in M.running_qps(m, 500).orderBy("tick").collect()]
+    assert got == [(1, 0, 0), (2, 2, 2), (3, 0, 2), (4, 0, 2), (5, 1, 3)]
 
 
 def test_warmup_first_50(spark):
@@ -90,12 +115,3 @@ def test_epoch_us_ignores_session_zone(spark):
     assert utc == ny
     first = min(utc)
     assert utc[first] // 1_000_000 >= 1704067200          # 2024-01-01T00:00:00Z
-
-
-def test_warmup_distributed_path(spark, monkeypatch):
-    from nnprobe.operators import sampling
-    m = M.from_events(table(spark, SF001, "events"))
-    want = {r.seq for r in M.with_warmup(m, "phase").where("warmup").collect()}
-    monkeypatch.setattr(sampling, "SINGLE_MERGE_ROWS", 0)
-    got = {r.seq for r in M.with_warmup(m, "phase").where("warmup").collect()}
-    assert got == want and len(got) == 250

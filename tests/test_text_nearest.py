@@ -47,7 +47,13 @@ def test_scrub(spark):
 
 def test_redact(spark):
     urls = [("postgres://bob:pw@h/db", "postgres://bob:***@h/db"), ("postgres://bob@h/db", "postgres://bob@h/db"),
-            ("http://h:80/x?y=a:b@c", "http://h:80/x?y=a:b@c"), ("postgres://h/%zz", "<redacted>")]
+            ("http://h:80/x?y=a:b@c", "http://h:80/x?y=a:b@c"), ("postgres://h/%zz", "<redacted>"),
+            ("postgres://u:p@ss@h/db", "postgres://u:***@h/db"), ("postgres://a@b:pw@h/db", "postgres://a%40b:***@h/db"),
+            ("//u:pw@h/db", "//u:***@h/db"), ("postgres://u:p@h:54x/db", "<redacted>"), ("postgres://u:p@h:5432/db", "postgres://u:***@h:5432/db"),
+            ("postgres://u@h:5432/db", "postgres://u@h:5432/db"), ("postgres://u:@h", "postgres://u:***@h"),
+            ("postgres://u:p w@h/db", "<redacted>"), ("postgres://u:p@[::1]:5432/db", "postgres://u:***@[::1]:5432/db"),
+            ("postgres://u:p@[::1/db", "<redacted>"), ("postgres://u:p@[::1]x/db", "<redacted>"), ("x y:z", "<redacted>"),
+            ("postgres://u:p@h?q=a@b:c", "postgres://u:***@h?q=a@b:c"), ("postgres://h:/db", "postgres://h:/db"), ("", "")]
     df = spark.createDataFrame([(a,) for a, _ in urls], "u string")
     assert [r[0] for r in df.select(privacy.redact_url("u")).collect()] == [b for _, b in urls]
 

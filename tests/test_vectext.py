@@ -24,3 +24,13 @@ def test_parse_render_roundtrip(spark):
     for r in out:
         assert r.err is False
         assert r.p == r.v
+
+
+def test_number_syntax(spark):
+    from nnprobe.functions.vectext import parse
+    cases = [("[1f]", True), ("[2d]", True), ("[1e40]", True), ("[-1e39]", True), ("[1e38]", False), ("[inf,-Infinity,NaN]", False),
+             ("[+.5,1.,-0]", False), ("[1_0]", True), ("[0x1]", True), ("[1e]", True), ("[.]", True), ("[1e-60]", False), ("[ 1 ,\t2 ]", False)]
+    df = spark.createDataFrame([(t,) for t, _ in cases], "t string")
+    vec, err = parse("t")
+    got = [(r.t, r.e) for r in df.select("t", err.alias("e"), vec.alias("v")).collect()]
+    assert got == cases
