@@ -53,11 +53,12 @@ def positions(df: DataFrame, key: str, order: str | list[str], out: str = "posit
     return running(df, [key], order, out=out, partitions=partitions).withColumn(out, F.col(out) + 1)
 
 
-def grouped_percentiles(df: DataFrame, keys: list[str], col: str, ps, names) -> DataFrame:
+def grouped_percentiles(df: DataFrame, keys: list[str], col: str, ps, names, weight: str | None = None) -> DataFrame:
     """Exact percentiles (linear between ranks, p * (n - 1)) per key: one row
     per key with the columns ``names``; NULL values do not count.  Equal
-    values are counted before the shuffle; each task ranks one range."""
-    c = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count("*").alias("_c"))
+    values are counted (or their ``weight`` summed) before the shuffle; each
+    task ranks one range."""
+    c = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg((F.sum(weight) if weight else F.count("*")).alias("_c"))
     r = running(c, keys, [col], "_c", "_lo")
     n = r.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     r = join_keys(r, n, keys)

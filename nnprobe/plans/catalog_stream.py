@@ -6,12 +6,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nnprobe.plans import sqlparts as S
+from nnprobe.session import scratch_path, table
 from nnprobe.streaming import live
 
 # Fixed parameters: events span 30 days.
 WINDOW = "1 day"
 WATERMARK = "1 hour"
 DAY_US = 86_400_000_000
+QPS_SCHEMA = "level string, window_start_us long, window_end_us long, completed long"
 WATERMARK_US = 3_600_000_000
 
 
@@ -25,8 +27,7 @@ def _r6(c):
 
 def q_live_latency(spark, sf):
     out, _ = live.run_to_table(live.live_latency(_stream(spark, sf)), "complete", "live-latency")
-    r = live.read_result(spark, out, "run_id string, phase string, count long, p50_ms double, p95_ms double",
-                         "complete")
+    r = live.latency_of(live.read_result(spark, out, live.LATENCY_SCHEMA, "complete"))
     return r.select("run_id", "phase", "count", _r6("p50_ms").alias("p50_ms"), _r6("p95_ms").alias("p95_ms"))
 
 
@@ -47,6 +48,74 @@ SELECT level, ws AS window_start_us, ws + {DAY_US} AS window_end_us, completed
 FROM w, mx WHERE ws + {DAY_US} <= (mx.mx // 1000) * 1000 - {WATERMARK_US}"""
 
 
+def q_live_cumulative_qps(spark, sf):
+    out, _ = live.run_to_table(live.live_qps(_stream(spark, sf), WINDOW, WATERMARK), "append", "live-cum")
+    closed = live.read_result(spark, out, QPS_SCHEMA)
+    return live.cumulative_qps(closed).select("level", "window_end_us", "completed", "cum_completed", _r6("qps").alias("qps"))
+
+
+SQL_LIVE_CUMULATIVE_QPS = f"""WITH {S.measurements_cte()},
+mx AS (SELECT max(ended_us) AS mx FROM m),
+w AS (SELECT level, (ended_us // {DAY_US}) * {DAY_US} AS ws, count(*) AS completed FROM m GROUP BY 1, 2),
+c AS (SELECT level, ws, completed FROM w, mx WHERE ws + {DAY_US} <= (mx.mx // 1000) * 1000 - {WATERMARK_US}),
+g AS (SELECT level, min(ws) AS s, unnest(range(min(ws), max(ws) + 1, {DAY_US})) AS ws FROM c GROUP BY level),
+h AS (SELECT g.level, g.s, g.ws, coalesce(c.completed, 0) AS completed FROM g LEFT JOIN c ON c.level = g.level AND c.ws = g.ws),
+k AS (SELECT *, sum(completed) OVER (PARTITION BY level ORDER BY ws)::BIGINT AS cum_completed FROM h)
+SELECT level, ws + {DAY_US} AS window_end_us, completed, cum_completed, round(cum_completed / ((ws + {DAY_US} - s) / 1e6), 6) AS qps FROM k"""
+
+
+def _late_source(spark, sf):
+    """The events as files in the order newest third, one row of each type again, oldest two thirds."""
+    ev = table(spark, sf, "events").select(*[f.strip().split(" ")[0] for f in live.EVENTS_SCHEMA.split(",")])
+    cut = F.lit(ev.agg(F.max("ts")).first()[0]) - F.expr("INTERVAL 10 DAYS")
+    root = scratch_path(spark, "late")
+    new = ev.where(F.col("ts") > cut)
+    again = new.groupBy("event_type").agg(F.max_by(F.struct(*ev.columns), "event_id").alias("r")).select("r.*")
+    for part, df in (("a", new), ("b", again), ("c", ev.where(F.col("ts") <= cut))):
+        df.coalesce(1).write.parquet(f"{root}/{part}")
+    return (spark.readStream.schema(live.EVENTS_SCHEMA).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1)
+            .parquet(root))
+
+
+def q_live_qps_late_rows(spark, sf):
+    """T5: the older rows come two batches after the newest and are dropped; closed windows hold the newer rows only."""
+    m = live.measurement_stream(_late_source(spark, sf))
+    out, _ = live.run_to_table(live.live_qps(m, WINDOW, WATERMARK), "append", "late-qps")
+    return live.read_result(spark, out, QPS_SCHEMA)
+
+
+SQL_LIVE_QPS_LATE_ROWS = f"""WITH {S.measurements_cte()},
+mx AS (SELECT max(ended_us) AS mx FROM m),
+new AS (SELECT m.* FROM m, mx WHERE ended_us > mx.mx - 10 * {DAY_US}),
+rows2 AS (SELECT level, ended_us FROM new UNION ALL
+          SELECT level, ended_us FROM (SELECT *, row_number() OVER (PARTITION BY level ORDER BY seq DESC) AS r FROM new) WHERE r = 1),
+w AS (SELECT level, (ended_us // {DAY_US}) * {DAY_US} AS ws, count(*) AS completed FROM rows2 GROUP BY 1, 2)
+SELECT level, ws AS window_start_us, ws + {DAY_US} AS window_end_us, completed
+FROM w, mx WHERE ws + {DAY_US} <= (mx.mx // 1000) * 1000 - {WATERMARK_US}"""
+
+
+def q_phase_fold(spark, sf):
+    """The events as progress events of 20 phases (user modulo 20)."""
+    ev = live.event_stream(spark, sf, "events.parquet")
+    n = F.col("event_id") % 10
+    kind = F.when(n == 0, "start").when(n == 9, "end").when(n == 5, "warn").otherwise("progress")
+    rows = ev.select((F.col("user_id") % 20).alias("phase"), F.col("event_id").alias("seq"), kind.alias("kind"),
+                     F.concat(F.col("event_type"), F.lit(" "), F.col("event_id").cast("string")).alias("text"),
+                     (F.col("event_id") % 97).alias("done"), (F.col("event_id") % 3 * 97).alias("total"))
+    out, _ = live.run_to_table(live.phase_fold(rows), "complete", "phase-fold")
+    r = live.read_result(spark, out, "phase long, status string, note string, summary string, fraction double, warnings long", "complete")
+    return r.withColumn("fraction", F.round("fraction", 6))
+
+
+SQL_PHASE_FOLD = """WITH e AS (SELECT user_id % 20 AS phase, event_id AS seq, event_id % 10 AS n, event_type || ' ' || event_id::VARCHAR AS text,
+  event_id % 97 AS done, event_id % 3 * 97 AS total FROM events)
+SELECT phase, CASE WHEN max(seq) FILTER (WHERE n = 9) > coalesce(max(seq) FILTER (WHERE n = 0), -1) THEN 'done'
+    WHEN max(seq) FILTER (WHERE n = 0) IS NOT NULL THEN 'active' ELSE 'pending' END AS status,
+  arg_max(text, seq) FILTER (WHERE n = 0) AS note, arg_max(text, seq) FILTER (WHERE n = 9) AS summary,
+  round(coalesce(arg_max(done / total, seq) FILTER (WHERE n NOT IN (0, 5, 9) AND total > 0), 0.0), 6) AS fraction,
+  count(*) FILTER (WHERE n = 5) AS warnings FROM e GROUP BY phase"""
+
+
 def q_phase_status(spark, sf):
     out, _ = live.run_to_table(live.phase_status(_stream(spark, sf)), "complete", "phase-status")
     return live.read_result(spark, out, "run_id string, phase string, first_start_us long, last_end_us long, "
@@ -81,6 +150,9 @@ def entries():
     return {
         "live_latency": (q_live_latency, SQL_LIVE_LATENCY),
         "live_qps_closed_windows": (q_live_qps_closed_windows, SQL_LIVE_QPS_CLOSED_WINDOWS),
+        "live_cumulative_qps": (q_live_cumulative_qps, SQL_LIVE_CUMULATIVE_QPS),
+        "live_qps_late_rows": (q_live_qps_late_rows, SQL_LIVE_QPS_LATE_ROWS),
+        "phase_fold": (q_phase_fold, SQL_PHASE_FOLD),
         "phase_status": (q_phase_status, SQL_PHASE_STATUS),
         "running_peak": (q_running_peak, SQL_RUNNING_PEAK),
     }

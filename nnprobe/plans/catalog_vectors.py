@@ -339,17 +339,56 @@ def q_stored_size(spark, sf):
     return profile.stored_size(table(spark, sf, "embeddings"))
 
 
-def q_result_document(spark, sf):
+def _result_document(spark, sf):
+    from nnprobe import __version__
     from nnprobe.operators import measure as M
     from nnprobe.sources.sinks import result_document
 
     env = profile.profile(base(spark, sf), "id", "embedding")
     m = M.from_events(table(spark, sf, "events"))
-    lat = M.latency_summary(M.with_warmup(m, "phase").where(~F.col("warmup")), group=()).drop("run_id")
+    lat = M.latency_summary(M.with_warmup(m, "phase").where(~F.col("warmup")), group=())
     lv = M.levels(m)
-    pts = evaluate(base(spark, sf), _cfg()).points
+    at = F.pmod("seq", F.lit(len(EFFORTS)))
+    timed = m.select(at.cast("int").alias("sweep_idx"), F.element_at(F.array(*map(F.lit, EFFORTS)), (at + 1).cast("int")).alias("effort"),
+                     "started_us", "ended_us", "dur_ms")
+    pts = recall.timed_points(evaluate(base(spark, sf), _cfg()).points, recall.sweep_timings(timed))
     cfg = {"metric": "cosine", "k": K, "queries": N_QUERIES, "lists": LISTS, "efforts": list(EFFORTS)}
-    return result_document(env, cfg, lat, lv, pts, recall.default_point(pts, DEFAULT_EFFORT))
+    span = m.agg(F.min("started_us"), F.max("ended_us")).first()
+    stamp = lambda us: F.timestamp_micros(F.lit(us))
+    return result_document(env, cfg, lat, lv, pts, recall.default_point(pts, DEFAULT_EFFORT), M.saturation(lv),
+                           started_at=stamp(span[0]), finished_at=stamp(span[1]), tool_version=__version__)
+
+
+def q_result_document(spark, sf):
+    """S7, flattened: one row per recall point beside the document's other figures."""
+    d = _result_document(spark, sf)
+    p = F.explode("recall.points").alias("p")
+    return d.select("env.rows", F.col("config.k").alias("k"), F.col("latency.count").alias("count"), _r6(F.col("latency.p95_ms")).alias("p95_ms"),
+                    F.size("throughput.levels").cast("int").alias("levels"), _r6(F.col("throughput.peak_qps")).alias("peak_qps"),
+                    "throughput.peak_level", "throughput.saturated_at", F.col("recall.default.effort").alias("default_effort"),
+                    F.unix_micros("run.started_at").alias("started_us"), F.unix_micros("run.finished_at").alias("finished_us"), p).select(
+        "*", F.col("p.effort").alias("effort"), _r6(F.col("p.recall")).alias("recall"), _r6(F.col("p.p95_ms")).alias("point_p95_ms"),
+        _r6(F.col("p.qps")).alias("point_qps")).drop("p")
+
+
+def _sql_result_document():
+    from nnprobe.plans.catalog_measure import _SQL_LEVELS, _SQL_PEAK
+    from nnprobe.operators import measure as M
+    return _EVAL_SQL_HEAD + f""",
+pts AS (SELECT sweep_idx, effort, avg(recall) AS recall FROM per GROUP BY sweep_idx, effort),
+{_SQL_LEVELS}, {_SQL_PEAK},
+g AS (SELECT run_id, level_idx, qps, lag(qps) OVER (PARTITION BY run_id ORDER BY level_idx) AS pq,
+             lag(concurrency) OVER (PARTITION BY run_id ORDER BY level_idx) AS pc FROM lv),
+st AS (SELECT arg_min(pc, level_idx) AS sat FROM g WHERE pq > 0 AND (qps - pq) / pq < {M.SATURATION_GAIN}),
+w AS (SELECT *, row_number() OVER (PARTITION BY phase ORDER BY seq) AS rn FROM m),
+la AS (SELECT count(*) AS count, quantile_cont(dur_ms, 0.95) AS p95 FROM w WHERE rn > {M.WARMUP}),
+ti AS (SELECT seq % {len(EFFORTS)} AS sweep_idx, quantile_cont(dur_ms, 0.95) AS p95,
+         count(*) / ((max(ended_us) - min(started_us)) / 1e6) AS qps FROM m GROUP BY 1)
+SELECT (SELECT count(*) FROM src) AS rows, {K}::INTEGER AS k, la.count, round(la.p95, 6) AS p95_ms, (SELECT count(*) FROM lv)::INTEGER AS levels,
+  round(pk2.peak_qps, 6) AS peak_qps, pk2.peak_level::INTEGER AS peak_level, coalesce(st.sat, pk2.peak_level)::INTEGER AS saturated_at,
+  {DEFAULT_EFFORT}::INTEGER AS default_effort, (SELECT min(started_us) FROM m) AS started_us, (SELECT max(ended_us) FROM m) AS finished_us,
+  pts.effort, round(pts.recall, 6) AS recall, round(ti.p95, 6) AS point_p95_ms, round(ti.qps, 6) AS point_qps
+FROM pts JOIN ti ON ti.sweep_idx = pts.sweep_idx CROSS JOIN la CROSS JOIN pk2 LEFT JOIN st ON true"""
 
 
 def entries():
@@ -378,5 +417,5 @@ def entries():
     out["ivf_kmeans_sweep"] = (q_ivf_kmeans_sweep, None)
     out["synthetic_profile"] = (q_synthetic_profile, SQL_SYNTHETIC_PROFILE)
     out["stored_size"] = (q_stored_size, None)
-    out["result_document"] = (q_result_document, None)
+    out["result_document"] = (q_result_document, _sql_result_document())
     return out

@@ -27,27 +27,49 @@ def read_measurements(spark, path: str) -> DataFrame:
     return spark.read.schema(MEASUREMENT_SCHEMA).parquet(path)
 
 
+def _one(df: DataFrame, name: str) -> DataFrame:
+    return df.select(F.struct(*df.columns).alias(name))
+
+
 def result_document(env: DataFrame, config: dict, latency: DataFrame, levels: DataFrame,
-                    points: DataFrame, default_point: DataFrame) -> DataFrame:
-    """One row of nested structs (env, config, latency, throughput,
-    recall, privacy).  Every input is already an aggregate (one row, or one
-    row per level / effort), so the arrays are bounded by those counts."""
+                    points: DataFrame, default_point: DataFrame, peak: DataFrame | None = None,
+                    projection: DataFrame | None = None, reference: DataFrame | None = None,
+                    started_at=None, finished_at=None, tool_version: str | None = None) -> DataFrame:
+    """One row of nested structs: env, config, latency, throughput (levels,
+    peak_qps, peak_level, saturated_at), recall (points with p95 and queries
+    per second where they were timed, default point), projection, reference
+    (the header of the reference document), run (started, finished, version)
+    and privacy.  Parts without input are NULL.  Every input is already an
+    aggregate (one row, or one row per level / effort), so the arrays are
+    bounded by those counts."""
     spark = env.sparkSession
     cfg = spark.createDataFrame([tuple(config.values())], ", ".join(
         f"{k} {'array<int>' if isinstance(v, (list, tuple)) else ('int' if isinstance(v, int) and not isinstance(v, bool) else 'string')}"
         for k, v in config.items()))
     lv = levels.agg(F.array_sort(F.collect_list(F.struct(
         "level_idx", "concurrency", "qps", "p95_ms", "duration_ns", "total_queries"))).alias("levels"))
-    pts = points.agg(F.array_sort(F.collect_list(F.struct("sweep_idx", "effort", "recall"))).alias("points"))
+    for c in ("p95_ms", "qps"):
+        if c not in points.columns:
+            points = points.withColumn(c, F.lit(None).cast("double"))
+    pts = points.agg(F.array_sort(F.collect_list(F.struct("sweep_idx", "effort", "recall", "p95_ms", "qps"))).alias("points"))
     dp = default_point.select(F.struct("sweep_idx", "effort", "recall").alias("default"))
-    lat = latency.select(F.struct(*latency.columns).alias("latency"))
-    e = env.select(F.struct(*env.columns).alias("env"))
-    c = cfg.select(F.struct(*cfg.columns).alias("config"))
-    return (e.crossJoin(c).crossJoin(lat).crossJoin(lv).crossJoin(pts).crossJoin(dp)   # one row each
-            .select("env", "config", "latency",
-                    F.struct("levels").alias("throughput"),
-                    F.struct("points", "default").alias("recall"),
-                    F.struct(F.lit(PRIVACY_NOTE).alias("note")).alias("privacy")))
+    pk = (peak.select("peak_qps", "peak_level", "saturated_at") if peak is not None else
+          spark.range(1).selectExpr("CAST(NULL AS DOUBLE) AS peak_qps", "CAST(NULL AS INT) AS peak_level", "CAST(NULL AS INT) AS saturated_at"))
+    doc = _one(env, "env")
+    for part in (_one(cfg, "config"), _one(latency, "latency"), lv, pts, dp, pk,
+                 _one(projection, "projection") if projection is not None else None,
+                 _one(reference, "reference") if reference is not None else None):
+        if part is not None:
+            doc = doc.crossJoin(part)                      # one row each
+    null = F.lit(None).cast("string")
+    return doc.select(
+        "env", "config", "latency", F.struct("levels", "peak_qps", "peak_level", "saturated_at").alias("throughput"),
+        F.struct("points", "default").alias("recall"),
+        F.col("projection") if projection is not None else null.alias("projection"),
+        F.col("reference") if reference is not None else null.alias("reference"),
+        F.struct(F.lit(started_at).cast("timestamp").alias("started_at"), F.lit(finished_at).cast("timestamp").alias("finished_at"),
+                 F.lit(tool_version).cast("string").alias("tool_version")).alias("run"),
+        F.struct(F.lit(PRIVACY_NOTE).alias("note")).alias("privacy"))
 
 
 def write_document(doc: DataFrame, path: str) -> str:

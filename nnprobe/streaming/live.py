@@ -3,9 +3,9 @@
 Measurement rows arrive as files; the running views are streaming
 aggregations whose final state equals the batch statistics of §2.7:
 
-* T1 live latency   - count, p50, p95 per (run, phase), ``complete`` mode.
-  Exact ``percentile`` state is a value->count map per group, bounded by the
-  number of distinct quantised durations.
+* T1 live latency   - rows per (run, phase, duration), ``complete`` mode: the
+  state is spread over tasks by duration, so a hot phase is no single state;
+  count, p50 and p95 are read off the counts.
 * T2 live QPS       - completions per level and tumbling window, event-time
   watermark, ``append`` mode: only windows the watermark has closed are
   emitted; rows behind the watermark are dropped (T5).  Spark filters late
@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nnprobe.operators import measure as M
-from nnprobe.session import scratch_path
+from nnprobe.operators.ranking import grouped_percentiles, join_keys, running
+from nnprobe.session import remove_path, scratch_path
 
 EVENTS_SCHEMA = ("event_id long, ts timestamp_ntz, user_id long, event_type string, "
                  "value double, props string")
@@ -47,12 +48,19 @@ def measurement_stream(events: DataFrame) -> DataFrame:
     return m.withColumn("ended_at", F.timestamp_micros("ended_us"))
 
 
+LATENCY_SCHEMA = "run_id string, phase string, dur_ms double, n long"
+
+
 def live_latency(m: DataFrame) -> DataFrame:
-    """T1."""
-    return (m.groupBy("run_id", "phase")
-            .agg(F.count("*").alias("count"),
-                 F.percentile("dur_ms", F.array(F.lit(0.5), F.lit(0.95))).alias("_p"))
-            .select("run_id", "phase", "count", F.col("_p")[0].alias("p50_ms"), F.col("_p")[1].alias("p95_ms")))
+    """The running counts per (run, phase, duration)."""
+    return m.where(F.col("dur_ms").isNotNull()).groupBy("run_id", "phase", "dur_ms").agg(F.count("*").alias("n"))
+
+
+def latency_of(counts: DataFrame) -> DataFrame:
+    """Count, p50 and p95 per (run, phase) at the state of ``counts``."""
+    keys = ["run_id", "phase"]
+    total = counts.groupBy(*keys).agg(F.sum("n").alias("count"))
+    return join_keys(total, grouped_percentiles(counts, keys, "dur_ms", (0.5, 0.95), ("p50_ms", "p95_ms"), weight="n"), keys, "left")
 
 
 def live_qps(m: DataFrame, window: str, watermark: str) -> DataFrame:
@@ -64,6 +72,24 @@ def live_qps(m: DataFrame, window: str, watermark: str) -> DataFrame:
                     F.unix_micros(F.col("w.end")).alias("window_end_us"), "completed"))
 
 
+def cumulative_qps(closed: DataFrame) -> DataFrame:
+    """Completed so far and queries per second since the level's first
+    window, at the end of every closed window (of ``live_qps``), the ones
+    without completions included."""
+    first = closed.groupBy("level").agg(F.min("window_start_us").alias("_s"),
+                                        F.min(F.col("window_end_us") - F.col("window_start_us")).alias("_w"),
+                                        F.max("window_end_us").alias("_e"))
+    every = first.select("level", "_s", F.explode(F.sequence("_s", F.col("_e") - F.col("_w"), "_w")).alias("window_start_us"),
+                         "_w")
+    grid = (join_keys(every, closed.select("level", "window_start_us", "completed"), ["level", "window_start_us"], "left")
+            .withColumn("completed", F.coalesce("completed", F.lit(0).cast("long"))))
+    done = running(grid, ["level"], ["window_start_us"], "completed", "_before")
+    seconds = (F.col("window_start_us") + F.col("_w") - F.col("_s")) / 1e6
+    return done.select("level", (F.col("window_start_us") + F.col("_w")).alias("window_end_us"), "completed",
+                       (F.col("_before") + F.col("completed")).alias("cum_completed"),
+                       ((F.col("_before") + F.col("completed")) / seconds).alias("qps"))
+
+
 def phase_status(m: DataFrame) -> DataFrame:
     """Per phase the first start, last end, rows so far and the values
     of the latest row (by seq)."""
@@ -76,18 +102,43 @@ def phase_status(m: DataFrame) -> DataFrame:
                     F.col("_last.dur_ms").alias("last_dur_ms")))
 
 
-def run_to_table(sdf: DataFrame, mode: str, name: str) -> tuple[str, str]:
+def phase_fold(events: DataFrame) -> DataFrame:
+    """What a progress view shows per phase, folded from its events
+    (phase, seq, kind in start/progress/end/warn, text, done, total): status
+    (active from its start on, done at its end), the start's note, the end's
+    summary, the share done at the latest progress with a total, and warnings.
+    The state is one row per phase."""
+    kind = F.col("kind")
+
+    def latest(value, cond):
+        return F.max_by(F.when(cond, value), F.when(cond, F.col("seq")))
+
+    share = (kind == "progress") & (F.col("total") > 0)
+    g = events.groupBy("phase").agg(
+        F.max(F.when(kind == "start", F.col("seq"))).alias("_start"), F.max(F.when(kind == "end", F.col("seq"))).alias("_end"),
+        latest(F.col("text"), kind == "start").alias("note"), latest(F.col("text"), kind == "end").alias("summary"),
+        latest(F.col("done") / F.col("total"), share).alias("fraction"), F.count_if(kind == "warn").alias("warnings"))
+    status = F.when(F.col("_end") > F.coalesce("_start", F.lit(-1)), "done").when(F.col("_start").isNotNull(), "active").otherwise("pending")
+    return g.select("phase", status.alias("status"), "note", "summary", F.coalesce("fraction", F.lit(0.0)).alias("fraction"), "warnings")
+
+
+def run_to_table(sdf: DataFrame, mode: str, name: str, out: str | None = None,
+                 ckpt: str | None = None) -> tuple[str, str]:
     """Run a streaming query over everything available.  Every micro-batch
     is written to its own folder ``v<epoch>`` (overwrite), so a batch that
     is replayed after a failure rewrites the same folder instead of adding
-    duplicates.  Read it back with ``read_result``.
+    duplicates.  Read it back with ``read_result``.  In ``complete`` mode
+    older folders than the last two go.  Called again with the folders it
+    returned, the query goes on where it ended.
     Returns (output folder, checkpoint folder)."""
     spark = sdf.sparkSession
-    out = scratch_path(spark, f"stream-{name}")
-    ckpt = scratch_path(spark, f"stream-{name}-ckpt")
+    out = out or scratch_path(spark, f"stream-{name}")
+    ckpt = ckpt or scratch_path(spark, f"stream-{name}-ckpt")
 
     def sink(batch: DataFrame, epoch_id: int):
         batch.write.mode("overwrite").parquet(f"{out}/v{epoch_id}")
+        if mode == "complete":
+            _prune(batch.sparkSession, out)
 
     q = (sdf.writeStream.outputMode(mode).foreachBatch(sink)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
@@ -124,6 +175,11 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(out)
 
 
+def _prune(spark: SparkSession, root: str, keep: int = 2) -> None:
+    for v in _versions(spark, root)[:-keep]:
+        remove_path(spark, f"{root}/v{v}")
+
+
 def running_peak(spark: SparkSession, source: DataFrame, name: str = "peak",
                  state_root: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """T4: after every micro-batch the level totals are merged into a state
@@ -148,6 +204,7 @@ def running_peak(spark: SparkSession, source: DataFrame, name: str = "peak",
             F.min("first_seq").alias("first_seq"), F.sum("total_queries").alias("total_queries"),
             F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"))
         merged.write.mode("overwrite").parquet(f"{state_root}/v{epoch_id}")
+        _prune(batch.sparkSession, state_root)
 
     ckpt = checkpoint or scratch_path(spark, f"stream-{name}-ckpt")
     q = (source.writeStream.foreachBatch(merge).option("checkpointLocation", ckpt)

@@ -11,8 +11,7 @@ from nnprobe.streaming import live
 def test_live_latency_equals_batch(spark):
     s = live.measurement_stream(live.event_stream(spark, SF001, "events.parquet"))
     out, _ = live.run_to_table(live.live_latency(s), "complete", "t-lat")
-    res = live.read_result(spark, out, "run_id string, phase string, count long, p50_ms double, p95_ms double",
-                           "complete")
+    res = live.latency_of(live.read_result(spark, out, live.LATENCY_SCHEMA, "complete"))
     got = {r.phase: (r["count"], round(r.p50_ms, 9), round(r.p95_ms, 9)) for r in res.collect()}
     b = M.latency_summary(M.from_events(table(spark, SF001, "events")))
     want = {r.phase: (r["count"], round(r.p50_ms, 9), round(r.p95_ms, 9)) for r in b.collect()}
@@ -59,3 +58,20 @@ def test_running_peak_survives_restart(spark):
     want = {r.event_type: r["count"] for r in ev.groupBy("event_type").count().collect()}
     assert {r.level: r.total_queries for r in second} == want
     assert sum(r.leading for r in second) == 1
+
+
+def test_run_to_table_goes_on(spark):
+    d = scratch_path(spark, "latency-src")
+    ev = table(spark, SF001, "events")
+
+    def run(out=None, ckpt=None):
+        src = spark.readStream.schema(live.EVENTS_SCHEMA).option("recursiveFileLookup", "true").parquet(d)
+        return live.run_to_table(live.live_latency(live.measurement_stream(src)), "complete", "t-again", out, ckpt)
+
+    where = (None, None)
+    for k in range(4):
+        ev.where(F.col("event_id") % 4 == k).write.parquet(f"{d}/{k}")
+        where = run(*where)
+    counts = live.read_result(spark, where[0], live.LATENCY_SCHEMA, "complete")
+    assert counts.agg(F.sum("n")).first()[0] == ev.count()
+    assert len(live._versions(spark, where[0])) == 2
