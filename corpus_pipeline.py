@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from nnprobe.llm import nb_toxicity
 from nnprobe.llm.circulant_minhash import near_duplicates
-from nnprobe.llm.common import SPACE, store, table
+from nnprobe.llm.common import SPACE, drop_stored, release, store, stored_so_far, table
 from nnprobe.llm.line_spread import drop_spread_lines
 from nnprobe.llm.low_discrepancy_mix import mix, taken_words
 from nnprobe.llm.positional_index import contamination
@@ -66,5 +66,8 @@ ORACLE_SQL = None      # the classifier and the schedule are beyond SQL; tests c
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, at = docs, stored_so_far()
+        docs = store(stage(spark, before, sf_dir), f"pipeline-{name}")
+        release(spark, at, keep=docs)      # the stage's own tables
+        drop_stored(before)
     return docs

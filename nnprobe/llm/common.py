@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -35,6 +34,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_STORED: list[str] = []        # folders written by this session, in order
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts
     the lineage, survives lost executors and gives exact sizes to the planner."""
@@ -42,17 +44,34 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex[:12]}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    _STORED.append(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _STORED.remove(path)
 
 
 def drop_stored(df: DataFrame) -> None:
-    """Remove the files of tables made by ``store`` that nothing needs any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        if "/llm/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    """Remove the table that ``store`` returned as ``df`` and that nothing needs any more."""
+    if getattr(df, "_stored_at", None) in _STORED:
+        _delete(df.sparkSession, df._stored_at)
+
+
+def stored_so_far() -> int:
+    return len(_STORED)
+
+
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Remove the stored tables from the ``since``-th on, but for ``keep``.
+    The tables behind a result must stay until the result has been written."""
+    for path in _STORED[since:]:
+        if path != getattr(keep, "_stored_at", None):
+            _delete(spark, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
