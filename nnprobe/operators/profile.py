@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nnprobe.functions.distance import norm
+from nnprobe.functions.text import format_bytes
 
 # Fixed index kinds recognised by the lookup.
 INDEX_KINDS = ("hnsw", "ivfflat")
@@ -75,3 +76,14 @@ def facts(prof: DataFrame, table: str, column: str, extra: dict | None = None) -
     m = F.create_map(*[x for k, v in kv for x in (F.lit(k), v)])
     pos = F.posexplode(m)
     return prof.select(pos.alias("pos", "key", "value")).select(F.col("pos").cast("int"), "key", "value")
+
+
+def index_facts(lookup: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The table's stored size and the index found, as (key, value) rows:
+    its kind, parameters and size, or "none"."""
+    kind = F.col("kind")
+    params = F.when(F.col("lists") > 0, F.concat(F.lit(" lists="), F.col("lists").cast("string"))).otherwise(F.lit(""))
+    index = F.when(kind == "none", F.lit("none")).otherwise(F.concat(kind, params, F.lit(" · "), format_bytes("size_bytes")))
+    both = lookup.select(F.struct(F.lit("index").alias("key"), index.alias("value")).alias("i")).crossJoin(     # one row each
+        sizes.select(F.struct(F.lit("table size").alias("key"), format_bytes("table_size_bytes").alias("value")).alias("t")))
+    return both.select(F.explode(F.array("t", "i")).alias("r")).select("r.key", "r.value")

@@ -117,6 +117,19 @@ SQL_INDEX_LOOKUP = f"""SELECT 'embeddings' AS "table", 'embedding' AS "column",
 UNION ALL SELECT 'embeddings', 'other', NULL, 'none', NULL, NULL, false"""
 
 
+def q_index_facts(spark, sf):
+    """P7 with sizes; the figures of the files are left out, as no SQL sees them."""
+    _, m = _manifest(spark, sf)
+    sizes = profile.stored_size(table(spark, sf, "embeddings"))
+    found = profile.index_facts(profile.index_lookup(m, "embeddings", "embedding"), sizes)
+    none = profile.index_facts(profile.index_lookup(m, "embeddings", "other"), sizes)
+    return found.unionByName(none).select("key", F.regexp_replace("value", r"[0-9.]+ (B|[KMGTPE]iB)$", "SIZE").alias("value"))
+
+
+SQL_INDEX_FACTS = f"""SELECT 'table size' AS key, 'SIZE' AS value UNION ALL SELECT 'table size', 'SIZE'
+UNION ALL SELECT 'index', 'ivfflat lists={LISTS} · SIZE' UNION ALL SELECT 'index', 'none'"""
+
+
 def q_ivf_reopened(spark, sf):
     b, m = _manifest(spark, sf)
     index = ivf.open_index(spark, profile.index_lookup(m, "embeddings", "embedding").first())
@@ -272,6 +285,7 @@ def entries():
         "knn_null_rows": (_knn_null_rows("block"), SQL_KNN_NULL_ROWS),
         "knn_null_rows_expr": (_knn_null_rows("expr"), SQL_KNN_NULL_ROWS),
         "index_lookup": (q_index_lookup, SQL_INDEX_LOOKUP),
+        "index_facts": (q_index_facts, SQL_INDEX_FACTS),
         "ivf_reopened": (q_ivf_reopened, SQL_IVF_SEARCH),
         "ivf_kmeans_invariants": (q_ivf_kmeans_invariants, SQL_IVF_KMEANS_INVARIANTS),
         "draw_rule": (q_draw_rule, SQL_DRAW_RULE),
