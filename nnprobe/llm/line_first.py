@@ -23,7 +23,7 @@ from nnprobe.llm.common import SPACE, once
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PCT = 30
-MAX_LOST = 0.5
+MAX_LOST = 0.6
 
 # The rules for one line.
 LINE_END = "[.!?…:;。！？][\"'”’»)\\]*]*[\\x20\\x09-\\x0D]*$"

@@ -1,7 +1,7 @@
 """DuckDB SQL of the operators that SQL can express, written apart from the Spark code."""
 
 from nnprobe.llm.common import LOWER, UPPER
-from nnprobe.llm.line_first import BOILERPLATE, INNER_END, LINE_END, LONG_LINE, NAV_BARS, NAV_WORDS, SHORT_NOTICE
+from nnprobe.llm.line_first import BOILERPLATE, INNER_END, LINE_END, LONG_LINE, MAX_LOST, NAV_BARS, NAV_WORDS, SHORT_NOTICE
 
 _LOW = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 
@@ -67,7 +67,7 @@ m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_s
       FROM d LEFT JOIN k USING (doc_id) LEFT JOIN r USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND lost <= 0.5 AS kept
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND lost <= {MAX_LOST} AS kept
 FROM m
 """
 
