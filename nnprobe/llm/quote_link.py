@@ -98,18 +98,17 @@ def thread_roots(links: DataFrame) -> DataFrame:
 def link_conversations(messages: DataFrame) -> DataFrame:
     """One row per message: conv_id, position (0-based, in reply order), turn,
     role, parent_turn, root_turn, depth, n_quotes, max_level, n_linked, text."""
-    parsed = store(parse_quotes(messages), "op1-parsed")
+    parsed = store(parse_quotes(messages).withColumn("rid", F.monotonically_increasing_id()), "op1-parsed")
     links = link_quotes(parsed)
-    roots = thread_roots(links)
-    tied = links.join(roots, ["conv_id", "turn"])
-    rows = parsed.join(tied, ["conv_id", "turn"], "left").select(
-        "conv_id", "turn", "role", F.col("parent").alias("parent_turn"), F.coalesce("root", "turn").alias("root_turn"),
-        F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.size("quotes").cast("long").alias("n_quotes"),
-        F.coalesce(F.array_max(F.col("quotes.level")), F.lit(0)).cast("long").alias("max_level"),
-        F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.col("own").alias("text"))
-    keys = rows.withColumn("_h", F.xxhash64("role", "text"))
-    placed = store(running_totals(keys, ["conv_id", "root_turn", "turn", "_h"], {}, "op1-order"), "op1-placed")
+    tied = links.join(thread_roots(links), ["conv_id", "turn"])
+    # the order is found on narrow rows; texts move once, to their place in it
+    rows = (parsed.select("rid", "conv_id", "turn", F.xxhash64("role", "own").alias("h")).join(tied, ["conv_id", "turn"], "left")
+            .select("rid", "conv_id", "turn", "h", F.col("parent").alias("parent_turn"), F.coalesce("root", "turn").alias("root_turn"),
+                    F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked")))
+    placed = store(running_totals(rows, ["conv_id", "root_turn", "turn", "h", "rid"], {}, "op1-order"), "op1-placed")
     first = placed.groupBy(F.col("conv_id").alias("_c")).agg(F.min("_pos").alias("_p0"))
-    return (placed.join(first, F.col("conv_id").eqNullSafe(F.col("_c")))
-            .select("conv_id", (F.col("_pos") - F.col("_p0")).alias("position"), "turn", "role", "parent_turn", "root_turn",
-                    "depth", "n_quotes", "max_level", "n_linked", "text"))
+    at = (placed.join(first, F.col("conv_id").eqNullSafe(F.col("_c")))
+          .select("rid", (F.col("_pos") - F.col("_p0")).alias("position"), "parent_turn", "root_turn", "depth", "n_linked"))
+    return parsed.join(at, "rid").select(
+        "conv_id", "position", "turn", "role", "parent_turn", "root_turn", "depth", F.size("quotes").cast("long").alias("n_quotes"),
+        F.coalesce(F.array_max(F.col("quotes.level")), F.lit(0)).cast("long").alias("max_level"), "n_linked", F.col("own").alias("text"))

@@ -145,6 +145,65 @@ def test_pipeline_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontaminate", "mix_sources"]
 
 
+def brute_line_dedup(rows):
+    norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ").lower()
+    sites, first = {}, {}
+    for r in rows:
+        for at, line in enumerate((r["text"] or "").split("\n") if r["text"] is not None else []):
+            u = norm(line)
+            if u and u.count(" ") >= 4:
+                sites.setdefault(u, set()).add(r["source"])
+                first[u] = min(first.get(u, (r["doc_id"], at)), (r["doc_id"], at))
+    out = {}
+    for r in rows:
+        if r["text"] is None:
+            out[r["doc_id"]] = None
+            continue
+        lines = r["text"].split("\n")
+        gone = [at for at, x in enumerate(lines) if len(sites.get(norm(x), ())) >= 5 and first[norm(x)] != (r["doc_id"], at)]
+        left = "\n".join(x for at, x in enumerate(lines) if at not in gone)
+        if not gone or re.search(r"[^\x20\x09-\x0D]", left):
+            out[r["doc_id"]] = left
+    return out
+
+
+def test_pipeline_equals_brute_force(spark):
+    """Every stage against a plain Python version, each on the stage's own input."""
+    from test_llm_dedup import brute_components
+    from test_llm_text import brute_hits
+
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    items = [tuple(r) for r in spark.read.parquet(f"{SF001}/benchmark.parquet").select("item_id", "text").collect()]
+    model = nb_toxicity.train(docs, spark.read.parquet(f"{SF001}/labels.parquet"))
+    table = model.table()
+
+    def brute(name, rows):
+        if name == "toxicity":
+            import numpy as np
+            total = lambda t: model.bias + float(np.sum(model.weights[nb_toxicity._present(t, table)]))
+            return {r["doc_id"]: r["text"] for r in rows if total(r["text"]) < 0}
+        if name == "line_dedup":
+            return brute_line_dedup(rows)
+        if name == "near_dedup":
+            found = brute_components([(r["doc_id"], r["text"]) for r in rows])
+            return {r["doc_id"]: r["text"] for r in rows if found[r["doc_id"]][1] == r["doc_id"]}
+        hit = {h[0] for h in brute_hits([(r["doc_id"], r["text"]) for r in rows], items) if h[-1]}
+        return {r["doc_id"]: r["text"] for r in rows if r["doc_id"] not in hit}
+
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        want = brute(name, [r.asDict() for r in docs.collect()])
+        docs = corpus_pipeline.store(stage(spark, docs, SF001), "test")
+        assert {r.doc_id: r.text for r in docs.collect()} == want, name
+    sizes = {}
+    for r in docs.collect():
+        sizes[r.source] = sizes.get(r.source, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+    target = brute_targets(sizes)
+    got = corpus_pipeline.mix_sources(spark, docs, SF001).collect()
+    for s in sizes:
+        assert sum(r.taken for r in got if r.source == s) == int(target[s] + 1e-6)
+    assert all(r.taken <= 2 * r.size for r in got) and len(got) == docs.count()
+
+
 def test_pipeline_odd_rows(spark):
     rows = [(1, None, None, None, None), (None, "text without an id", "en", "a", 18), (2, "", "en", None, 0),
             (3, "same words in this text here", "en", "a", 28), (3, "same words in this text here", "en", "a", 28),
