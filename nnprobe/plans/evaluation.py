@@ -24,6 +24,7 @@ class EvalConfig:
     metric: str = "cosine"
     k: int = 10
     queries: int = 50
+    recall_sample: int | None = None     # W4: None: all drawn queries
     lists: int | None = None       # None: the square root of the row count
     efforts: tuple = (1, 2, 4, 8, 16)
     trainer: str = "sample"
@@ -47,7 +48,7 @@ class EvalParts:
 def evaluate(base: DataFrame, cfg: EvalConfig = EvalConfig(), id_col: str = "id",
              vec_col: str = "embedding") -> EvalParts:
     spark = base.sparkSession
-    q = sampling.sample_queries(base, cfg.queries, id_col=id_col, vec_col=vec_col, seed=cfg.seed)
+    _, q = sampling.draw_queries(base, cfg.queries, cfg.recall_sample or cfg.queries, id_col, vec_col, cfg.seed)
     lists = cfg.lists or ivf.default_lists(base.count())
     truth = knn.exact_knn(base, q, cfg.k, cfg.metric, exclude_self=True,
                           strategy=cfg.strategy, id_col=id_col, vec_col=vec_col)
@@ -61,7 +62,7 @@ def evaluate(base: DataFrame, cfg: EvalConfig = EvalConfig(), id_col: str = "id"
     # queries x max(effort) rows, bounded: written once, read by sweep and cost
     probes = ivf.probe_ranks(q, cents, cfg.metric, depth=max(cfg.efforts)).checkpoint(eager=True)
     eff = recall.efforts_frame(spark, cfg.efforts)
-    per = recall.sweep(truth, asg, probes, q, eff, truth_rows=cfg.queries * cfg.k)
+    per = recall.sweep(truth, asg, probes, q, eff, truth_rows=(cfg.recall_sample or cfg.queries) * cfg.k)
     cost = ivf.scan_cost(probes, ivf.list_sizes(asg), eff)
     pts = recall.sweep_points(per, cost)
     return EvalParts(q, truth, cents, asg, probes, eff, per, cost, pts)

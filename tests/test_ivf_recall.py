@@ -188,3 +188,20 @@ def test_timed_points(spark):
                               "sweep_idx int, effort int, started_us long, ended_us long, dur_ms double")
     got = rows(recall.timed_points(pts, recall.sweep_timings(m)).select("sweep_idx", "recall", "p95_ms", "qps"), "sweep_idx")
     assert [(a, b, c and round(c, 9), d) for a, b, c, d in got] == [(0, 0.5, 2.9, 1.0), (1, 0.9, None, None)]
+
+
+def test_recall_sample_of_the_run(spark):
+    b = base(spark, SF001)
+    parts = evaluate(b, EvalConfig(queries=12, recall_sample=5, lists=8, efforts=(8,)))
+    assert parts.queries.count() == 5 and parts.points.first().recall == 1.0
+    want = {r.qid for r in sampling.sample_queries(b, 12).where("pos < 5").collect()}
+    assert {r.qid for r in parts.queries.collect()} == want
+
+
+def test_ragged_tables_are_refused(spark):
+    import pytest
+    from nnprobe.operators import profile
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, None)], "id long, embedding array<float>")
+    with pytest.raises(ValueError):
+        profile.check_dimension(profile.profile(df).first())
+    assert profile.check_dimension(profile.profile(df.where("id <> 2")).first()) == 2
