@@ -53,9 +53,23 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+_SCRATCH: list[str] = []        # paths given out in this session
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder, with its scheme as given."""
-    return f"{shared_dir(spark)}/nnprobe/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/nnprobe/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path
+
+
+def release(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Remove everything this session wrote under ``scratch_path`` but for
+    ``keep`` (say, an index that stays).  Call it when results have been
+    written: results read these folders."""
+    for path in [p for p in _SCRATCH if p not in keep]:
+        remove_path(spark, path)
+        _SCRATCH.remove(path)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

@@ -70,3 +70,26 @@ def test_result_document(spark):
     assert r.config.k == 10 and len(r.throughput.levels) == 5 and r.recall.default.effort == 4
     out = sinks.write_document(doc, scratch_path(spark, "doc"))
     assert spark.read.json(out).first().recall.points[1].recall == 0.9
+
+
+def test_release_removes_scratch(spark):
+    from nnprobe.session import release, stored
+    kept, at = stored(spark.range(3), "kept")
+    _, gone = stored(spark.range(3), "gone")
+    release(spark, keep=(at,))
+    assert kept.count() == 3 and not os.path.exists(gone.removeprefix("file:"))
+    release(spark)
+    assert not os.path.exists(at.removeprefix("file:"))
+
+
+def test_no_shared_folder_is_an_error_on_a_cluster(spark):
+    import pytest
+    from types import SimpleNamespace
+    from nnprobe.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda k, d=None: d)
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://h:7077", getCheckpointDir=lambda: None)))
+    remote = SimpleNamespace(get=lambda k, d=None: "s3a://bucket/x/")
+    sc = SimpleNamespace(master="spark://h:7077", getCheckpointDir=lambda: "s3a://bucket/x")
+    assert shared_dir(SimpleNamespace(conf=remote, sparkContext=sc)) == "s3a://bucket/x"
