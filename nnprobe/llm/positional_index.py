@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from nnprobe.llm.common import LOWER, UPPER, drop_stored, store
 
 SIZE = 10
-BLOCK_BYTES = 8 << 20      # bytes of item text per block; bounds every broadcast
+BLOCK_BYTES = 2 << 20      # bytes of item text per block; its windows, the largest broadcast, take about 40 times that
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 NOT_WORD_ANY_CASE = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
