@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nnprobe.operators.ranking import grouped_percentiles, join_keys, positions, running
+from nnprobe.operators.ranking import explode_range, grouped_percentiles, join_keys, positions, running
 from nnprobe.session import stored
 
 # Fixed values of the reference's statistics.
@@ -180,11 +180,11 @@ def running_qps(m: DataFrame, tick_ms: int = 200, group: str = "level") -> DataF
     t = positions(t, group, "tick", "i")
     nxt = t.select(group, (F.col("i") - 1).alias("i"), F.col("tick").alias("next"))
     t = join_keys(t, nxt, [group, "i"], "left")
-    t = t.withColumn("at", F.explode(F.sequence(F.col("tick"), F.coalesce(F.col("next"), F.col("tick") + 1) - 1)))
+    zero = F.lit(0).cast("long")
+    quiet = (explode_range(t.groupBy(group).agg(F.min("tick").alias("m")), F.lit(1), F.col("m") - 1, "tick")
+             .select(group, "tick", zero.alias("completed"), zero.alias("cum_completed")))
+    t = explode_range(t, F.col("tick"), F.coalesce(F.col("next"), F.col("tick") + 1) - 1, "at")
     first = F.col("at") == F.col("tick")
-    quiet = (start.join(t.groupBy(F.col(group).alias("_g")).agg(F.min("tick").alias("m")), F.col(group).eqNullSafe(F.col("_g")))
-             .where(F.col("m") > 1).select(group, F.explode(F.sequence(F.lit(1).cast("long"), F.col("m") - 1)).alias("tick"),
-                                           F.lit(0).cast("long").alias("completed"), F.lit(0).cast("long").alias("cum_completed")))
     seen = t.select(group, F.col("at").alias("tick"), F.when(first, F.col("completed")).otherwise(F.lit(0)).alias("completed"),
                     (F.col("before") + F.col("completed")).alias("cum_completed"))
     return (seen.unionByName(quiet).withColumn("elapsed_s", F.col("tick") * (tick_ms / 1000.0))

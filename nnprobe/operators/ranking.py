@@ -75,3 +75,13 @@ def grouped_percentiles(df: DataFrame, keys: list[str], col: str, ps, names, wei
         part = rank - F.floor(rank)
         out.append((F.col(f"_f{i}") * (1 - part) + F.col(f"_g{i}") * part).alias(name))
     return got.select(*keys, *out)
+
+
+def explode_range(df: DataFrame, lo: Column, hi: Column, out: str, step: Column | int = 1, chunk: int = 10_000) -> DataFrame:
+    """``df`` once per value from ``lo`` to ``hi`` (as ``out``); long ranges
+    are unfolded in two steps, so no row ever holds more than ``chunk`` values."""
+    step = F.lit(step).cast("long") if isinstance(step, int) else step.cast("long")
+    lo, hi = lo.cast("long"), hi.cast("long")
+    a = df.where(lo <= hi).select("*", hi.alias("_hi"), step.alias("_step"), F.explode(F.sequence(lo, hi, step * chunk)).alias("_lo"))
+    last = F.least(F.col("_hi"), F.col("_lo") + F.col("_step") * (chunk - 1))
+    return a.withColumn(out, F.explode(F.sequence("_lo", last, "_step"))).drop("_hi", "_lo", "_step")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nnprobe.operators import measure as M
-from nnprobe.operators.ranking import grouped_percentiles, join_keys, running
+from nnprobe.operators.ranking import explode_range, grouped_percentiles, join_keys, running
 from nnprobe.session import remove_path, scratch_path
 
 EVENTS_SCHEMA = ("event_id long, ts timestamp_ntz, user_id long, event_type string, "
@@ -79,8 +79,8 @@ def cumulative_qps(closed: DataFrame) -> DataFrame:
     first = closed.groupBy("level").agg(F.min("window_start_us").alias("_s"),
                                         F.min(F.col("window_end_us") - F.col("window_start_us")).alias("_w"),
                                         F.max("window_end_us").alias("_e"))
-    every = first.select("level", "_s", F.explode(F.sequence("_s", F.col("_e") - F.col("_w"), "_w")).alias("window_start_us"),
-                         "_w")
+    every = (explode_range(first, F.col("_s"), F.col("_e") - F.col("_w"), "window_start_us", F.col("_w"))
+             .select("level", "_s", "window_start_us", "_w"))
     grid = (join_keys(every, closed.select("level", "window_start_us", "completed"), ["level", "window_start_us"], "left")
             .withColumn("completed", F.coalesce("completed", F.lit(0).cast("long"))))
     done = running(grid, ["level"], ["window_start_us"], "completed", "_before")
