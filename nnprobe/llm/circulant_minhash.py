@@ -192,7 +192,7 @@ def _near_pairs(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     near = (pairs.join(_side(sets, "a", "n", "sk"), "a").join(_side(sets, "b", "n", "sk"), "b")
             .where((100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")))
             .select("a", "b", "sk_a", "sk_b").mapInArrow(_near_sketches, "a long, b long"))
-    return store(near.distinct(), "op2-near")
+    return store(near, "op2-near")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
