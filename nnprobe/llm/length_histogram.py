@@ -14,6 +14,7 @@ they are named as groups; a null group is a group of its own.
 from __future__ import annotations
 
 import base64
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +26,11 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pre-splitting pattern of this byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MAX_VOCABULARY_BYTES = 64 << 20
-_LOADED: dict[int, object] = {}
+_LOADED: dict[tuple, object] = {}        # per Python worker
 
 
-def _encoding(key: int, data: bytes, pattern: str):
+def _encoding(data: bytes, pattern: str):
+    key = (len(data), zlib.crc32(data), pattern)
     if key not in _LOADED:
         import tiktoken
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
@@ -51,7 +53,7 @@ def with_lengths(docs: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PAT
     bc = vocabulary(docs.sparkSession, tokenizer)
 
     def run(batches):
-        enc = _encoding(bc.id if hasattr(bc, "id") else 0, bc.value, pattern)
+        enc = _encoding(bc.value, pattern)
         for batch in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())],

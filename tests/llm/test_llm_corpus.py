@@ -34,6 +34,11 @@ def test_lengths_and_limits(spark):
         assert r.truncated_tokens == sum(min(x, r.context_limit) for x in lengths)
     q = quantiles(got, [0.25, 0.5, 1.0]).first()
     assert (q["q0.25"], q["q0.5"], q["q1"]) == (lengths[1], lengths[3], lengths[-1])
+    # another vocabulary in the same workers, and two at once
+    other = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+    text = spark.createDataFrame([("Ungeheuerlichkeiten " * 40,)], "text string")
+    sizes = [with_lengths(text, tokenizer=t).first()[0] for t in ("/opt/tokenizers/byte_bpe_50k.tiktoken", other) * 2]
+    assert sizes[0] == sizes[2] and sizes[1] == sizes[3] and sizes[0] != sizes[1]
     empty = context_limits(length_histogram(with_lengths(df.limit(0))))
     assert empty.count() == 0 and at_limits(empty, [5]).first().truncated_tokens == 0
 
