@@ -132,6 +132,24 @@ def test_toxicity_edges(spark):
     assert again.bias == model.bias and (again.weights == model.weights).all()
 
 
+def test_many_labels_join_by_shuffle(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    labels = spark.read.parquet(f"{SF001}/labels.parquet")
+    one = nb_toxicity.train(docs, labels)
+    monkeypatch.setattr(nb_toxicity, "LABEL_BROADCAST_ROWS", 0)
+    two = nb_toxicity.train(docs, labels)
+    assert one.bias == two.bias and (one.weights == two.weights).all() and (one.places == two.places).all()
+
+
+def test_sample_bound(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    labels = spark.read.parquet(f"{SF01}/labels.parquet")
+    small = nb_toxicity.train(docs, labels, sample_rows=150)
+    whole = nb_toxicity.train(docs, labels)
+    assert (small.places == whole.places).all()          # counts cover all rows; only the fit is bounded
+    assert not (small.weights == whole.weights).all()
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
     columns = docs.columns
