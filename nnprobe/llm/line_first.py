@@ -54,7 +54,7 @@ def line_fails(line: Column) -> Column:
     prose = line.rlike(LINE_END) | ((F.length(line) >= LONG_LINE) & line.rlike(INNER_END))
     bad = (~prose
            | (line.rlike(NAV_BARS) & (F.length(F.regexp_replace(line, "[^|>»·•/]+", "")) * 20 > F.length(line)))
-           | line.rlike(NAV_WORDS) | (line.rlike(BOILERPLATE) & (F.length(line) <= SHORT_NOTICE))
+           | line.rlike(NAV_WORDS) | ((F.length(line) <= SHORT_NOTICE) & line.rlike(BOILERPLATE))
            | (_symbols(line) * 10 > F.length(line))
            | ((F.length(letters) >= 20) & (capitals * 10 > F.length(letters) * 7)))
     return line.rlike(f"[^{SPACE}]") & bad
