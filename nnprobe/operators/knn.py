@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from nnprobe.functions.distance import check_metric, cosine_from_parts, distance, dot, searchable, sq_norm
 from nnprobe.operators.kernel import TOPK_SCHEMA, topk_per_partition
-from nnprobe.session import stored
+from nnprobe.session import spread, stored
 
 # Bytes of one slice of the query matrix; a larger query set takes several passes.
 MAX_QUERY_BYTES = 256 * 1024 * 1024
@@ -103,7 +103,7 @@ def exact_knn(base: DataFrame, queries: DataFrame, k: int = 10, metric: str = "c
     b = _base(base, id_col, vec_col)
     if strategy == "block":
         return rank_topk(_block_scan(b, queries, k, metric, exclude_self).where(F.col("id").isNotNull()), k)
-    b = b.where(searchable("v"))
+    b = spread(b).where(searchable("v"))         # per-pair work is a JVM fold
     cand = None
     for chunk in query_chunks(queries):
         q = chunk.where(searchable("qv")).select("qid", "qv")

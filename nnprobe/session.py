@@ -89,3 +89,11 @@ def stored(df, name: str):
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df):
+    """Round-robin over the cores where the input has fewer files than there
+    are cores (a small table is one unsplittable row group).  The files are
+    listed, nothing runs; a table of many files is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
