@@ -37,7 +37,7 @@ CUES = ("token", "api key", "api_key", "apikey", "password", "passwd", "secret",
         "passport", "ssn", "social security number")
 URL = re.compile(r"[^\s\"'<>`]+")
 HANDLE = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,30}(?![A-Za-z0-9_@])")
-VALUE = re.compile(r"[ \t]{0,3}(?:is|no\.?|number)?[ \t]{0,3}[:=#]?[ \t]{0,3}[\"']?([A-Za-z0-9][A-Za-z0-9+/_.-]{5,127})")
+VALUE = re.compile(r"[ \t]{0,3}(?:is|no\.?|number)?[ \t]{0,3}[:=#]?[ \t]{0,3}[\"']?([A-Za-z0-9][A-Za-z0-9+/_.-]{5,})")
 _DIGITS = re.compile(r"[0-9]+")
 OUT = ("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 

@@ -52,6 +52,13 @@ def test_added_spans_and_long_runs():
     assert find_spans("0" * 5000 + ".1.1.1")[0][0] == "ip"
 
 
+def test_long_account_values_are_whole():
+    value = "eyJ0" + "aB3_-xYz." * 600 + "Q9"
+    t = f"token: {value} end"
+    assert find_spans(t) == [("account", 7, 7 + len(value))]
+    assert find_spans("token:" + "token-" * 100_000) == []
+
+
 def test_personal_data_rows(spark):
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "x@y.zz 1.2.3.4", 0), (3, "x@y.zz 1.2.3.4", 0), (None, "é a@b.c", 0)],
                                "doc_id long, text string, spans int")
