@@ -1,8 +1,9 @@
 """Personal data by anchor expansion (operator 7).
 
 One Aho-Corasick pass over a whole text finds anchors: at-signs, plus signs,
-digits, schemes and identifier cues.  Parsers then expand each anchor to its
-boundaries and check it: e-mail addresses to both sides of an at-sign; IP
+digits, schemes and identifier cues (these two in any mix of A-Z and a-z).
+Parsers then expand each anchor to its boundaries and check it: e-mail
+addresses to both sides of an at-sign; IP
 addresses, card and phone numbers from their first sign on, as leftmost
 non-overlapping matches; web addresses after a scheme; handles after an
 at-sign that is no e-mail; account values (tokens, keys, IBANs, passport,
@@ -24,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nnprobe.llm.common import LOWER, UPPER
+
 KINDS = ("email", "ip", "card", "phone", "account", "handle", "url")
 BASE = KINDS[:4]
 # Characters and patterns of the contract, cues and schemes.
@@ -37,8 +40,10 @@ CUES = ("token", "api key", "api_key", "apikey", "password", "passwd", "secret",
         "passport", "ssn", "social security number")
 URL = re.compile(r"[^\s\"'<>`]+")
 HANDLE = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,30}(?![A-Za-z0-9_@])")
-VALUE = re.compile(r"[ \t]{0,3}(?:is|no\.?|number)?[ \t]{0,3}[:=#]?[ \t]{0,3}[\"']?([A-Za-z0-9][A-Za-z0-9+/_.-]{5,})")
+VALUE = re.compile(
+    r"[ \t]{0,3}(?:is|no\.?|number|(?ai:is|no|number)(?![A-Za-z0-9])\.?)?[ \t]{0,3}[:=#]?[ \t]{0,3}[\"']?([A-Za-z0-9][A-Za-z0-9+/_.-]{5,})")
 _DIGITS = re.compile(r"[0-9]+")
+_LOW = str.maketrans(UPPER, LOWER)
 OUT = ("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
@@ -49,8 +54,7 @@ def _automaton():
             a.add_word(w, (kind, len(w)))
     for kind, words in (("s", SCHEMES), ("c", CUES)):
         for w in words:
-            for form in {w, w.upper(), w.capitalize(), w.title()}:
-                a.add_word(form, (kind, len(form)))
+            a.add_word(w, (kind, len(w)))
     a.make_automaton()
     return a
 
@@ -58,6 +62,11 @@ def _automaton():
 _AUTOMATON = _automaton()
 
 
+def _lowered(text: str) -> str:
+    """A-Z in lower case; every place keeps its offset."""
+    return text.lower() if text.isascii() else text.translate(_LOW)
+
+
 def _luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -89,7 +98,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
         return []
     found: dict[str, list] = {k: [] for k in KINDS}
     done = dict.fromkeys(KINDS, 0)
-    for last, (kind, n) in _AUTOMATON.iter(text):
+    for last, (kind, n) in _AUTOMATON.iter(_lowered(text)):
         at = last - n + 1
         if kind == "0":
             if at >= done["ip"]:

@@ -59,6 +59,18 @@ def test_long_account_values_are_whole():
     assert find_spans("token:" + "token-" * 100_000) == []
 
 
+@pytest.mark.parametrize("t", [
+    "API key: sk1234567", "apiKey=sk1234567", "ApiKey sk1234567", "API_key is sk1234567", "pAsSwOrD: sk1234567",
+    "Social Security number: sk1234567", "É SSN No. sk1234567", "Passport NUMBER sk1234567"])
+def test_cues_in_any_case(t):
+    assert [(k, t[s:e]) for k, s, e in find_spans(t)] == [("account", "sk1234567")]
+
+
+def test_schemes_in_any_case_and_offsets():
+    t = "İÉ HtTpS://a.b/C token ISABCDE123"
+    assert [(k, t[s:e]) for k, s, e in find_spans(t)] == [("account", "ISABCDE123"), ("url", "HtTpS://a.b/C")]
+
+
 def test_personal_data_rows(spark):
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "x@y.zz 1.2.3.4", 0), (3, "x@y.zz 1.2.3.4", 0), (None, "é a@b.c", 0)],
                                "doc_id long, text string, spans int")
