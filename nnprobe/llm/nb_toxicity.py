@@ -7,7 +7,8 @@ all labelled training rows Spark counts in how many documents of each class a
 place occurs; the log-count ratio of the smoothed class shares scales the
 feature.  The places that separate the classes best feed a logistic
 regression with an L2 penalty, fitted on a bounded sample of the training
-rows (``sample_rows``, by hash of the id); everything else covers all rows.
+rows (``sample_rows``, by hash of the id, up to half of them of each class, the
+intercept corrected by the class totals); everything else covers all rows.
 Every whole text is then scored; a text is read in pieces, so its length is
 no matter.
 
@@ -162,6 +163,25 @@ def _fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, l2: float = 1
     return w, bias
 
 
+def _sample(rows: DataFrame, n0: int, n1: int, sample_rows: int) -> DataFrame:
+    """(text, toxic) of about ``sample_rows`` rows by hash of the id, half of
+    them of each class; what a class lacks the other one fills.  No class that
+    has rows is left out."""
+    half = max(1, sample_rows // 2)
+    kept = None
+    for y, n, other in ((0, n0, n1), (1, n1, n0)):
+        of_class = rows.where(F.col("toxic") == y)
+        want = max(half, sample_rows - other)
+        if n > want:
+            place = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 40))
+            part = of_class.where(place < int(want / n * (1 << 40)))
+            # few ids under many rows may all lie outside the share
+            of_class = of_class.orderBy(place, "text").limit(want) if part.isEmpty() else part
+        of_class = of_class.select("text", "toxic")
+        kept = of_class if kept is None else kept.unionAll(of_class)
+    return kept
+
+
 def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES, sample_rows: int = SAMPLE_ROWS) -> ToxicModel:
     rows = training_rows(docs, labels)
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}    # two rows
@@ -186,13 +206,12 @@ def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES, sample_r
             out = [_present(text, bc.value).tobytes() for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column("toxic")], names=["x", "toxic"])
 
-    share = min(1.0, sample_rows / (n0 + n1))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    got = sample.select("doc_id", "text", "toxic").mapInArrow(present, "x binary, toxic int").toArrow()
+    got = _sample(rows, n0, n1, sample_rows).mapInArrow(present, "x binary, toxic int").toArrow()
     pairs = sorted(zip(got.column("toxic").to_pylist(), got.column("x").to_pylist(), strict=True))   # one order, one model
-    if len({y for y, _ in pairs}) < 2:
-        return none
+    m1 = sum(y for y, _ in pairs)
     w, bias = _fit([np.frombuffer(x, np.int16) for _, x in pairs], np.array([float(y) for y, _ in pairs]), ratio)
+    # the sample's odds of the classes give way to those of all rows
+    bias += float(np.log(n1 / n0) - np.log(m1 / (len(pairs) - m1)))
     return ToxicModel(best["place"].to_numpy(), w * ratio, bias)
 
 

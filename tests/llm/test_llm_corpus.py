@@ -150,6 +150,25 @@ def test_sample_bound(spark):
     assert not (small.weights == whole.weights).all()
 
 
+def test_sample_holds_a_rare_class(spark):
+    docs = spark.createDataFrame([(i, f"you stupid fool {i}" if i < 4 else f"a kind word {i}") for i in range(2000)],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 4)) for i in range(2000)], "doc_id long, toxic int")
+    rows = nb_toxicity.training_rows(docs, labels)
+    n1 = rows.where("toxic = 1").count()
+    assert n1
+    for bound in (2, 40):
+        got = nb_toxicity._sample(rows, rows.count() - n1, n1, bound).groupBy("toxic").count().collect()
+        assert {r.toxic for r in got} == {0, 1} and sum(r["count"] for r in got) < 3 * bound + 4
+    model = nb_toxicity.train(docs, labels, sample_rows=40)
+    by = {r.doc_id: r.score for r in nb_toxicity.score(docs, model).collect()}
+    assert len(model.places) and min(by[i] for i in range(4)) > max(by[i] for i in range(4, 2000))
+    same = docs.where("doc_id in (1, 7)").unionAll(docs.where("doc_id = 7").crossJoin(spark.range(500)).drop("id"))
+    rows = nb_toxicity.training_rows(same, labels)
+    n1 = rows.where("toxic = 1").count()
+    assert nb_toxicity._sample(rows, rows.count() - n1, n1, 4).select("toxic").distinct().count() == rows.select("toxic").distinct().count()
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
     columns = docs.columns
