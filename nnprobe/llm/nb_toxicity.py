@@ -5,9 +5,12 @@ A document's features are the distinct character n-grams (4 to 8 code points,
 lower case, runs of white space as one blank) hashed to 2**20 places.  Over
 all labelled training rows Spark counts in how many documents of each class a
 place occurs; the log-count ratio of the smoothed class shares scales the
-feature.  The places that separate the classes best feed a logistic
-regression with an L2 penalty, fitted on a bounded sample of the training
-rows (``sample_rows``, by hash of the id, up to half of them of each class, the
+feature.  Every place in ``MIN_DOCS`` documents or more has a weight: the
+places that separate the classes best have a coefficient of their own, the
+others one for all of about the same ratio, whose ratios a document sums up
+(for the fit by the counts of the other rows).  They feed a logistic
+regression with an L2 penalty, fitted on a bounded sample of the training rows
+(``sample_rows``, by hash of the id, up to half of them of each class, the
 intercept corrected by the class totals); everything else covers all rows.
 Every whole text is then scored; a text is read in pieces, so its length is
 no matter.
@@ -34,7 +37,8 @@ from nnprobe.llm.common import store
 
 SIZES = (4, 5, 6, 7, 8)
 BITS = 20
-FEATURES = 4096
+FEATURES = 4096                       # places with a coefficient of their own; the others share one a group
+GROUPS = np.arange(-4.0, 5.0)         # edges of their log-count ratios
 SAMPLE_ROWS = 20_000
 LABEL_BROADCAST_ROWS = 2_000_000      # 16 bytes each; more labels are joined by shuffle
 MIN_DOCS = 3
@@ -60,27 +64,6 @@ def _places(text: str):
                 yield x >> np.uint32(32 - BITS)
 
 
-def _distinct(text: str, mark: np.ndarray) -> np.ndarray:
-    """Distinct places of a text; ``mark`` is scratch of 2**BITS zeros."""
-    parts = []
-    for x in _places(text):
-        x = x[~mark[x]]
-        x = np.unique(x) if len(x) < 64 else x[_first(x)]
-        mark[x] = True
-        parts.append(x)
-    out = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-    mark[out] = False
-    return out
-
-
-def _first(x: np.ndarray) -> np.ndarray:
-    order = np.argsort(x, kind="stable")
-    s = x[order]
-    keep = np.ones(len(x), bool)
-    keep[order[1:][s[1:] == s[:-1]]] = False
-    return keep
-
-
 def held_out(id_col: str = "doc_id"):
     """True for the rows that labels are never learnt from."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == 0, F.lit(False))
@@ -102,7 +85,7 @@ def _count_batches(batches):
     mark = np.zeros(1 << BITS, bool)
     for batch in batches:
         for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            counts[y, _distinct(text or "", mark)] += 1
+            counts[y, _marked(text, mark)] += 1
     at = np.flatnonzero(counts.sum(axis=0))
     if len(at):
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[0, at]), pa.array(counts[1, at])],
@@ -111,48 +94,62 @@ def _count_batches(batches):
 
 @dataclass
 class ToxicModel:
-    """Selected places, their weights (log-count ratio times coefficient) and the bias."""
+    """Places, their weights (log-count ratio times coefficient) and the bias."""
     places: np.ndarray
     weights: np.ndarray
     bias: float
 
     def table(self) -> np.ndarray:
-        t = np.zeros(1 << BITS, np.int16)
+        t = np.zeros(1 << BITS, np.int32)
         t[self.places] = np.arange(1, len(self.places) + 1)
         return t
 
 
-def _present(text: str | None, table: np.ndarray) -> np.ndarray:
-    hits = [np.zeros(0, np.int16)]
+def _marked(text: str | None, mark: np.ndarray | None = None) -> np.ndarray:
+    """Distinct places of a text in order; ``mark`` is scratch of 2**BITS zeros."""
+    mark = np.zeros(1 << BITS, bool) if mark is None else mark
     for x in _places(text or ""):
-        t = table[x]
-        hits.append(t[t > 0])
-    return np.unique(np.concatenate(hits)) - 1
+        mark[x] = True
+    at = np.flatnonzero(mark)
+    mark[at] = False
+    return at
 
 
-def _fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, l2: float = 1.0,
+def _present(text: str | None, table: np.ndarray, mark: np.ndarray | None = None) -> np.ndarray:
+    t = table[_marked(text, mark)]
+    return t[t > 0] - 1
+
+
+def _shared_ratio(c0, c1, n0: int, n1: int):
+    """Log-count ratio smoothed by one row dealt as the classes are."""
+    share = n1 / (n0 + n1)
+    return np.log((c1 + share) / (c0 + 1 - share)) - np.log(n1 / n0)
+
+
+def _fit(rows: list[np.ndarray], sums: np.ndarray, y: np.ndarray, ratio: np.ndarray, l2: float = 1.0,
          steps: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression on the scaled features by accelerated gradient
     descent (mean log loss + l2 / (2 rows) * |w|^2), from zero: the same rows
     in the same order give the same model.  ``rows`` holds each row's places
-    in the feature list."""
+    in the feature list, ``sums`` a column for each group of the other places;
+    the weights of the groups follow those of the features."""
     n, width = len(rows), len(ratio)
     at = np.concatenate(rows).astype(np.int64) if n else np.zeros(0, np.int64)
     sizes = np.array([len(r) for r in rows], np.int64)
     ends = np.concatenate([[0], np.cumsum(sizes)])
 
     def forward(v):
-        return np.diff(np.concatenate([[0.0], np.cumsum((v * ratio)[at])])[ends])
+        return np.diff(np.concatenate([[0.0], np.cumsum((v[:width] * ratio)[at])])[ends]) + sums @ v[width:]
 
     def backward(g):
-        return np.bincount(at, weights=np.repeat(g, sizes), minlength=width) * ratio
+        return np.concatenate([np.bincount(at, weights=np.repeat(g, sizes), minlength=width) * ratio, g @ sums])
 
-    v = np.ones(width)
+    v = np.ones(width + sums.shape[1])
     for _ in range(20):                                     # largest curvature by power iteration
         v = backward(forward(v))
         v /= max(float(np.linalg.norm(v)), 1e-12)
     rate = 1.0 / (0.25 * (float(np.linalg.norm(forward(v))) ** 2 / n + 1) + l2 / n)
-    w, look, bias, bias_look = np.zeros(width), np.zeros(width), 0.0, 0.0
+    w, look, bias, bias_look = np.zeros_like(v), np.zeros_like(v), 0.0, 0.0
     for k in range(steps):
         g = 1 / (1 + np.exp(-np.clip(forward(look) + bias_look, -30, 30))) - y
         w2 = look - rate * (backward(g) / n + l2 / n * look)
@@ -190,42 +187,58 @@ def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES, sample_r
     none = ToxicModel(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
     if not n0 or not n1:
         return none
-    # at most 2**BITS places, whatever the input; the best few come to the driver
+    # at most 2**BITS places come to the driver, whatever the input
     counts = rows.select("text", "toxic").mapInArrow(_count_batches, "place long, n0 long, n1 long").groupBy("place").agg(
-        F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= MIN_DOCS)
-    p0, p1 = (F.col("n0") + 1) / (n0 + 2), (F.col("n1") + 1) / (n1 + 2)
-    p = (F.col("n0") + F.col("n1") + 1) / (n0 + n1 + 2)
-    best = (counts.select("place", F.log(p1 / p0).alias("r"), ((p1 - p0) * (p1 - p0) / (p * (1 - p))).alias("gain"))
-            .orderBy(F.col("gain").desc(), "place").limit(features).toPandas())
-    ratio = best["r"].to_numpy()
-    table = ToxicModel(best["place"].to_numpy(), ratio, 0.0).table()
-    bc = docs.sparkSession.sparkContext.broadcast(table)
+        F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= MIN_DOCS).toArrow()
+    place, c0, c1 = (counts.column(c).to_numpy() for c in ("place", "n0", "n1"))
+    p0, p1, p = (c0 + 1) / (n0 + 2), (c1 + 1) / (n1 + 2), (c0 + c1 + 1) / (n0 + n1 + 2)
+    order = np.lexsort((place, -((p1 - p0) * (p1 - p0) / (p * (1 - p)))))
+    place, c0, c1, ratio = place[order], c0[order], c1[order], np.log(p1 / p0)[order][:features]
+    bc = docs.sparkSession.sparkContext.broadcast((ToxicModel(place, ratio, 0.0).table(), c0, c1))
 
     def present(batches):
+        table, c0, c1 = bc.value
+        mark = np.zeros(1 << BITS, bool)
         for batch in batches:
-            out = [_present(text, bc.value).tobytes() for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column("toxic")], names=["x", "toxic"])
-
-    got = _sample(rows, n0, n1, sample_rows).mapInArrow(present, "x binary, toxic int").toArrow()
-    pairs = sorted(zip(got.column("toxic").to_pylist(), got.column("x").to_pylist(), strict=True))   # one order, one model
-    m1 = sum(y for y, _ in pairs)
-    w, bias = _fit([np.frombuffer(x, np.int16) for _, x in pairs], np.array([float(y) for y, _ in pairs]), ratio)
+            out, sums = [], []
+            for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                at = _present(text, table, mark)
+                out.append(np.sort(at[at < features]).tobytes())
+                # the other places as the other rows know them: with its own label in the counts a row looks too easy
+                at = at[at >= features]
+                at = at[c0[at] + c1[at] > MIN_DOCS]
+                x = _shared_ratio(c0[at] - (1 - y), c1[at] - y, max(n0 - (1 - y), 1), max(n1 - y, 1))
+                sums.append(np.bincount(np.digitize(x, GROUPS), weights=x, minlength=len(GROUPS) + 1).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(sums, pa.binary()), batch.column("toxic")],
+                                             names=["x", "sums", "toxic"])
+
+    got = _sample(rows, n0, n1, sample_rows).mapInArrow(present, "x binary, sums binary, toxic int").toArrow()
+    drawn = sorted(zip(*(got.column(c).to_pylist() for c in ("toxic", "x", "sums")), strict=True))   # one order, one model
+    m1 = sum(y for y, _, _ in drawn)
+    sums = np.array([np.frombuffer(x) for _, _, x in drawn])
+    scale = np.sqrt((sums * sums).mean(axis=0))
+    scale[scale == 0] = 1.0
+    w, bias = _fit([np.frombuffer(x, np.int32) for _, x, _ in drawn], sums / scale, np.array([float(y) for y, _, _ in drawn]), ratio)
     # the sample's odds of the classes give way to those of all rows
-    bias += float(np.log(n1 / n0) - np.log(m1 / (len(pairs) - m1)))
-    return ToxicModel(best["place"].to_numpy(), w * ratio, bias)
+    bias += float(np.log(n1 / n0) - np.log(m1 / (len(drawn) - m1)))
+    other = _shared_ratio(c0[features:], c1[features:], n0, n1)
+    return ToxicModel(place, np.concatenate([w[:len(ratio)] * ratio, (w[len(ratio):] / scale)[np.digitize(other, GROUPS)] * other]), bias)
 
 
 def score(docs: DataFrame, model: ToxicModel, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """``docs`` with ``out_col``, the probability of label 1 (an equal-named column is replaced)."""
-    bc = docs.sparkSession.sparkContext.broadcast((model.table(), model.weights, model.bias))
+    by_place = np.zeros(1 << BITS)
+    by_place[model.places] = model.weights
+    bc = docs.sparkSession.sparkContext.broadcast((by_place, model.bias))
     docs = docs.drop(out_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.DoubleType())])
     at, names = docs.columns.index(text_col), schema.names
 
     def run(batches):
-        table, weights, bias = bc.value
+        weights, bias = bc.value
+        mark = np.zeros(1 << BITS, bool)
         for batch in batches:
-            s = [bias + float(weights[_present(t, table)].sum()) for t in batch.column(at).to_pylist()]
+            s = [bias + float(weights[_marked(t, mark)].sum()) for t in batch.column(at).to_pylist()]
             p = 1 / (1 + np.exp(-np.clip(np.array(s, np.float64), -700, 700)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=names)
 

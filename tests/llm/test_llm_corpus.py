@@ -169,6 +169,19 @@ def test_sample_holds_a_rare_class(spark):
     assert nb_toxicity._sample(rows, rows.count() - n1, n1, 4).select("toxic").distinct().count() == rows.select("toxic").distinct().count()
 
 
+def test_rare_wording_weighs(spark):
+    import random
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(120)]
+    rows = [(i, f"{words[i % 120]} some more text", int(i % 120 < 24)) for i in range(960)]     # each word in few documents
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = nb_toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), features=20)
+    assert len(model.places) > 1000
+    probe = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "doc_id long, text string")
+    by = {r.doc_id: r.score for r in nb_toxicity.score(probe, model).collect()}
+    assert min(by[k] for k in range(24)) > max(by[k] for k in range(24, 120))
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
     columns = docs.columns
