@@ -23,6 +23,8 @@ text are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,8 +35,8 @@ from nnprobe.llm.wordhash import mix, word_hashes
 
 WORDS = 5
 THRESHOLD_PCT = 85
-BANDS, ROWS = 24, 7        # misses a pair at Jaccard 0.85 with probability 1e-4
-SKETCH_LEAST = 0.74        # estimate below which a pair can't reach the threshold
+MISS = 1e-4                # probability that the bands miss a pair at the threshold
+COORDINATES = 192          # at most, unless one row a band needs more
 PIVOT_ROUNDS = 2
 _BLOCK = 1 << 16           # shingles per numpy block
 _C1, _C2 = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)      # public murmur3 constants
@@ -45,6 +47,22 @@ SIG_SCHEMA = "doc_id long, n long, f1 long, f2 long, bands array<long>, sk binar
 SET_SCHEMA = "rep long, n long, sk binary, shingles array<long>"
 
 
+def banding(threshold_pct: int) -> tuple[int, int, float]:
+    """(bands, rows, sketch cut): as many rows a band as the coordinates allow
+    at ``MISS``; the cut lies four deviations below the threshold.  At 85: 24
+    bands of 7, cut 0.74."""
+    t = threshold_pct / 100
+    if not 0 < t <= 1:
+        raise ValueError("threshold_pct must lie in 1..100")
+    need = lambda rows: 1 if t == 1 else math.ceil(math.log(MISS) / math.log1p(-t ** rows))
+    rows = max((k for k in range(2, COORDINATES + 1) if t ** k > 0.01 and k * need(k) <= COORDINATES), default=1)
+    bands = need(rows)
+    return bands, rows, t - 4 * math.sqrt(t * (1 - t) / (bands * rows))
+
+
+BANDS, ROWS, _ = banding(THRESHOLD_PCT)
+
+
 def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingle hashes of each text one after another, set sizes)."""
     words, counts = word_hashes(texts)
@@ -70,9 +88,8 @@ def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), sizes
 
 
-def signatures(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """(texts with a set, BANDS * ROWS) uint32: least pi(sigma(shingle) + k)."""
-    kinds = BANDS * ROWS
+def signatures(flat: np.ndarray, sizes: np.ndarray, kinds: int = BANDS * ROWS) -> np.ndarray:
+    """(texts with a set, kinds) uint32: least pi(sigma(shingle) + k)."""
     own = sizes[sizes > 0]
     sig = np.full((len(own), kinds), np.uint32(0xFFFFFFFF), np.uint32)
     place = (mix(flat) >> np.uint64(32)).astype(np.uint32) * _C1
@@ -95,12 +112,12 @@ def signatures(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return sig
 
 
-def _band_hashes(sig: np.ndarray) -> np.ndarray:
-    out = np.empty((len(sig), BANDS), np.uint64)
-    for b in range(BANDS):
+def _band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    out = np.empty((len(sig), bands), np.uint64)
+    for b in range(bands):
         h = np.full(len(sig), b + 1, np.uint64)
-        for r in range(ROWS):
-            h = mix(h * _MULT[0] + sig[:, b * ROWS + r])
+        for r in range(rows):
+            h = mix(h * _MULT[0] + sig[:, b * rows + r])
         out[:, b] = h
     return out
 
@@ -121,26 +138,28 @@ def _slices(batch: pa.RecordBatch, col: str, most: int = 4 << 20):
             lo, held = i + 1, 0
 
 
-def _signature_batches(batches):
-    for batch in batches:
-        for lo, hi, texts in _slices(batch, "text"):
-            flat, sizes = shingle_sets(texts)
-            sig = signatures(flat, sizes)
-            has = np.flatnonzero(sizes)
-            f1, f2 = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
-            if len(has):
-                cuts = np.concatenate([[0], np.cumsum(sizes[has])[:-1]])
-                f1[has] = np.add.reduceat(mix(flat + _MULT[2]), cuts)
-                f2[has] = np.add.reduceat(mix(flat ^ _MULT[3]), cuts)
-            per = np.where(sizes > 0, BANDS, 0)
-            low = np.ascontiguousarray(sig.astype(np.uint8))
-            sk = [b""] * len(texts)
-            for row, i in enumerate(has.tolist()):
-                sk[i] = low[row].tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.array(sizes), pa.array(f1.view(np.int64)),
-                 pa.array(f2.view(np.int64)), _lists(_band_hashes(sig).reshape(-1), per), pa.array(sk, pa.binary())],
-                names=["doc_id", "n", "f1", "f2", "bands", "sk"])
+def _signature_batches(bands: int, rows: int):
+    def run(batches):
+        for batch in batches:
+            for lo, hi, texts in _slices(batch, "text"):
+                flat, sizes = shingle_sets(texts)
+                sig = signatures(flat, sizes, bands * rows)
+                has = np.flatnonzero(sizes)
+                f1, f2 = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
+                if len(has):
+                    cuts = np.concatenate([[0], np.cumsum(sizes[has])[:-1]])
+                    f1[has] = np.add.reduceat(mix(flat + _MULT[2]), cuts)
+                    f2[has] = np.add.reduceat(mix(flat ^ _MULT[3]), cuts)
+                per = np.where(sizes > 0, bands, 0)
+                low = np.ascontiguousarray(sig.astype(np.uint8))
+                sk = [b""] * len(texts)
+                for at, i in enumerate(has.tolist()):
+                    sk[i] = low[at].tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.array(sizes), pa.array(f1.view(np.int64)),
+                     pa.array(f2.view(np.int64)), _lists(_band_hashes(sig, bands, rows).reshape(-1), per), pa.array(sk, pa.binary())],
+                    names=["doc_id", "n", "f1", "f2", "bands", "sk"])
+    return run
 
 
 def _set_batches(batches):
@@ -152,17 +171,21 @@ def _set_batches(batches):
                  _lists(flat, sizes)], names=["rep", "n", "sk", "shingles"])
 
 
-def _near_sketches(batches):
+def _near_sketches(threshold: int):
     """Pairs whose sketches agree on enough coordinates; one byte agrees by
     chance once in 256."""
-    least = (SKETCH_LEAST + (1 - SKETCH_LEAST) / 256) * BANDS * ROWS
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                for c in ("sk_a", "sk_b"))
-        keep = np.flatnonzero((a == b).sum(axis=1) >= least)
-        yield batch.select(["a", "b"]).take(pa.array(keep))
+    bands, rows, cut = banding(threshold)
+
+    def run(batches):
+        least = (cut + (1 - cut) / 256) * bands * rows
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                    for c in ("sk_a", "sk_b"))
+            keep = np.flatnonzero((a == b).sum(axis=1) >= least)
+            yield batch.select(["a", "b"]).take(pa.array(keep))
+    return run
 
 
 def _exact_pairs(threshold: int):
@@ -191,7 +214,7 @@ def _near_pairs(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Of (a, b), the pairs whose sizes and sketches allow the threshold, stored."""
     near = (pairs.join(_side(sets, "a", "n", "sk"), "a").join(_side(sets, "b", "n", "sk"), "b")
             .where((100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")))
-            .select("a", "b", "sk_a", "sk_b").mapInArrow(_near_sketches, "a long, b long"))
+            .select("a", "b", "sk_a", "sk_b").mapInArrow(_near_sketches(threshold), "a long, b long"))
     return store(near, "op2-near")
 
 
@@ -256,7 +279,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     threshold_pct: int = THRESHOLD_PCT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sig = store(base.mapInArrow(_signature_batches, SIG_SCHEMA), "op2-sig")
+    sig = store(base.mapInArrow(_signature_batches(*banding(threshold_pct)[:2]), SIG_SCHEMA), "op2-sig")
     # copies with one set: one class, led by its smallest id
     reps = store(sig.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("n", "f1", "f2")
                  .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sk").alias("sk")),

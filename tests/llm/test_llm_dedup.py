@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from nnprobe.llm.circulant_minhash import _prefix_pairs, near_duplicates, shingle_sets, signatures
+from nnprobe.llm.circulant_minhash import _prefix_pairs, banding, near_duplicates, shingle_sets, signatures
 from nnprobe.llm.common import components
 from nnprobe.llm.line_spread import drop_spread_lines
 from nnprobe.llm.wordhash import PIECE, word_hashes
@@ -67,6 +67,29 @@ def test_components_equal_brute_force(spark, seed):
     assert not wrong                    # the families leave room for no missed link
 
 
+@pytest.mark.parametrize("threshold, words, edits", [(70, 120, 4), (80, 100, 2)])
+def test_pairs_just_above_other_thresholds(spark, threshold, words, edits):
+    rng = random.Random(threshold)
+    data = []
+    for k in range(80):
+        one = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+        two = list(one)
+        for j in range(edits):
+            two[10 + 20 * j] = f"e{rng.randrange(10**6)}"
+        a, b = _set(" ".join(one)), _set(" ".join(two))
+        assert 0 <= 100 * len(a & b) - threshold * len(a | b) < 3 * len(a | b)
+        data += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(two))]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(data, DOCS), threshold_pct=threshold).collect()}
+    assert got == {i: i - i % 2 for i in range(160)}
+
+
+def test_banding_follows_the_threshold():
+    assert banding(85)[:2] == (24, 7) and abs(banding(85)[2] - 0.74) < 1e-3
+    for pct in range(1, 101):
+        bands, rows, cut = banding(pct)
+        assert (1 - (pct / 100) ** rows) ** bands <= 1e-4 and cut < pct / 100 or pct == 100
+
+
 def test_edge_rows(spark):
     data = [(1, None), (2, ""), (3, " \t\n "), (4, "One two"), (5, "one TWO"), (6, "two one"), (7, "a b c d e"), (7, "a b c d e"),
             (None, "a b c d e"), (8, "É b c d e"), (9, "é b c d e")]
