@@ -13,7 +13,9 @@ are left alone.  Lines that all come from one site skip the sketch.
 
 Edge cases: a null text stays null and has no lines; a null source counts as
 one site; rows with a null doc_id count for the spread but keep their text;
-repeated rows lose the same lines; a first occurrence repeated inside one
+repeated rows lose the same lines, rows with one doc_id and different texts each
+their own (the first occurrence is the least line number, then the least hash of
+the text); a first occurrence repeated inside one
 document stays once; other columns are carried unchanged (working columns
 start with ``_ls_``).  Kept lines keep their exact text.
 """
@@ -35,13 +37,13 @@ def normalised(line: Column) -> Column:
 
 
 def hashed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, site, at, h) of the lines long enough to judge."""
+    """(doc_id, site, t, at, h) of the lines long enough to judge; t tells the texts of one doc_id apart."""
     site = F.xxhash64(F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")))
     # normalised inside the array, so that each line is worked on once
-    rows = docs.select("doc_id", site.alias("site"), F.posexplode(F.transform(F.split("text", "\n"), normalised)).alias("at", "line"))
+    rows = docs.select("doc_id", site.alias("site"), F.xxhash64("text").alias("t"), F.posexplode(F.transform(F.split("text", "\n"), normalised)).alias("at", "line"))
     blanks = F.length("line") - F.length(F.replace("line", F.lit(" ")))
     return rows.where((F.length("line") > 0) & (blanks >= min_words - 1)).select(
-        "doc_id", "site", "at", F.xxhash64("line").alias("h"))
+        "doc_id", "site", "t", "at", F.xxhash64("line").alias("h"))
 
 
 def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, error: float = ERROR) -> DataFrame:
@@ -64,13 +66,13 @@ def drop_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: in
     ``_ls_lines`` and ``_ls_removed``."""
     lines = store(hashed_lines(docs.select("doc_id", "source", "text"), min_words), "op5-lines")
     wide = spread_lines(lines, min_sites)
-    hit = lines.where(F.col("doc_id").isNotNull()).join(wide, "h").select("doc_id", "doc0", "h", "at")
-    here = F.min("at").over(Window.partitionBy("doc_id", "h"))        # one line within one document
-    again = hit.where(F.col("doc_id") == F.col("doc0")).withColumn("at0", here).where(F.col("at") > F.col("at0"))
-    gone = (hit.where(F.col("doc_id") != F.col("doc0")).select("doc_id", "at").unionAll(again.select("doc_id", "at"))
-            .distinct().groupBy("doc_id").agg(F.collect_list("at").alias("_ls_gone"))      # at most the document's lines
-            .withColumnRenamed("doc_id", "_ls_doc"))
-    out = docs.join(gone, F.col("doc_id") == F.col("_ls_doc"), "left").drop("_ls_doc")
+    hit = lines.where(F.col("doc_id").isNotNull()).join(wide, "h").select("doc_id", "doc0", "h", "t", "at")
+    here = F.min(F.struct("at", "t")).over(Window.partitionBy("doc_id", "h"))        # one line within one document
+    again = hit.where(F.col("doc_id") == F.col("doc0")).withColumn("first", here).where(F.struct("at", "t") > F.col("first"))
+    gone = (hit.where(F.col("doc_id") != F.col("doc0")).select("doc_id", "t", "at").unionAll(again.select("doc_id", "t", "at"))
+            .distinct().groupBy("doc_id", "t").agg(F.collect_list("at").alias("_ls_gone"))      # at most the document's lines
+            .withColumnsRenamed({"doc_id": "_ls_doc", "t": "_ls_t"}))
+    out = docs.join(gone, (F.col("doc_id") == F.col("_ls_doc")) & (F.xxhash64("text") == F.col("_ls_t")), "left").drop("_ls_doc", "_ls_t")
     out = once(out, _ls_all=F.split("text", "\n"))
     left = F.array_except(F.sequence(F.lit(0), F.size("_ls_all") - 1), F.col("_ls_gone"))
     text = F.array_join(F.transform(left, lambda i: F.get(F.col("_ls_all"), i)), "\n")

@@ -187,6 +187,16 @@ def test_line_edge_rows(spark):
     assert drop_spread_lines(df.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_lose_their_own_lines(spark):
+    line = "one two three four five"
+    data = [(i, f"s{i}", line) for i in range(6)] + [(9, "s9", f"{line}\nmine"), (9, "s9", f"clean\n{line}"), (9, "s9", None)]
+    data += [(0, "s0", f"another text\n{line}")]
+    got = _spread(spark, data)
+    assert got[9, f"{line}\nmine"] == ("mine", 2, 1) and got[9, f"clean\n{line}"] == ("clean", 2, 1)
+    assert got[9, None] == (None, 0, 0)
+    assert got[0, line] == (line, 1, 0) and got[0, f"another text\n{line}"] == ("another text", 2, 1)
+
+
 def test_exact_count_near_the_threshold(spark):
     data = [(i, f"s{i}", "a line that stands on fifty sites") for i in range(50)]
     data += [(100 + i, f"s{i}", "a line that stands on fortynine sites") for i in range(49)]
