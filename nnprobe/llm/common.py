@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Fixed text classes of the query contracts.
 SPACE = "\\x20\\x09-\\x0D"
@@ -85,6 +89,21 @@ def once(df: DataFrame, **cols) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
 
 
+def map_rows(df: DataFrame, make, schema: str | T.StructType, batch_rows: int = 2048) -> DataFrame:
+    """``df`` through ``make``, which turns a task's iterator of row tuples
+    into an iterator of row tuples of ``schema``."""
+    schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        rows = make(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        while part := list(islice(rows, batch_rows)):
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
 def running_totals(df: DataFrame, keys: list, sums: dict[str, str], name: str) -> DataFrame:
     """Global order by ``keys`` with totals of all earlier rows.
 

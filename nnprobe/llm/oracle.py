@@ -120,3 +120,111 @@ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(root,
        CAST(max_level AS BIGINT) AS max_level, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, own AS text
 FROM o LEFT JOIN links USING (conv_id, turn) LEFT JOIN roots USING (conv_id, turn)
 """
+
+
+def _bytes_and_value(col: str) -> str:
+    return f"coalesce(CAST(octet_length(encode(CAST({col} AS VARCHAR))) AS VARCHAR) || ':' || CAST({col} AS VARCHAR), '-')"
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    bits = "list_reduce(range(8), lambda a, i: xor(a >> 1, 3988292384 * (a & 1)), xor(r, b))"
+    codes = f"list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    return f"xor(list_reduce({codes}, lambda r, b: {bits}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+_LEAF = " || ".join(_bytes_and_value(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+
+OP12 = f"""
+WITH RECURSIVE h AS (
+  SELECT doc_id, lang, sha256({_LEAF}) AS leaf,
+         CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 7 = 0 AND n_chars IS NOT NULL
+              THEN sha256({_LEAF.replace('n_chars', '(n_chars + 1)')}) END AS changed FROM documents),
+l AS (SELECT *, row_number() OVER (ORDER BY lang NULLS FIRST, doc_id NULLS FIRST, leaf) AS rid,
+             row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+             count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS t FROM h),
+nodes AS (SELECT t, 0 AS lvl, idx, n, leaf AS d FROM l
+          UNION ALL
+          SELECT t, lvl + 1, idx // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY idx)) FROM nodes WHERE n > 1
+          GROUP BY t, lvl, idx // 2, (n + 1) // 2),
+sub AS (SELECT t, d FROM nodes WHERE n = 1),
+top AS (SELECT 0 AS lvl, t AS idx, (SELECT count(*) FROM sub) AS n, d FROM sub
+        UNION ALL
+        SELECT lvl + 1, idx // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY idx)) FROM top WHERE n > 1
+        GROUP BY lvl, idx // 2, (n + 1) // 2),
+root AS (SELECT d FROM top WHERE n = 1),
+sib AS (SELECT l.rid, 0 AS part, o.lvl, o.d FROM l JOIN nodes o ON o.t = l.t AND o.idx = xor(l.idx >> o.lvl, 1)
+        UNION ALL
+        SELECT l.rid, 1, o.lvl, o.d FROM l JOIN top o ON o.idx = xor(l.t >> o.lvl, 1)),
+proof AS (SELECT rid, string_agg(d, '' ORDER BY part, lvl) AS p FROM sib GROUP BY rid),
+up AS (SELECT rid, t, 0 AS lvl, idx, n, coalesce(changed, leaf) AS d FROM l
+       UNION ALL
+       SELECT up.rid, up.t, up.lvl + 1, up.idx // 2, (up.n + 1) // 2,
+              sha256(CASE WHEN s.d IS NULL THEN up.d WHEN up.idx % 2 = 0 THEN up.d || s.d ELSE s.d || up.d END)
+       FROM up LEFT JOIN sib s ON s.rid = up.rid AND s.part = 0 AND s.lvl = up.lvl WHERE up.n > 1),
+across AS (SELECT rid, 0 AS lvl, t AS idx, (SELECT count(*) FROM sub) AS n, d FROM up WHERE n = 1
+           UNION ALL
+           SELECT a.rid, a.lvl + 1, a.idx // 2, (a.n + 1) // 2,
+                  sha256(CASE WHEN s.d IS NULL THEN a.d WHEN a.idx % 2 = 0 THEN a.d || s.d ELSE s.d || a.d END)
+           FROM across a LEFT JOIN sib s ON s.rid = a.rid AND s.part = 1 AND s.lvl = a.lvl WHERE a.n > 1)
+SELECT l.doc_id, l.leaf, sub.d AS subroot, root.d AS root, sha256(coalesce(proof.p, '')) AS proof_sha256,
+       a.d AS folded_root, a.d = root.d AS verified
+FROM l JOIN sub USING (t) JOIN across a ON a.rid = l.rid AND a.n = 1 LEFT JOIN proof ON proof.rid = l.rid CROSS JOIN root
+"""
+
+
+_ID_TURN = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+_TRIMMED = "rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+# The cheapest repair from every row and last role on, from the last row backwards;
+# before a row at most two insertions help.
+OP11 = f"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32(_ID_TURN)} % 20 AS kind FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+             CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE kind <> 0),
+o AS (SELECT *, sha256(CAST(octet_length(encode(role)) AS VARCHAR) || ':' || role || text) AS same, dense_rank() OVER (ORDER BY conv_id) AS c FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, same) AS i, count(*) OVER (PARTITION BY c) AS n,
+             {_TRIMMED} AS trimmed FROM o),
+s AS (SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS seen FROM r),
+f AS (SELECT *, trimmed = '' AS blank, trimmed <> '' AND seen AS duplicate,
+             trimmed <> '' AND NOT seen AND right(trimmed, 1) NOT IN ('.', '!', '?') AS truncated, left(role, 1) AS ini,
+             coalesce(lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS illegal FROM s),
+stats AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+                 count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal
+          FROM f GROUP BY c),
+ins(st, ins, cost, mid) AS (VALUES ('', '', 0, ''), ('s', '', 0, 's'), ('u', '', 0, 'u'), ('a', '', 0, 'a'),
+  ('', 'u', 2, 'u'), ('s', 'u', 2, 'u'), ('a', 'u', 2, 'u'), ('u', 'a', 2, 'a'),
+  ('', 'ua', 4, 'a'), ('s', 'ua', 4, 'a'), ('a', 'ua', 4, 'a'), ('u', 'au', 4, 'u')),
+asks AS (SELECT *, CASE WHEN mid = 'u' THEN 'a' ELSE 'u' END AS ask FROM ins),
+best AS (
+  SELECT c, n AS i, st, min({{'cost': e.cost, 'audit': repeat('I', length(e.ins)), 'steps': e.ins}}) AS b
+  FROM (SELECT DISTINCT c, n FROM f) CROSS JOIN asks e WHERE e.mid IN ('', 'a') GROUP BY c, n, st
+  UNION ALL
+  SELECT f.c, f.i - 1, e.st, min({{'cost': e.cost + op.cost + b.b.cost + CASE WHEN f.truncated AND op.step <> 'D' THEN 1 ELSE 0 END,
+                                   'audit': repeat('I', length(e.ins)) || op.edit || b.b.audit, 'steps': e.ins || op.step || b.b.steps}})
+  FROM best b JOIN f ON f.c = b.c AND f.i = b.i CROSS JOIN asks e
+  JOIN (VALUES ('D', 'D', 3), ('K', 'K', 0), ('U', 'R', 2), ('A', 'R', 2)) AS op(step, edit, cost) ON CASE op.step
+    WHEN 'D' THEN b.st = e.mid
+    WHEN 'K' THEN NOT f.blank AND NOT f.duplicate AND b.st = f.ini AND (f.ini = e.ask OR f.ini = 's' AND e.mid = '')
+    ELSE NOT f.blank AND NOT f.duplicate AND b.st = e.ask AND lower(op.step) = e.ask END
+  GROUP BY f.c, f.i - 1, e.st),
+found AS (SELECT c, b.cost, b.audit, b.steps FROM best WHERE i = 0 AND st = ''),
+tokens AS (SELECT c, regexp_extract_all(steps, '[ua]*[DKUA]') AS t, regexp_extract(steps, '[ua]*$') AS tail FROM found),
+put AS (SELECT f.c, f.i, f.role, f.text, right(t[f.i], 1) AS step, left(t[f.i], length(t[f.i]) - 1) AS inserted FROM f JOIN tokens USING (c)),
+lines AS (SELECT c, i, j, CASE WHEN ch = 'u' THEN 'user:' WHEN ch = 'a' THEN 'assistant:' WHEN ch = 'K' THEN role || ':' || text
+                               WHEN ch = 'U' THEN 'user:' || text ELSE 'assistant:' || text END AS line
+          FROM (SELECT c, i, role, text, unnest(string_split(inserted || step, '')) AS ch, unnest(range(1 + length(inserted))) AS j FROM put)
+          WHERE ch <> 'D'
+          UNION ALL
+          SELECT c, 9223372036854775807, j, CASE WHEN ch = 'u' THEN 'user:' ELSE 'assistant:' END
+          FROM (SELECT c, unnest(string_split(tail, '')) AS ch, unnest(range(length(tail))) AS j FROM tokens WHERE tail <> '')),
+texts AS (SELECT c, sha256(string_agg(line, chr(10) ORDER BY i, j)) AS h FROM lines GROUP BY c),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(found.cost, 0) AS BIGINT) AS cost,
+       coalesce(found.audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM ids LEFT JOIN (SELECT DISTINCT conv_id, c FROM o) m ON m.conv_id IS NOT DISTINCT FROM ids.conv_id
+LEFT JOIN stats USING (c) LEFT JOIN found USING (c) LEFT JOIN texts USING (c)
+"""

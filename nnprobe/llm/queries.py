@@ -9,11 +9,14 @@ from nnprobe.llm import nb_toxicity, oracle
 from nnprobe.llm.anchor_pii import personal_data
 from nnprobe.llm.circulant_minhash import near_duplicates
 from nnprobe.llm.common import table
+from nnprobe.llm.conversation_repair import damaged, repair
 from nnprobe.llm.length_histogram import context_limits, length_histogram, with_lengths
 from nnprobe.llm.line_first import clean_lines
 from nnprobe.llm.line_spread import drop_spread_lines
 from nnprobe.llm.low_discrepancy_mix import mix, taken_words
+from nnprobe.llm.merkle_manifest import LEVELS, manifest
 from nnprobe.llm.positional_index import contamination
+from nnprobe.llm.prefix_table import round_trip
 from nnprobe.llm.quote_link import link_conversations
 from nnprobe.llm.text_density import extract_pages
 
@@ -70,9 +73,33 @@ def op10_line_first(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("_lf_kept").alias("kept"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair(damaged(rows), rows)
+
+
+def tampered_manifest(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """Proofs of all rows, one in seven of which is tampered with after the log is written."""
+    picked = (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 0) & F.col("n_chars").isNotNull()
+    more = F.col("n_chars").cast("decimal(20,0)") + 1
+    got = manifest(docs.select("doc_id", "source", "lang", "n_chars", "text"), changed={"n_chars": more},
+                   where=picked, levels=levels)
+    return got.select("doc_id", "leaf", "subroot", "root", F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"),
+                      "folded_root", "verified")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tampered_manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quote_link, op2_circulant_minhash, op3_length_histogram, op4_low_discrepancy_mix, op5_line_spread,
     op6_text_density, op7_anchor_pii, op8_nb_toxicity, op9_positional_index, op10_line_first,
+    op11_conversation_repair, op12_merkle_manifest, op13_prefix_table,
 )}
 
 SQL: dict[str, str] = {
@@ -81,4 +108,6 @@ SQL: dict[str, str] = {
     "op5_line_spread": oracle.OP5,
     "op9_positional_index": oracle.OP9,
     "op10_line_first": oracle.OP10,
+    "op11_conversation_repair": oracle.OP11,
+    "op12_merkle_manifest": oracle.OP12,
 }
