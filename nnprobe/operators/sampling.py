@@ -1,11 +1,18 @@
 """Query workload: NULL filter, reproducible sampling, expansion.
 
 Sampling is keyed by md5(seed:id) rather than rand(), so the same seed gives
-the same queries for any partitioning, on retry, and in a SQL engine.
+the same queries for any partitioning, on retry, and in a SQL engine.  Large
+tables are sampled by blocks first: whole data files, picked by the md5 of
+their path, of which the others are never opened.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,32 +66,82 @@ def sample_percent(rows: int, n: int) -> float:
     return round(min(max(pct, MIN_PCT), MAX_PCT), 4)
 
 
+SCHEME = "^[^:/]+:/*"          # listings and rows write a path's scheme differently
+
+
+def _block_names(df: DataFrame, pattern: str | None) -> list[str]:
+    """Names of the blocks ``df`` reads: the paths of its files, or what
+    ``pattern`` finds in them.  The files are listed, none is opened."""
+    paths = [re.sub(SCHEME, "/", f) for f in df.inputFiles()]
+    if pattern is None:
+        return sorted(set(paths))
+    found = [re.search(pattern, p) for p in paths]
+    if not all(found):
+        raise ValueError(f"{pattern!r} names no block of some files")
+    return sorted({m.group(0) for m in found})
+
+
+def block_sample(df: DataFrame, percent: float, seed: int = DEFAULT_SEED, pattern: str | None = None) -> DataFrame | None:
+    """The rows of ``percent`` of the table's blocks, one at least.
+
+    A block is a data file, or all files in whose path ``pattern`` finds the
+    same text (say, a partition's folder).  Those of smallest md5(seed:block:name)
+    are taken, by a condition on the file path that Spark applies when it lists
+    the files, so what is read falls with the percentage.  None if ``df`` reads
+    no files or its rows come from more than one table."""
+    try:
+        path = df.select("_metadata.file_path") and F.col("_metadata.file_path")
+    except AnalysisException:
+        return None
+    names = _block_names(df, pattern)
+    if not names:
+        return None
+    keys = sorted(hashlib.md5(f"{seed}:block:{n}".encode()).hexdigest() for n in names)
+    last = keys[min(len(keys), max(1, math.ceil(len(keys) * percent / 100))) - 1]
+    name = F.regexp_replace(path, SCHEME, "/")
+    if pattern is not None:
+        name = F.regexp_extract(name, pattern, 0)
+    return df.where(F.md5(F.concat(F.lit(f"{seed}:block:"), name)) <= last)
+
+
 def sample_queries(df: DataFrame, n: int, id_col: str = "id", vec_col: str = "embedding",
                    seed: int = DEFAULT_SEED, rows: int | None = None,
-                   threshold: int = SMALL_TABLE_ROWS, checkpoint: bool = True) -> DataFrame:
+                   threshold: int = SMALL_TABLE_ROWS, checkpoint: bool = True,
+                   block_pattern: str | None = None) -> DataFrame:
     """Up to n non-NULL vectors as (pos, qid, qv).
 
     Small tables: the n smallest md5 keys (a per-partition top-n, then one
-    merge of n rows per partition).  Large tables (rows > threshold): first a
-    hash-threshold Bernoulli sample at the W3 percentage, then the same
-    ordering, so the sort only sees the sample.
+    merge of n rows per partition).  Large tables (rows > threshold): first
+    the W3 percentage of the table's blocks (``block_sample``; more of them
+    if they hold fewer than n vectors), then the same ordering, so only those
+    blocks are read.  Rows that do not come from files are drawn by the hash of their id
+    instead.
 
     The result (n rows, bounded) is checkpointed to the shared folder: every
     later use reads those n rows instead of re-scanning the table.
     """
     if n <= 0:
         raise ValueError("n must be positive")
-    base = df.where(F.col(vec_col).isNotNull())
     shared_dir(df.sparkSession)
-    scale = 1.0
-    if rows is not None and rows > threshold:
-        pct = sample_percent(rows, n)
-        base = base.where(key_prefix(sample_key(id_col, seed, "block")) < F.lit(int(pct / 100 * HEX8)))
-        scale = pct / 100
     key = sample_key(id_col, seed)
-    keyed = base.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("qv"), key.alias("_k"))
-    # the row count comes from file metadata (count(*) reads no column)
-    picked = smallest_by_key(keyed, "_k", n, "qid", lambda: max(1, int((rows or df.count()) * scale)))
+
+    def pick(part: DataFrame, about) -> DataFrame:
+        keyed = part.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("qid"), F.col(vec_col).alias("qv"), key.alias("_k"))
+        return smallest_by_key(keyed, "_k", n, "qid", about)
+
+    if rows is None or rows <= threshold:
+        # the row count comes from file metadata (count(*) reads no column)
+        picked = pick(df, lambda: max(1, rows or df.count()))
+    else:
+        pct = sample_percent(rows, n)
+        while True:
+            part = block_sample(df, pct, seed, block_pattern)
+            if part is None:
+                part = df.where(key_prefix(sample_key(id_col, seed, "block")) < F.lit(int(pct / 100 * HEX8)))
+            picked = pick(part, max(1, int(rows * pct / 100))).checkpoint(eager=True)
+            if pct >= MAX_PCT or picked.count() >= n:
+                break
+            pct = min(MAX_PCT, pct * OVERSAMPLE)
     # n rows at most: the window below runs on one small partition by design.
     out = picked.select(
         (F.row_number().over(Window.orderBy("_k", "qid")) - 1).cast("int").alias("pos"),

@@ -15,7 +15,7 @@ from nnprobe.functions.vectext import parse, render
 from nnprobe.operators import ivf, knn, profile, recall, sampling
 from nnprobe.plans import sqlparts as S
 from nnprobe.plans.evaluation import EvalConfig, evaluate
-from nnprobe.session import table
+from nnprobe.session import scratch_path, table
 from nnprobe.sources.synthetic import vectors_for_ids
 
 # Fixed parameters of the registered queries.
@@ -141,24 +141,32 @@ SQL_SAMPLE_QUERIES = f"""WITH src AS ({S.src_embeddings()}), {S.queries_cte(N_QU
 SELECT pos, qid FROM q"""
 
 
+BLOCKS = 64
+
+
 def q_sample_block(spark, sf):
-    """W3 branch forced on (threshold 0): hash-threshold sample, then order."""
-    b = base(spark, sf)
-    rows = b.count()
-    q = sampling.sample_queries(b, N_QUERIES, seed=SEED, rows=rows, threshold=0)
+    """W3 on the table stored in 64 blocks (threshold 0): a share of the blocks
+    is read, then the usual order."""
+    path = scratch_path(spark, "blocks")
+    src = base(spark, sf).withColumn("block", F.pmod("id", F.lit(BLOCKS)))
+    src.repartition("block").write.partitionBy("block").parquet(path)
+    b = spark.read.schema("id long, embedding array<float>, block int").parquet(path)
+    q = sampling.sample_queries(b, N_QUERIES, seed=SEED, rows=b.count(), threshold=0, block_pattern="block=[0-9]+")
     return q.select("pos", "qid")
 
 
 def _sql_sample_block():
-    # percentage from the row count, as in sample_percent(); the cut is on the
-    # first 8 hex digits of a salted md5
+    # shares of the blocks, each four times the one before, until one holds enough rows
     return f"""WITH src AS ({S.src_embeddings()}),
-n AS (SELECT count(*) AS rows FROM src),
-pct AS (SELECT round(least(greatest({4 * N_QUERIES} / rows * 100, 0.1), 100.0), 4) AS pct FROM n),
-s AS (SELECT id, v, {S.md5_key('id')} AS k FROM src, pct
-      WHERE v IS NOT NULL
-        AND ('0x' || substr({S.md5_key('id', 'block')}, 1, 8))::BIGINT < CAST(floor(pct.pct / 100 * 4294967296) AS BIGINT)
-      ORDER BY k, id LIMIT {N_QUERIES})
+b AS (SELECT *, 'block=' || (id % {BLOCKS})::VARCHAR AS block FROM src),
+r AS (SELECT block, row_number() OVER (ORDER BY md5('{SEED}:block:' || block)) AS r, count(*) OVER () AS blocks FROM (SELECT DISTINCT block FROM b)),
+pct AS (SELECT step, least(100.0, pct * power(4, step)) AS pct FROM range(8) t(step),
+         (SELECT round(least(greatest({4 * N_QUERIES} / count(*) * 100, 0.1), 100.0), 4) AS pct FROM src)),
+size AS (SELECT step, count(*) FILTER (WHERE v IS NOT NULL) AS n, any_value(pct) AS pct FROM pct, b JOIN r USING (block)
+         WHERE r <= least(blocks, greatest(1, ceil(blocks * pct / 100))) GROUP BY step),
+last AS (SELECT min(step) AS step FROM size WHERE n >= {N_QUERIES} OR pct >= 100),
+s AS (SELECT id, {S.md5_key('id')} AS k FROM pct JOIN last USING (step), b JOIN r USING (block)
+      WHERE v IS NOT NULL AND r <= least(blocks, greatest(1, ceil(blocks * pct / 100))) ORDER BY k, id LIMIT {N_QUERIES})
 SELECT (row_number() OVER (ORDER BY k, id) - 1)::INTEGER AS pos, id AS qid FROM s"""
 
 
