@@ -25,7 +25,8 @@ def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     cond = F.lit(True)
     for k in keys:
         cond = cond & left[k].eqNullSafe(r[f"_r_{k}"])
-    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
+    got = left.join(r, cond, how)
+    return got if how in ("left_semi", "left_anti") else got.drop(*[f"_r_{k}" for k in keys])
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], weight: str | None = None, out: str = "before",

@@ -5,14 +5,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from nnprobe.functions.distance import searchable
 from nnprobe.functions.vectext import parse, render
 from nnprobe.operators import ivf, knn, measure, nearest, profile, recall, sampling
 from nnprobe.plans import sqlparts as S
 from nnprobe.plans.catalog_vectors import DEFAULT_EFFORT, EFFORTS, K, LISTS, N_QUERIES, NPROBE, SEED, SQL_IVF_SEARCH, base
 from nnprobe.plans.evaluation import EvalConfig, evaluate
 from nnprobe.session import scratch_path, stored, table
-from nnprobe.sources.sinks import read_measurements, write_measurements
-from nnprobe.sources.synthetic import drop_table, write_table
+from nnprobe.sources.sinks import measurement_runs, read_measurements, write_measurements
+from nnprobe.sources.synthetic import drop_dataset, drop_table, read_dataset, write_dataset, write_table
 
 
 def _r6(c):
@@ -56,8 +57,7 @@ def q_knn_extreme(spark, sf):
     b = _extreme(spark, sf)
     out = None
     for metric in ("l2", "ip", "cosine"):
-        # under l2 every large row sees the small ones at one distance: queries of the smallest class
-        q = sampling.sample_queries(b.where("id % 3 = 2") if metric == "l2" else b, N_QUERIES, seed=SEED)
+        q = sampling.sample_queries(b, N_QUERIES, seed=SEED)
         got = knn.exact_knn(b, q, K, metric).select(F.lit(metric).alias("metric"), "qid", "rank", "id")
         out = got if out is None else out.unionByName(got)
     return out
@@ -65,11 +65,10 @@ def q_knn_extreme(spark, sf):
 
 def _sql_knn_extreme():
     src = ("src AS (SELECT vec_id AS id, list_transform(embedding, lambda x: "
-           "(x * (CASE vec_id % 3 WHEN 0 THEN 1e20 WHEN 1 THEN 1.0 ELSE 1e-25 END)::DOUBLE)::FLOAT) AS v FROM embeddings),\n"
-           "small AS (SELECT * FROM src WHERE id % 3 = 2)")
-    parts, ctes = [], [src, S.queries_cte(N_QUERIES), S.queries_cte(N_QUERIES, "small").replace("q AS", "qs AS", 1)]
+           "(x * (CASE vec_id % 3 WHEN 0 THEN 1e20 WHEN 1 THEN 1.0 ELSE 1e-25 END)::DOUBLE)::FLOAT) AS v FROM embeddings)")
+    parts, ctes = [], [src, S.queries_cte(N_QUERIES)]
     for metric in ("l2", "ip", "cosine"):
-        ctes.append(S.knn_cte(f"k_{metric}", metric, K, q="qs" if metric == "l2" else "q").replace("qs q", "qs AS q").replace("FROM qs CROSS", "FROM qs AS q CROSS"))
+        ctes.append(S.knn_cte(f"k_{metric}", metric, K))
         parts.append(f"SELECT '{metric}' AS metric, qid, rank, id FROM k_{metric}")
     return "WITH " + ",\n".join(ctes) + "\n" + " UNION ALL ".join(parts)
 
@@ -86,12 +85,17 @@ def _odd(spark, sf):
 def _knn_null_rows(strategy):
     def run(spark, sf):
         b = _odd(spark, sf)
-        q = sampling.sample_queries(b.where("id % 7 > 3"), N_QUERIES, seed=SEED)
+        dim = b.agg(F.max(F.size("embedding"))).first()[0]        # a query set has one dimension
+        q = sampling.sample_queries(b.where(searchable("embedding") & (F.size("embedding") == F.lit(dim))), N_QUERIES, seed=SEED)
         return knn.exact_knn(b, q, K, "cosine", strategy=strategy).select("qid", "rank", "id", _r6("distance").alias("distance"))
     return run
 
 
-SQL_KNN_NULL_ROWS = f"""WITH src AS (SELECT vec_id AS id, embedding AS v FROM embeddings WHERE vec_id % 7 > 3), {S.queries_cte(N_QUERIES)},
+SQL_KNN_NULL_ROWS = f"""WITH odd AS (SELECT vec_id AS id, CASE vec_id % 7 WHEN 0 THEN NULL
+    WHEN 1 THEN list_concat(['nan'::FLOAT], embedding[2:]) WHEN 2 THEN list_concat(['inf'::FLOAT], embedding[2:])
+    WHEN 3 THEN embedding[1:len(embedding) - 1] ELSE embedding END AS v FROM embeddings),
+src AS (SELECT * FROM odd WHERE v IS NOT NULL AND NOT list_bool_or(list_transform(v, lambda x: isnan(x) OR isinf(x)))
+        AND len(v) = (SELECT max(len(v)) FROM odd)), {S.queries_cte(N_QUERIES)},
 {S.knn_cte('knn', 'cosine', K)}
 SELECT qid, rank, id, round(distance, 6) AS distance FROM knn"""
 
@@ -207,32 +211,43 @@ SELECT sweep_idx, effort, round(quantile_cont(dur_ms, 0.95), 6) AS p95_ms, count
 # --- S5, S8 ------------------------------------------------------------------------
 
 def q_write_replace_drop(spark, sf):
-    """The vectors written twice as a table, read back, and the table dropped."""
+    """The vectors written twice as a table and as a dataset, read back, and dropped."""
     name = "nnprobe_" + scratch_path(spark, "t").rsplit("-", 1)[1]
-    write_table(base(spark, sf).limit(0), name)
-    write_table(base(spark, sf), name)
-    got, _ = stored(spark.read.table(name).select("id", F.size("embedding").cast("int").alias("dim")), "written")
-    drop_table(spark, name)
+    path, versions = scratch_path(spark, "dataset"), scratch_path(spark, "versions")
+    for write in (lambda df: write_table(df, name, versions), lambda df: write_dataset(df, path)):
+        write(base(spark, sf).limit(0))
+        write(base(spark, sf))
+    dim = F.size("embedding").cast("int")
+    got = spark.read.table(name).select("id", dim.alias("dim")).join(
+        read_dataset(spark, path).select("id", dim.alias("dataset_dim")), "id")
+    got, _ = stored(got, "written")
+    drop_table(spark, name, versions)
+    drop_dataset(spark, path)
     return got.withColumn("dropped", F.lit(not spark.catalog.tableExists(name)))
 
 
-SQL_WRITE_REPLACE_DROP = "SELECT vec_id AS id, len(embedding)::INTEGER AS dim, true AS dropped FROM embeddings"
+SQL_WRITE_REPLACE_DROP = """SELECT vec_id AS id, len(embedding)::INTEGER AS dim, len(embedding)::INTEGER AS dataset_dim,
+  true AS dropped FROM embeddings"""
 
 
 def q_measurement_sink(spark, sf):
-    """The events written as measurement rows in two runs, read back and summarised."""
+    """The events written as measurement rows in two runs, the first of them
+    twice, read back and summarised beside the manifest's row counts."""
     path = scratch_path(spark, "measurements")
     ev = table(spark, sf, "events")
-    for run in (0, 1):
+    for run in (0, 1, 0):
         write_measurements(measure.from_events(ev.where(F.col("event_id") % 2 == run), f"run{run}"), path)
     s = measure.latency_summary(read_measurements(spark, path))
-    return s.select("run_id", "phase", "count", *[_r6(c).alias(c) for c in ("mean_ms", "p50_ms", "p95_ms", "p99_ms")])
+    runs = measurement_runs(spark, path).select("run_id", F.col("rows").alias("run_rows"))
+    return s.join(runs, "run_id").select("run_id", "run_rows", "phase", "count",
+                                         *[_r6(c).alias(c) for c in ("mean_ms", "p50_ms", "p95_ms", "p99_ms")])
 
 
-SQL_MEASUREMENT_SINK = f"""WITH {S.measurements_cte()}
-SELECT 'run' || (seq % 2)::VARCHAR AS run_id, phase, count(*) AS count, round(avg(dur_ms), 6) AS mean_ms,
+SQL_MEASUREMENT_SINK = f"""WITH {S.measurements_cte()},
+n AS (SELECT seq % 2 AS run, count(*) AS run_rows FROM m GROUP BY 1)
+SELECT 'run' || (seq % 2)::VARCHAR AS run_id, any_value(run_rows) AS run_rows, phase, count(*) AS count, round(avg(dur_ms), 6) AS mean_ms,
   round(quantile_cont(dur_ms, 0.5), 6) AS p50_ms, round(quantile_cont(dur_ms, 0.95), 6) AS p95_ms,
-  round(quantile_cont(dur_ms, 0.99), 6) AS p99_ms FROM m GROUP BY 1, 2"""
+  round(quantile_cont(dur_ms, 0.99), 6) AS p99_ms FROM m JOIN n ON n.run = seq % 2 GROUP BY 1, 3"""
 
 
 # --- S6, J3-J6 ---------------------------------------------------------------------

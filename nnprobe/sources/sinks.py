@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nnprobe.operators.ranking import join_keys
+
 # Fixed measurement-row schema: what ``from_events`` makes and M1-M12 read.
 MEASUREMENT_SCHEMA = ("phase string, level string, worker long, seq long, ended_us long, started_us long, "
                       "dur_ms double, run_id string")
@@ -14,19 +16,43 @@ MEASUREMENT_SCHEMA = ("phase string, level string, worker long, seq long, ended_
 PRIVACY_NOTE = "Counts, timings and recall figures only: no vectors, names, hosts or credentials."
 
 
+RUNS = "_runs"                # the manifest's folder; hidden from the table's own listings
+RUNS_SCHEMA = "rows long, started_us long, ended_us long, written_at timestamp, run_id string"
+
+
 def write_measurements(df: DataFrame, path: str) -> str:
-    """Append measurement rows partitioned by run_id (one folder per run,
-    so a rerun of one run never rewrites another)."""
+    """Measurement rows, one folder per run.  A run's folder is replaced
+    whole (dynamic partition overwrite) and other runs' stay, so a run that is
+    written again, after a failure or by a retry, is there once.  The manifest
+    gets its line (rows, first start, last end) once the rows are in place; a
+    run without one was not finished."""
     names = [f.strip().split(" ")[0] for f in MEASUREMENT_SCHEMA.split(",")]
-    df.select(*names).write.mode("append").partitionBy("run_id").parquet(path)
+    spark, rows = df.sparkSession, df.select(*names)
+    once = {"partitionOverwriteMode": "dynamic"}
+    rows.write.mode("overwrite").options(**once).partitionBy("run_id").parquet(path)
+    runs = rows.select("run_id").distinct()                   # one row a run
+    lines = measurement_lines(join_keys(read_measurements(spark, path), runs, ["run_id"], "left_semi"))
+    lines.write.mode("overwrite").options(**once).partitionBy("run_id").parquet(f"{path}/{RUNS}")
     return path
 
 
+def measurement_lines(m: DataFrame) -> DataFrame:
+    """The manifest's line of every run among the rows."""
+    return m.groupBy("run_id").agg(F.count("*").alias("rows"), F.min("started_us").alias("started_us"),
+                                   F.max("ended_us").alias("ended_us"), F.current_timestamp().alias("written_at"))
+
+
 def read_measurements(spark, path: str) -> DataFrame:
     """The rows written by ``write_measurements``, as the statistics read them."""
     return spark.read.schema(MEASUREMENT_SCHEMA).parquet(path)
 
 
+def measurement_runs(spark, path: str) -> DataFrame:
+    """The finished runs at ``path``: run_id, rows, started_us, ended_us, written_at."""
+    return spark.read.schema(RUNS_SCHEMA).parquet(f"{path}/{RUNS}").select(
+        "run_id", "rows", "started_us", "ended_us", "written_at")
+
+
 def _one(df: DataFrame, name: str) -> DataFrame:
     return df.select(F.struct(*df.columns).alias(name))
 

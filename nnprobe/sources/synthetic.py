@@ -10,11 +10,13 @@ partitioning and on any retry; generation runs on the executors.
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nnprobe.functions.distance import divide_by
+from nnprobe.session import folders, read_text, remove_path, replace_text
 
 TWO_53 = 2 ** 53
 
@@ -51,21 +53,68 @@ def vectors_for_ids(ids: DataFrame, dim: int, seed: int = 42, id_col: str = "id"
     return _two_step(ids, id_col, dim, seed)
 
 
+POINTER = "_current"          # names the version that readers see; hidden from Spark's listings
+
+
+def _write_version(df: DataFrame, path: str) -> str:
+    version = f"v-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(f"{path}/{version}")
+    return version
+
+
+def _drop_versions(spark, path: str, keep: tuple[str, ...]) -> None:
+    for name in folders(spark, path):
+        if name.startswith("v-") and name not in keep:
+            remove_path(spark, f"{path}/{name}")
+
+
 def write_dataset(df: DataFrame, path: str, partitions: int | None = None) -> str:
-    """Replace-write a vector table at a path; Spark's partitioning is
-    the batching."""
-    out = df.repartition(partitions) if partitions else df
-    out.write.mode("overwrite").parquet(path)
+    """Replace the vector table at ``path``; Spark's partitioning is the
+    batching.  Every write is a new version folder, and the pointer file is
+    renamed over last: a write that fails leaves the table as it was, readers
+    see one version or the other, and those that still read the version before
+    may finish, as only older ones are removed."""
+    spark = df.sparkSession
+    before = read_text(spark, f"{path}/{POINTER}")
+    version = _write_version(df.repartition(partitions) if partitions else df, path)
+    replace_text(spark, f"{path}/{POINTER}", version)
+    _drop_versions(spark, path, (version, before))
     return path
 
 
-def write_table(df: DataFrame, name: str) -> str:
-    """S5 for catalog tables: drop if it exists, then create it."""
-    drop_table(df.sparkSession, name)
-    df.write.saveAsTable(name)
+def read_dataset(spark, path: str) -> DataFrame:
+    """The current version of a table of ``write_dataset``."""
+    version = read_text(spark, f"{path}/{POINTER}")
+    if version is None:
+        raise FileNotFoundError(f"no table at {path}")
+    return spark.read.parquet(f"{path}/{version}")
+
+
+def drop_dataset(spark, path: str) -> None:
+    remove_path(spark, path)
+
+
+def write_table(df: DataFrame, name: str, path: str | None = None) -> str:
+    """S5 for catalog tables: the rows are written first, as a version under
+    ``path`` (the warehouse's folder of the name by default), and the table is
+    then pointed at them; a write that fails leaves the table as it was."""
+    spark = df.sparkSession
+    path = path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}.versions"
+    version = _write_version(df, path)
+    schema = df.schema.simpleString()
+    if spark.catalog.tableExists(name) and spark.read.table(name).schema.simpleString() == schema:
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}/{version}'")
+    else:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.catalog.createTable(name, f"{path}/{version}", source="parquet")
+    spark.catalog.refreshTable(name)
+    _drop_versions(spark, path, (version,))
     return name
 
 
-def drop_table(spark, name: str) -> None:
-    """Remove the synthetic table after the run."""
+def drop_table(spark, name: str, path: str | None = None) -> None:
+    """Remove the synthetic table and its versions after the run."""
     spark.sql(f"DROP TABLE IF EXISTS {name}")
+    path = path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}.versions"
+    _drop_versions(spark, path, ())
+    remove_path(spark, path)

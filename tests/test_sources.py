@@ -1,6 +1,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
@@ -42,6 +43,48 @@ def test_measurement_sink(spark):
     back = spark.read.parquet(p)
     assert {r.run_id: r["count"] for r in back.groupBy("run_id").count().collect()} == {"a": 1000, "b": 10}
     assert sorted(os.listdir(p))[-2:] == ["run_id=a", "run_id=b"]
+    # a run that is written again is there once, and the others stay
+    sinks.write_measurements(m.withColumn("run_id", F.lit("a")), p)
+    sinks.write_measurements(m.limit(7).withColumn("run_id", F.lit(None).cast("string")), p)
+    back = sinks.read_measurements(spark, p)
+    assert {r.run_id: r["count"] for r in back.groupBy("run_id").count().collect()} == {"a": 1000, "b": 10, None: 7}
+    runs = {r.run_id: r for r in sinks.measurement_runs(spark, p).collect()}
+    assert {k: r.rows for k, r in runs.items()} == {"a": 1000, "b": 10, None: 7}
+    assert runs["a"].started_us == m.agg(F.min("started_us")).first()[0]
+    fails = m.withColumn("run_id", F.lit("a")).withColumn("dur_ms", F.raise_error(F.lit("broken")).cast("double"))
+    with pytest.raises(Exception, match="broken"):
+        sinks.write_measurements(fails, p)
+    assert sinks.read_measurements(spark, p).where("run_id = 'a'").count() == 1000
+
+
+def test_a_failed_write_leaves_the_old_table(spark):
+    from nnprobe.sources import synthetic as S
+    path = scratch_path(spark, "ds")
+    with pytest.raises(FileNotFoundError):
+        S.read_dataset(spark, path)
+    good = S.unit_vectors(spark, 40, 4)
+    S.write_dataset(good, path, partitions=2)
+    bad = good.withColumn("id", F.raise_error(F.lit("broken")).cast("long"))
+    for _ in range(2):
+        with pytest.raises(Exception, match="broken"):
+            S.write_dataset(bad, path)
+        assert S.read_dataset(spark, path).count() == 40
+    old = S.read_dataset(spark, path)
+    S.write_dataset(S.unit_vectors(spark, 50, 4), path)
+    assert S.read_dataset(spark, path).count() == 50 and old.count() == 40      # who reads the version before may finish
+    S.write_dataset(S.unit_vectors(spark, 60, 4), path)
+    assert len([f for f in os.listdir(path) if f.startswith("v-")]) == 2
+    S.drop_dataset(spark, path)
+    assert not os.path.exists(path)
+    name, versions = "nnprobe_failed_write", scratch_path(spark, "versions")
+    S.write_table(good, name, versions)
+    with pytest.raises(Exception, match="broken"):
+        S.write_table(bad, name, versions)
+    assert spark.table(name).count() == 40
+    S.write_table(good.withColumn("more", F.lit(1)), name, versions)            # another schema
+    assert spark.table(name).columns[-1] == "more" and spark.table(name).count() == 40
+    S.drop_table(spark, name, versions)
+    assert not spark.catalog.tableExists(name) and not os.path.exists(versions)
 
 
 def test_index_manifest_lookup(spark):

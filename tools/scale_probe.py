@@ -19,7 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from nnprobe.operators import knn, sampling  # noqa: E402
 from nnprobe.plans.evaluation import EvalConfig, evaluate  # noqa: E402
 from nnprobe.session import local_session, scratch_path  # noqa: E402
-from nnprobe.sources.synthetic import unit_vectors, write_dataset  # noqa: E402
+from nnprobe.sources.synthetic import read_dataset, unit_vectors, write_dataset  # noqa: E402
 
 
 def main():
@@ -30,7 +30,7 @@ def main():
     t = time.perf_counter()
     path = write_dataset(unit_vectors(spark, rows, dim, seed=7), scratch_path(spark, "synth"), partitions=32)
     out["generate_write_s"] = round(time.perf_counter() - t, 2)
-    base = spark.read.parquet(path)
+    base = read_dataset(spark, path)
     t = time.perf_counter()
     q = sampling.sample_queries(base, nq)
     out["sample_s"] = round(time.perf_counter() - t, 2)
