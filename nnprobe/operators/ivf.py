@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nnprobe.functions.distance import check_metric, normalize, searchable
-from nnprobe.operators.kernel import (ASSIGN_CARRY_SCHEMA, ASSIGN_SCHEMA, TOPK_SCHEMA, nearest_centroid,
-                                      topk_per_partition)
+from nnprobe.operators.kernel import (ASSIGN_CARRY_SCHEMA, ASSIGN_SCHEMA, TOPK_SCHEMA, nearest_centroid, nearest_centroids,
+                                      topk_per_block, topk_per_partition)
 from nnprobe.operators import knn
 from nnprobe.operators.knn import _base, query_matrix, rank_topk
 from nnprobe.operators.sampling import DEFAULT_SEED, sample_key, smallest_by_key
@@ -35,6 +35,9 @@ from nnprobe.session import scratch_path, stored
 
 # Fixed limits.
 MAX_CENTROID_BYTES = 256 * 1024 * 1024
+MAX_BROADCAST_LISTS = 1_000_000      # rows of 20 bytes
+BLOCK_ROWS = 1 << 16                 # rows of a list that one block of a list-wise search holds
+BLOCK_QUERIES = 1 << 12              # queries that meet them, the part that a task keeps
 
 
 def default_lists(rows: int) -> int:
@@ -214,10 +217,70 @@ def probe_scan(spark, index: IvfIndex, queries: DataFrame, k: int, nprobe: int,
     return cand
 
 
+def probe_table(queries: DataFrame, centroids: DataFrame, metric: str, depth: int) -> DataFrame:
+    """(qid, list_id, probe_rank) as ``probe_ranks`` gives them, with the queries
+    as the scanned side: slices of the centroids are broadcast, the query set,
+    of any size, never leaves the executors."""
+    sc = queries.sparkSession.sparkContext
+    rows = queries.select(F.col("qid").cast("long").alias("qid"), "qv")
+    cand = None
+    for part in centroid_slices(centroids):
+        lid, mat, dim = centroid_matrix(part)
+        fn = nearest_centroids(sc.broadcast({"list_id": lid, "mat": mat}), dim, depth, metric in ("cosine", "ip"))
+        near = rows.mapInArrow(fn, "qid long, id long, distance double")
+        cand = near if cand is None else cand.unionByName(near)
+    return rank_topk(cand, depth).select("qid", F.col("id").cast("int").alias("list_id"), F.col("rank").alias("probe_rank"))
+
+
+def list_scan(spark, index: IvfIndex, queries: DataFrame, k: int, nprobe: int, exclude_self: bool = True,
+              block_rows: int | None = None, block_queries: int | None = None) -> DataFrame:
+    """The rows of ``probe_scan`` by a shuffle: the queries of a list meet its
+    rows where both are sent.  The index is read once, whatever the number of
+    queries, and nothing but the lists' figures is broadcast.
+
+    A list of many rows or queries is dealt over blocks of at most about
+    ``block_rows`` x ``block_queries``: each row goes to every block of queries
+    of its list and each query to every block of rows."""
+    dims = queries.agg(F.min(F.size("qv")), F.max(F.size("qv")), F.count_if(F.col("qv").isNull())).first()
+    if dims[2] or dims[0] != dims[1]:
+        raise ValueError("query vectors must be non-NULL and of one dimension")
+    probes, _ = stored(probe_table(queries, index.centroids, index.metric, nprobe), "probes")
+    tbl = index.table(spark)
+    asked = probes.groupBy("list_id").agg(F.count("*").alias("q"))
+    blocks = lambda n, size: F.ceil(F.col(n) / size).cast("int")
+    plan, _ = stored(asked.join(list_sizes(tbl), "list_id").select(
+        "list_id", blocks("list_size", block_rows or BLOCK_ROWS).alias("rs"), blocks("q", block_queries or BLOCK_QUERIES).alias("qs")), "list-plan")
+    few = plan.count() <= MAX_BROADCAST_LISTS
+    plan = plan.where("list_id >= 0")                # a condition lets Spark prune the index's partitions by the lists
+    plan = F.broadcast(plan) if few else plan
+
+    def dealt(df, own, n_own, n_other, is_row):
+        own_block = F.pmod(F.xxhash64(own), F.col(n_own)).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))
+        df = df.select("list_id", own_block.alias("a"), other.alias("b"), F.lit(is_row).alias("is_row"), F.col(own).alias("id"), "v")
+        return df.withColumnsRenamed({"a": "r", "b": "q"} if is_row else {"a": "q", "b": "r"}).select(
+            "list_id", "r", "q", "is_row", "id", "v")
+
+    rows = dealt(tbl.join(plan, "list_id"), "id", "rs", "qs", True)
+    asks = probes.join(queries.select(F.col("qid").cast("long").alias("qid"), F.col("qv").alias("v")), "qid").join(plan, "list_id")
+    both = rows.unionAll(dealt(asks, "qid", "qs", "rs", False))
+    both = both.repartition("list_id", "r", "q").sortWithinPartitions("list_id", "r", "q", "is_row")
+    return both.mapInArrow(topk_per_block(index.metric, k, exclude_self, int(dims[1] or 0)), TOPK_SCHEMA)
+
+
 def search(spark, index: IvfIndex, queries: DataFrame, k: int, nprobe: int,
-           exclude_self: bool = True) -> DataFrame:
-    """K7: approximate top-k at effort nprobe; may return fewer than k rows."""
-    return rank_topk(probe_scan(spark, index, queries, k, nprobe, exclude_self).where(F.col("id").isNotNull()), k)
+           exclude_self: bool = True, strategy: str | None = None) -> DataFrame:
+    """K7: approximate top-k at effort nprobe; may return fewer than k rows.
+
+    ``broadcast`` ships the query set to the index's rows, ``lists`` sends both
+    to the lists (``list_scan``); by default the first while the set is one
+    slice.  Both compare the same rows and give the same result."""
+    if strategy is None:
+        strategy = "broadcast" if len(knn.query_chunks(queries, extra=8 * nprobe)) == 1 else "lists"
+    if strategy not in ("broadcast", "lists"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    scan = probe_scan if strategy == "broadcast" else list_scan
+    return rank_topk(scan(spark, index, queries, k, nprobe, exclude_self).where(F.col("id").isNotNull()), k)
 
 
 def assignment_table(base: DataFrame, centroids: DataFrame, metric: str = "cosine",

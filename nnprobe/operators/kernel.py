@@ -100,6 +100,51 @@ class _Best:
         self.worst[self.q[ends[full]]] = far * far * (1 + 1e-9) if self.metric == "l2" else far
 
 
+class _Matcher:
+    """Rows meet a bounded set of queries: the best k rows of each, and the
+    number of rows compared with it."""
+
+    def __init__(self, metric: str, k: int, exclude_self: bool, dim: int, qid: np.ndarray, qm: np.ndarray):
+        self.metric, self.k, self.exclude_self, self.dim = metric, k, exclude_self, dim
+        self.qid, self.qm = qid, qm
+        self.best = _Best(metric, len(qid), k)
+        self.compared = np.zeros(len(qid), np.int64)
+
+    def meet(self, at, x, ids):
+        """Rows ``x`` meet the queries at the places ``at``."""
+        best, qid = self.best, self.qid
+        sub = max(1, BLOCK_CELLS // max(len(at), 1))
+        for s in range(0, len(x), sub):
+            xs, some = x[s:s + sub], ids[s:s + sub]
+            lo, hi = np_bounds(self.metric, self.qm[at], xs)
+            self.compared[at] += len(xs)
+            if self.exclude_self:
+                own = some[None, :] == qid[at][:, None]
+                self.compared[at] -= own.sum(axis=1)
+                lo[own] = np.inf
+                hi[own] = np.inf
+            kk = min(self.k, lo.shape[1])
+            limit = np.minimum(np.partition(hi, kk - 1, axis=1)[:, kk - 1], best.worst[at])
+            qi, bi = np.nonzero((lo <= limit[:, None]) & (lo < np.inf))
+            step = max(1, PAIR_CELLS // max(self.dim, 1))
+            for c0 in range(0, len(qi), step):
+                qs, bs = at[qi[c0:c0 + step]], bi[c0:c0 + step]
+                best.add(qs, some[bs], np_exact(self.metric, self.qm[qs], xs[bs]))
+
+    def rows(self):
+        """One batch of candidates, then one row per query with its count."""
+        best, qid = self.best, self.qid
+        best.merge()
+        n, m = len(best.q), len(qid)
+        if n or m:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.r_[qid[best.q], qid], pa.int64()),
+                 pa.array(np.r_[best.id, np.zeros(m, np.int64)], pa.int64(), mask=np.r_[np.zeros(n, bool), np.ones(m, bool)]),
+                 pa.array(np.r_[best.d, np.zeros(m)], pa.float64(), mask=np.r_[np.zeros(n, bool), np.ones(m, bool)]),
+                 pa.array(np.r_[np.zeros(n, np.int64), self.compared], pa.int64())],
+                names=["qid", "id", "distance", "compared"])
+
+
 def topk_per_partition(bc, metric: str, k: int, exclude_self: bool, dim: int,
                        id_col: str, vec_col: str, list_col: str | None = None):
     """mapInArrow function: per partition, the k nearest rows to every query,
@@ -115,35 +160,14 @@ def topk_per_partition(bc, metric: str, k: int, exclude_self: bool, dim: int,
         payload = bc.value
         qid, qm = payload["qid"], payload["mat"]
         usable = np.isfinite(qm).all(axis=1)
-        best = _Best(metric, len(qid), k)
-        compared = np.zeros(len(qid), np.int64)
-
-        def meet(at, x, ids):
-            sub = max(1, BLOCK_CELLS // max(len(at), 1))
-            for s in range(0, len(x), sub):
-                xs, some = x[s:s + sub], ids[s:s + sub]
-                lo, hi = np_bounds(metric, qm[at], xs)
-                compared[at] += len(xs)
-                if exclude_self:
-                    own = some[None, :] == qid[at][:, None]
-                    compared[at] -= own.sum(axis=1)
-                    lo[own] = np.inf
-                    hi[own] = np.inf
-                kk = min(k, lo.shape[1])
-                limit = np.minimum(np.partition(hi, kk - 1, axis=1)[:, kk - 1], best.worst[at])
-                qi, bi = np.nonzero((lo <= limit[:, None]) & (lo < np.inf))
-                step = max(1, PAIR_CELLS // max(dim, 1))
-                for c0 in range(0, len(qi), step):
-                    qs, bs = at[qi[c0:c0 + step]], bi[c0:c0 + step]
-                    best.add(qs, some[bs], np_exact(metric, qm[qs], xs[bs]))
-
+        matcher = _Matcher(metric, k, exclude_self, dim, qid, qm)
         for batch in batches:
             if batch.num_rows == 0 or not usable.any():
                 continue
             rows, x = vectors_from_arrow(batch.column(vec_col), dim)
             ids = batch.column(id_col).to_numpy(zero_copy_only=False)[rows].astype(np.int64)
             if list_col is None:
-                meet(np.nonzero(usable)[0], x, ids)
+                matcher.meet(np.nonzero(usable)[0], x, ids)
             else:
                 lists = batch.column(list_col).to_numpy(zero_copy_only=False)[rows].astype(np.int64)
                 order = np.argsort(lists, kind="stable")
@@ -154,16 +178,81 @@ def topk_per_partition(bc, metric: str, k: int, exclude_self: bool, dim: int,
                         at = payload["members"][payload["offsets"][one]:payload["offsets"][one + 1]]
                         at = at[usable[at]]
                         if len(at):
-                            meet(at, x[part], ids[part])
-            best.merge()
-        n, m = len(best.q), len(qid)
-        if n or m:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.r_[qid[best.q], qid], pa.int64()),
-                 pa.array(np.r_[best.id, np.zeros(m, np.int64)], pa.int64(), mask=np.r_[np.zeros(n, bool), np.ones(m, bool)]),
-                 pa.array(np.r_[best.d, np.zeros(m)], pa.float64(), mask=np.r_[np.zeros(n, bool), np.ones(m, bool)]),
-                 pa.array(np.r_[np.zeros(n, np.int64), compared], pa.int64())],
-                names=["qid", "id", "distance", "compared"])
+                            matcher.meet(at, x[part], ids[part])
+            matcher.best.merge()
+        yield from matcher.rows()
+
+    return run
+
+
+def topk_per_block(metric: str, k: int, exclude_self: bool, dim: int):
+    """mapInArrow function over (list_id, r, q, is_row, id, v), sorted by the
+    block (list_id, r, q) with its queries before its rows: the rows of a block
+    meet its queries.  The queries are held, the rows pass by."""
+
+    def run(batches):
+        now, held, matcher = None, [], None
+
+        def ready():
+            qid, qm = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            return _Matcher(metric, k, exclude_self, dim, qid, qm)
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            key = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("list_id", "r", "q", "is_row")])
+            cuts = np.nonzero((key[:, 1:] != key[:, :-1]).any(axis=0))[0] + 1
+            for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, key.shape[1]], strict=True):
+                block, is_row = tuple(key[:3, lo]), bool(key[3, lo])
+                if block != now:
+                    if matcher is None and held:          # queries without rows: compared with none
+                        matcher = ready()
+                    if matcher is not None:
+                        yield from matcher.rows()
+                    now, held, matcher = block, [], None
+                part = batch.slice(lo, hi - lo)
+                at, x = vectors_from_arrow(part.column("v"), dim)
+                ids = part.column("id").to_numpy(zero_copy_only=False)[at].astype(np.int64)
+                if not is_row:
+                    held.append((ids, x.astype(np.float32)))
+                elif held:
+                    matcher = matcher or ready()
+                    if len(matcher.qid):
+                        matcher.meet(np.arange(len(matcher.qid)), x, ids)
+                    matcher.best.merge()
+        if matcher is None and held:
+            matcher = ready()
+        if matcher is not None:
+            yield from matcher.rows()
+
+    return run
+
+
+def nearest_centroids(bc, dim: int, k: int, normalize_rows: bool = False):
+    """mapInArrow function over (qid, qv): every query's ``k`` closest centroids
+    of ``bc.value`` by (l2, list id)."""
+
+    def run(batches):
+        lid, cm = bc.value["list_id"], bc.value["mat"]
+        sub = max(1, BLOCK_CELLS // max(len(lid), 1))
+        kk = min(k, len(lid))
+        for batch in batches:
+            rows, x_all = vectors_from_arrow(batch.column("qv"), dim)
+            qid = batch.column("qid").to_numpy(zero_copy_only=False)[rows].astype(np.int64)
+            if normalize_rows and len(rows):
+                x_all = np_normalize(x_all)
+            for s in range(0, len(rows) if kk else 0, sub):
+                x = x_all[s:s + sub]
+                lo, hi = np_bounds("l2", x, cm)
+                qi, li = np.nonzero(lo <= np.partition(hi, kk - 1, axis=1)[:, kk - 1:kk])
+                best = _Best("l2", len(x), kk)
+                step = max(1, PAIR_CELLS // max(dim, 1))
+                for c0 in range(0, len(qi), step):
+                    q, at = qi[c0:c0 + step], li[c0:c0 + step]
+                    best.add(q, lid[at], np_exact("l2", x[q], cm[at]))
+                best.merge()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(qid[s:s + sub][best.q]), pa.array(best.id), pa.array(best.d)], names=["qid", "id", "distance"])
 
     return run
 

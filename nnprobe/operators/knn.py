@@ -49,19 +49,23 @@ def query_matrix(queries: DataFrame):
 
 def query_chunks(queries: DataFrame, max_bytes: int | None = None, extra: int = 0) -> list[DataFrame]:
     """Split a (pos, qid, qv) query set into slices of at most ``max_bytes``
-    of float32 matrix (and ``extra`` bytes per query), by ranges of ``pos``;
-    each slice is brought to the driver only when its own pass is planned, so
-    the driver never holds more than one slice."""
+    of float32 matrix (and ``extra`` bytes per query), by ranges of ``pos``
+    (by hash of the id in sets without it); each slice is brought to the driver
+    only when its own pass is planned, so the driver never holds more than one
+    slice."""
     max_bytes = max_bytes or MAX_QUERY_BYTES
-    if "pos" not in queries.columns:
-        return [queries]
+    placed = "pos" in queries.columns
+    pos = F.col("pos") if placed else F.lit(0)
     stats = queries.agg(F.count("*").alias("n"), F.max(F.size("qv")).alias("dim"),
-                        F.min("pos").alias("lo"), F.max("pos").alias("hi")).first()
+                        F.min(pos).alias("lo"), F.max(pos).alias("hi")).first()
     if not stats["n"]:
         return [queries]
     per_pass = max(1, max_bytes // max(int(stats["dim"] or 0) * 4 + extra, 1))
     if stats["n"] <= per_pass:
         return [queries]
+    if not placed:
+        parts = -(-stats["n"] // max(1, per_pass * 3 // 4))       # the hash deals them unevenly
+        return [queries.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == p) for p in range(parts)]
     return [queries.where((F.col("pos") >= s) & (F.col("pos") < s + per_pass))
             for s in range(int(stats["lo"]), int(stats["hi"]) + 1, per_pass)]
 

@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001, rows
@@ -79,6 +80,38 @@ def test_search_in_query_slices(spark, monkeypatch):
     assert rows(ivf.search(spark, idx, q, 10, 3), "qid", "rank") == want
 
 
+def test_list_wise_search_equals_broadcast(spark, monkeypatch):
+    b = base(spark, SF001, scaled=True)
+    odd = spark.createDataFrame([(9001, None), (9002, [1.0, 2.0]), (9003, [float("nan")] * 64)], "id long, embedding array<float>")
+    q = sampling.sample_queries(b, 60)
+    for metric, nprobe in (("cosine", 3), ("l2", 8), ("ip", 1)):
+        idx = ivf.build_index(b.unionByName(odd), ivf.train_sample(b, 8, metric), metric)
+        probes = sorted(rows(ivf.probe_ranks(q, idx.centroids, metric, depth=nprobe)))
+        assert sorted(rows(ivf.probe_table(q.drop("pos"), idx.centroids, metric, nprobe))) == probes
+        want = rows(ivf.search(spark, idx, q, 10, nprobe, strategy="broadcast"), "qid", "rank")
+        assert rows(ivf.search(spark, idx, q, 10, nprobe, strategy="lists"), "qid", "rank") == want
+        # hot lists: many blocks of rows and of queries
+        dealt = ivf.list_scan(spark, idx, q, 10, nprobe, block_rows=9, block_queries=4).where("id IS NOT NULL")
+        assert rows(knn.rank_topk(dealt, 10), "qid", "rank") == want
+        # the same rows are compared
+        sums = [{r.qid: r.n for r in scan.where("id IS NULL").groupBy("qid").agg(F.sum("compared").alias("n")).collect()}
+                for scan in (ivf.probe_scan(spark, idx, q, 10, nprobe), ivf.list_scan(spark, idx, q, 10, nprobe, block_rows=9, block_queries=4))]
+        assert sums[0] == sums[1]
+    # the choice follows the size of the query set; the index is read once then
+    monkeypatch.setattr(knn, "MAX_QUERY_BYTES", 2000)
+    assert rows(ivf.search(spark, idx, q, 10, 1), "qid", "rank") == want
+    plan = ivf.list_scan(spark, idx, q, 10, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[id#\d+L,v#", plan)) == 1
+    with pytest.raises(ValueError):
+        ivf.search(spark, idx, odd.selectExpr("id AS qid", "embedding AS qv"), 5, 1, strategy="lists")
+
+
+def test_query_sets_without_positions_are_sliced(spark):
+    q = sampling.sample_queries(base(spark, SF001), 40)
+    parts = knn.query_chunks(q.drop("pos"), max_bytes=10 * 64 * 4)
+    assert len(parts) > 1 and sum(p.count() for p in parts) == 40
+
+
 def test_gate(spark):
     q = spark.createDataFrame([(0, 1, [1.0])], "pos int, qid long, qv array<float>")
     lk = spark.createDataFrame([("ivfflat",), ("none",)], "kind string")
