@@ -1,7 +1,7 @@
 """Inverted-file index (K6-K8).
 
 Build: centroids (``sample``: the first ``lists`` vectors in md5 order,
-reproducible in SQL; ``kmeans``: MLlib k-means over all rows),
+reproducible in SQL; ``kmeans``: Lloyd steps over all rows, ``kmeans``),
 every row assigned to its nearest centroid by the block kernel, and the
 table written partitioned by ``list_id`` into the shared folder.
 
@@ -21,7 +21,6 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +28,7 @@ from nnprobe.functions.distance import check_metric, normalize, searchable
 from nnprobe.operators.kernel import (ASSIGN_CARRY_SCHEMA, ASSIGN_SCHEMA, TOPK_SCHEMA, nearest_centroid, nearest_centroids,
                                       topk_per_block, topk_per_partition)
 from nnprobe.operators import knn
+from nnprobe.operators.kmeans import lloyd
 from nnprobe.operators.knn import _base, query_matrix, rank_topk
 from nnprobe.operators.sampling import DEFAULT_SEED, sample_key, smallest_by_key
 from nnprobe.session import scratch_path, stored
@@ -65,19 +65,12 @@ def train_sample(base: DataFrame, lists: int, metric: str = "cosine", seed: int
 
 def train_kmeans(base: DataFrame, lists: int, metric: str = "cosine", seed: int = DEFAULT_SEED,
                  id_col: str = "id", vec_col: str = "embedding", max_iter: int = 20) -> DataFrame:
-    """MLlib k-means over all searchable rows; only the centroids leave the executors."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
+    """k-means over all searchable rows from the centroids of ``train_sample``:
+    Lloyd steps on the block kernel (``kmeans``)."""
     check_metric(metric)
-    b = _base(base, id_col, vec_col).where(searchable("v"))
-    feats = b.select(array_to_vector(_prepared(F.col("v"), metric)).alias("features"))
-    model = KMeans(k=lists, seed=seed, maxIter=max_iter, initMode="k-means||").fit(feats)
-    centers = np.array(model.clusterCenters(), dtype=np.float32)
-    flat = pa.array(centers.reshape(-1), pa.float32())
-    offsets = pa.array(np.arange(len(centers) + 1, dtype=np.int32) * (centers.shape[1] if len(centers) else 0))
-    table = pa.table({"list_id": pa.array(range(len(centers)), pa.int32()), "c": pa.ListArray.from_arrays(offsets, flat)})
-    return base.sparkSession.createDataFrame(table).checkpoint(eager=True)
+    rows = base.where(searchable(vec_col))
+    start = train_sample(rows, lists, metric, seed, id_col, vec_col)
+    return lloyd(rows, start, assign, metric, id_col, vec_col, max_iter)
 
 
 def centroid_matrix(centroids: DataFrame):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from nnprobe.functions import distance as D
 from nnprobe.functions.vectext import parse, render
 from nnprobe.operators import ivf, knn, profile, recall, sampling
+from nnprobe.operators.kmeans import SPLIT
 from nnprobe.plans import sqlparts as S
 from nnprobe.plans.evaluation import EvalConfig, evaluate
 from nnprobe.session import scratch_path, table
@@ -334,15 +335,49 @@ ORDER BY (effort = {DEFAULT_EFFORT}) DESC,
          CASE WHEN effort = {DEFAULT_EFFORT} THEN sweep_idx ELSE -sweep_idx END DESC LIMIT 1"""
 
 
+KMEANS_STEPS = 4
+
+
 def q_ivf_kmeans_sweep(spark, sf):
-    """K6 with the MLlib k-means trainer (iterative: rows-only check)."""
+    """K6 with k-means, on the scaled vectors: their lists are of unequal size."""
     cfg = EvalConfig(metric="l2", k=K, queries=N_QUERIES, lists=LISTS, efforts=EFFORTS,
-                     trainer="kmeans", seed=SEED)
-    p = evaluate(base(spark, sf), cfg).points
+                     trainer="kmeans", kmeans_steps=KMEANS_STEPS, seed=SEED)
+    p = evaluate(base(spark, sf, True), cfg).points
     return p.select("sweep_idx", F.col("effort").alias("nprobe"), _r6(F.col("recall")).alias("recall"),
                     _r6(F.col("scanned_per_query")).alias("scanned_per_query"))
 
 
+def _sql_ivf_kmeans_sweep():
+    steps = [S.ivf_ctes("l2", LISTS).split("asg AS (")[0].replace("cent AS", "c0 AS").rstrip().rstrip(","),
+             """bits AS (SELECT least(40, 62 - ceil(log2(count(*) * max(list_max(list_transform(v, lambda x: abs(x::DOUBLE))))))) AS bits
+  FROM src WHERE v IS NOT NULL)"""]
+    for i in range(KMEANS_STEPS):
+        split = "coalesce(t.far, m.c)" if i < KMEANS_STEPS - 1 else "m.c"
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT id, v, list_id, d FROM (
+    SELECT b.id, b.v, c.list_id, {S.dist('l2', 'b.v', 'c.c')} AS d,
+           row_number() OVER (PARTITION BY b.id ORDER BY {S.dist('l2', 'b.v', 'c.c')}, c.list_id) AS rn
+    FROM src b CROSS JOIN c{i} c WHERE b.v IS NOT NULL) s WHERE rn = 1),
+e{i} AS (SELECT list_id, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{i}),
+s{i} AS (SELECT list_id, j, sum(floor(x::DOUBLE * power(2.0, bits) + 0.5)::HUGEINT) AS total, count(*) AS n FROM e{i}, bits GROUP BY list_id, j),
+g{i} AS (SELECT list_id, list((total::DOUBLE / (n * power(2.0, bits)))::FLOAT ORDER BY j) AS c, any_value(n) AS n FROM s{i}, bits GROUP BY list_id),
+far{i} AS (SELECT list_id, v AS far FROM (SELECT list_id, v, row_number() OVER (PARTITION BY list_id ORDER BY d DESC, id) AS r FROM a{i}) WHERE r = 1),
+m{i} AS (SELECT c.list_id, coalesce(g.n, 0) AS n, coalesce(g.c, c.c) AS c, far.far, avg(coalesce(g.n, 0)) OVER () AS mean
+  FROM c{i} c LEFT JOIN g{i} g USING (list_id) LEFT JOIN far{i} far USING (list_id)),
+t{i} AS (SELECT sm.list_id, lg.far FROM
+  (SELECT list_id, row_number() OVER (ORDER BY n, list_id) AS j FROM m{i} WHERE n < mean / {SPLIT}) sm JOIN
+  (SELECT far, row_number() OVER (ORDER BY n DESC, list_id) AS j FROM m{i} WHERE n > {SPLIT} * mean) lg USING (j)),
+c{i + 1} AS MATERIALIZED (SELECT m.list_id, {split} AS c FROM m{i} m LEFT JOIN t{i} t USING (list_id))""")
+    rest = S.ivf_ctes("l2", LISTS)
+    return f"""WITH src AS ({S.src_embeddings(True)}), {S.queries_cte(N_QUERIES)},
+{S.knn_cte('truth', 'l2', K)},
+{", ".join(steps)},
+cent AS (SELECT list_id, c FROM c{KMEANS_STEPS}),
+asg AS ({rest.split("asg AS (", 1)[1]},
+{S.efforts_cte(EFFORTS)},
+{S.sweep_ctes('truth')}""" + SQL_RECALL_SWEEP.split(S.sweep_ctes("truth"))[1]
+
+
 # --- S4 ------------------------------------------------------------------------
 
 def q_synthetic_profile(spark, sf):
@@ -441,7 +476,7 @@ def entries():
     out["recall_per_query"] = (q_recall_per_query, SQL_RECALL_PER_QUERY)
     out["recall_sweep"] = (q_recall_sweep, SQL_RECALL_SWEEP)
     out["default_point"] = (q_default_point, SQL_DEFAULT_POINT)
-    out["ivf_kmeans_sweep"] = (q_ivf_kmeans_sweep, None)
+    out["ivf_kmeans_sweep"] = (q_ivf_kmeans_sweep, _sql_ivf_kmeans_sweep())
     out["synthetic_profile"] = (q_synthetic_profile, SQL_SYNTHETIC_PROFILE)
     out["stored_size"] = (q_stored_size, None)
     out["result_document"] = (q_result_document, _sql_result_document())

@@ -28,6 +28,7 @@ class EvalConfig:
     lists: int | None = None       # None: the square root of the row count
     efforts: tuple = (1, 2, 4, 8, 16)
     trainer: str = "sample"
+    kmeans_steps: int = 20
     seed: int = sampling.DEFAULT_SEED
     strategy: str = "block"
 
@@ -55,7 +56,7 @@ def evaluate(base: DataFrame, cfg: EvalConfig = EvalConfig(), id_col: str = "id"
     if cfg.trainer == "sample":
         cents = ivf.train_sample(base, lists, cfg.metric, cfg.seed, id_col, vec_col)
     elif cfg.trainer == "kmeans":
-        cents = ivf.train_kmeans(base, lists, cfg.metric, cfg.seed, id_col, vec_col)
+        cents = ivf.train_kmeans(base, lists, cfg.metric, cfg.seed, id_col, vec_col, cfg.kmeans_steps)
     else:
         raise ValueError(f"unknown trainer {cfg.trainer!r}")
     asg = ivf.assignment_table(base, cents, cfg.metric, id_col, vec_col)
