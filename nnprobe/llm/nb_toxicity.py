@@ -5,7 +5,7 @@ A document's features are the distinct character n-grams (4 to 8 code points,
 lower case, runs of white space as one blank) hashed to 2**20 places.  Over
 all labelled training rows Spark counts in how many documents of each class a
 place occurs; the log-count ratio of the smoothed class shares scales the
-feature.  Every place in ``MIN_DOCS`` documents or more has a weight: the
+feature.  Every place that occurs has a weight: the
 places that separate the classes best have a coefficient of their own, the
 others one for all of about the same ratio, whose ratios a document sums up
 (for the fit by the counts of the other rows).  They feed a logistic
@@ -40,19 +40,19 @@ BITS = 20
 FEATURES = 4096                       # places with a coefficient of their own; the others share one a group
 GROUPS = np.arange(-4.0, 5.0)         # edges of their log-count ratios
 SAMPLE_ROWS = 20_000
-LABEL_BROADCAST_ROWS = 2_000_000      # 16 bytes each; more labels are joined by shuffle
-MIN_DOCS = 3
+FIT_ROWS = 1024                       # of the sample, worked on at once
+LABEL_BROADCAST_ROWS = 500_000        # 16 bytes each; more labels are joined by shuffle
 PIECE = 1 << 18                       # code points hashed at once
 _BLANK = re.compile(r"\s+")
 
 
 def _places(text: str):
-    """Hashed n-grams, piece by piece; pieces overlap by the longest n-gram."""
+    """Hashed n-grams, an array a piece; pieces overlap by the longest n-gram."""
     text = _BLANK.sub(" ", f" {text.lower()} ")
     step = PIECE - max(SIZES) + 1
     for lo in range(0, max(len(text) - max(SIZES) + 1, 1), step):
         c = np.frombuffer(text[lo:lo + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
-        h = np.zeros(len(c), np.uint32)
+        h, found = np.zeros(len(c), np.uint32), []
         for n in range(1, max(SIZES) + 1):
             if len(c) < n:
                 break
@@ -61,7 +61,9 @@ def _places(text: str):
                 x = h ^ np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)
                 x = (x ^ (x >> np.uint32(16))) * np.uint32(0x7FEB352D)
                 x = (x ^ (x >> np.uint32(15))) * np.uint32(0x846CA68B)
-                yield x >> np.uint32(32 - BITS)
+                found.append(x >> np.uint32(32 - BITS))
+        if found:
+            yield np.concatenate(found)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -81,14 +83,14 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _count_batches(batches):
-    counts = np.zeros((2, 1 << BITS), np.int64)
-    mark = np.zeros(1 << BITS, bool)
+    counts = np.zeros((2, 1 << BITS), np.int32)
+    slot = np.zeros(1 << BITS, np.int32)
     for batch in batches:
         for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            counts[y, _marked(text, mark)] += 1
-    at = np.flatnonzero(counts.sum(axis=0))
+            counts[y, _distinct(text, slot)] += 1
+    at = np.flatnonzero(counts.any(axis=0))
     if len(at):
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[0, at]), pa.array(counts[1, at])],
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[0, at]), pa.array(counts[1, at])],
                                          names=["place", "n0", "n1"])
 
 
@@ -105,18 +107,21 @@ class ToxicModel:
         return t
 
 
-def _marked(text: str | None, mark: np.ndarray | None = None) -> np.ndarray:
-    """Distinct places of a text in order; ``mark`` is scratch of 2**BITS zeros."""
-    mark = np.zeros(1 << BITS, bool) if mark is None else mark
+def _distinct(text: str | None, slot: np.ndarray | None = None) -> np.ndarray:
+    """Distinct places of a text, each where it stands last; ``slot`` is
+    scratch of 2**BITS int32, whose content does not matter."""
+    slot = np.zeros(1 << BITS, np.int32) if slot is None else slot
+    at = np.zeros(0, np.uint32)
     for x in _places(text or ""):
-        mark[x] = True
-    at = np.flatnonzero(mark)
-    mark[at] = False
+        at = np.concatenate([at, x]) if len(at) else x       # at most 2**BITS places of the pieces before
+        i = np.arange(len(at), dtype=np.int32)
+        slot[at] = i
+        at = at[slot[at] == i]
     return at
 
 
-def _present(text: str | None, table: np.ndarray, mark: np.ndarray | None = None) -> np.ndarray:
-    t = table[_marked(text, mark)]
+def _present(text: str | None, table: np.ndarray, slot: np.ndarray | None = None) -> np.ndarray:
+    t = table[_distinct(text, slot)]
     return t[t > 0] - 1
 
 
@@ -134,15 +139,19 @@ def _fit(rows: list[np.ndarray], sums: np.ndarray, y: np.ndarray, ratio: np.ndar
     in the feature list, ``sums`` a column for each group of the other places;
     the weights of the groups follow those of the features."""
     n, width = len(rows), len(ratio)
-    at = np.concatenate(rows).astype(np.int64) if n else np.zeros(0, np.int64)
+    parts = [slice(i, i + FIT_ROWS) for i in range(0, n, FIT_ROWS)]          # bounds what a step holds besides the rows
+    at = [np.concatenate(rows[p]) for p in parts]
     sizes = np.array([len(r) for r in rows], np.int64)
-    ends = np.concatenate([[0], np.cumsum(sizes)])
+    starts = [np.concatenate([[0], np.cumsum(sizes[p])]) for p in parts]
 
     def forward(v):
-        return np.diff(np.concatenate([[0.0], np.cumsum((v[:width] * ratio)[at])])[ends]) + sums @ v[width:]
+        scaled = v[:width] * ratio
+        return np.concatenate([np.diff(np.concatenate([[0.0], np.cumsum(scaled[a])])[e])
+                               for a, e in zip(at, starts, strict=True)]) + sums @ v[width:]
 
     def backward(g):
-        return np.concatenate([np.bincount(at, weights=np.repeat(g, sizes), minlength=width) * ratio, g @ sums])
+        got = sum(np.bincount(a, weights=np.repeat(g[p], sizes[p]), minlength=width) for a, p in zip(at, parts, strict=True))
+        return np.concatenate([got * ratio, g @ sums])
 
     v = np.ones(width + sums.shape[1])
     for _ in range(20):                                     # largest curvature by power iteration
@@ -188,31 +197,37 @@ def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES, sample_r
     if not n0 or not n1:
         return none
     # at most 2**BITS places come to the driver, whatever the input
-    counts = rows.select("text", "toxic").mapInArrow(_count_batches, "place long, n0 long, n1 long").groupBy("place").agg(
-        F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= MIN_DOCS).toArrow()
-    place, c0, c1 = (counts.column(c).to_numpy() for c in ("place", "n0", "n1"))
-    p0, p1, p = (c0 + 1) / (n0 + 2), (c1 + 1) / (n1 + 2), (c0 + c1 + 1) / (n0 + n1 + 2)
-    order = np.lexsort((place, -((p1 - p0) * (p1 - p0) / (p * (1 - p)))))
-    place, c0, c1, ratio = place[order], c0[order], c1[order], np.log(p1 / p0)[order][:features]
+    p0, p1 = (F.col("n0") + 1) / (n0 + 2), (F.col("n1") + 1) / (n1 + 2)
+    p = (F.col("n0") + F.col("n1") + 1) / (n0 + n1 + 2)
+    counts = (rows.select("text", "toxic").mapInArrow(_count_batches, "place int, n0 int, n1 int")
+              .groupBy("place").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+              .select("place", F.col("n0").cast("float"), F.col("n1").cast("float"),       # exact up to 2**24 documents
+                      ((p1 - p0) * (p1 - p0) / (p * (1 - p))).cast("float").alias("gain")).toArrow())
+    place, c0, c1, gain = (counts.column(c).to_numpy() for c in ("place", "n0", "n1", "gain"))
+    order = np.lexsort((place, -gain))
+    place, c0, c1 = place[order], c0[order], c1[order]
+    del counts, gain, order
+    ratio = np.log(((c1[:features] + 1.0) / (n1 + 2)) / ((c0[:features] + 1.0) / (n0 + 2)))
     bc = docs.sparkSession.sparkContext.broadcast((ToxicModel(place, ratio, 0.0).table(), c0, c1))
 
     def present(batches):
         table, c0, c1 = bc.value
-        mark = np.zeros(1 << BITS, bool)
+        slot = np.zeros(1 << BITS, np.int32)
         for batch in batches:
             out, sums = [], []
             for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                at = _present(text, table, mark)
+                at = _present(text, table, slot)
                 out.append(np.sort(at[at < features]).tobytes())
                 # the other places as the other rows know them: with its own label in the counts a row looks too easy
                 at = at[at >= features]
-                at = at[c0[at] + c1[at] > MIN_DOCS]
-                x = _shared_ratio(c0[at] - (1 - y), c1[at] - y, max(n0 - (1 - y), 1), max(n1 - y, 1))
+                at = at[c0[at] + c1[at] > 1]
+                x = _shared_ratio(c0[at] - np.float64(1 - y), c1[at] - np.float64(y), max(n0 - (1 - y), 1), max(n1 - y, 1))
                 sums.append(np.bincount(np.digitize(x, GROUPS), weights=x, minlength=len(GROUPS) + 1).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(sums, pa.binary()), batch.column("toxic")],
                                              names=["x", "sums", "toxic"])
 
     got = _sample(rows, n0, n1, sample_rows).mapInArrow(present, "x binary, sums binary, toxic int").toArrow()
+    bc.destroy()
     drawn = sorted(zip(*(got.column(c).to_pylist() for c in ("toxic", "x", "sums")), strict=True))   # one order, one model
     m1 = sum(y for y, _, _ in drawn)
     sums = np.array([np.frombuffer(x) for _, _, x in drawn])
@@ -221,13 +236,17 @@ def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES, sample_r
     w, bias = _fit([np.frombuffer(x, np.int32) for _, x, _ in drawn], sums / scale, np.array([float(y) for y, _, _ in drawn]), ratio)
     # the sample's odds of the classes give way to those of all rows
     bias += float(np.log(n1 / n0) - np.log(m1 / (len(drawn) - m1)))
-    other = _shared_ratio(c0[features:], c1[features:], n0, n1)
-    return ToxicModel(place, np.concatenate([w[:len(ratio)] * ratio, (w[len(ratio):] / scale)[np.digitize(other, GROUPS)] * other]), bias)
+    weights = np.empty(len(place), np.float32)
+    weights[:len(ratio)] = w[:len(ratio)] * ratio
+    for lo in range(len(ratio), len(place), 1 << 16):
+        other = _shared_ratio(c0[lo:lo + (1 << 16)].astype(float), c1[lo:lo + (1 << 16)].astype(float), n0, n1)
+        weights[lo:lo + (1 << 16)] = (w[len(ratio):] / scale)[np.digitize(other, GROUPS)] * other
+    return ToxicModel(place, weights, bias)
 
 
 def score(docs: DataFrame, model: ToxicModel, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """``docs`` with ``out_col``, the probability of label 1 (an equal-named column is replaced)."""
-    by_place = np.zeros(1 << BITS)
+    by_place = np.zeros(1 << BITS, np.float32)
     by_place[model.places] = model.weights
     bc = docs.sparkSession.sparkContext.broadcast((by_place, model.bias))
     docs = docs.drop(out_col)
@@ -236,9 +255,9 @@ def score(docs: DataFrame, model: ToxicModel, text_col: str = "text", out_col: s
 
     def run(batches):
         weights, bias = bc.value
-        mark = np.zeros(1 << BITS, bool)
+        slot = np.zeros(1 << BITS, np.int32)
         for batch in batches:
-            s = [bias + float(weights[_marked(t, mark)].sum()) for t in batch.column(at).to_pylist()]
+            s = [bias + float(weights[_distinct(t, slot)].sum(dtype=np.float64)) for t in batch.column(at).to_pylist()]
             p = 1 / (1 + np.exp(-np.clip(np.array(s, np.float64), -700, 700)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=names)
 
