@@ -19,6 +19,7 @@ from nnprobe.llm.positional_index import contamination
 from nnprobe.llm.prefix_table import round_trip
 from nnprobe.llm.quote_link import link_conversations
 from nnprobe.llm.text_density import extract_pages
+from nnprobe.session import spread
 
 
 def op1_quote_link(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_pages(table(spark, sf_dir, "pages"))
+    return extract_pages(spread(table(spark, sf_dir, "pages")))
 
 
 def op7_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +55,7 @@ def op7_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     model = nb_toxicity.train(docs, table(spark, sf_dir, "labels"))
     got = nb_toxicity.score(docs, model)
     return got.select("doc_id", nb_toxicity.held_out().alias("held_out"), "score",
@@ -93,7 +94,7 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return round_trip(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 QUERIES = {f.__name__: f for f in (

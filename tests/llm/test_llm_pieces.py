@@ -22,16 +22,16 @@ def table():
 def test_ids_are_the_librarys(table):
     rnd = random.Random(1)
     pieces = list(table.ids)
-    for k in range(6000):
-        text = "".join(rnd.choice(PARTS if k % 2 else pieces) for _ in range(rnd.randint(0, 20)))
-        ids, written = table.encode(text)
-        assert ids == table.library.encode(text), text
-        assert written == ",".join(map(str, ids))
+    texts = ["".join(rnd.choice(PARTS if k % 2 else pieces) for _ in range(rnd.randint(0, 20))) for k in range(6000)]
+    for lo in range(0, len(texts), 100):
+        for text, ids in zip(texts[lo:lo + 100], table.encode(texts[lo:lo + 100]), strict=True):
+            assert ids == table.library.encode(text), text
+            assert table.digits(ids) == ",".join(map(str, ids))
 
 
 def test_long_stretches_take_time_of_their_length(table):
     text = "a" * 200_000 + "xyzzy" * 20_000 + " " * 50_001 + "中文" * 20_000
-    assert table.encode(text)[0] == table.library.encode(text)
+    assert table.encode([text]) == [table.library.encode(text)]
 
 
 def test_pairs_are_those_that_merge_to_themselves(table):
@@ -41,9 +41,11 @@ def test_pairs_are_those_that_merge_to_themselves(table):
 def test_cache_is_bounded(table, monkeypatch):
     monkeypatch.setattr(P, "CACHED", 50)
     text = " ".join(f"word{i}" for i in range(400))
-    table.known.clear()
-    table.pairs.clear()
-    assert table.encode(text)[0] == table.library.encode(text) and len(table.known) <= 50 and len(table.pairs) <= 50
+    table.words.new, table.words.old = {}, {}
+    table.pairs = P.Sorted()
+    for _ in range(2):
+        assert table.encode([text, None, text]) == [table.library.encode(text), [], table.library.encode(text)]
+    assert len(table.words.new) <= 50 and len(table.words.old) <= 50 and len(table.pairs.keys) <= 4 * 50 + 400
 
 
 def test_encode_decode_and_edges(spark, table):
