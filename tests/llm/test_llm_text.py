@@ -249,3 +249,118 @@ def test_quote_chain_and_repeats(spark):
     assert one == [(i, i, 0, i) for i in range(40)]
     two = sorted((r.position, r.turn, r.parent_turn) for r in got if r.conv_id == 2)
     assert [x[:2] for x in two] == [(0, 0), (1, 0), (2, 1)] and two[2][2] == 0
+
+
+ARTICLE = "<p>" + "This is a sentence of the article, long enough to be one. " * 5 + "</p>"
+PLAIN = " ".join(ARTICLE[3:-4].split())
+
+
+@pytest.mark.parametrize("layout", [
+    '<div id=page class="sidebar-right"><article>{}</article></div>', '<div class="page menu-left"><main>{}</main></div>',
+    '<div class="elementor-widget">{}</div>', '<div class="main search-enabled">{}</div>', "<form action=/x>{}</form>",
+    "<header>{}</header>", '<article><div class="related-work">{}</div></article>',
+    '<article><section class="social-science">{}</section></article>', '<article><div class="share-price">{}</div></article>',
+    '<article><div class="research-search">{}</div></article>', "<header><h1>Site</h1></header><article>{}</article>",
+    '<article>{}<section class="comments"><article class="comment">I like it.</article></section></article>',
+    '<article>{}</article><div class="post-comments">' + "<p>what a reader has to say</p>" * 60 + "</div>",
+    '<article>{}<div class="related-posts"><a href=1>one</a> <a href=2>two</a></div></article>',
+    '<article>{}<div class="ad">Buy this now, it is cheap.</div><div class="social-share">Tell others</div></article>',
+])
+def test_layouts_keep_the_article_alone(layout):
+    page = "<html><head><title>t</title></head><body><nav><a href=/>Home</a></nav>{}<footer>2020</footer></body></html>"
+    assert main_text(page.format(layout.format(ARTICLE))) == PLAIN
+
+
+@pytest.mark.parametrize("html", [
+    "<a b=" * 200_000, "<!-- " * 200_000, "<" * 300_000, "<li><ul>" + "<span>" * 15_000 + "<li>" * 15_000, "<p>" * 50_000,
+    "<div>" * 50_000, "<table>" + "<td>" * 50_000, "</x" * 100_000, "<script>" * 100_000, "<a b=\'" * 100_000, "&amp" * 100_000,
+    "<a " + "/" * 300_000, "<a " + "=" * 300_000, "<a" + " " * 300_000, ("<a x" + " " * 50) * 20_000, "<!" * 300_000, "<a b=\"x",
+])
+def test_pages_that_never_close_take_linear_time(html):
+    import time
+    start = time.perf_counter()
+    main_text(html)
+    assert time.perf_counter() - start < 20
+
+
+def test_tags_are_read_as_browsers_do():
+    body = "<body><p>" + "plain words of the text here " * 8
+    for mark, want in (("<!-->a", "a"), ("<!-- x -->a", "a"), ("<!-- x --!>a", "a"), ("<?php x?>a", "a"), ("</ x>a", "a"),
+                       ("a < b", "a < b"), ("<b title=\'>\'>a</b>", "a"), ('<b title=">" x=1/>a', "a"), ("<B CLASS=x>a</B >", "a"),
+                       ("<script>if (a</p> b)</script>a", "a"), ("<style>p{}</STYLE >a", "a"), ("&lt;i&gt; &eacute;&#33;", "<i> é!"),
+                       ("<b hidden>x</b>a", "a"), ("a<!-- no end", "a"), ("a<b no end", "a")):
+        assert main_text(body + mark).split("here")[-1].strip() == want, mark
+
+
+def plain_density(page):
+    """The method on nested tuples (tag, [children or texts]), by recursion and without any sharing of sums."""
+    import math
+
+    def chars(x, in_link=False):
+        if isinstance(x, str):
+            return len(x), len(x) if in_link else 0
+        got = [chars(c, in_link or x[0] == "a") for c in x[1]]
+        return sum(g[0] for g in got), sum(g[1] for g in got)
+
+    def tags(x, name=None):
+        return 0 if isinstance(x, str) else sum((not isinstance(c, str) and name in (None, c[0])) + tags(c, name) for c in x[1])
+
+    body_chars, body_linked = chars(page)
+
+    def density(x):
+        c, lc = chars(x)
+        if not c:
+            return 0.0
+        t, lt = max(tags(x), 1), max(tags(x, "a"), 1)
+        inner = c / max(c - lc, 1) * max(lc, 1) + body_linked / max(body_chars, 1) * c + math.e
+        return c / t * math.log(max(c / max(lc, 1) * t / lt, 1.0)) / math.log(math.log(inner))
+
+    def total(x):
+        return sum(density(c) for c in x[1] if not isinstance(c, str))
+
+    def nodes(x, path):
+        yield x, path
+        for c in x[1]:
+            if not isinstance(c, str):
+                yield from nodes(c, [*path, x])
+
+    best, path = max(nodes(page, []), key=lambda n: total(n[0]))
+    return best, min(density(x) for x in [*path, best]), density, chars, path
+
+
+def test_density_equals_the_plain_method():
+    """Pages of div, p and a: the best subtree, and beside its path what reaches the threshold or is a paragraph with few links."""
+    rnd = random.Random(8)
+
+    def made(depth):
+        if depth == 0 or rnd.random() < 0.25:
+            text = " ".join("w" * rnd.randint(1, 9) for _ in range(rnd.randint(3, 40)))
+            return ("p", [text] if rnd.random() < 0.6 else [("a", [text])])
+        return ("div", [made(depth - 1) for _ in range(rnd.randint(1, 5))])
+
+    def html(x):
+        return x if isinstance(x, str) else f"<{x[0]}>" + "".join(map(html, x[1])) + f"</{x[0]}>"
+
+    def lines(x):
+        if x[0] == "p":
+            return [re.sub("<[^>]*>", "", html(x))]
+        return [y for c in x[1] for y in lines(c)]
+
+    for _ in range(150):
+        page = ("body", [made(3) for _ in range(rnd.randint(1, 4))])
+        best, least, density, chars, path = plain_density(page)
+
+        def text(x):
+            if x is best:
+                return lines(x)
+            out = []
+            for c in x[1]:
+                if any(c is p for p in (*path, best)):
+                    out += text(c)
+                else:
+                    n, linked = chars(c)
+                    if density(c) >= least > 0 or c[0] == "p" and linked <= n / 3:
+                        out += lines(c)
+            return out
+
+        assert main_text(html(page)) == "\n".join(text(page))
