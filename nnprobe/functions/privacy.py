@@ -13,11 +13,16 @@ from pyspark.sql import functions as F
 
 _W = "A-Za-z0-9_"
 
+# A host is sought once per run of its characters (or what a match left of it):
+# the first letter or digit there reaches every dot that a later one would, so
+# if it starts no host, none of the run does.  Each run is read once.
+HOST_START = "(?:\\G|(?<![a-zA-Z0-9._-]))"
+
 # Fixed scrub rules, applied in this order: (name, pattern, replacement).
 SCRUB_RULES = [
     ("url", "postgres(?:ql)?://[^\\t\\n\\f\\r '\"]+", "postgres://<redacted>"),
     ("ip", f"(?<![{_W}])[0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}}(?::[0-9]+)?(?![{_W}])", "<ip>"),
-    ("host", "[a-zA-Z0-9][a-zA-Z0-9._-]*\\.(?:[a-zA-Z]{2,}|[a-zA-Z]+\\.[a-zA-Z]{2,})(?::[0-9]+)?", "<host>"),
+    ("host", HOST_START + "([._-]*+)[a-zA-Z0-9][a-zA-Z0-9._-]*\\.(?:[a-zA-Z]{2,}|[a-zA-Z]+\\.[a-zA-Z]{2,})(?::[0-9]+)?", "$1<host>"),
     ("conn", "(?iu)`user=[^`]*`", "`<conn>`"),
 ]
 

@@ -65,8 +65,8 @@ def with_warmup(m: DataFrame, group: str = "level", warmup: int = WARMUP) -> Dat
 def latency_summary(m: DataFrame, group=("run_id", "phase")) -> DataFrame:
     """M1-M2: count, mean, p50, p95, p99 per group (0 when empty)."""
     names, group = ("p50_ms", "p95_ms", "p99_ms"), list(group)
-    g = m.groupBy(*group).agg(F.count("dur_ms").alias("count"), F.avg("dur_ms").alias("mean_ms"))
-    g = join_keys(g, grouped_percentiles(m, group, "dur_ms", PERCENTILES, names), group, "left")
+    g = grouped_percentiles(m, group, "dur_ms", PERCENTILES, names,
+                            extra={"count": F.count("dur_ms"), "mean_ms": F.avg("dur_ms")})
     return g.select(*group, "count", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("mean_ms", *names)])
 
 
@@ -77,7 +77,7 @@ def levels(m: DataFrame, run: str = "run_id") -> DataFrame:
     agg = m.groupBy(run, "level").agg(
         F.min("seq").alias("_first"), F.count_distinct("worker").cast("int").alias("concurrency"),
         F.count("*").alias("total_queries"),
-        ((F.max("ended_us") - F.min("started_us")) * 1000).alias("duration_ns"))
+        ((F.max("ended_us") - F.min("started_us")) * 1000).alias("duration_ns")).checkpoint(eager=True)     # one row a level
     agg = join_keys(agg, grouped_percentiles(m, [run, "level"], "dur_ms", (0.95,), ("p95_ms",)), [run, "level"], "left")
     # one row per level from here on
     w = Window.partitionBy(run).orderBy("_first", "level")
@@ -176,8 +176,7 @@ def running_qps(m: DataFrame, tick_ms: int = 200, group: str = "level") -> DataF
     t = (join_keys(m, start, [group])
          .withColumn("tick", F.greatest(F.lit(1), F.ceil((F.col("ended_us") - F.col("_s")) / tick_us)).cast("long"))
          .groupBy(group, "tick").agg(F.count("*").alias("completed")))
-    t = running(t, [group], ["tick"], "completed", "before")
-    t = positions(t, group, "tick", "i")
+    t = running(t, [group], ["tick"], "completed", "before", rows_out="i")
     nxt = t.select(group, (F.col("i") - 1).alias("i"), F.col("tick").alias("next"))
     t = join_keys(t, nxt, [group, "i"], "left")
     zero = F.lit(0).cast("long")

@@ -6,6 +6,8 @@ Spark arrays carry no declared length, so the dimension is measured
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +42,14 @@ def check_dimension(prof_row) -> int:
 
 
 def stored_size(df: DataFrame) -> DataFrame:
-    """Bytes of the files behind a file-source DataFrame."""
-    return (df.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("b"))
-            .dropDuplicates(["f"]).agg(F.sum("b").cast("long").alias("table_size_bytes"),
-                                       F.count("*").alias("files")))
+    """Bytes of the files behind a file-source DataFrame, from their
+    listing: the files are not opened."""
+    spark, paths = df.sparkSession, df.inputFiles()
+    if not paths:
+        return spark.range(1).select(F.lit(None).cast("long").alias("table_size_bytes"), F.lit(0).cast("long").alias("files"))
+    # path and length are the listing's; the content column is not read
+    return (spark.read.format("binaryFile").load([unquote(p) for p in paths])
+            .agg(F.sum("length").cast("long").alias("table_size_bytes"), F.count("path").alias("files")))
 
 
 def index_lookup(manifest: DataFrame, table: str, column: str) -> DataFrame:
@@ -64,6 +70,21 @@ def index_lookup(manifest: DataFrame, table: str, column: str) -> DataFrame:
                     *[F.col(c) if c in hit.columns else F.lit(None).cast("string").alias(c) for c in ("path", "centroids_path")]))
 
 
+def index_lookups(manifest: DataFrame, asked: DataFrame) -> DataFrame:
+    """P5 for many columns: every distinct (table, column) of ``asked`` with
+    the index that ``index_lookup`` finds for it.  The manifest is taken apart
+    by column and reduced to one index per key before it meets the requests."""
+    have = manifest.where(F.col("kind").isin(*INDEX_KINDS)).withColumn("column", F.explode(F.array_distinct("columns")))
+    fields = ["index_name", "kind", "metric", "lists", "size_bytes", *[c for c in ("path", "centroids_path") if c in manifest.columns]]
+    newest = have.groupBy("table", "column").agg(F.max("created_at").alias("_newest"))
+    # of equally new ones the first by name
+    best = (have.join(newest, ["table", "column"]).where(F.col("created_at").eqNullSafe(F.col("_newest")))
+            .groupBy("table", "column").agg(F.min_by(F.struct(*fields), "index_name").alias("_i")))
+    got = asked.select("table", "column").distinct().join(best, ["table", "column"], "left")
+    return got.select("table", "column", *[F.col(f"_i.{c}").alias(c) for c in fields]).withColumn(
+        "kind", F.coalesce("kind", F.lit("none")))
+
+
 def facts(prof: DataFrame, table: str, column: str, extra: dict | None = None) -> DataFrame:
     """The profile as (key, value) text rows."""
     kv = [("table", F.lit(table)),

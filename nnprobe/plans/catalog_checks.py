@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nnprobe.functions.distance import searchable
 from nnprobe.functions.vectext import parse, render
 from nnprobe.operators import ivf, knn, measure, nearest, profile, recall, sampling
+from nnprobe.operators.runlog import timed_evaluation
 from nnprobe.plans import sqlparts as S
 from nnprobe.plans.catalog_vectors import DEFAULT_EFFORT, EFFORTS, K, LISTS, N_QUERIES, NPROBE, SEED, SQL_IVF_SEARCH, base
 from nnprobe.plans.evaluation import EvalConfig, evaluate
@@ -208,6 +209,94 @@ SELECT sweep_idx, effort, round(quantile_cont(dur_ms, 0.95), 6) AS p95_ms, count
   round(count(*) / ((max(ended_us) - min(started_us)) / 1e6), 6) AS qps FROM s GROUP BY 1, 2"""
 
 
+def q_search_timings(spark, sf):
+    """R6, M12, S8 from real searches: the run's rows are written, read back and
+    summed up per effort; times differ from run to run, so of them only that
+    they are there is told."""
+    b = base(spark, sf)
+    q = sampling.sample_queries(b, N_QUERIES, seed=SEED)
+    log, found, truth = timed_evaluation(spark, b, q, K, LISTS, EFFORTS, "search-timings", exclude_self=False)
+    path = scratch_path(spark, "search-timings")
+    write_measurements(log.rows(spark), path)
+    back = read_measurements(spark, path)
+    stages = measure.stage_durations(back).where("phase IN ('build', 'truth', 'search') AND duration_ns > 0").count()
+    notes = log.rows(spark).where("phase = 'search'")
+    t = recall.sweep_timings(back.where("phase = 'search'").join(notes.select("seq", "sweep_idx", "effort"), "seq"))
+    sums = notes.groupBy("sweep_idx").agg(F.sum("queries").alias("queries"), F.sum("compared").alias("compared"), F.sum("found").alias("found"))
+    right = (found.join(truth.select("qid", "id"), ["qid", "id"]).groupBy("sweep_idx").agg(F.count("*").alias("right")))
+    return (t.select("sweep_idx", "effort", ((F.col("p95_ms") > 0) & (F.col("wall_s") > 0) & (F.col("qps") > 0)).alias("timed"))
+            .join(sums, "sweep_idx").join(right, "sweep_idx").withColumn("stages", F.lit(stages)))
+
+
+SQL_SEARCH_TIMINGS = f"""WITH src AS ({S.src_embeddings()}), {S.queries_cte(N_QUERIES)},
+{S.knn_cte('truth', 'cosine', K, False)},
+{S.ivf_ctes('cosine', LISTS)},
+{S.efforts_cte(EFFORTS)},
+{S.sweep_ctes('truth')}
+SELECT c.sweep_idx, c.effort, true AS timed, count(*) AS queries, sum(c.scanned)::BIGINT AS compared, sum(least({K}, c.scanned))::BIGINT AS found,
+  sum(p.hits)::BIGINT AS "right", 3::INTEGER AS stages
+FROM cost c JOIN per p ON p.qid = c.qid AND p.sweep_idx = c.sweep_idx GROUP BY c.sweep_idx, c.effort"""
+
+
+# --- P5: many columns at once ----------------------------------------------------
+
+def q_index_lookup_many(spark, sf):
+    """Every column that rows of the table ask for, in a manifest of an index per row."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("i"), F.concat(F.lit("t"), F.col("label").cast("string")).alias("table"))
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (F.col("i") % n + 1).cast("int"))
+    column = lambda n: F.concat(F.lit("c"), (F.col("i") % n).cast("string"))
+    manifest = e.select(
+        F.concat(F.lit("ix"), F.col("i").cast("string")).alias("index_name"), pick(("hnsw", "ivfflat", "btree"), 3).alias("kind"), "table",
+        F.array(column(5), column(7)).alias("columns"), pick(("l2", "cosine"), 2).alias("metric"), (F.col("i") % 100).cast("int").alias("lists"),
+        F.col("i").alias("size_bytes"), F.timestamp_seconds(F.floor(F.col("i") / 10)).alias("created_at"))
+    asked = e.select("table", column(11).alias("column"))
+    return profile.index_lookups(manifest, asked).select("table", "column", "index_name", "kind", "metric", "lists", "size_bytes")
+
+
+SQL_INDEX_LOOKUP_MANY = """WITH e AS (SELECT vec_id AS i, 't' || label::VARCHAR AS tbl FROM embeddings),
+m AS (SELECT i, tbl, 'ix' || i::VARCHAR AS index_name, (['hnsw', 'ivfflat', 'btree'])[(i % 3 + 1)::INTEGER] AS kind,
+        unnest(list_distinct(['c' || (i % 5)::VARCHAR, 'c' || (i % 7)::VARCHAR])) AS col, (['l2', 'cosine'])[(i % 2 + 1)::INTEGER] AS metric,
+        (i % 100)::INTEGER AS lists FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY tbl, col ORDER BY i // 10 DESC, index_name) AS r FROM m WHERE kind IN ('hnsw', 'ivfflat')),
+a AS (SELECT DISTINCT tbl, 'c' || (i % 11)::VARCHAR AS col FROM e)
+SELECT a.tbl AS "table", a.col AS "column", r.index_name, coalesce(r.kind, 'none') AS kind, r.metric, r.lists, r.i AS size_bytes
+FROM a LEFT JOIN r ON r.tbl = a.tbl AND r.col = a.col AND r.r = 1"""
+
+
+# --- J5 ----------------------------------------------------------------------------
+
+def q_comparison_rows(spark, sf):
+    """The run's figures beside those of the label whose count of rows comes nearest to its share."""
+    m = measure.from_events(table(spark, sf, "events"))
+    lat, lv = measure.latency_summary(m, group=()), measure.levels(m)
+    pk = measure.peak(lv)
+    points = evaluate(base(spark, sf), EvalConfig(metric="cosine", k=K, queries=N_QUERIES, lists=LISTS, efforts=EFFORTS, seed=SEED)).points
+    point = recall.default_point(points, DEFAULT_EFFORT)
+    measured = lat.crossJoin(pk.select("peak_qps")).crossJoin(point.select("recall", "effort"))              # one row each
+    g = table(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    near = g.agg(F.min_by(F.struct("label", "n"), F.struct(F.abs(F.col("n") - 50), "label")).alias("g"))
+    projected = near.select((F.col("g.label") + 1.25).alias("p50_ms"), (F.col("g.label") + 2.5).alias("p95_ms"),
+                            (F.col("g.n") * 10.0).alias("qps"), (1.0 / (F.col("g.label") + 1)).alias("recall"))
+    rows = lambda p, name: nearest.comparison_rows(measured, p).withColumn("reference", F.lit(name))
+    got = rows(projected, "found").unionByName(rows(None, "none"))
+    return got.select("reference", "metric", _r6("measured").alias("measured"), _r6("projected").alias("projected"))
+
+
+def _sql_comparison_rows():
+    from nnprobe.plans.catalog_measure import _SQL_LEVELS, _SQL_PEAK
+    from nnprobe.plans.catalog_vectors import _EVAL_SQL_HEAD
+    return _EVAL_SQL_HEAD + f""",
+pts AS (SELECT sweep_idx, effort, avg(recall) AS recall FROM per GROUP BY sweep_idx, effort),
+{_SQL_LEVELS}, {_SQL_PEAK},
+la AS (SELECT quantile_cont(dur_ms, 0.5) AS p50, quantile_cont(dur_ms, 0.95) AS p95 FROM m),
+g AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label ORDER BY abs(count(*) - 50), label LIMIT 1),
+rows4 AS (SELECT unnest(['p50_ms', 'p95_ms', 'peak_qps', 'recall']) AS metric,
+  unnest([la.p50, la.p95, pk2.peak_qps, (SELECT recall FROM pts WHERE effort = {DEFAULT_EFFORT})]) AS measured,
+  unnest([g.label + 1.25, g.label + 2.5, g.n * 10.0, 1.0 / (g.label + 1)]::DOUBLE[]) AS projected FROM la, pk2, g)
+SELECT 'found' AS reference, metric, round(measured, 6) AS measured, round(projected, 6) AS projected FROM rows4
+UNION ALL SELECT 'none', metric, round(measured, 6), NULL FROM rows4"""
+
+
 # --- S5, S8 ------------------------------------------------------------------------
 
 def q_write_replace_drop(spark, sf):
@@ -305,6 +394,9 @@ def entries():
         "ivf_kmeans_invariants": (q_ivf_kmeans_invariants, SQL_IVF_KMEANS_INVARIANTS),
         "draw_rule": (q_draw_rule, SQL_DRAW_RULE),
         "recall_gate": (q_recall_gate, SQL_RECALL_GATE),
+        "search_timings": (q_search_timings, SQL_SEARCH_TIMINGS),
+        "index_lookup_many": (q_index_lookup_many, SQL_INDEX_LOOKUP_MANY),
+        "comparison_rows": (q_comparison_rows, _sql_comparison_rows()),
         "sweep_timings": (q_sweep_timings, SQL_SWEEP_TIMINGS),
         "write_replace_drop": (q_write_replace_drop, SQL_WRITE_REPLACE_DROP),
         "measurement_sink": (q_measurement_sink, SQL_MEASUREMENT_SINK),

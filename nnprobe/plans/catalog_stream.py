@@ -5,9 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from nnprobe.operators import measure as M
 from nnprobe.plans import sqlparts as S
 from nnprobe.session import scratch_path, table
-from nnprobe.streaming import live
+from nnprobe.streaming import live, stateful
 
 # Fixed parameters: events span 30 days.
 WINDOW = "1 day"
@@ -94,14 +95,78 @@ SELECT level, ws AS window_start_us, ws + {DAY_US} AS window_end_us, completed
 FROM w, mx WHERE ws + {DAY_US} <= (mx.mx // 1000) * 1000 - {WATERMARK_US}"""
 
 
-def q_phase_fold(spark, sf):
+def q_live_latency_sketch(spark, sf):
+    """T1 by sketch: count, and whether state and ranks stay within their bounds (the rank of the batch's rows)."""
+    out, _ = live.run_to_table(live.live_latency_sketch(_stream(spark, sf)), "complete", "live-sketch")
+    state = live.read_result(spark, out, live.SKETCH_SCHEMA, "complete")
+    got = live.sketched_latency(state).join(state.select("run_id", "phase", F.octet_length("sketch").alias("size")), ["run_id", "phase"])
+    m = M.from_events(table(spark, sf, "events")).where(F.col("dur_ms").isNotNull())
+    off = lambda p, n: F.greatest(F.avg((F.col("dur_ms") < F.col(n)).cast("double")) - p,
+                                  p - F.avg((F.col("dur_ms") <= F.col(n)).cast("double"))) <= live.SKETCH_ERROR
+    return m.join(F.broadcast(got), ["run_id", "phase"]).groupBy("run_id", "phase").agg(
+        F.max("count").alias("count"), off(0.5, "p50_ms").alias("p50_in_bound"), off(0.95, "p95_ms").alias("p95_in_bound"),
+        (F.max("size") <= 16 * live.SKETCH_K * 8).alias("state_in_bound"))
+
+
+SQL_LIVE_LATENCY_SKETCH = f"""WITH {S.measurements_cte()}
+SELECT run_id, phase, count(dur_ms) AS count, true AS p50_in_bound, true AS p95_in_bound, true AS state_in_bound FROM m GROUP BY run_id, phase"""
+
+
+def q_live_cumulative_stream(spark, sf):
+    """T2 added up inside the stream, by a second stateful operator behind the windows."""
+    closed = live.live_qps(_stream(spark, sf), WINDOW, WATERMARK)
+    with stateful.with_state_store(spark):
+        out, _ = live.run_to_table(stateful.cumulative_stream(closed), "append", "live-cum-stream")
+    r = live.read_result(spark, out, stateful.CUMULATIVE_SCHEMA)
+    return r.select("level", "window_end_us", "completed", "cum_completed", _r6("qps").alias("qps"))
+
+
+def q_live_qps_reconciled(spark, sf):
+    """T5: the rows that come late are counted, kept, and their windows corrected."""
+    m = live.measurement_stream(_late_source(spark, sf))
+    windows, late = live.reconciled_qps(spark, m, DAY_US, WATERMARK_US)
+    kept = late.groupBy("level", "window_start_us").agg(F.count("*").alias("kept"))
+    return windows.join(kept, ["level", "window_start_us"], "left").select(
+        "level", "window_start_us", "window_end_us", "completed", "late", F.coalesce("kept", F.lit(0).cast("long")).alias("late_rows_kept"))
+
+
+SQL_LIVE_QPS_RECONCILED = f"""WITH {S.measurements_cte()},
+mx AS (SELECT max(ended_us) AS mx FROM m),
+r AS (SELECT level, ended_us, 0 AS batch FROM m, mx WHERE ended_us > mx - 10 * {DAY_US}
+      UNION ALL SELECT level, ended_us, 1 FROM (SELECT level, ended_us, row_number() OVER (PARTITION BY level ORDER BY seq DESC) AS r
+        FROM m, mx WHERE ended_us > mx - 10 * {DAY_US}) WHERE r = 1
+      UNION ALL SELECT level, ended_us, 2 FROM m, mx WHERE ended_us <= mx - 10 * {DAY_US}),
+w AS (SELECT level, (ended_us // {DAY_US}) * {DAY_US} AS ws, batch FROM r)
+SELECT level, ws AS window_start_us, ws + {DAY_US} AS window_end_us, count(*) AS completed,
+       count(*) FILTER (batch > 0 AND ws + {DAY_US} <= mx - {WATERMARK_US}) AS late,
+       count(*) FILTER (batch > 0 AND ws + {DAY_US} <= mx - {WATERMARK_US}) AS late_rows_kept FROM w, mx GROUP BY level, ws"""
+
+
+def _progress_events(ev):
     """The events as progress events of 20 phases (user modulo 20)."""
-    ev = live.event_stream(spark, sf, "events.parquet")
     n = F.col("event_id") % 10
     kind = F.when(n == 0, "start").when(n == 9, "end").when(n == 5, "warn").otherwise("progress")
-    rows = ev.select((F.col("user_id") % 20).alias("phase"), F.col("event_id").alias("seq"), kind.alias("kind"),
+    return ev.select((F.col("user_id") % 20).alias("phase"), F.col("event_id").alias("seq"), kind.alias("kind"),
                      F.concat(F.col("event_type"), F.lit(" "), F.col("event_id").cast("string")).alias("text"),
                      (F.col("event_id") % 97).alias("done"), (F.col("event_id") % 3 * 97).alias("total"))
+
+
+def q_phase_machine(spark, sf):
+    """T3 as a state machine over files of the events; the latest row of a phase is its state."""
+    root = scratch_path(spark, "phase-files")
+    (_progress_events(table(spark, sf, "events")).repartition(4, "seq").write.parquet(root))
+    rows = (spark.readStream.schema("phase long, seq long, kind string, text string, done long, total long")
+            .option("maxFilesPerTrigger", 1).parquet(root))
+    out, _ = live.run_to_table(stateful.phase_machine(rows), "update", "phase-machine")
+    changes = live.read_result(spark, out, stateful.PHASE_SCHEMA + ", epoch long", "update")
+    last = changes.groupBy("phase").agg(F.max_by(F.struct(*changes.columns), "epoch").alias("r")).select("r.*")
+    return last.select("phase", "status", "note", "summary", F.round("fraction", 6).alias("fraction"), "warnings")
+
+
+def q_phase_fold(spark, sf):
+    """The events as progress events of 20 phases (user modulo 20)."""
+    ev = live.event_stream(spark, sf, "events.parquet")
+    rows = _progress_events(ev)
     out, _ = live.run_to_table(live.phase_fold(rows), "complete", "phase-fold")
     r = live.read_result(spark, out, "phase long, status string, note string, summary string, fraction double, warnings long", "complete")
     return r.withColumn("fraction", F.round("fraction", 6))
@@ -152,6 +217,10 @@ def entries():
         "live_qps_closed_windows": (q_live_qps_closed_windows, SQL_LIVE_QPS_CLOSED_WINDOWS),
         "live_cumulative_qps": (q_live_cumulative_qps, SQL_LIVE_CUMULATIVE_QPS),
         "live_qps_late_rows": (q_live_qps_late_rows, SQL_LIVE_QPS_LATE_ROWS),
+        "live_latency_sketch": (q_live_latency_sketch, SQL_LIVE_LATENCY_SKETCH),
+        "live_cumulative_stream": (q_live_cumulative_stream, SQL_LIVE_CUMULATIVE_QPS),
+        "live_qps_reconciled": (q_live_qps_reconciled, SQL_LIVE_QPS_RECONCILED),
+        "phase_machine": (q_phase_machine, SQL_PHASE_FOLD),
         "phase_fold": (q_phase_fold, SQL_PHASE_FOLD),
         "phase_status": (q_phase_status, SQL_PHASE_STATUS),
         "running_peak": (q_running_peak, SQL_RUNNING_PEAK),

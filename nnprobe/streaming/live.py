@@ -6,11 +6,14 @@ aggregations whose final state equals the batch statistics of §2.7:
 * T1 live latency   - rows per (run, phase, duration), ``complete`` mode: the
   state is spread over tasks by duration, so a hot phase is no single state;
   count, p50 and p95 are read off the counts.
+  ``live_latency_sketch`` holds one quantile sketch of fixed size per (run,
+  phase) instead, for streams of many distinct durations.
 * T2 live QPS       - completions per level and tumbling window, event-time
   watermark, ``append`` mode: only windows the watermark has closed are
   emitted; rows behind the watermark are dropped (T5).  Spark filters late
   rows against the previous micro-batch's watermark, so a row is dropped
   once a whole batch has passed since the watermark overtook it.
+  ``reconciled_qps`` keeps such rows in a side table and corrects their windows.
 * T3 phase status   - first/last time, rows, latest row's values per phase.
 * T4 running peak   - per micro-batch merge of level totals into a state
   table in the shared folder, and the leading level so far.
@@ -63,6 +66,26 @@ def latency_of(counts: DataFrame) -> DataFrame:
     return join_keys(total, grouped_percentiles(counts, keys, "dur_ms", (0.5, 0.95), ("p50_ms", "p95_ms"), weight="n"), keys, "left")
 
 
+SKETCH_K = 4096               # of the quantile sketch; the error of a rank falls with it
+SKETCH_ERROR = 0.003          # of a rank, as a share of the rows, at that k (99 % of all sketches; published bound 0.0013)
+SKETCH_SCHEMA = "run_id string, phase string, count long, sketch binary"
+
+
+def live_latency_sketch(m: DataFrame, k: int = SKETCH_K) -> DataFrame:
+    """T1 with bounded state: the count and one mergeable sketch per (run,
+    phase), whatever the number of rows and of distinct durations."""
+    return m.where(F.col("dur_ms").isNotNull()).groupBy("run_id", "phase").agg(
+        F.count("*").alias("count"), F.kll_sketch_agg_double("dur_ms", k).alias("sketch"))
+
+
+def sketched_latency(state: DataFrame) -> DataFrame:
+    """Count, p50 and p95 per (run, phase) at a state of ``live_latency_sketch``;
+    each is a duration whose rank is off by ``SKETCH_ERROR`` of the rows at most.
+    ``latency_of`` and the batch statistics are exact."""
+    return state.select("run_id", "phase", "count", *[
+        F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(n) for p, n in ((0.5, "p50_ms"), (0.95, "p95_ms"))])
+
+
 def live_qps(m: DataFrame, window: str, watermark: str) -> DataFrame:
     """Closed tumbling windows per level."""
     return (m.withWatermark("ended_at", watermark)
@@ -90,6 +113,51 @@ def cumulative_qps(closed: DataFrame) -> DataFrame:
                        ((F.col("_before") + F.col("completed")) / seconds).alias("qps"))
 
 
+def reconciled_qps(spark: SparkSession, source: DataFrame, window_us: int, lateness_us: int, name: str = "reconciled",
+                   root: str | None = None, checkpoint: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """T5: (windows, late rows).  A window is closed once the latest completion
+    of earlier batches is ``lateness_us`` past its end; rows that come for a
+    closed window go to a side table and their window is corrected.
+
+    windows: level, window_start_us, window_end_us, completed, late (rows that
+    came behind the watermark), revision (batch that changed it last).  Batch e
+    merges its counts into the newest version below e and writes version e, so a
+    batch that runs again writes the same."""
+    root = root or scratch_path(spark, f"stream-{name}")
+    start = (F.floor(F.col("ended_us") / window_us) * window_us).cast("long")
+
+    def merge(batch: DataFrame, epoch_id: int):
+        session = batch.sparkSession
+        prior = [v for v in _versions(session, f"{root}/windows") if v < epoch_id]
+        was = session.read.parquet(f"{root}/windows/v{prior[-1]}") if prior else None
+        # one value: the watermark of the batches before
+        mark = was.agg(F.max("mark")).first()[0] if was is not None else None
+        rows = batch.withColumn("window_start_us", start)
+        late = (F.col("window_start_us") + window_us <= mark) if mark is not None else F.lit(False)
+        rows = rows.withColumn("late", F.coalesce(late, F.lit(False)))
+        rows.where("late").drop("late").write.mode("overwrite").parquet(f"{root}/late/v{epoch_id}")
+        new = rows.groupBy("level", "window_start_us").agg(
+            F.count("*").alias("completed"), F.count_if("late").alias("late"), F.max("ended_us").alias("mark"))
+        new = new.select("level", "window_start_us", "completed", "late", F.lit(epoch_id).cast("long").alias("revision"),
+                         (F.col("mark") - lateness_us).alias("mark"))
+        both = new.unionByName(was) if was is not None else new
+        both.groupBy("level", "window_start_us").agg(
+            F.sum("completed").alias("completed"), F.sum("late").alias("late"), F.max("revision").alias("revision"),
+            F.max("mark").alias("mark")).write.mode("overwrite").parquet(f"{root}/windows/v{epoch_id}")
+        _prune(session, f"{root}/windows")
+
+    q = (source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint or scratch_path(spark, f"stream-{name}-ckpt"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    kinds = "level string, window_start_us long, completed long, late long, revision long"
+    windows = read_result(spark, f"{root}/windows", kinds, "complete").select(
+        "level", "window_start_us", (F.col("window_start_us") + window_us).alias("window_end_us"), "completed", "late", "revision")
+    side = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields) + ", window_start_us long"
+    return windows, read_result(spark, f"{root}/late", side)
+
+
 def phase_status(m: DataFrame) -> DataFrame:
     """Per phase the first start, last end, rows so far and the values
     of the latest row (by seq)."""
@@ -136,6 +204,8 @@ def run_to_table(sdf: DataFrame, mode: str, name: str, out: str | None = None,
     ckpt = ckpt or scratch_path(spark, f"stream-{name}-ckpt")
 
     def sink(batch: DataFrame, epoch_id: int):
+        if mode == "update":                     # a later row of a key replaces the earlier ones
+            batch = batch.withColumn("epoch", F.lit(epoch_id).cast("long"))
         batch.write.mode("overwrite").parquet(f"{out}/v{epoch_id}")
         if mode == "complete":
             _prune(batch.sparkSession, out)

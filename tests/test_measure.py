@@ -115,3 +115,37 @@ def test_epoch_us_ignores_session_zone(spark):
     assert utc == ny
     first = min(utc)
     assert utc[first] // 1_000_000 >= 1704067200          # 2024-01-01T00:00:00Z
+
+
+def test_percentiles_by_brackets_equal_by_ranges(spark):
+    """Both plans of one statistic, on ties, few and many values, NULL keys and values."""
+    import random
+
+    from nnprobe.operators import ranking as R
+    rnd = random.Random(5)
+    data = [(rnd.choice(["a", "b", None]), rnd.choice([rnd.gauss(0, 50), float(rnd.randrange(4)), None])) for _ in range(30_000)]
+    data += [("one", 3.0), ("two", 1.0), ("two", 2.0), ("none", None)] + [("same", 7.0)] * 500
+    df = spark.createDataFrame(data, "k string, v double").repartition(7)
+    ps, names = (0.0, 0.5, 0.95, 0.99, 1.0), ("p0", "p50", "p95", "p99", "p100")
+    want = {r.k: r.asDict() for r in R.percentiles_by_ranges(df, ["k"], "v", ps, names).collect()}
+    for accuracy in (50, R.ACCURACY):
+        got = R.percentiles_by_brackets(df, ["k"], "v", ps, names, {"n": F.count("v")}, accuracy)
+        got = {r.k: r.asDict() for r in got.collect()}
+        assert got["none"]["n"] == 0 and got["none"]["p50"] is None
+        for k, row in want.items():
+            for name in names:
+                assert got[k][name] == pytest.approx(row[name], abs=1e-12), (accuracy, k, name)
+    # keys of none, and an empty table
+    whole = R.grouped_percentiles(df, [], "v", (0.5,), ("p50",), extra={"n": F.count("*")}).first()
+    assert whole.n == len(data) and whole.p50 == pytest.approx(R.percentiles_by_ranges(df, [], "v", (0.5,), ("p50",)).first().p50)
+    assert R.grouped_percentiles(df.limit(0), ["k"], "v", (0.5,), ("p50",)).count() == 0
+
+
+def test_percentiles_beyond_the_brackets(spark, monkeypatch):
+    from nnprobe.operators import ranking as R
+    df = spark.createDataFrame([("a", float(i)) for i in range(101)], "k string, v double")
+    for name, value in (("BRACKET_ROWS", 0), ("KEY_BROADCAST_ROWS", 0)):
+        with monkeypatch.context() as m:
+            m.setattr(R, name, value)
+            assert R.percentiles_by_brackets(df, ["k"], "v", (0.5,), ("p",)) is None
+            assert R.grouped_percentiles(df, ["k"], "v", (0.5,), ("p",), extra={"n": F.count("*")}).first().p == 50.0

@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -31,6 +32,32 @@ def test_scrub_java_equals_re2(spark, batch):
     assert again == got
 
 
+HOSTLIKE = st.lists(st.sampled_from(["a", "b.com", ".", "..", "-", "_", "9", ":80", ":", " ", "x.y", ".co", "z.de", "é", "1.2.3.4", "\n", "<host>"]),
+                    max_size=14).map("".join)
+
+
+@SLOW
+@given(st.lists(HOSTLIKE, min_size=40, max_size=60))
+def test_hosts_java_equals_re2(spark, batch):
+    df = spark.createDataFrame(list(enumerate(batch)), "i int, t string")
+    got = {r.i: r.s for r in df.select("i", privacy.scrub("t").alias("s")).collect()}
+    con = duckdb.connect()
+    con.register("b", df.toPandas())
+    assert got == dict(con.execute(f"SELECT i, {_sql_scrub('t')} FROM b").fetchall())
+    counts = [r.c for r in df.orderBy("i").select(privacy.scrub_stages("t")[2][1].alias("c")).collect()]
+    rule = privacy.SCRUB_RULES[2][0]
+    assert rule == "host" and sum(counts) >= sum(g.count("<host>") > t.count("<host>") for g, t in zip(got.values(), batch, strict=True))
+
+
+def test_scrub_takes_time_of_the_length(spark):
+    import time
+    texts = ["a." * 5_000_000, "a-" * 3_000_000 + "b.com", "." * 4_000_000, "`user=" * 500_000, "1.2.3." * 1_000_000, "x.y:1" * 1_000_000]
+    start = time.perf_counter()
+    got = [r.s for r in spark.createDataFrame([(t,) for t in texts], "t string").select(
+        F.length(privacy.scrub("t")).alias("s")).collect()]
+    assert time.perf_counter() - start < 60 and len(got) == len(texts)
+
+
 @SLOW
 @given(st.lists(st.lists(st.integers(0, 10_000), min_size=1, max_size=30), min_size=1, max_size=12))
 def test_percentiles_match_linear_interpolation(spark, groups):

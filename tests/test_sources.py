@@ -102,6 +102,46 @@ def test_index_manifest_lookup(spark):
     assert miss.kind == "none" and miss.index_name is None
 
 
+def test_index_lookups_equal_one_by_one(spark):
+    kinds = ("index_name string, kind string, table string, columns array<string>, metric string, lists int, size_bytes long, created_at timestamp")
+    import datetime
+    at = lambda n: datetime.datetime(2024, 1, 1 + n)
+    m = spark.createDataFrame([("a", "hnsw", "t", ["x", "y"], "l2", 1, 1, at(1)), ("b", "ivfflat", "t", ["y"], "l2", 2, 2, at(2)),
+                               ("c", "ivfflat", "t", ["y", "y"], "l2", 3, 3, at(2)), ("d", "btree", "t", ["z"], "l2", 4, 4, at(3)),
+                               ("e", "hnsw", "u", ["x"], "l2", 5, 5, None)], kinds)
+    asked = spark.createDataFrame([("t", "x"), ("t", "y"), ("t", "y"), ("t", "z"), ("u", "x"), ("v", "x")], "table string, column string")
+    got = {(r.table, r.column): (r.index_name, r.kind) for r in profile.index_lookups(m, asked).collect()}
+    assert got == {("t", "x"): ("a", "hnsw"), ("t", "y"): ("b", "ivfflat"), ("t", "z"): (None, "none"), ("u", "x"): ("e", "hnsw"),
+                   ("v", "x"): (None, "none")}
+    for (t, c), want in got.items():
+        one = profile.index_lookup(m, t, c).first()
+        assert (one.index_name, one.kind) == want
+
+
+def test_stored_size_opens_no_file(spark):
+    df = table(spark, SF001, "embeddings")
+    plan = profile.stored_size(df)._jdf.queryExecution().executedPlan().toString()
+    assert "binaryfile" in plan.lower() and "content" not in plan.split("ReadSchema")[1]
+    assert profile.stored_size(spark.range(3)).first().files == 0
+
+
+def test_timed_search(spark):
+    from nnprobe.operators import knn, runlog, sampling
+    b = base(spark, SF001)
+    q = sampling.sample_queries(b, 30)
+    log, found, truth = runlog.timed_evaluation(spark, b, q, 5, 8, (1, 8), "t", exclude_self=False)
+    notes = log.rows(spark).collect()
+    assert [n.phase for n in notes] == ["build", "truth", "search", "search"]
+    full = found.where("effort = 8").select("qid", "rank", "id")
+    assert sorted(map(tuple, full.collect())) == sorted(map(tuple, knn.exact_knn(b, q, 5, "cosine", exclude_self=False).select("qid", "rank", "id").collect()))
+    searches = [n for n in notes if n.phase == "search"]
+    assert searches[1].compared == 30 * 500 and searches[0].compared < searches[1].compared
+    assert all(n.ended_us > n.started_us and n.dur_ms > 0 and n.queries == 30 for n in searches) and searches[1].found == 150
+    p = scratch_path(spark, "own-run")
+    sinks.write_measurements(log.rows(spark), p)
+    assert sinks.measurement_runs(spark, p).first().rows == 4
+
+
 def test_result_document(spark):
     env = profile.profile(base(spark, SF001))
     lat = M.latency_summary(M.from_events(table(spark, SF001, "events")), group=()).drop("run_id")
