@@ -6,9 +6,15 @@ Parsers then expand each anchor to its boundaries and check it: e-mail
 addresses to both sides of an at-sign; IP
 addresses, card and phone numbers from their first sign on, as leftmost
 non-overlapping matches; web addresses after a scheme; handles after an
-at-sign that is no e-mail; account values (tokens, keys, IBANs, passport,
-account and social security numbers) after a cue.  The last three kinds are
-added spans; the base kinds are exactly the patterns of the contract.
+at-sign that is no e-mail; account values after a cue.  The last three kinds
+are added spans; the base kinds are exactly the patterns of the contract.
+
+Account values: an IBAN, with blanks or not, to the place where its check
+number holds (mod 97); a social security number of valid shape, and none of
+another; account and passport numbers with blanks or hyphens between groups of
+digits; else the run of letters, digits and ``+/_.-`` of six signs or more that
+holds a digit, or, for tokens, keys, passwords and secrets behind ":" or "=",
+any run of six signs without a cue in it.  A date is no account value.
 
 All parsers move forward only, so a text costs time linear in its length.
 Offsets are code points, end exclusive.  Edge cases: null and empty texts
@@ -40,8 +46,14 @@ CUES = ("token", "api key", "api_key", "apikey", "password", "passwd", "secret",
         "passport", "ssn", "social security number")
 URL = re.compile(r"[^\s\"'<>`]+")
 HANDLE = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,30}(?![A-Za-z0-9_@])")
-VALUE = re.compile(
-    r"[ \t]{0,3}(?:is|no\.?|number|(?ai:is|no|number)(?![A-Za-z0-9])\.?)?[ \t]{0,3}[:=#]?[ \t]{0,3}[\"']?([A-Za-z0-9][A-Za-z0-9+/_.-]{5,})")
+LINK = re.compile(r"[ \t]{0,3}(?:is|no\.?|number|(?ai:is|no|number)(?![A-Za-z0-9])\.?)?[ \t]{0,3}([:=#]?)[ \t]{0,3}[\"']?")
+VALUE = re.compile(r"[A-Za-z0-9][A-Za-z0-9+/_.-]{5,}")
+SECRET = re.compile(r"[^\s\"'`<>,;:=]{6,}")
+SECRETS = frozenset(("token", "api key", "api_key", "apikey", "password", "passwd", "secret"))
+IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11,30}")
+GROUPS = re.compile(r"[0-9]{2,}(?:[ -][0-9]{2,})+")
+SSN = re.compile(r"([0-9]{3})([ -]?)([0-9]{2})\2([0-9]{4})(?![0-9])")
+DATE = re.compile(r"(?:[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./][0-9]{4})[.,]?")
 _DIGITS = re.compile(r"[0-9]+")
 _LOW = str.maketrans(UPPER, LOWER)
 OUT = ("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
@@ -92,6 +104,43 @@ def _local_start(text: str, at: int, least: int) -> int:
     return least
 
 
+def _iban_end(text: str, at: int) -> int:
+    """End of the longest valid IBAN at ``at`` that ends with a word, or 0."""
+    m = IBAN.match(text, at)
+    if m is None:
+        return 0
+    for end in range(m.end(), at + 14, -1):               # 45 places at most
+        if text[end - 1] != " " and not text[end:end + 1].isalnum():
+            code = text[at:end].replace(" ", "").upper()
+            if 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
+                return end
+    return 0
+
+
+def _account(text: str, cue: str, at: int) -> tuple[int, int] | None:
+    """The value behind a cue that ends at ``at``."""
+    link = LINK.match(text, at)
+    start, named = link.end(), link[1] in (":", "=")
+    if cue == "iban" and (end := _iban_end(text, start)):
+        return start, end
+    if cue in ("ssn", "social security number") and (m := SSN.match(text, start)):
+        right = m[1] not in ("000", "666") and m[1] < "900" and m[3] != "00" and m[4] != "0000"
+        return (start, m.end()) if right else None
+    if cue in ("account number", "account no", "passport") and (m := GROUPS.match(text, start)):
+        if sum(map(str.isdigit, m[0])) >= 6 and not text[m.end():m.end() + 1].isalnum() and not DATE.fullmatch(m[0]):
+            return start, m.end()
+    m = VALUE.match(text, start)
+    if m and any(c.isdigit() for c in m[0]):
+        value = m[0].rstrip(".-/")
+        return None if DATE.fullmatch(value) else (start, start + len(value))
+    if cue in SECRETS and named and (m := SECRET.match(text, start)):
+        value = m[0].rstrip(".!?)]}")
+        words = _lowered(value)                            # "password: password" tells none
+        if len(value) >= 6 and not DATE.fullmatch(value) and not any(c in words for c in SECRETS):
+            return start, start + len(value)
+    return None
+
+
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind as in KINDS, then start."""
     if not text:
@@ -134,11 +183,10 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
                 if end > last + 1:
                     found["url"].append((at, end))
         elif at >= done["account"] and not text[last + 1:last + 2].isalnum() and (at == 0 or not text[at - 1].isalnum()):
-            m = VALUE.match(text, last + 1)
-            if m and any(c.isdigit() for c in m[1]):
-                value = m[1].rstrip(".-/")
-                done["account"] = m.start(1) + len(value)
-                found["account"].append((m.start(1), done["account"]))
+            span = _account(text, _lowered(text[at:last + 1]), last + 1)
+            if span:
+                done["account"] = span[1]
+                found["account"].append(span)
     return [(k, s, e) for k in KINDS for s, e in found[k]]
 
 

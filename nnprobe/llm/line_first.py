@@ -26,16 +26,20 @@ MAX_REPEAT_PCT = 30
 MAX_LOST = 0.6
 
 # The rules for one line.
-LINE_END = "[.!?…:;。！？][\"'”’»)\\]*]*[\\x20\\x09-\\x0D]*$"
-INNER_END = "[.!?…。！？][\"'”’»)\\]]*[\\x20\\x09-\\x0D]"
+LINE_END = "[.!?…:;。！？।॥؟۔؛፧።։។][\"'”’»)\\]*]*[\\x20\\x09-\\x0D]*$"
+INNER_END = "[.!?…。！？।॥؟۔፧።։។][\"'”’»)\\]]*[\\x20\\x09-\\x0D]"
 LONG_LINE = 200       # a line this long with a sentence end inside passes without one at its end
-SHORT_NOTICE = 300    # boilerplate phrases count only in lines this short
+NOTICE_SHARE = 20     # boilerplate phrases count where they are one part in so many of the line, or more
 NAV_BARS = "([|>»·•/][^|>»·•/]*){3,}"
 NAV_WORDS = ("(?i)^[\\x20\\x09-\\x0D]*(home|menu|next|previous|prev|back|login|log in|sign in|sign up|register|search|"
              "share|read more|click here|skip to content|contact us|about us)\\b.{0,40}$")
 BOILERPLATE = ("(?i)(all rights reserved|privacy policy|cookie policy|accept (all )?cookies|uses cookies|"
                "terms of (use|service)|enable javascript|subscribe to our|newsletter|copyright ©|lorem ipsum|"
-               "licensed under|released under the|is free software|permission is hereby granted)")
+               "licensed under|released under the|is free software|permission is hereby granted|"
+               "alle rechte vorbehalten|datenschutzerkl[äÄ]rung|verwendet cookies|cookies akzeptieren|nutzungsbedingungen|"
+               "tous droits r[éÉ]serv[éÉ]s|politique de confidentialit[éÉ]|utilise des cookies|accepter les cookies|"
+               "conditions d['’]utilisation|mentions l[éÉ]gales|todos los derechos reservados|pol[íÍ]tica de privacidad|"
+               "utiliza cookies|aceptar (las )?cookies|condiciones de uso|aviso legal)")
 SYMBOL = "[#*$%&|<>]"
 
 
@@ -54,7 +58,8 @@ def line_fails(line: Column) -> Column:
     prose = line.rlike(LINE_END) | ((F.length(line) >= LONG_LINE) & line.rlike(INNER_END))
     bad = (~prose
            | (line.rlike(NAV_BARS) & (F.length(F.regexp_replace(line, "[^|>»·•/]+", "")) * 20 > F.length(line)))
-           | line.rlike(NAV_WORDS) | ((F.length(line) <= SHORT_NOTICE) & line.rlike(BOILERPLATE))
+           | line.rlike(NAV_WORDS) | (line.rlike(BOILERPLATE) & (
+               (F.length(line) - F.length(F.regexp_replace(line, BOILERPLATE, ""))) * NOTICE_SHARE >= F.length(line)))
            | (_symbols(line) * 10 > F.length(line))
            | ((F.length(letters) >= 20) & (capitals * 10 > F.length(letters) * 7)))
     return line.rlike(f"[^{SPACE}]") & bad

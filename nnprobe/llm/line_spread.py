@@ -8,8 +8,11 @@ merge map-side and across tasks (fixed registers in the hash aggregate, which
 spills); lines whose estimate lies within four standard errors and two sites of
 the threshold get an exact distinct count instead.
 
-A line is known by a 64-bit hash.  Lines of fewer than ``min_words`` words
-are left alone.  Lines that all come from one site skip the sketch.
+A line is known by a 64-bit hash.  Every line with a word is judged, however
+short (``min_words`` asks for more).  Lines that all come from one site skip
+the sketch.  Lines meet a table of hashes by broadcast while it is small, else
+dealt by hash and document, so a line that a third of all rows hold is no one
+task's work.
 
 Edge cases: a null text stays null and has no lines; a null source counts as
 one site; rows with a null doc_id count for the spread but keep their text;
@@ -28,8 +31,10 @@ from pyspark.sql import functions as F
 from nnprobe.llm.common import SPACE, once, store
 
 MIN_SITES = 5
-MIN_WORDS = 5
+MIN_WORDS = 1
 ERROR = 0.05           # standard error of a sketch (512 registers)
+LINE_BROADCAST_ROWS = 500_000         # hashes shipped whole, 16 bytes each
+SALTS = 16             # tasks that share the occurrences of one line beyond that
 
 
 def normalised(line: Column) -> Column:
@@ -46,16 +51,26 @@ def hashed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         "doc_id", "site", "t", "at", F.xxhash64("line").alias("h"))
 
 
+def _meet(lines: DataFrame, few: DataFrame) -> DataFrame:
+    """``lines`` with the columns of their hash's row in the stored table ``few``; no other line stays."""
+    if few.count() <= LINE_BROADCAST_ROWS:
+        return lines.join(F.broadcast(few), "h")
+    salt = F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS))
+    every = few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return lines.withColumn("_salt", salt).join(every, ["h", "_salt"]).drop("_salt")
+
+
 def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, error: float = ERROR) -> DataFrame:
     """Hashes of the lines on at least ``min_sites`` distinct sites, stored:
     (h, doc0) with the least doc_id they stand in."""
     several = (lines.groupBy("h").agg(F.min("site").alias("a"), F.max("site").alias("b"))
                .where((F.col("a") < F.col("b")) if min_sites > 1 else F.lit(True)).select("h"))
-    shared = store(lines.select("h", "site", "doc_id").join(several, "h"), "op5-shared")
+    shared = _meet(lines.select("h", "site", "doc_id", "at"), store(several, "op5-several"))
     found = store(shared.groupBy("h").agg(F.approx_count_distinct("site", error).alias("est"),
                                           F.min("doc_id").alias("doc0")), "op5-estimates")
     near = F.abs(F.col("est") - min_sites) <= max(2.0, 4 * error * min_sites)
-    exact = (shared.join(found.where(near).select("h"), "h").select("h", "site").distinct()
+    exact = (_meet(lines.select("h", "site", "doc_id", "at"), store(found.where(near).select("h"), "op5-near"))
+             .select("h", "site").distinct()
              .groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("h"))
     sure = found.where(~near & (F.col("est") >= min_sites)).select("h", "doc0")
     return store(sure.unionAll(found.join(exact, "h").select("h", "doc0")), "op5-spread")
@@ -66,7 +81,7 @@ def drop_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: in
     ``_ls_lines`` and ``_ls_removed``."""
     lines = store(hashed_lines(docs.select("doc_id", "source", "text"), min_words), "op5-lines")
     wide = spread_lines(lines, min_sites)
-    hit = lines.where(F.col("doc_id").isNotNull()).join(wide, "h").select("doc_id", "doc0", "h", "t", "at")
+    hit = _meet(lines.where(F.col("doc_id").isNotNull()), wide).select("doc_id", "doc0", "h", "t", "at")
     here = F.min(F.struct("at", "t")).over(Window.partitionBy("doc_id", "h"))        # one line within one document
     again = hit.where(F.col("doc_id") == F.col("doc0")).withColumn("first", here).where(F.struct("at", "t") > F.col("first"))
     gone = (hit.where(F.col("doc_id") != F.col("doc0")).select("doc_id", "t", "at").unionAll(again.select("doc_id", "t", "at"))

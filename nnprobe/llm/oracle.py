@@ -1,7 +1,7 @@
 """DuckDB SQL of the operators that SQL can express, written apart from the Spark code."""
 
 from nnprobe.llm.common import LOWER, UPPER
-from nnprobe.llm.line_first import BOILERPLATE, INNER_END, LINE_END, LONG_LINE, MAX_LOST, NAV_BARS, NAV_WORDS, SHORT_NOTICE
+from nnprobe.llm.line_first import BOILERPLATE, INNER_END, LINE_END, LONG_LINE, MAX_LOST, NAV_BARS, NAV_WORDS, NOTICE_SHARE
 
 _LOW = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 
@@ -52,7 +52,7 @@ j AS (SELECT doc_id, ln, length(regexp_replace(ln, '[\\x20\\x09-\\x0D]+', '', 'g
 k AS (SELECT doc_id, count(*) - count(DISTINCT ln) AS dups, sum(c) AS c,
         sum(CASE WHEN NOT (regexp_matches(ln, {_q(LINE_END)}) OR (length(ln) >= {LONG_LINE} AND regexp_matches(ln, {_q(INNER_END)})))
               OR (regexp_matches(ln, {_q(NAV_BARS)}) AND bars * 20 > length(ln))
-              OR regexp_matches(ln, {_q(NAV_WORDS)}) OR (regexp_matches(ln, {_q(BOILERPLATE)}) AND length(ln) <= {SHORT_NOTICE})
+              OR regexp_matches(ln, {_q(NAV_WORDS)}) OR (length(ln) - length(regexp_replace(ln, {_q(BOILERPLATE)}, '', 'g'))) * {NOTICE_SHARE} >= length(ln)
               OR syms * 10 > length(ln) OR (letters >= 20 AND caps * 10 > letters * 7) THEN 0 ELSE c END) AS good
       FROM j GROUP BY doc_id),
 v AS (SELECT doc_id, s, array_to_string(w[s:s + 7], ' ') AS t
@@ -77,11 +77,11 @@ OP5 = f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls, text IS NULL AS nil FROM documents),
 l AS (SELECT doc_id, source, t, unnest(ls) AS ln, unnest(range(len(ls))) AS ord FROM d WHERE NOT nil),
 k AS (SELECT *, {_NORM.format('ln')} AS u FROM l),
-j AS (SELECT *, u <> '' AND length(u) - length(replace(u, ' ', '')) >= 4 AS long_enough FROM k),
-b AS (SELECT u, min(struct_pack(doc_id := doc_id, ord := ord)) AS f FROM j WHERE long_enough
+j AS (SELECT *, u <> '' AS some FROM k),
+b AS (SELECT u, min(struct_pack(doc_id := doc_id, ord := ord)) AS f FROM j WHERE some
       GROUP BY u HAVING count(DISTINCT coalesce('s' || source, 'n')) >= 5),
 g AS (SELECT j.*, b.u IS NOT NULL AND NOT (b.f.doc_id = j.doc_id AND b.f.ord = j.ord) AS gone
-      FROM j LEFT JOIN b ON b.u = j.u AND j.long_enough),
+      FROM j LEFT JOIN b ON b.u = j.u AND j.some),
 r AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
         coalesce(string_agg(ln, chr(10) ORDER BY ord) FILTER (WHERE NOT gone), '') AS left_text FROM g GROUP BY doc_id)
 SELECT d.doc_id, coalesce(r.n_lines, 0) AS n_lines, coalesce(r.n_removed, 0) AS n_removed,

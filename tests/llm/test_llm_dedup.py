@@ -20,7 +20,7 @@ def _set(text):
     return {tuple(w[k:k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def brute_components(rows):
+def brute_components(rows, pct=85):
     sets = {}
     for i, t in rows:
         sets.setdefault(i, _set(t))
@@ -36,7 +36,7 @@ def brute_components(rows):
         for b in ids:
             if a < b and sets[a] and sets[b]:
                 both = len(sets[a] & sets[b])
-                if 100 * both >= 85 * len(sets[a] | sets[b]):
+                if 100 * both >= pct * len(sets[a] | sets[b]):
                     x, y = find(a), find(b)
                     root[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in sets}
@@ -141,7 +141,7 @@ def test_prefix_filter_loses_no_pair(spark):
     act = spark.createDataFrame([(i, i) for i in range(len(sets))], "rep long, label long")
     got = {(r.a, r.b) for r in _prefix_pairs(act, table, 85).collect()}
     want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets))
-            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+            if 100 * len(sets[a] & sets[b]) >= pct * len(sets[a] | sets[b])}
     assert want <= got
 
 
@@ -197,6 +197,21 @@ def test_rows_that_share_an_id_lose_their_own_lines(spark):
     assert got[0, line] == (line, 1, 0) and got[0, f"another text\n{line}"] == ("another text", 2, 1)
 
 
+def test_short_lines_are_judged(spark):
+    data = [(i, f"s{i}", f"own {i}\nok\n全著作権所有\n \n") for i in range(5)]
+    got = {k[0]: v[0] for k, v in _spread(spark, data).items()}
+    assert got[0] == data[0][2] and all(got[i] == f"own {i}\n \n" for i in range(1, 5))
+    assert _spread(spark, data, min_words=2)[1, data[1][2]][2] == 0
+
+
+def test_lines_by_broadcast_and_by_salt_agree(spark, monkeypatch):
+    from nnprobe.llm import line_spread
+    data = [(i, f"s{i % 9}", f"own line of {i}\nfirst shared line\n" + ("second shared line\n" * (i % 3)) + "x" * (i % 2)) for i in range(80)]
+    want = _spread(spark, data)
+    monkeypatch.setattr(line_spread, "LINE_BROADCAST_ROWS", 0)
+    assert _spread(spark, data) == want and sum(v[2] for v in want.values()) > 100
+
+
 def test_exact_count_near_the_threshold(spark):
     data = [(i, f"s{i}", "a line that stands on fifty sites") for i in range(50)]
     data += [(100 + i, f"s{i}", "a line that stands on fortynine sites") for i in range(49)]

@@ -69,6 +69,13 @@ def test_manifest_equals_plain_trees(spark):
         assert sorted((tuple(r) for r in tampered_manifest(df, levels).collect()), key=str) == brute(rows), (n, levels)
 
 
+def test_trees_by_broadcast_and_by_shuffle_agree(spark, monkeypatch):
+    rows = made(90)
+    df = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(M, "TREE_BROADCAST_ROWS", 0)
+    assert sorted((tuple(r) for r in tampered_manifest(df, 3).collect()), key=str) == brute(rows)
+
+
 def test_places_are_those_of_a_postorder_walk():
     def walk(level, index, n):
         if level:

@@ -364,3 +364,46 @@ def test_density_equals_the_plain_method():
             return out
 
         assert main_text(html(page)) == "\n".join(text(page))
+
+
+@pytest.mark.parametrize("text, value", [
+    ("IBAN: GB29 NWBK 6016 1331 9268 19", "GB29 NWBK 6016 1331 9268 19"),
+    ("iban DE89 3704 0044 0532 0130 00 and more words", "DE89 3704 0044 0532 0130 00"),
+    ("my iban is DE89370400440532013000.", "DE89370400440532013000"),
+    ("iban DE88370400440532013000", "DE88370400440532013000"),            # a wrong check number: the general rule
+    ("account number 1234 5678 9012", "1234 5678 9012"), ("Account no: 12-345678", "12-345678"),
+    ("passport C01X00T47", "C01X00T47"), ("password: hunter", "hunter"), ("token: abcdefghijkl", "abcdefghijkl"),
+    ("secret=s3cr3t!word", "s3cr3t"), ("api_key = 'Zz-9_x.Yw'", "Zz-9_x.Yw"), ("SSN 123-45-6789", "123-45-6789"), ("ssn: 123456789", "123456789"),
+    ("ssn 000-45-6789", None), ("ssn 123-00-6789", None), ("token 2024-05-01", None), ("token: 01.05.2024", None),
+    ("password hunter", None), ("the token of esteem", None), ("secret: ab", None), ("iban", None), ("token:", None),
+])
+def test_account_values(text, value):
+    got = [text[s:e] for k, s, e in find_spans(text) if k == "account"]
+    assert got == ([value] if value else [])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*"0123456789", "GB29 NWBK 6016 1331 9268 19", "iban ", "IBAN: ", "ssn ", "token: ", "password=", "secret ",
+                                 "account number ", " ", "-", ".", "abcdef", "A1", "123-45-6789", "2024-05-01", "\n", "é"]), max_size=14).map("".join))
+def test_added_spans_hold_what_they_must(text):
+    """Every account span stands behind a cue on its line, holds a value of its kind, and none overlaps another."""
+    spans = sorted((s, e) for k, s, e in find_spans(text) if k == "account")
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+    for s, e in spans:
+        before = text[max(0, s - 40):s].lower()
+        assert re.search("(iban|ssn|token|password|secret|account number)[ \\t]*(is|no|number)?[ \\t]*[:=#]?[ \\t]*$", before)
+        assert len(text[s:e]) >= 6 and not re.fullmatch(r"\d{4}-\d{2}-\d{2}", text[s:e])
+
+
+def test_lines_of_other_scripts_and_languages(spark):
+    hindi = "\n".join(f"यह एक लंबा वाक्य है जो क्रमांक {i} का है और यहाँ समाप्त होता है।" for i in range(6))
+    arabic = "\n".join(f"هذه جملة طويلة رقم {i} وهي تنتهي هنا مع علامة استفهام؟" for i in range(6))
+    prose = "This is a sentence of the text that says something new each time, number {}."
+    notices = ["Alle Rechte vorbehalten.", "Tous droits réservés.", "TODOS LOS DERECHOS RESERVADOS.", "All rights reserved.",
+               "Diese Seite verwendet Cookies.", "Lea nuestra política de privacidad.", "This site uses cookies. Accept all cookies. " * 9 + "."]
+    long_line = " ".join(prose.format(i) for i in range(12)) + " Its last one speaks of a privacy policy."
+    rows = [(0, hindi), (1, arabic)] + [(10 + i, "\n".join([*map(prose.format, range(8)), n])) for i, n in enumerate(notices)] + [(30, long_line)]
+    got = {r.doc_id: r for r in clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i]._lf_lost == 0 for i in (0, 1, 30))
+    for i, n in enumerate(notices):
+        assert n not in got[10 + i]._lf_text and prose.format(7) in got[10 + i]._lf_text, n
