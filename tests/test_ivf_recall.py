@@ -97,6 +97,10 @@ def test_list_wise_search_equals_broadcast(spark, monkeypatch):
         sums = [{r.qid: r.n for r in scan.where("id IS NULL").groupBy("qid").agg(F.sum("compared").alias("n")).collect()}
                 for scan in (ivf.probe_scan(spark, idx, q, 10, nprobe), ivf.list_scan(spark, idx, q, 10, nprobe, block_rows=9, block_queries=4))]
         assert sums[0] == sums[1]
+    # the lists' figures by shuffle
+    with monkeypatch.context() as m:
+        m.setattr(ivf, "MAX_BROADCAST_LISTS", 0)
+        assert rows(ivf.search(spark, idx, q, 10, nprobe, strategy="lists"), "qid", "rank") == want
     # the choice follows the size of the query set; the index is read once then
     monkeypatch.setattr(knn, "MAX_QUERY_BYTES", 2000)
     assert rows(ivf.search(spark, idx, q, 10, 1), "qid", "rank") == want
