@@ -77,11 +77,11 @@ OP5 = f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls, text IS NULL AS nil FROM documents),
 l AS (SELECT doc_id, source, t, unnest(ls) AS ln, unnest(range(len(ls))) AS ord FROM d WHERE NOT nil),
 k AS (SELECT *, {_NORM.format('ln')} AS u FROM l),
-j AS (SELECT *, u <> '' AS some FROM k),
-b AS (SELECT u, min(struct_pack(doc_id := doc_id, ord := ord)) AS f FROM j WHERE some
+j AS (SELECT *, u <> '' AS judged FROM k),
+b AS (SELECT u, min(struct_pack(doc_id := doc_id, ord := ord)) AS f FROM j WHERE judged
       GROUP BY u HAVING count(DISTINCT coalesce('s' || source, 'n')) >= 5),
 g AS (SELECT j.*, b.u IS NOT NULL AND NOT (b.f.doc_id = j.doc_id AND b.f.ord = j.ord) AS gone
-      FROM j LEFT JOIN b ON b.u = j.u AND j.some),
+      FROM j LEFT JOIN b ON b.u = j.u AND j.judged),
 r AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
         coalesce(string_agg(ln, chr(10) ORDER BY ord) FILTER (WHERE NOT gone), '') AS left_text FROM g GROUP BY doc_id)
 SELECT d.doc_id, coalesce(r.n_lines, 0) AS n_lines, coalesce(r.n_removed, 0) AS n_removed,
