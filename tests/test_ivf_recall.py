@@ -242,3 +242,18 @@ def test_ragged_tables_are_refused(spark):
     with pytest.raises(ValueError):
         profile.check_dimension(profile.profile(df).first())
     assert profile.check_dimension(profile.profile(df.where("id <> 2")).first()) == 2
+
+
+def test_lloyd_steps_do_not_pile_up(spark):
+    """The planner's size estimate of the centroids is no larger after three steps than after one."""
+    import random
+    from nnprobe.operators.kmeans import lloyd
+    rng = random.Random(3)
+    df = spark.createDataFrame([(i, [rng.gauss(0, 1), rng.gauss(0, 1)]) for i in range(400)], "id long, embedding array<float>")
+    start = ivf.train_sample(df, 6, "l2")
+
+    def size(steps):
+        plan = lloyd(df, start, ivf.assign, "l2", max_iter=steps)._jdf.queryExecution().optimizedPlan()
+        return int(str(plan.stats().sizeInBytes()))
+
+    assert size(3) < 10 * size(1)
