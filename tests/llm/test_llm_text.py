@@ -407,3 +407,51 @@ def test_lines_of_other_scripts_and_languages(spark):
     assert all(got[i]._lf_lost == 0 for i in (0, 1, 30))
     for i, n in enumerate(notices):
         assert n not in got[10 + i]._lf_text and prose.format(7) in got[10 + i]._lf_text, n
+
+
+LINE_PIECES = ["Plain words stand here. ", "ACCEPT ALL COOKIES", "Politique de ConfidentialitÉ", "privacy polic", "terms of use ",
+               "Conditions d’utilisation", "VERBOTEN UND VORBEHALTEN", "Ä", "É", "K", "|", "»", "#", ".", "。", "\"", "”)", "*" * 45,
+               " " * 41, "\r", "\u0085", " ", "word", "CAPITALS", "x" * 200, "İ"]
+
+
+def test_line_rules_equal_the_plain_rules(spark):
+    """What is looked at first (line end, signs of a phrase, capitals) changes no verdict."""
+    from nnprobe.llm import line_first as L
+    from random import Random
+    rnd = Random(10)
+    seen = ["".join(rnd.choices(LINE_PIECES, k=rnd.randint(1, 7))) for _ in range(3000)]
+    phrases = ["all rights reserved", "privacy policy", "cookie policy", "accept all cookies", "accept cookies", "uses cookies",
+               "terms of use", "terms of service", "enable javascript", "subscribe to our", "newsletter", "copyright ©", "lorem ipsum",
+               "licensed under", "released under the", "is free software", "permission is hereby granted", "alle rechte vorbehalten",
+               "datenschutzerklärung", "verwendet cookies", "cookies akzeptieren", "nutzungsbedingungen", "tous droits réservés",
+               "politique de confidentialité", "utilise des cookies", "accepter les cookies", "conditions d'utilisation",
+               "mentions légales", "todos los derechos reservados", "política de privacidad", "utiliza cookies", "aceptar las cookies",
+               "aceptar cookies", "condiciones de uso", "aviso legal"]
+    df = spark.createDataFrame([(x,) for x in {*seen, *phrases, *(p.upper() for p in phrases)}], "line string")
+    letters = F.regexp_replace("line", "\\P{L}+", "")
+    capitals = F.length(F.regexp_replace(letters, "\\P{Lu}+", ""))
+    upper = (F.length(letters) >= 20) & (capitals * 10 > F.length(letters) * 7)
+    line = F.col("line")
+    got = df.select("line", L._ends(line) == line.rlike(L.LINE_END), ~line.rlike(L.BOILERPLATE) | L._has_sign(line),
+                    ~upper | L.line_fails(line)).collect()
+    assert all(r[1] and r[2] and r[3] for r in got), [r for r in got if not all(r[1:])]
+    assert df.where(line.rlike(L.BOILERPLATE)).count() >= 2 * len(phrases)
+
+
+def test_line_rules_cost_less_than_the_phrases_alone(spark):
+    from time import perf_counter
+
+    from nnprobe.llm import line_first as L
+    prose = "The river rises in the hills and runs past several small towns before it comes to the sea, where ships lie. " * 4
+    df = spark.range(0, 20_000, 1, 4).select(F.concat(F.lit(prose), F.col("id").cast("string"), F.lit(".")).alias("line")).cache()
+    df.count()
+
+    def took(rule):
+        times = []
+        for _ in range(3):
+            began = perf_counter()
+            df.where(rule).write.format("noop").mode("overwrite").save()
+            times.append(perf_counter() - began)
+        return min(times)
+
+    assert took(L.line_fails(F.col("line"))) < took(F.col("line").rlike(L.BOILERPLATE))
