@@ -257,3 +257,31 @@ def test_lloyd_steps_do_not_pile_up(spark):
         return int(str(plan.stats().sizeInBytes()))
 
     assert size(3) < 10 * size(1)
+
+
+def test_block_kernel_scratch_is_bounded():
+    """A full block of queries holds the same memory for few rows as for many, and little of it."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from nnprobe.operators import kernel
+    rng, dim = np.random.default_rng(1), 64
+
+    def batch(n, is_row):
+        v = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(rng.normal(size=n * dim).astype(np.float32)))
+        zero = np.zeros(n, np.int32)
+        return pa.RecordBatch.from_arrays([*(pa.array(zero),) * 3, pa.array(np.full(n, is_row)), pa.array(np.arange(n)), v],
+                                          names=["list_id", "r", "q", "is_row", "id", "v"])
+
+    def peak(batches):
+        tracemalloc.start()
+        for _ in kernel.topk_per_block("cosine", 10, True, dim)([batch(ivf.BLOCK_QUERIES, False)] + [batch(4096, True)] * batches):
+            pass
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return top / 1e6
+
+    few, many = peak(1), peak(4)
+    assert many < 150 and many < 1.5 * few
