@@ -166,9 +166,11 @@ def build_log(leaves: DataFrame, name: str, levels: int = LEVELS) -> tuple[list[
             return rounds, roots
 
 
-def extract_proofs(rounds: list[DataFrame], wanted: DataFrame, levels: int = LEVELS) -> DataFrame:
+def extract_proofs(rounds: list[DataFrame], wanted: DataFrame, levels: int = LEVELS, finish=None) -> DataFrame:
     """``wanted`` (tree, idx, n and any other columns) with ``proof``, the
-    siblings' digests from the leaf to the root, left to right, one behind another."""
+    siblings' digests from the leaf to the root, left to right, one behind another;
+    or what ``finish`` makes of these rows in the same task: (function of the
+    columns' names that gives a function of an iterator of tuples, schema)."""
     path = None
     for r in reversed(range(len(rounds))):
         nodes = rounds[r].select("tree", "page", "place", "digest")
@@ -180,13 +182,13 @@ def extract_proofs(rounds: list[DataFrame], wanted: DataFrame, levels: int = LEV
             asked = below.select("tree", "idx", "n", "leaves")
         else:
             asked = wanted.withColumn("leaves", F.col("n").cast("long"))
-        got = _extract_round(nodes, asked, path, r, levels)
+        got = _extract_round(nodes, asked, path, r, levels, None if r else finish)
         path = got.select("tree", F.col("idx").alias("page"), "proof") if r else None
-    return got.drop("leaves")
+    return got if finish else got.drop("leaves")
 
 
-def _extract_round(nodes: DataFrame, asked: DataFrame, path: DataFrame | None, r: int, levels: int) -> DataFrame:
-    """``asked`` with ``proof``: siblings within the page, then the page's own path."""
+def _extract_round(nodes: DataFrame, asked: DataFrame, path: DataFrame | None, r: int, levels: int, finish=None) -> DataFrame:
+    """``asked`` with ``proof``: siblings within the page, then the page's own path; through ``finish`` if given."""
     asked = asked.drop("proof")
     key = [F.col("tree").alias("_tree"), F.col("page").alias("_page")]
     page = F.floor(F.col("idx") / FAN**levels)
@@ -222,6 +224,9 @@ def _extract_round(nodes: DataFrame, asked: DataFrame, path: DataFrame | None, r
                     proof.append(node)
                 yield (*row[5:], b"".join(proof) + above)
 
+    if finish:
+        last = finish[0]([*asked.columns, "proof"])
+        return map_rows(stream, lambda rows: last(make(rows)), finish[1])
     return map_rows(stream, make, T.StructType([*asked.schema.fields, T.StructField("proof", T.BinaryType())]))
 
 
@@ -260,24 +265,28 @@ def manifest(docs: DataFrame, columns=LEAF_COLUMNS, id_col: str = "doc_id", tree
     root = (top_roots.first() or [None, None])[1]          # one row
     top = extract_proofs(top_rounds, tops, levels).select(
         F.col("idx").alias("tree"), F.col("digest").alias("_subroot"), F.col("proof").alias("_top"))
-    proofs = extract_proofs(rounds, leaves.select("tree", "idx", "n", "doc_id", "digest", "changed"), levels)
-    got = _with_trees(proofs, store(top, "op12-paths"), "tree")
-    return folded(got, n_trees, root)
+    # a tree's path goes along with its leaves, so that proofs are folded where they are picked: one Python worker a task
+    asked = _with_trees(leaves.select("tree", "idx", "n", "doc_id", "digest", "changed"), store(top, "op12-paths"), "tree")
+    return extract_proofs(rounds, asked, levels, folded(asked.schema["doc_id"].dataType, n_trees, root))
 
 
-def folded(proofs: DataFrame, n_trees: int, root: bytes | None) -> DataFrame:
-    """What each leaf and its whole proof give, beside the root."""
-    rows = proofs.select("doc_id", "digest", F.coalesce("changed", "digest").alias("now"), "idx", "n", "proof", "tree",
-                         "_subroot", "_top")
-    text, schema = T.StringType(), T.StructType([T.StructField("doc_id", proofs.schema["doc_id"].dataType)])
+def folded(id_type: T.DataType, n_trees: int, root: bytes | None):
+    """For ``extract_proofs``: what each leaf and its whole proof give, beside the root."""
+    text, schema = T.StringType(), T.StructType([T.StructField("doc_id", id_type)])
     schema = schema.add("leaf", text).add("subroot", text).add("root", text).add("proof", T.BinaryType()).add(
         "folded_root", text).add("verified", T.BooleanType())
 
-    def make(batch):
-        for doc_id, digest, now, idx, n, proof, tree, subroot, top in batch:
-            whole = proof + top
-            steps = (whole[i:i + 32] for i in range(0, len(whole), 32))
-            got = fold(fold(now, idx, n, steps), tree, n_trees, steps)
-            yield doc_id, digest.hex(), subroot.hex(), root.hex(), whole, got.hex(), got == root
+    def of(names):
+        at = [names.index(c) for c in ("doc_id", "digest", "changed", "idx", "n", "proof", "tree", "_subroot", "_top")]
 
-    return map_rows(rows, make, schema)
+        def make(rows):
+            for row in rows:
+                doc_id, digest, now, idx, n, proof, tree, subroot, top = (row[i] for i in at)
+                whole = proof + top
+                steps = (whole[i:i + 32] for i in range(0, len(whole), 32))
+                got = fold(fold(now or digest, idx, n, steps), tree, n_trees, steps)
+                yield doc_id, digest.hex(), subroot.hex(), root.hex(), whole, got.hex(), got == root
+
+        return make
+
+    return of, schema

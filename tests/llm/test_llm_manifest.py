@@ -119,3 +119,11 @@ def test_log_only_grows_at_its_end(spark):
 
     small, large = log_of(32), log_of(45)
     assert all(large[p] == d for p, d in small.items())      # 32 is a closed subtree of 45
+
+
+def test_proofs_are_folded_in_the_task_that_picks_them(spark):
+    """One Python worker a task: the result's plan has one Python step above its last shuffle."""
+    df = spark.createDataFrame([(i, "s", f"l{i % 3}", i, f"t{i}") for i in range(40)],
+                               "doc_id long, source string, lang string, n_chars long, text string")
+    plan = tampered_manifest(df, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Exchange")[0].count("MapInArrow") == 1
