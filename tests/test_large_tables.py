@@ -40,7 +40,7 @@ def _norm(rows):
     return sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", ["ivf_cost"])
+@pytest.mark.parametrize("name", ["ivf_cost", "ivf_kmeans_sweep"])
 def test_large_table_matches_oracle(spark, large, con, name):
     df = E.queries()[name](spark, large)
     res = con.execute(E.oracle_sql()[name])
@@ -56,3 +56,14 @@ def test_draw_does_not_depend_on_files(spark, large):
         drawn, some = sampling.draw_queries(df, 20, 30)
         assert [r.qid for r in drawn.orderBy("pos").collect()] == want
         assert {r.qid for r in some.collect()} == set(want)
+
+
+def test_sample_does_not_depend_on_the_row_count(spark, large):
+    """A given row count is a hint only: blocks are sampled where a threshold is given."""
+    stored = spark.read.parquet(f"{large}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    want = [tuple(r) for r in sampling.sample_queries(stored, 30).select("pos", "qid").orderBy("pos").collect()]
+    for rows in (ROWS, 100 * ROWS):
+        assert [tuple(r) for r in sampling.sample_queries(stored, 30, rows=rows).select("pos", "qid").orderBy("pos").collect()] == want
+    # W3 on request: one of the 12 files is read
+    some = sampling.sample_queries(stored, 30, rows=ROWS, threshold=100_000).join(stored.withColumnRenamed("id", "qid"), "qid")
+    assert some.select(F.input_file_name()).distinct().count() == 1
