@@ -40,7 +40,7 @@ def _norm(rows):
     return sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", ["ivf_cost", "ivf_kmeans_sweep", "recall_sweep"])
+@pytest.mark.parametrize("name", ["ivf_cost", "ivf_kmeans_sweep", "recall_sweep", "result_document"])
 def test_large_table_matches_oracle(spark, large, con, name):
     df = E.queries()[name](spark, large)
     res = con.execute(E.oracle_sql()[name])
